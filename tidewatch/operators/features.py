@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATISTICS = ("mean", "std", "min", "max", "median", "p25", "p75")
 
@@ -104,7 +105,6 @@ def assemble(df: DataFrame, names: Sequence[str], out: str = "features", vector:
     return df.withColumn(out, array_to_vector(values) if vector else values)
 
 
-@F.pandas_udf("struct<low_power:double, high_power:double, dominant_hz:double>")
 def _bands(x: pd.Series, fs: pd.Series, edge: pd.Series) -> pd.DataFrame:
     out = np.full((len(x), 3), np.nan)
     for i, (v, rate, cut) in enumerate(zip(x, fs, edge, strict=True)):
@@ -119,7 +119,8 @@ def _bands(x: pd.Series, fs: pd.Series, edge: pd.Series) -> pd.DataFrame:
 
 def spectral(windows: DataFrame, fs: float, edge: float, values: str = "values") -> DataFrame:
     """Adds low_power (below edge Hz), high_power and dominant_hz of the array column `values`."""
-    s = _bands(F.col(values), F.lit(float(fs)), F.lit(float(edge)))
+    bands = F.pandas_udf(_bands, T.StructType([T.StructField(c, T.DoubleType()) for c in ("low_power", "high_power", "dominant_hz")]))
+    s = bands(F.col(values), F.lit(float(fs)), F.lit(float(edge)))
     return windows.withColumn("_s", s).select("*", "_s.*").drop("_s")
 
 
