@@ -59,17 +59,14 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, pas
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, passes: int = PASSES, seed: int = 17) -> DataFrame:
-    """Each row of df (doc_id, source, text and any others) with size, source_size, target (its source's) and taken.
+    """(doc_id, source, text_hash, size, source_size, target, taken) for each row of df (doc_id, source, text).
 
-    taken: the words that the mix takes of the row, all passes counted. The sized rows are written once to the shared
-    folder, without text if df has none left to return; the sort handles ids, sizes and hashes only.
+    target: that of the row's source; taken: the words that the mix takes of the row, all passes counted. Texts are read
+    once; what is sorted and written to the shared folder are ids, sizes and hashes.
     """
-    own = ("size", "source_size", "target", "taken", "_h", "_slice", "_upto")
-    df = df.drop(*own)
-    sized = written(
-        df.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
-    )
-    return _queued(sized, weights, share, passes).select("doc_id", "source", "size", "source_size", "target", "taken")
+    rows = df.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
+    mixed = _queued(written(rows), weights, share, passes)
+    return mixed.select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken")
 
 
 def _queued(sized: DataFrame, weights: Sequence[float], share: float, passes: int) -> DataFrame:
