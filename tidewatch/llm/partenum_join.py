@@ -11,8 +11,9 @@ cost only, never the result) and kept out of the partitions. A set that has too
 signs partitions of its common shingles, and, if that still isn't enough, its empty partitions; both members of a
 pair of such sets do so, so no link is lost.
 
-Equal sets are one node. Nodes that share a signature are tied to the smallest of them (never as all pairs); the
-classes so formed meet in blocks of bounded size, where the full sets decide link by link.
+Equal sets are one node. A few nodes that share a signature are paired, and a pair goes if the parity sketches of its
+sets differ in more cells than linked sets could; many nodes are each tied to the first one instead. The classes so
+formed meet in blocks of bounded size, where the full sets decide link by link.
 
 Shingles are compared as 64-bit hashes, sets as 128-bit hashes of their sorted shingles.
 
@@ -36,7 +37,7 @@ from .common import components, pieces, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-RATIO, BLOCK = 1.5, 4096
+RATIO, BLOCK, SMALL = 1.5, 4096, 16
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -45,18 +46,77 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text: words between ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for j in range(n):
-        h = (h ^ w[j : len(w) - n + 1 + j]) * np.uint64(MIX[0]) + np.uint64(MIX[3])
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = _mixed(np.frombuffer(LOWER, np.uint8).astype(np.uint64) + np.uint64(MIX[3]))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((MIX[0], pow(MIX[0], -1, 2**64))):
+            _powers[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]))
+    return _powers
+
+
+def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its word shingles; words stand between ASCII white space, A-Z lower-cased.
+
+    Word hashes of all texts come from one running sum of letter hashes times powers of the place.
+    """
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    space = _SPACE[data]
+    edge = np.diff(space.astype(np.int8), prepend=1)
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
+    power, inverse = _power_tables(len(data))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * power[: len(data)])])
+    w = _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    first = np.searchsorted(start, np.cumsum([0, *[len(r) + 1 for r in raw]]))
+    h = np.full(max(len(w) - width + 1, 0), width, np.uint64)
+    for j in range(width):
+        h = (h ^ w[j : j + len(h)]) * np.uint64(MIX[0]) + np.uint64(MIX[3])
         h ^= h >> np.uint64(29)
-    return np.unique(_mixed(h))
+    h = _mixed(h)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(h[a : b - width + 1]))
+        else:
+            out.append(_mixed(np.array([_short(w[a:b].tolist())], np.uint64)) if b > a else np.empty(0, np.uint64))
+    return out
+
+
+def _short(words: list[int]) -> int:
+    """Hash of a text of fewer words than a shingle."""
+    h = len(words)
+    for w in words:
+        h = ((h ^ w) * MIX[0] + MIX[4]) & (2**64 - 1)
+        h ^= h >> 29
+    return h
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes in cells, at least as many cells as elements: sets differ in as many elements at least
+    as their parities do in cells.
+    """
+    cells = 64
+    while cells < len(s):
+        cells *= 2
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def may_link(n_a: int, s_a: bytes, n_b: int, s_b: bytes, num: int, den: int) -> bool:
+    """False only if sets of these sizes and sketches can't link."""
+    if den * min(n_a, n_b) < num * max(n_a, n_b):
+        return False
+    a, b = np.frombuffer(s_a, np.uint8), np.frombuffer(s_b, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= (den - num) * (n_a + n_b) // (den + num)
 
 
 def fingerprint(s: np.ndarray) -> bytes | None:
@@ -120,16 +180,14 @@ def signatures(s: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _set_rows(width: int):
-    """Rows (doc_id, key, text) -> (doc_id, key, n, fp)."""
+    """Rows (doc_id, key, text) -> (doc_id, key, n, fp, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
-                sets = [shingles(t, width) for t in b["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], b["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary())],
-                    names=["doc_id", "key", "n", "fp"],
-                )
+            for b in pieces(whole, "text", 1 << 20):
+                sets = shingles(b["text"].to_pylist(), width)
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], *columns], names=["doc_id", "key", "n", "fp", "sketch"])
 
     return run
 
@@ -140,7 +198,7 @@ def _common(docs: DataFrame, width: int, sample: int, part: float, total: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text", 1 << 20):
-                h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *[shingles(t, width) for t in b["text"].to_pylist()]]), return_counts=True)
+                h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(b["text"].to_pylist(), width)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     thin = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
@@ -155,10 +213,9 @@ def _signature_rows(width: int, common: object, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
+            for b in pieces(whole, "text", 1 << 20):
                 sigs, nodes = [np.empty(0, np.uint64)], []
-                for t in b["text"].to_pylist():
-                    s = shingles(t, width)
+                for s in shingles(b["text"].to_pylist(), width):
                     fp = fingerprint(s)
                     if fp is None or fp in seen:
                         continue
@@ -171,23 +228,48 @@ def _signature_rows(width: int, common: object, bands: Bands):
     return run
 
 
-def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, node) -> (a, b): each node of a signature with the first one, each tie once a batch."""
-    last_sig, first_node = None, None
-    for x in batches:
-        if not x.num_rows:
-            continue
-        sig, node = x["sig"].to_numpy(), x["node"].to_numpy()
-        start = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        heads = np.flatnonzero(start)
-        lead = np.empty(len(sig), np.int64)
-        begun = heads[0] if len(heads) else len(sig)
-        lead[:begun] = first_node if begun else 0
-        lead[begun:] = np.repeat(node[heads], np.diff(np.append(heads, len(sig))))
-        last_sig, first_node = sig[-1], lead[-1]
-        tied = lead != node
-        pairs = np.unique(np.stack([node[tied], lead[tied]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def _candidates(small: int):
+    """Rows sorted by (sig, node) -> (a, b, tie): nodes that share a signature, each pair once a batch.
+
+    Up to `small` nodes of a signature are paired with one another; of more nodes each is tied to the first one.
+    """
+
+    def paired(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node = sig[keep], node[keep]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.diff(np.append(first, len(sig)))
+        many = np.repeat(count > small, count)
+        lead = np.repeat(first, count)
+        a, b = [np.flatnonzero(many & (lead != np.arange(len(sig))))], []
+        b.append(lead[a[0]])
+        at = np.flatnonzero(~many)
+        for step in range(1, small):
+            at = at[at + step < len(sig)]
+            at = at[sig[at] == sig[at + step]]
+            if not len(at):
+                break
+            a.append(at + step)
+            b.append(at)
+        tie = np.repeat([1, 0], [len(a[0]), sum(map(len, a[1:]))])
+        pairs = np.unique(np.stack([node[np.concatenate(a)], node[np.concatenate(b)], tie]), axis=1) if len(tie) else np.empty((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2])], names=["a", "b", "tie"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, nodes, held = [], [], 0
+        for x in batches:
+            sigs.append(x["sig"].to_numpy())
+            nodes.append(x["node"].to_numpy())
+            held += x.num_rows
+            if held > 200_000 and sigs[0][0] != sigs[-1][-1]:
+                sig, node = np.concatenate(sigs), np.concatenate(nodes)
+                end = int(np.searchsorted(sig, sig[-1]))  # all but the last signature are complete
+                yield paired(sig[:end], node[:end])
+                sigs, nodes, held = [sig[end:]], [node[end:]], len(sig) - end
+        if held:
+            yield paired(np.concatenate(sigs), np.concatenate(nodes))
+
+    return run
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,24 +310,36 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    known = written(rows.select("doc_id", "key", "text").mapInArrow(_set_rows(width), f"doc_id {id_type}, key long, n long, fp binary"))
+    known = written(rows.select("doc_id", "key", "text").mapInArrow(_set_rows(width), f"doc_id {id_type}, key long, n long, fp binary, sketch binary"))
     total, largest = known.agg(F.count("*"), F.max("n")).first()
     common = spark.sparkContext.broadcast(_common(rows, width, sample, common_part, total))
     bands = Bands.of(num, den, largest or 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = rows.select("text").mapInArrow(_signature_rows(width, common, bands), "sig long, node long")
-    ties = signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_tied, "a long, b long")
-    classes = components(ties)
+    pairs = signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_candidates(SMALL), "a long, b long, tie long")
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("tie").alias("tie")))
+    # pairs whose sketches rule a link out go; what is left doesn't chain strangers together
+    node = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
+    sketches = known.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select(node.alias("node"), "n", "sketch")
+    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            columns = [x[c].to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")]
+            keep = pa.array([may_link(*r, num, den) for r in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x["a"].filter(keep), x["b"].filter(keep)], names=["a", "b"])
+
+    left = pairs.filter("tie = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(possible, "a long, b long")
+    classes = components(left.unionByName(pairs.filter("tie = 1").select("a", "b")))
     # of each set in a class one row gives the text
     first = known.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("row"))
-    node = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
     wanted = first.withColumn("node", node).join(classes, "node").select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"), F.col("component").alias("cls"))
     text = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
-                sets = [shingles(t, width) for t in b["text"].to_pylist()]
+            for b in pieces(whole, "text", 1 << 20):
+                sets = shingles(b["text"].to_pylist(), width)
                 yield pa.RecordBatch.from_arrays(
                     [b["cls"], pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "fp", "s"]
                 )
