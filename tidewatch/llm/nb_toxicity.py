@@ -27,7 +27,7 @@ from .common import cut, pieces
 from .labelled import sampled_labels
 
 BITS = 18
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -84,7 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["h", "n0", "n1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", features: int = 1024, most_labels: int = 20_000, ridge: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", features: int = 2048, most_labels: int = 20_000, ridge: float = 1e-3) -> Model:
     ids, share = sampled_labels(labels, label, most_labels)
     # at most most_labels texts; the ids have that proven bound, so they are broadcast and no text is shuffled
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y"))

@@ -2,7 +2,7 @@
 
 Trusted positives are training rows labelled 1; all other text counts as unlabelled. With class prior p the risk is
 p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)]), minimised by full-batch gradient steps; whenever the second
-term falls below zero, the step works against it alone. p is estimated as the smoothed share of 1 among the training
+term falls below zero, the step works against it alone. p is estimated as the share of 1 among the training
 labels. The features don't depend on language: how often each class of characters follows each other, word and line
 lengths, repeats. The fit sees a bounded sample (`most_positives`, `most_unlabelled`); every text is scored whole.
 
