@@ -950,3 +950,105 @@ def _(s, d):
     stats = P.temporal_split(_r(_stats(s, d), list(X.STATISTICS)), order=["window_start", "signal_name"])
     io.write_gold(stats, path, {"params": C.normalize(A.signals(s, d), KEYS)[1]})
     return s.read.schema("subject_id long, signal_name string, window_start double, n long, mean double, std double, min double, max double, median double, p25 double, p75 double, split_set string").option("header", True).csv(f"{path}/features")
+
+
+def _path(s: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{_shared(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s06_samples_csv", """select "timestamp", user_id, activity, label, value as heart_rate, session_id from ses""")
+def _(s, d):
+    path, rows = _path(s, "samples"), A.sessions(s, d)
+    have = {"timestamp": "timestamp", "user_id": "user_id", "activity": "activity", "label": "label", "heart_rate": "value", "session_id": "session_id"}
+    cols = [(F.col(have[f.name]) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in io.SAMPLES.fields]
+    io.write_samples(rows.select(cols), path)
+    return io.read_samples(s, path).select(F.col("timestamp"), F.col("user_id").cast("long").alias("user_id"), "activity", "label", "heart_rate", "session_id")
+
+
+@query("s07_window_sink", "select session_id, window_no, count(*) as n, round(sum(value::float::double) + 1e-9, 2) as total from win group by all")
+def _(s, d):
+    path = _path(s, "windows")
+    io.write_windows(W.window_arrays(W.count_windows(_coded(s, d), SESSION, BY_TIME), SESSION, ["value", "code"]), path)
+    back = s.read.parquet(path)
+    total = F.aggregate("x", F.lit(0.0), lambda a, r: a + r[0].cast("double"))
+    return back.select("session_id", "window_no", F.size("x").cast("long").alias("n"), rounded(total, 2).alias("total"))
+
+
+@query("s08_event_log_sink", f"select session_id, round(pre_start_s + 1e-9, 4) as pre_start_s, round(recovery_end_s + 1e-9, 4) as recovery_end_s from ({LOG})")
+def _(s, d):
+    path = _path(s, "log")
+    io.write_event_log(_log(s, d), path)
+    back = s.read.schema("session_id long, pre_start_s double, syncope_start_s double, recovery_start_s double, recovery_end_s double").option("header", True).csv(path)
+    return _r(back.select("session_id", "pre_start_s", "recovery_end_s"), ["pre_start_s", "recovery_end_s"])
+
+
+@query("s10_load_patients", "select subject_id, event_id as window_id, value as f0, y as label, round(time_to_loc + 1e-9, 4) as time_to_loc from lab")
+def _(s, d):
+    path = _path(s, "gold")
+    w = L.label_windows(_timed(s, d), 3 * A.DAY).withColumnRenamed("event_id", "window_id")
+    X.assemble(w, ["value"]).write.parquet(path)
+    back = io.load_patients(s, path)
+    return back.select("subject_id", "window_id", F.col("features")[0].alias("f0"), "label", r4("time_to_loc").alias("time_to_loc"))
+
+
+# ---- streams: each runs over all files there are, writes them to the shared folder and reads them back
+
+
+def _drained(s: SparkSession, stream: DataFrame) -> DataFrame:
+    path = _path(s, "stream")
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(path)
+
+
+def _stream(s: SparkSession, d: str, late: str) -> DataFrame:
+    from ..streaming.streams import stream_bronze
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in A.read(s, d, "events").schema.fields)
+    return stream_bronze(s, f"{d}/events.parquet*", schema, late)  # a file or a folder
+
+
+@query("t01_stream_bronze", "select event_id, user_id, event_type, value from events")
+def _(s, d):
+    return _drained(s, _stream(s, d, "1 hour")).select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "t02_stream_features",
+    """select (day - k) * 86400 as start_s, event_type, count(value) as n, round(avg(value) + 1e-9, 4) as mean, round(stddev_pop(value) + 1e-9, 4) as std, min(value) as min, max(value) as max
+    from (select *, unnest(range(0, 7)) as k, floor(epoch_us(ts) / 86400000000.0)::bigint as day from events) group by day - k, event_type
+    having (day - k + 7) * 86400000000 <= (select max(epoch_us(ts)) from events) - 3600000000""",
+)
+def _(s, d):
+    from ..streaming.streams import stream_features
+
+    g = _drained(s, stream_features(_stream(s, d, "1 hour"), "7 days", "1 day", ("event_type",)))
+    return _r(g.select(F.unix_seconds("window_start").alias("start_s"), "event_type", "n", "mean", "std", "min", "max"), ["mean", "std"])
+
+
+@query(
+    "t03_stream_alerts",
+    """select user_id, epoch_us(ts) as at_us, state from (
+      select user_id, case when risky and k = 3 then ts when not risky and prev >= 3 then ts end as ts, case when risky then 'raised' else 'cleared' end as state from (
+        select *, lag(case when risky then k else 0 end, 1, 0) over (partition by user_id order by ts, event_id) as prev from (
+          select *, row_number() over (partition by user_id, risky, g order by ts, event_id) as k from (
+            select *, sum((not risky)::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as g from (select *, value >= 50 as risky from events))))) where ts is not null""",
+)
+def _(s, d):
+    from ..streaming.streams import stream_alerts
+
+    rows = _stream(s, d, "1 hour").select("user_id", "ts", (F.col("value") / 100).alias("p"))
+    return _drained(s, stream_alerts(rows, 3, 0.5)).select("user_id", F.unix_micros("ts").alias("at_us"), "state")
+
+
+@query("t04_stream_gold", "select subject_id, signal_name, \"timestamp\", value from sig")
+def _(s, d):
+    from ..streaming.streams import stream_gold
+
+    path = _path(s, "gold")
+    t = (F.unix_micros("ts") - A.EPOCH_US) / F.lit(1e6)
+    rows = _stream(s, d, "1 hour").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("signal_name"), t.alias("timestamp"), "value")
+    for k in range(2):  # the second run replays the first one's files and adds nothing
+        stream_gold(rows, path, f"{path}-state{k}").awaitTermination()
+    return s.read.parquet(path).select(F.col("subject_id").cast("long").alias("subject_id"), "signal_name", "timestamp", "value")

@@ -14,7 +14,7 @@ from ..sources.io import append_bronze
 
 
 def stream_bronze(spark: SparkSession, path: str, schema: str, late: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("user_id", "event_type", "ts")) -> DataFrame:
-    """A stream of the Parquet files that appear under path, repeated keys removed while within the watermark.
+    """A stream of the Parquet files that appear under path (or match it), repeated keys removed within the watermark.
 
     Times without a zone count as UTC instants, since a watermark needs an instant.
     """
