@@ -75,6 +75,20 @@ def op3_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs, as a check on small tables: what the query finds is among these links.
+OP3_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
+), r(vec_id, c) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, p.b from r join p on r.c = p.a
+), n as (select a, count(*) as n from p group by 1)
+select vec_id, coalesce(any_value(n), 0)::bigint as n_links, min(c) as component_id, vec_id = min(c) as kept from r left join n on n.a = vec_id group by vec_id
+"""
+
+
 def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_values"), F.transform("pii", lambda x: x["kind"]).alias("kinds"))
@@ -116,6 +130,21 @@ def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: Pairs by their common shingles, then reachability: for small tables.
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w)
+), n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+p as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+r(doc_id, m) as (select doc_id, doc_id from documents union select r.doc_id, p.b from r join p on r.m = p.a)
+select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(m) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""
+
+
 def op9_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = fair_mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, SHARE)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -129,4 +158,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_warc_merkle, op2_url_rules, op3_itq_dedup, op4_pii_feistel, op5_topk_search, op6_pu_quality, op7_nb_toxicity, op8_partenum_join, op9_fair_mixing, op10_sentencepiece)
 }
-SQL: dict[str, str] = {"op1_warc_merkle": OP1_SQL, "op2_url_rules": OP2_SQL, "op5_topk_search": OP5_SQL}
+SQL: dict[str, str] = {"op1_warc_merkle": OP1_SQL, "op2_url_rules": OP2_SQL, "op3_itq_dedup": OP3_SQL, "op8_partenum_join": OP8_SQL, "op5_topk_search": OP5_SQL}
