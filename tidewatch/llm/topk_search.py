@@ -28,7 +28,7 @@ from .common import written
 from .sweep import running_total
 from .vectors import block, packed, unpacked
 
-CHUNK, QUERIES, STEP, HEAD = 8192, 2048, 1024, 16
+CHUNK, QUERIES, STEP, HEAD, SPANS = 8192, 2048, 1024, 16, 512
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -139,12 +139,16 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
     first = written(visit(cands.filter("chunk = 0"), queries.withColumn("chunk", F.lit(0)).withColumn("least", F.lit(-(1 << 62)))))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     rest = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", F.lit(-(1 << 62))))
-    # chunk numbers are few (rows / CHUNK); each query is sent to those whose longest vector could reach its k-th score
-    n = [(r["chunk"], r["longest"]) for r in chunks.filter("chunk > 0").collect()]
+    # chunks descend in length, so a query visits them up to some number, told here from at most SPANS runs of chunks
+    last = chunks.agg(F.max("chunk")).first()[0] or 0
+    run_of = F.floor(F.col("chunk") / F.lit(-(-(last + 1) // SPANS)))
+    spans = chunks.filter("chunk > 0").groupBy(run_of).agg(F.max("longest").alias("longest"), F.max("chunk").alias("to")).collect()
     found = first
-    if n:
-        reach = F.filter(F.array(*[F.struct(F.lit(c).alias("chunk"), F.lit(m).alias("longest")) for c, m in n]), lambda c: F.col("norm") * c["longest"] * (1 + 1e-9) + 1e-6 >= F.col("least"))
-        rest = rest.withColumn("c", F.explode(reach)).select("block", "vec_id", "v", "least", F.col("c.chunk").alias("chunk"))
+    if spans:
+        known = F.array(*[F.struct(F.lit(x["longest"]).alias("longest"), F.lit(x["to"]).alias("to")) for x in spans])
+        reach = F.filter(known, lambda c: F.col("norm") * c["longest"] * (1 + 1e-9) + 1e-6 >= F.col("least"))
+        rest = rest.withColumn("to", F.array_max(F.transform(reach, lambda c: c["to"]))).filter("to is not null")
+        rest = rest.select("block", "vec_id", "v", "least", F.explode(F.sequence(F.lit(1), F.col("to"))).alias("chunk"))
         found = found.unionByName(visit(cands.filter("chunk > 0"), rest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
