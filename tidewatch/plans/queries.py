@@ -1052,3 +1052,28 @@ def _(s, d):
     for k in range(2):  # the second run replays the first one's files and adds nothing
         stream_gold(rows, path, f"{path}-state{k}").awaitTermination()
     return s.read.parquet(path).select(F.col("subject_id").cast("long").alias("subject_id"), "signal_name", "timestamp", "value")
+
+
+def _as_files(s: SparkSession, rows: DataFrame, name: str) -> str:
+    """The rows as CSV, in one folder S<id>_<what>.csv for each value of the column file."""
+    path = _path(s, name)
+    rows.write.option("header", True).partitionBy("file").csv(path)
+    return path
+
+
+@query("s01_read_signals", """select (subject_id % 9)::int as subject_id, signal_name, "timestamp", value from gap""")
+def _(s, d):
+    rows = A.gappy(s, d).select("timestamp", F.coalesce("value", F.lit(float("nan"))).alias("value"), F.format_string("S%d_%s.csv", F.col("subject_id") % 9, F.col("signal_name")).alias("file"))
+    return io.read_signals(s, _as_files(s, rows, "signals")).select("subject_id", "signal_name", "timestamp", "value")
+
+
+@query("s02_read_marks", "select (subject_id % 9)::int as subject_id, loc_ts from loc")
+def _(s, d):
+    rows = A.loc(s, d).select(F.col("loc_ts").alias("timestamp"), F.format_string("S%d_LOC.csv", F.col("subject_id") % 9).alias("file"))
+    return io.read_marks(s, _as_files(s, rows, "marks"), "loc_ts")
+
+
+@query("s03_with_ingest_meta", "select event_id, 1704153600::bigint as ingested_s, signal_name || '.csv' as source_file from sig")
+def _(s, d):
+    rows = io.with_ingest_meta(A.signals(s, d), "2024-01-02 00:00:00", F.concat("signal_name", F.lit(".csv")))
+    return rows.select("event_id", F.unix_seconds("_ingested_at").alias("ingested_s"), F.col("_source_file").alias("source_file"))

@@ -18,23 +18,24 @@ SAMPLES = T.StructType(
 BRONZE_KEY = ("subject_id", "signal_name", "timestamp")
 
 
-def _from_name(pattern: str, group: int) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), pattern, group)
+def _named(pattern: str, group: int) -> Column:
+    """Part of the name S<id>_<what>.csv, which is that of the file or of a folder of its parts."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
     """The long table (subject_id, signal_name, timestamp, value, _source_file) of files S<id>_<signal>.csv; NaN is null."""
-    name = r"^S(\d+)_(.+)\.csv$"
+    name = r"[/=]S(\d+)_([^/]+)\.csv(?:/[^/]*)?$"
     rows = spark.read.schema(SIGNAL_FILE).option("header", True).csv(path)
     return rows.select(
-        _from_name(name, 1).cast("int").alias("subject_id"), _from_name(name, 2).alias("signal_name"), "timestamp", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.col("_metadata.file_name").alias("_source_file")
+        _named(name, 1).cast("int").alias("subject_id"), _named(name, 2).alias("signal_name"), "timestamp", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.col("_metadata.file_name").alias("_source_file")
     )
 
 
 def read_marks(spark: SparkSession, path: str, column: str) -> DataFrame:
     """(subject_id, <column>) of files S<id>_<mark>.csv with one time a row; column: loc_ts, roc_ts or onset_ts."""
     rows = spark.read.schema("timestamp double").option("header", True).csv(path)
-    return rows.select(_from_name(r"^S(\d+)_", 1).cast("int").alias("subject_id"), F.col("timestamp").alias(column))
+    return rows.select(_named(r"[/=]S(\d+)_[^/]+\.csv(?:/[^/]*)?$", 1).cast("int").alias("subject_id"), F.col("timestamp").alias(column))
 
 
 def with_ingest_meta(df: DataFrame, at: str, source: Column | None = None) -> DataFrame:
