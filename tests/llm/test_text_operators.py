@@ -283,6 +283,8 @@ def test_tokens_equal_the_library(spark):
     for r in out.select("doc_id", "ids", "decoded").collect():
         ids = [*sp.encode(texts[r["doc_id"]] or ""), sp.eos_id()]
         assert r["ids"] == ids and r["decoded"] == sp.decode(ids)
+    once = sentencepiece_bpe.encode(df, MODEL, decoded_col="decoded").select("doc_id", "ids", "decoded")
+    assert once.exceptAll(out.select("doc_id", "ids", "decoded")).count() == 0
     assert sentencepiece_bpe.encode(df.limit(0), MODEL).count() == 0
     v = sentencepiece_bpe.load_vocabulary(MODEL)
     for _ in range(500):

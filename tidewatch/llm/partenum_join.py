@@ -184,7 +184,7 @@ def _set_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text", 1 << 19):
                 sets = shingles(b["text"].to_pylist(), width)
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], *columns], names=["doc_id", "key", "n", "fp", "sketch"])
@@ -197,7 +197,7 @@ def _common(docs: DataFrame, width: int, sample: int, part: float, total: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text", 1 << 19):
                 h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *shingles(b["text"].to_pylist(), width)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -213,7 +213,7 @@ def _signature_rows(width: int, common: object, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text", 1 << 19):
                 sigs, nodes = [np.empty(0, np.uint64)], []
                 for s in shingles(b["text"].to_pylist(), width):
                     fp = fingerprint(s)
@@ -338,7 +338,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text", 1 << 19):
                 sets = shingles(b["text"].to_pylist(), width)
                 yield pa.RecordBatch.from_arrays(
                     [b["cls"], pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "fp", "s"]

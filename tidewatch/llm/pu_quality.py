@@ -89,7 +89,7 @@ def _featured(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
+            for b in pieces(whole, "text", 1 << 19):
                 x = features(b["text"].to_pylist()).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
 
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = m.value
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
+            for b in pieces(whole, "text", 1 << 19):
                 s = _sigmoid(features(b["text"].to_pylist()) @ model.weight + model.intercept)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
 

@@ -29,7 +29,7 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NO_PAIR = np.int64(1) << 62
 #: Distinct words that a task keeps; beyond it the words kept are forgotten, never the text.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 150_000
 
 
 @dataclass
@@ -257,22 +257,28 @@ def _utf8(raw: bytes) -> str:
         return "".join(c if not 0xDC80 <= ord(c) <= 0xDCFF else "\ufffd" for c in raw.decode("utf-8", "surrogateescape"))
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", add_end: bool = True) -> DataFrame:
+def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", add_end: bool = True, decoded_col: str | None = None) -> DataFrame:
     """df with out_col array<int>: the ids of text_col as the sentencepiece library encodes it, end id included.
 
-    Columns of df keep their places; one named out_col is replaced. No shuffle: a map over the rows.
+    decoded_col: adds the text that the ids decode to, in the same pass. Columns of df keep their places; those named
+    out_col or decoded_col are replaced. No shuffle: a map over the rows.
     """
     v = df.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out_col])
-    schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (out_col, decoded_col)])
+    new = [T.StructField(out_col, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    schema = T.StructType([*kept.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v.value)
         for whole in batches:
-            for batch in pieces(whole, text_col):
+            for batch in pieces(whole, text_col, 1 << 20):
                 ids, lengths = encoder.encode(batch[text_col].to_pylist(), add_end)
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out_col])
+                more = [column]
+                if decoded_col:
+                    ends = np.cumsum(lengths).tolist()
+                    more.append(pa.array([decode_ids(v.value, ids[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, out_col, *([decoded_col] if decoded_col else [])])
 
     return kept.mapInArrow(run, schema)
 
@@ -285,8 +291,8 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
                 text = pa.array([decode_ids(v.value, ids or []) for ids in batch[ids_col].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out_col])
 
@@ -295,7 +301,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
 
 def digests(df: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of documents."""
-    both = decode(encode(df.select("doc_id", "text"), model_path).drop("text"), model_path)
+    both = encode(df.select("doc_id", "text"), model_path, decoded_col="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         "doc_id",
