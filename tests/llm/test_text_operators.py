@@ -120,6 +120,24 @@ def test_pseudonyms(spark):
     assert pii_feistel.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_values_next_to_numbers(spark):
+    alone = ["+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "123-45-6789", "2001-02-28", "+49 30 123456", "+33 1 23 45 67 89", "5105 10510510 5100"]
+    kinds = ["phone", "ip", "card", "card", "card", "ssn", "date", "phone", "phone", "card"]
+    known = dict(zip(alone, kinds, strict=True))
+    # after +49 a further plain number cannot be told from the phone number
+    pairs = [p for p in itertools.product([*alone, "2021", "7", "123"], repeat=2) if set(p) & set(alone) and not (p[0] == "+49 30 123456" and p[1] not in known)]
+    texts = [*alone, *(f"x {a} {b}, y" for a, b in pairs), "+4111111111111111", "2021 4111 1111 1111 1111 05", "12 4111 1111 1111 1112 3", "1 2 3 4 5 6 7 8 9 " * 20]
+    out = [(r["text"], [tuple(p) for p in r["pii"]]) for r in pii_feistel.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    new = {a: t for a, (t, _) in zip(alone, out)}
+    assert all(new[a] != a for a in alone)
+    for (a, b), (text, found) in zip(pairs, out[len(alone) :]):
+        assert text == f"x {new.get(a, a)} {new.get(b, b)}, y", (a, b)
+        assert found == [(known[v], new[v]) for v in (a, b) if v in known]
+    body = feistel("411111111111111", "k/card")
+    assert out[-4][0].startswith(f"+{body}") and out[-3][0] == f"2021 {new[alone[2]]} 05"
+    assert out[-2] == (texts[-2], []) and out[-1] == (texts[-1], [])
+
+
 def test_dates_and_numbers_are_permuted(spark):
     days = spark.range(0, 73_049, 1, 4).select(pii_feistel.permute_number(F.col("id"), *pii_feistel.DAYS, "k").alias("x"))
     r = days.agg(F.countDistinct("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()

@@ -1,9 +1,12 @@
 """Format-preserving pseudonyms for personal data in texts: keyed Feistel permutations, DataFrame functions only.
 
 Values are found by pattern and validated (card numbers by their Luhn sum, dates by the calendar, IPv4 octets, phone
-numbers by length, US social security numbers by their reserved ranges). A valid value is permuted by a ten-round
-Feistel network over its own format, keyed by `key`: digits stay digits, letters stay letters of their case, all
-separators stay, a card stays Luhn-valid and a date stays a date. Being a permutation that depends on the value
+numbers by length, US social security numbers by their reserved ranges). A number that stands next to a value is not
+drawn into it: no group of a phone or card number begins another value, phone numbers of plans with one length end
+there, and cards are looked for inside a run of digit groups, those in a card's own grouping first. After a country
+code of another plan a further number cannot be told from the phone number: up to 15 digits are taken, from the ninth
+on without a group that may begin a card. A valid value is permuted by a ten-round Feistel network over its own
+format, keyed by `key`: digits stay digits, letters stay letters of their case, all separators stay, a card stays Luhn-valid and a date stays a date. Being a permutation that depends on the value
 alone, equal values stay equal, and different ones different, in every document, without any table of values or
 shuffle: it is one map over the rows.
 
@@ -23,10 +26,33 @@ KINDS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "date": r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "ssn": r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
-    "card": r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+# What no group of a longer number may begin: another value.
+OTHER = "|".join(KINDS.values())
+CARD_START = r"\d(?:[ -]?\d){12}"
+# Digits after the country code in plans of one length: there a further number does not belong to the phone number.
+PLANS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|380|420", 10: "1|7|44|52|57|90|91"}
+
+
+def _phone() -> str:
+    """A phone number of a known plan, or else the most groups that have 8 to 15 digits together."""
+    gap = rf"(?:[ .-](?!{OTHER}))"
+    known = "|".join(rf"(?:{codes})(?:{gap}?\(0\))?(?:(?:{gap}|{gap}?\(|\){gap}?)?\d){{{n}}}" for n, codes in PLANS.items())
+    # up to 8 digits any group belongs to the number, then none that may begin a card
+    first, more = rf"(?:(?:{gap}(?=\d\d))?\d)", rf"(?:(?:{gap}(?=\d\d)(?!{CARD_START}))?\d)"
+    rest = lambda had: rf"{first}{{{8 - had}}}{more}{{0,7}}"
+    area = "|".join(rf"\d{{{c}}}[ .-]?\(\d{{{n}}}\)[ .-]?\d{rest(c + n + 1)}" for c in (3, 2, 1) for n in (1, 2, 3, 4))
+    return rf"(?<![\w+])\+(?:(?:{known})|(?:{area})|\d{rest(1)})(?!\d)"
+
+
+KINDS["phone"] = _phone()
+# A run of digit groups with 13 digits or more: cards are looked for inside.
+RUN = rf"(?<!\d)(?={CARD_START})\d++(?:[ -](?!{OTHER})\d++)*+"
+ANY = "|".join(f"(?:{p})" for p in [*KINDS.values(), RUN])
+# Lengths of the groups of a card.
+CARD_GROUPS = r"^(?:1[3-9]|4-4-4-4|4-4-4-4-3|4-6-5|4-6-4|4-3-3-3|4-4-5|6-13)$"
+# 19 digits are tried before 16 for these first digits only.
+LONG_CARDS = "^(?:6|5[0678])"
 # 1900-01-01 to 2099-12-31 has 17 * 4297 days.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
@@ -117,13 +143,81 @@ def _refill(value: Column, digits: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a string that matched ANY, or null where its check fails."""
+    """The kind of a string that matched ANY ("run": a run of digit groups), or null where its check fails."""
     out = F.when(value.rlike(f"^(?:{KINDS['email']})$"), "email").when(value.rlike(f"^(?:{KINDS['ip']})$"), "ip")
     out = out.when(value.rlike(f"^(?:{KINDS['date']})$"), F.when(F.try_to_date(value, "yyyy-MM-dd").isNotNull(), F.lit("date")))
     out = out.when(value.rlike(f"^(?:{KINDS['ssn']})$"), "ssn")
     digits = F.length(_digits(value))
-    out = out.when(value.startswith("+"), F.when(digits.between(8, 15), F.lit("phone")))
-    return out.when(F.pmod(_luhn_sum(_digits(value), 0), F.lit(10)) == 0, "card")
+    return out.when(value.startswith("+"), F.when(digits.between(8, 15), F.lit("phone"))).otherwise("run")
+
+
+def _ends(groups: Column, seps: Column, i: Column) -> Column:
+    """(whole, loose, usual): how many groups from the i-th on are a valid card in a card's grouping, and in another one.
+
+    Loose: up to five groups, or the whole run, the longest first. Null where there is none. Usual: whole, and with a
+    first digit of the large card networks.
+    """
+    n = F.size(groups)
+    most = F.least(F.lit(5), n - i + 1)
+    counts = F.sequence(F.lit(1), most)
+    counts = F.when((i == 1) & n.between(6, 19), F.concat(counts, F.array(n))).otherwise(counts)
+    digits = lambda k: F.array_join(F.slice(groups, i, k), "")
+    long_enough = F.filter(counts, lambda k: F.length(digits(k)).between(13, 19))
+    valid = F.filter(long_enough, lambda k: F.pmod(_luhn_sum(digits(k), 0), F.lit(10)) == 0)
+    shape = lambda k: F.array_join(F.transform(F.slice(groups, i, k), lambda g: F.length(g).cast("string")), "-")
+    one_sep = lambda k: F.size(F.array_distinct(F.slice(seps, i, k - 1))) <= 1
+    whole = lambda v: F.filter(v, lambda k: shape(k).rlike(CARD_GROUPS) & one_sep(k))
+    first = lambda v: F.when(F.element_at(groups, i).rlike(LONG_CARDS), F.array_max(v)).otherwise(F.array_min(v))
+    best = first(whole(valid))
+    return F.struct(best.alias("whole"), F.array_max(valid).alias("loose"), (best.isNotNull() & F.element_at(groups, i).rlike("^[3-6]")).alias("usual"))
+
+
+def cards_in(run: Column) -> Column:
+    """(at, n): first character and length of each card in a run of digit groups, from left to right.
+
+    A card in a card's grouping goes before one in another grouping that overlaps it.
+    """
+    groups, seps = F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)), F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0))
+    size = lambda x, s, e: F.when(
+        s["i"] >= s["free"],
+        F.coalesce(
+            F.when(e["usual"] | ~F.exists(F.slice(x["ends"], s["i"] + 1, F.coalesce(e["whole"], F.lit(1)) - 1), lambda o: o["usual"]), e["whole"]),
+            F.when(~F.exists(F.slice(x["ends"], s["i"] + 1, F.coalesce(e["loose"], F.lit(1)) - 1), lambda o: o["whole"].isNotNull()), e["loose"]),
+        ),
+    )
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("free"), F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
+
+    def step(x: Column, s: Column, e: Column) -> Column:
+        k, group = size(x, s, e), F.element_at(x["groups"], s["i"])
+        taken = F.slice(x["groups"], s["i"], F.coalesce(k, F.lit(1)))
+        n = F.length(F.array_join(taken, " "))
+        return F.struct(
+            (s["i"] + 1).alias("i"),
+            F.coalesce(s["i"] + k, s["free"]).alias("free"),
+            (s["at"] + F.length(group) + 1).alias("at"),
+            F.when(k.isNotNull(), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), n.alias("n"))))).otherwise(s["out"]).alias("out"),
+        )
+
+    def ends(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(x["groups"])), lambda i: _ends(x["groups"], x["seps"], i))
+        return F.struct(x["groups"].alias("groups"), each.alias("ends"))
+
+    # arrays of one element, so that groups and ends are made once
+    made = F.transform(F.transform(F.array(F.struct(groups.alias("groups"), seps.alias("seps"))), ends), lambda x: F.aggregate(x["ends"], start, lambda s, e: step(x, s, e), lambda s: s["out"]))
+    return made[0]
+
+
+def _parts(value: Column, kind: Column) -> Column:
+    """A match as an array of (value, kind): itself, or the cards of a run and what stands between them."""
+
+    def cut(cards: Column) -> Column:
+        end = lambda j: F.when(j == 0, 1).otherwise(F.try_element_at(cards, j)["at"] + F.try_element_at(cards, j)["n"])
+        none = F.lit(None).cast("string")
+        plain = lambda j, to: F.struct(F.substring(value, end(j), to - end(j)).alias("value"), none.alias("kind"))
+        each = F.transform(cards, lambda c, j: F.array(plain(j, c["at"]), F.struct(F.substring(value, c["at"], c["n"]).alias("value"), F.lit("card").alias("kind"))))
+        return F.concat(F.flatten(each), F.array(plain(F.size(cards), F.length(value) + 1)))
+
+    return F.when(kind == "run", F.transform(F.array(cards_in(value)), cut)[0]).otherwise(F.array(F.struct(value.alias("value"), kind.alias("kind"))))
 
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
@@ -161,13 +255,12 @@ def pseudonymise(df: DataFrame, key: str = "tidewatch", text_col: str = "text")
     found = F.transform(some, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("pii", "_found")]
     step = df.select(*kept, found.alias("_found"))
-    made = F.transform("_found", lambda m: F.struct(m["kind"].alias("kind"), pseudonym(m["value"], m["kind"], key).alias("pseudonym")))
+    step = step.withColumn("_found", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _parts(m["value"], m["kind"]))))
+    made = F.transform("_found", lambda m: F.transform(m, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
     step = step.withColumn("_found", F.when(F.size("_found") > 0, made))
     # the text between the values, then value by value
-    joined = F.array_join(
-        F.zip_with(F.split(text, ANY, -1), F.transform("_found", lambda m: m["pseudonym"]), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))),
-        "",
-    )
+    values = F.transform("_found", lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), ""))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), values, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     new = F.when(F.size("_found") > 0, joined).otherwise(text)
-    pii = F.filter(F.coalesce(F.col("_found"), F.array()), lambda m: m["kind"].isNotNull())
+    pii = F.filter(F.flatten(F.coalesce(F.col("_found"), F.array())), lambda m: m["kind"].isNotNull())
     return step.withColumns({text_col: new, "pii": F.when(F.col("_found").isNull(), F.lit(None)).otherwise(pii)}).drop("_found")
