@@ -1,9 +1,12 @@
 """Files, idempotent appends and streams against the batch answer."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import models as M
+from tidewatch.plans.queries import QUERIES
 from tidewatch.sources import io
 from tidewatch.streaming import streams as T
 
@@ -98,3 +101,27 @@ def test_models(spark, tmp_path):
     flat = df.select("label", F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
     M.fit_pipeline(flat, ["a", "b"], str(tmp_path / "m"), M.Forest(trees=5))
     assert M.score(flat, str(tmp_path / "m")).filter("confidence between 0.5 and 1").count() == 240
+
+
+def test_model_queries_score_every_subject_with_default_settings(spark, monkeypatch):
+    rf, svm, fit, seen = M.loso_rf, M.loso_svm, M.fit_pipeline, []
+
+    def small(run, cfg, quick):
+        def call(df, *args, **kwargs):
+            bound = inspect.signature(run).bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            seen.append(bound.arguments["cfg"] == cfg)
+            bound.arguments["cfg"] = quick
+            return run(*bound.args, **bound.kwargs)
+
+        return call
+
+    monkeypatch.setattr(M, "loso_rf", small(rf, M.Forest(), M.Forest(trees=2)))
+    monkeypatch.setattr(M, "loso_svm", small(svm, M.Svm(), M.Svm(frequencies=8, steps=2)))
+    monkeypatch.setattr(M, "fit_pipeline", small(fit, M.Forest(), M.Forest(trees=2)))
+    sf = "/root/testdata/sf0.001"
+    want = sorted((r["vec_id"] % 9, r["vec_id"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect())
+    for name in ("m01_loso_rf", "m02_loso_svm"):
+        assert sorted((r["fold"], r["window_id"]) for r in QUERIES[name](spark, sf).collect()) == want
+    assert QUERIES["m04_score"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert seen == [True, True, True]

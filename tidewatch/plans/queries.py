@@ -698,12 +698,12 @@ def _(s, d):
 
 @query("m01_loso_rf")
 def _(s, d):
-    return M.loso_rf(A.features(s, d), M.Forest(trees=10), folds=[0, 1])[0]
+    return M.loso_rf(A.features(s, d))[0]
 
 
 @query("m02_loso_svm")
 def _(s, d):
-    return M.loso_svm(A.features(s, d), M.Svm(frequencies=64, steps=10), folds=[0])
+    return M.loso_svm(A.features(s, d))
 
 
 @query("m03_importance_summary", "select feature, round(avg(v) + 1e-9, 4) as mean, round(stddev_pop(v) + 1e-9, 4) as std from (select subject_id, unnest(range(0, len(embedding)))::int as feature, unnest(embedding)::double as v from emb) group by 1")
@@ -718,7 +718,7 @@ def _(s, d):
 
     rows = A.signals(s, d).withColumn("label", (F.col("signal_name") == "error").cast("double"))
     path = f"{_shared(s)}/model-{uuid.uuid4().hex}"
-    M.fit_pipeline(rows, ["value", "timestamp"], path, M.Forest(trees=5))
+    M.fit_pipeline(rows, ["value", "timestamp"], path)
     return M.score(rows.select("event_id", "value", "timestamp"), path).select("event_id", "predicted", r4("confidence").alias("confidence"))
 
 
