@@ -19,12 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .sweep import ranged, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 2
-SLICES = 256
+SLICE_ROWS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -39,12 +39,8 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, pas
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_last", F.col("source").isNull())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_nth") - 1, F.lit(len(weights))) + 1).cast("int"))
-    totals = written(
-        running_total(totals, ["_last", "source"], None, "_nth")
-        .withColumn("w", w)
-        .withColumn("cap", F.col("source_size") * float(passes))
-        .select("source", "source_size", "w", "cap")
-    )
+    cap = (F.col("source_size") * float(passes)).alias("cap")
+    totals = running_total(totals, ["_last", "source"], None, "_nth", ["source", "source_size", w.alias("w"), cap])
     budget = float(share * (totals.agg(F.sum("source_size")).first()[0] or 0))
     rate, seen = 0.0, -1
     while True:
@@ -65,14 +61,18 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
     once; what is sorted and written to the shared folder are ids, sizes and hashes.
     """
     rows = df.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
-    mixed = _queued(written(rows), weights, share, passes)
+    rows = written(rows)
+    mixed = _queued(rows, weights, share, passes)
+    discard(rows)
     return mixed.select("doc_id", "source", "text_hash", "size", "source_size", "target", "taken")
 
 
 def _queued(sized: DataFrame, weights: Sequence[float], share: float, passes: int) -> DataFrame:
     """sized (doc_id, source, size, _h) with source_size, target, taken."""
     targets = written(source_targets(sized.select("source", "size"), weights, share, passes))
-    sized = sized.withColumn("_slice", F.pmod(F.shiftright("_h", 48), F.lit(SLICES)))
+    # a slice of one source has about SLICE_ROWS rows at most, however large the source is
+    slices = max(1, -(-sized.count() // SLICE_ROWS))
+    sized = sized.withColumn("_slice", F.pmod(F.col("_h"), F.lit(slices)))
     # running words of each source: within slices of its shuffled order, then what earlier slices hold
     key = ["source", "_slice"]
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,16 +80,16 @@ def _queued(sized: DataFrame, weights: Sequence[float], share: float, passes: in
         sized.groupBy(*key)
         .agg(F.sum("size").alias("_n"))
         .withColumn("_past", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(F.col("source").alias("_s"), F.col("_slice").alias("_k"), "_past")
+        .join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")))
+        .select("_s", F.col("_slice").alias("_k"), "_past", "source_size", "target")
     )
     order = ["_h", "doc_id", "size"]
     within = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("_here", F.sum("size").over(within))
-    queued = queued.join(past, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k")))
-    shares = targets.select(F.col("source").alias("_t"), "source_size", "target")
-    queued = queued.join(shares, F.col("source").eqNullSafe(F.col("_t"))).drop("_s", "_k", "_t")
+    queued = queued.join(past, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k"))).drop("_s", "_k")
     queued = written(queued.withColumn("_upto", F.col("_past") + F.col("_here")))
-    cutoff = _cutoff(queued, passes)
+    cutoff = _cutoff(queued, passes, targets.agg(F.sum("target")).first()[0] or 0.0)
+    discard(targets)
     taken = F.lit(0).cast("long")
     for k in range(passes):
         finish = _finish(F.lit(k))
@@ -105,20 +105,21 @@ def _finish(k: Column) -> Column:
     return F.coalesce((F.col("_upto") + k * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0))
 
 
-def _cutoff(queued: DataFrame, passes: int) -> dict | None:
+def _cutoff(queued: DataFrame, passes: int, budget: float) -> dict | None:
     """The last copy in the global order of finish times with which the words taken stay within the sum of targets."""
     # a source without words has no copies to queue
     copies = queued.filter("size > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     copies = copies.select(_finish(F.col("k")).alias("f"), "k", F.col("_h").alias("h"), "size")
     order = ["f", "k", "h"]
     parts = ranged(copies, order)
-    budget = queued.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
     sums = parts.groupBy("pid").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("pid")))
     # the part in which the budget ends, and the words before it
     last = sums.filter(F.col("upto") - F.col("n") <= F.lit(budget)).orderBy(F.desc("pid")).first()
     if last is None:
+        discard(parts)
         return None
     running = F.sum("size").over(Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     fits = parts.filter(F.col("pid") == last["pid"]).withColumn("sum", running + F.lit(last["upto"] - last["n"])).filter(F.col("sum") <= F.lit(budget))
     found = fits.orderBy(*[F.desc(c) for c in order]).first() or parts.filter(F.col("pid") < last["pid"]).orderBy(*[F.desc(c) for c in order]).first()
+    discard(parts)
     return found and found.asDict()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fair_mixing, itq_dedup, nb_toxicity, partenum_join, pii_feistel, pu_quality, sentencepiece_bpe, topk_search, url_rules, warc_merkle
-from .common import table
+from .common import discard, table
 from .labelled import held_out
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -25,10 +25,11 @@ def model_path() -> str:
 def op1_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a decayed replica of the archive of all pages: the damaged records, with the roots compared."""
     records = warc_merkle.laid_out(table(spark, sf_dir, "pages"), held=warc_merkle.decayed())
-    good = warc_merkle.tree(records.select("offset", "length", "sha256"))
-    other = warc_merkle.tree(records.filter("held is not null").select("offset", "length", F.col("held").alias("sha256")))
-    damage = warc_merkle.audit(good, other)
-    return damage.join(records.select("offset", "page_id", "url", "length"), "offset").select("page_id", "url", "offset", "length", "expected", "found", "state")
+    keep = ("page_id", "url")
+    good = warc_merkle.tree(records, keep=keep)
+    other = warc_merkle.tree(records.filter("held is not null").drop("sha256").withColumnRenamed("held", "sha256"), keep=keep)
+    discard(records)
+    return warc_merkle.audit(good, other, keep).select("page_id", "url", "offset", "length", "expected", "found", "state")
 
 
 OP1_SQL = """
@@ -52,7 +53,7 @@ from p where found is distinct from expected
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])))
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

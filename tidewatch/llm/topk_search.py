@@ -8,11 +8,14 @@ blocks: a block's partial sums over the first coordinates plus the product of th
 and only pairs whose bound reaches the query's k-th score are multiplied out, exactly in integers.
 
 Queries meet the candidates in blocks: every group holds one chunk and one block of queries, both of fixed size, and
-returns k rows for each of its queries; these are merged by a window over each query.
+returns k rows for each of its queries; these are merged by a window over each query. A chunk is sent to those blocks
+only in which some query still wants it.
 
 Defined cases: null vectors, null or non-finite components and vectors of another length than most take no part, as
 query or candidate; ties go to the smaller id; a query gets all candidates if there are fewer than k; rows with equal
-ids are told apart as rows, but a query never meets rows with its own id; null ids take no part.
+ids are told apart as rows, but a query never meets rows with its own id, equal queries are one, and different queries
+of one id share its k places; null ids take no part. Components beyond
+2^62 count as that, and scores beyond a long as the largest or smallest long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .sweep import running_total
 from .vectors import block, packed, unpacked
 
 CHUNK, QUERIES, STEP, HEAD, SPANS = 8192, 2048, 1024, 16, 512
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -38,8 +42,8 @@ def quantised(df: DataFrame, scale: int, d: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, ok = block(b["embedding"], d)
-            v = np.floor(x[ok] * scale).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b["vec_id"].filter(pa.array(ok)), packed(v), pa.array(np.sqrt((v * v).sum(1).astype(float)))], names=["vec_id", "v", "norm"])
+            v = np.clip(np.floor(x[ok] * scale), -(2.0**62), 2.0**62)
+            yield pa.RecordBatch.from_arrays([b["vec_id"].filter(pa.array(ok)), packed(v.astype(np.int64)), pa.array(np.sqrt((v * v).sum(1)))], names=["vec_id", "v", "norm"])
 
     return df.filter("vec_id is not null").select("vec_id", "embedding").mapInArrow(run, "vec_id long, v binary, norm double")
 
@@ -62,6 +66,20 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(gram.reshape(d, d))[1][:, ::-1].copy()
 
 
+def products(q: np.ndarray, x: np.ndarray, longest: float) -> np.ndarray:
+    """Exact inner products of the rows of q with those of x (int64), held within a long.
+
+    longest: a bound of |q| |x|. Below 2^53 no partial sum leaves the integers that doubles hold, below 2^62 none
+    leaves a long, so both ways are exact; beyond, Python's integers are used.
+    """
+    if longest < 2.0**52:
+        return (q.astype(float) @ x.astype(float).T).astype(np.int64)
+    if longest < 2.0**62:
+        return q @ x.T
+    exact = q.astype(object) @ x.astype(object).T
+    return np.minimum(np.maximum(exact, LEAST), MOST).astype(np.int64)
+
+
 def _searched(k: int, d: int, basis: np.ndarray):
     """Function of one chunk of candidates and one block of queries (with `least`, a score they must reach)."""
     head = min(HEAD, d)
@@ -77,31 +95,30 @@ def _searched(k: int, d: int, basis: np.ndarray):
         norm = cands["norm"].to_numpy()
         order = np.lexsort((xid, -norm))
         x, xid, norm = x[order], xid[order], norm[order]
-        least = queries["least"].to_numpy().astype(float)
+        least = queries["least"].to_numpy().copy()
         qr, xr = q @ basis, x @ basis
         q_rest = np.sqrt(np.maximum((qr[:, head:] ** 2).sum(1), 0))
         x_rest = np.sqrt(np.maximum((xr[:, head:] ** 2).sum(1), 0))
-        qn = np.sqrt((q * q).sum(1).astype(float))
+        qn = np.sqrt((q.astype(float) ** 2).sum(1))
         got_q, got_x, got_s = (np.empty(0, np.int64) for _ in range(3))
         for at in range(0, len(x), STEP):
-            alive = np.flatnonzero(qn * norm[at] * (1 + 1e-9) + 1e-6 >= least)
+            # bounds are in doubles: they are widened by more than their error, which goes with |q| |x|
+            alive = np.flatnonzero(qn * norm[at] * (1 + 1e-9) + 1e-3 >= least)
             if not len(alive):
                 break
             part = slice(at, at + STEP)
             bound = qr[alive, :head] @ xr[part, :head].T + q_rest[alive, None] * x_rest[part]
-            i, j = np.nonzero(bound * (1 + np.sign(bound) * 1e-9) + 1e-3 >= least[alive, None])
-            i = alive[i]
-            j = j + at
-            other = qid[i] != xid[j]
+            i, j = np.nonzero(bound + 1e-9 * qn[alive, None] * norm[part] + 1e-3 >= least[alive, None])
+            other = qid[alive[i]] != xid[at + j]
             i, j = i[other], j[other]
-            if len(i) > len(alive) * min(STEP, len(x) - at) // 8:
-                s = (q[alive].astype(float) @ x[part].astype(float).T)[np.searchsorted(alive, i), j - at].astype(np.int64)
-            else:
-                s = np.einsum("nd,nd->n", q[i], x[j])
+            # the rows and columns that some pair still needs
+            rows, cols = np.unique(i), np.unique(j)
+            s = products(q[alive[rows]], x[at + cols], float(qn[alive[rows]].max(initial=0) * norm[at]))[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+            i, j = alive[i], at + j
             good = s >= least[i]
             got_q, got_x, got_s = (np.concatenate(p) for p in ((got_q, i[good]), (got_x, j[good]), (got_s, s[good])))
             # keep the k best of each query and raise the score that must be reached
-            best = np.lexsort((xid[got_x], -got_s, got_q))
+            best = np.lexsort((xid[got_x], ~got_s, got_q))
             got_q, got_x, got_s = got_q[best], got_x[best], got_s[best]
             first = np.searchsorted(got_q, got_q)
             keep = np.arange(len(got_q)) - first < k
@@ -113,6 +130,12 @@ def _searched(k: int, d: int, basis: np.ndarray):
     return run
 
 
+def wanted(cands: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each candidate once for each block of queries in which some query wants its chunk."""
+    pairs = queries.select(F.col("chunk").alias("_chunk"), F.col("block").alias("_block")).distinct()
+    return cands.join(pairs, F.col("chunk") == F.col("_chunk")).select("chunk", F.col("_block").alias("block"), "vec_id", "v", "norm")
+
+
 def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query row with all rows of other ids.
 
@@ -122,23 +145,22 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
     d = d["d"] if d and d["d"] else 1
     vectors = written(quantised(df, scale, d))
     basis = rotation(vectors, d)
-    ranked = running_total(vectors.withColumn("down", -F.col("norm")), ["down", "vec_id"], None, "nth")
-    cands = written(ranked.withColumn("chunk", F.floor((F.col("nth") - 1) / CHUNK).cast("int")).select("vec_id", "v", "norm", "chunk"))
-    queries = vectors.filter(is_query)
+    chunk = F.floor((F.col("nth") - 1) / CHUNK).cast("int").alias("chunk")
+    cands = running_total(vectors.withColumn("down", -F.col("norm")), ["down", "vec_id"], None, "nth", ["vec_id", "v", "norm", chunk])
+    queries = vectors.filter(is_query).dropDuplicates(["vec_id", "v"])
     blocks = max(1, -(-queries.count() // QUERIES))
     queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")))
+    discard(vectors)
     chunks = cands.groupBy("chunk").agg(F.max("norm").alias("longest"))
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     run = _searched(k, d, basis)
 
-    def visit(c: DataFrame, q: DataFrame) -> DataFrame:
-        c = c.withColumn("block", all_blocks).select("chunk", "block", "vec_id", "v", "norm")
+    def visit(q: DataFrame) -> DataFrame:
         q = q.select("chunk", "block", "vec_id", "v", "least")
-        return c.groupBy("chunk", "block").cogroup(q.groupBy("chunk", "block")).applyInArrow(run, OUT)
+        return wanted(cands, q).groupBy("chunk", "block").cogroup(q.groupBy("chunk", "block")).applyInArrow(run, OUT)
 
-    first = written(visit(cands.filter("chunk = 0"), queries.withColumn("chunk", F.lit(0)).withColumn("least", F.lit(-(1 << 62)))))
+    first = written(visit(queries.withColumn("chunk", F.lit(0)).withColumn("least", F.lit(LEAST))))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    rest = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", F.lit(-(1 << 62))))
+    rest = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", F.lit(LEAST)))
     # chunks descend in length, so a query visits them up to some number, told here from at most SPANS runs of chunks
     last = chunks.agg(F.max("chunk")).first()[0] or 0
     run_of = F.floor(F.col("chunk") / F.lit(-(-(last + 1) // SPANS)))
@@ -146,9 +168,9 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
     found = first
     if spans:
         known = F.array(*[F.struct(F.lit(x["longest"]).alias("longest"), F.lit(x["to"]).alias("to")) for x in spans])
-        reach = F.filter(known, lambda c: F.col("norm") * c["longest"] * (1 + 1e-9) + 1e-6 >= F.col("least"))
+        reach = F.filter(known, lambda c: F.col("norm") * c["longest"] * (1 + 1e-9) + 1e-3 >= F.col("least"))
         rest = rest.withColumn("to", F.array_max(F.transform(reach, lambda c: c["to"]))).filter("to is not null")
         rest = rest.select("block", "vec_id", "v", "least", F.explode(F.sequence(F.lit(1), F.col("to"))).alias("chunk"))
-        found = found.unionByName(visit(cands.filter("chunk > 0"), rest))
+        found = found.unionByName(visit(rest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

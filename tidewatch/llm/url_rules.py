@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 from .sweep import ranged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,23 +40,25 @@ def _key(labels: Column, path: Column) -> Column:
 def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """urls with host, path, rule (like `net/`, null if none fits) and verdict; rules has host, path, verdict.
 
-    Work: a few keys for each url (one for each label of its host) are sorted once; then one shuffle by row number.
+    Columns of urls with these four names are replaced, all others kept. Work: a few keys for each url (one for each
+    label of its host, up to as many as a rule has) are sorted once; then one shuffle by row number.
     """
     host, path = url_parts(F.col(url_col))
-    out = ("host", "path", "rule", "verdict", "_row")
-    rows = written(
-        urls.drop(*out).withColumns({"host": host, "path": path}).withColumn("_row", F.monotonically_increasing_id())
-    )
+    kept = [F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    row, top = free_name(urls, "_row"), free_name(urls, "_top")
+    rows = written(urls.select(*kept, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias(row)))
     rules = rules.filter("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rules = rules.withColumn("key", _key(F.reverse(F.split("host", r"\.")), F.col("path"))).withColumn(
+    labels = F.reverse(F.split("host", r"\."))
+    # no rule looks further into a url than this
+    deepest, longest = rules.agg(F.coalesce(F.max(F.size(labels)), F.lit(0)), F.coalesce(F.max(F.length("path")), F.lit(0))).first()
+    rules = rules.withColumn("key", _key(labels, F.col("path"))).withColumn(
         "rule", F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("nh"), F.concat("host", "path").alias("rule"), "verdict")
     )
-    labels = F.reverse(F.split("host", r"\."))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.slice(labels, 1, n))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda n: F.slice(labels, 1, n))
     keys = (
-        rows.filter("host <> ''")
-        .select("_row", "path", F.explode(suffixes).alias("labels"))
-        .select(_key(F.col("labels"), F.col("path")).alias("key"), F.lit(URL).alias("kind"), F.col("_row").alias("row"), F.lit(None).cast(rules.schema["rule"].dataType).alias("rule"))
+        rows.filter(F.lit(deepest > 0) & (F.col("host") != ""))
+        .select(F.col(row).alias("row"), F.substring("path", 1, longest).alias("path"), F.explode(suffixes).alias("labels"))
+        .select(_key(F.col("labels"), F.col("path")).alias("key"), F.lit(URL).alias("kind"), "row", F.lit(None).cast(rules.schema["rule"].dataType).alias("rule"))
     )
     opens = rules.select("key", F.lit(OPEN).alias("kind"), F.lit(None).cast("long").alias("row"), "rule")
     closes = rules.select(F.concat("key", F.lit(b"\xff")).alias("key"), F.lit(CLOSE).alias("kind"), F.lit(None).cast("long").alias("row"), "rule")
@@ -78,12 +80,8 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         .withColumn("depth", F.sum(step).over(sweep))
         .withColumn("top", F.last(F.when(F.col("kind") == OPEN, F.col("rule")), ignorenulls=True).over(level))
         .filter((F.col("kind") == URL) & (F.col("depth") > 0))
-        .groupBy(F.col("row").alias("_row"))
-        .agg(F.max("top").alias("top"))
-    )
-    return (
-        rows.join(best, "_row", "left")
-        .withColumn("rule", F.col("top.rule"))
-        .withColumn("verdict", F.coalesce(F.col("top.verdict"), F.lit(default)))
-        .drop("_row", "top")
+        .groupBy(F.col("row").alias(row))
+        .agg(F.max("top").alias(top))
     )
+    out = rows.join(best, row, "left").withColumns({"rule": F.col(f"`{top}`.rule"), "verdict": F.coalesce(F.col(f"`{top}`.verdict"), F.lit(default))})
+    return out.drop(row, top)

@@ -1,28 +1,33 @@
 """Fixity audit of WARC replicas by Merkle trees over ordered offset ranges.
 
-Every record is hashed where it lies. The leaves of a range of `range_bytes` offsets, in offset order, hash to one
-node; `fanout` neighbouring ranges hash to a node of the next level, up to one root. Ranges are fixed by offset and
-not by counting records, so a lost record changes its own branch only. Two replicas are compared at the root, and only
+Every record is hashed where it lies. The leaves of a range of `range_bytes` offsets, each with its offset and length,
+hash in offset order to one node; `fanout` neighbouring ranges, each with its number, hash to a node of the next level,
+up to one root. So a record that moved changes its branch even if no byte of it did. Ranges are fixed by offset and not
+by counting records, so a lost record changes its own branch only. Two replicas are compared at the root, and only
 children of nodes that differ are read further down, until the damaged records stand alone.
 
-Each level is one aggregation whose groups have a bounded size; levels are written to the shared folder. An audit
-joins the two trees level by level on node number, after a semi-join with the differing parents.
+Each level is one aggregation whose groups have a bounded size. Leaves and levels are written to the shared folder in
+at most SHELVES folders by range; an audit names the folders of the differing nodes, so that the rest isn't read, and
+joins the two trees level by level on node number.
 
 Defined cases: a null url or html counts as empty in the record; records are ordered by id (null first), then url,
 then hash, and repeated rows get their own offsets; an empty archive has the root hash of the empty string; equal
-replicas give no rows; other columns are ignored.
+replicas give no rows; a moved record is missing at its old place and extra at its new one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .sweep import running_total
 
+SHELVES = 256
+
 
 def record_text(uri: Column, body: Column) -> Column:
     """A WARC response record as text: headers, empty line, body, two line ends."""
@@ -42,66 +47,97 @@ def laid_out(pages: DataFrame, **held: tuple[Column, Column]) -> DataFrame:
     text = record_text(F.col("url"), F.col("html"))
     more = [F.when(body.isNotNull(), F.sha2(record_text(uri, body), 256)).alias(k) for k, (uri, body) in held.items()]
     rows = pages.select("page_id", "url", F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("sha256"), *more)
-    rows = running_total(rows, ["page_id", "url", "sha256"], "length", "_end")
-    return written(rows.select("page_id", "url", (F.col("_end") - F.col("length")).alias("offset"), "length", "sha256", *held))
+    return running_total(rows, ["page_id", "url", "sha256"], "length", "_end", ["page_id", "url", (F.col("_end") - F.col("length")).alias("offset"), "length", "sha256", *held])
+
+
+@dataclass
+class Shelved:
+    """A table in folders: rows whose `key` // width is the same lie in one of at most SHELVES folders."""
+
+    df: DataFrame
+    key: str
+    width: int
+
+    @staticmethod
+    def of(df: DataFrame, key: str, least_width: int) -> Shelved:
+        last = df.agg(F.max(key)).first()[0] or 0
+        width = max(least_width, -(-(last + 1) // SHELVES))
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Shelved(written(df.withColumn("shelf", F.floor(F.col(key) / width).cast("int")).repartitionByRange(n, key), by="shelf"), key, width)
+
+    def at(self, nodes: DataFrame) -> DataFrame:
+        """The rows whose key is a node of nodes; reads only the folders these lie in."""
+        shelves = [r[0] for r in nodes.select(F.floor(F.col("node") / self.width).cast("int")).distinct().collect()]  # SHELVES at most
+        return self.df.filter(F.col("shelf").isin(shelves)).join(nodes, F.col(self.key) == nodes["node"], "left_semi").drop("shelf")
 
 
 @dataclass
 class Tree:
-    """leaves: (offset, length, sha256, range); levels[k]: (node, parent, sha256), level 0 hashing ranges of leaves."""
+    """leaves: (offset, length, sha256, range and kept columns); levels[k]: (node, parent, sha256), level 0 hashing
+    ranges of leaves.
+    """
 
-    leaves: DataFrame
-    levels: list[DataFrame]
+    leaves: Shelved
+    levels: list[Shelved]
     root: str
 
+    def discard(self) -> None:
+        discard(self.leaves.df, *[x.df for x in self.levels])
+
 
-def _joined(order: str) -> Column:
-    """Hash of the children's hashes in order."""
-    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "sha256"))), lambda x: x["sha256"]), ""), 256)
+def _joined(*parts: str) -> Column:
+    """Hash of the children in order, each as its parts; the first one orders them."""
+    line = lambda x: F.concat_ws(" ", *[x[p].cast("string") for p in parts])
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*parts))), line), "\n"), 256)
 
 
-def tree(records: DataFrame, range_bytes: int = 1 << 18, fanout: int = 64) -> Tree:
-    """The Merkle tree of records (offset, length, sha256). A leaf's hash covers its length through the record's headers."""
-    leaves = records.withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long"))
+def tree(records: DataFrame, range_bytes: int = 1 << 18, fanout: int = 64, keep: Sequence[str] = ()) -> Tree:
+    """The Merkle tree of records (offset, length, sha256). keep: columns of records that an audit is to name."""
+    leaves = records.select("offset", "length", "sha256", *keep).withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long"))
+    leaves = Shelved.of(leaves, "range", fanout)
     levels = []
-    level = leaves.groupBy(F.col("range").alias("node")).agg(_joined("offset").alias("sha256"))
+    level = leaves.df.groupBy(F.col("range").alias("node")).agg(_joined("offset", "length", "sha256").alias("sha256"))
     while True:
-        level = written(level.select("node", F.floor(F.col("node") / fanout).cast("long").alias("parent"), "sha256"))
-        levels.append(level)
-        top = level.agg(F.count("*").alias("n"), F.max("node").alias("last")).first()
-        if not top["last"]:
+        stored = Shelved.of(level.select("node", F.floor(F.col("node") / fanout).cast("long").alias("parent"), "sha256"), "parent", fanout)
+        levels.append(stored)
+        last = stored.df.agg(F.max("node")).first()[0]
+        if not last:
             break
-        level = level.groupBy(F.col("parent").alias("node")).agg(_joined("node").alias("sha256"))
-    # a single level still needs its one node hashed as root, so that archives of one range compare as others do
-    row = levels[-1].first()
+        level = stored.df.groupBy(F.col("parent").alias("node")).agg(_joined("node", "sha256").alias("sha256"))
+    # the top level has node 0 alone
+    row = levels[-1].df.first()
     return Tree(leaves, levels, row["sha256"] if row else "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
 
 
-def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    x = a.select(*keys, F.col("sha256").alias("expected"))
-    y = b.select(*keys, F.col("sha256").alias("found"))
-    return x.join(y, keys, "full").filter(~F.col("expected").eqNullSafe(F.col("found")))
-
-
-def audit(good: Tree, other: Tree) -> DataFrame:
-    """(offset, expected, found, state) of each record of `other` that is not as in `good`.
+def audit(good: Tree, other: Tree, keep: Sequence[str] = ()) -> DataFrame:
+    """(offset, length, expected, found, state, keep) of each record of `other` that is not as in `good`.
 
     state: altered, missing (found is null) or extra (expected is null). Equal roots end the audit at once. Both trees
-    must have the same range_bytes and fanout; a tree may be higher than the other.
+    must have the same range_bytes and fanout and the kept columns; a tree may be higher than the other. length and the
+    kept columns are those of the good record if there is one.
     """
-    top = max(len(good.levels), len(other.levels)) - 1
-    at = None
-    if good.root != other.root:
-        for k in range(top, -1, -1):
-            a, b = (t.levels[k] if k < len(t.levels) else t.levels[-1].limit(0) for t in (good, other))
-            if k < len(good.levels) and k < len(other.levels) and at is not None:
-                a, b = (x.join(at, x["parent"] == at["node"], "left_semi") for x in (a, b))
-            at = written(_differing(a, b, ["node"]).select("node"))
-            if k >= min(len(good.levels), len(other.levels)):
-                at = None  # one tree has no such level: all nodes of the next one are compared
-    sides = [t.leaves.join(at, t.leaves["range"] == at["node"], "left_semi") if at is not None else t.leaves.limit(0) for t in (good, other)]
+    none = good.levels[0].df.sparkSession.range(0).select(F.col("id").alias("node"))
+    at, past = (None, None) if good.root != other.root else (none, None)
+    for k in range(max(len(good.levels), len(other.levels)) - 1, -1, -1) if at is None else ():
+        both = k < min(len(good.levels), len(other.levels))
+        sides = []
+        for t in (good, other):
+            # where one tree has no such level, all nodes of the other are compared
+            rows = t.levels[k] if k < len(t.levels) else None
+            sides.append(none.withColumn("sha256", F.lit("")) if rows is None else (rows.at(at) if at is not None else rows.df).select("node", "sha256"))
+        a, b = (x.withColumnRenamed("sha256", name) for x, name in zip(sides, ("expected", "found"), strict=True))
+        now = written(a.join(b, "node", "full").filter(~F.col("expected").eqNullSafe(F.col("found"))).select("node"))
+        discard(*[x for x in (past,) if x is not None])
+        past, at = now, now if both else None
+    sides = []
+    for t, name in ((good, "expected"), (other, "found")):
+        own = t.leaves.at(at)
+        sides.append(own.select("offset", F.struct("length", F.col("sha256").alias("hash"), *keep).alias(name)))
+    x = sides[0].join(sides[1], "offset", "full")
+    same = F.col("expected.hash").eqNullSafe(F.col("found.hash")) & F.col("expected.length").eqNullSafe(F.col("found.length"))
     state = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("altered")
-    return _differing(*sides, ["offset"]).withColumn("state", state)
+    one = F.coalesce("expected", "found")
+    return x.filter(~same).select("offset", one["length"].alias("length"), F.col("expected.hash").alias("expected"), F.col("found.hash").alias("found"), state.alias("state"), *[one[c].alias(c) for c in keep])
 
 
 def decayed() -> tuple[Column, Column]:
