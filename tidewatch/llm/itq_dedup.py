@@ -2,17 +2,21 @@
 
 Fit (on a bounded sample): centre the unit vectors, turn them to principal axes, then learn the rotation that brings
 them closest to the corners of a cube. Signs of the rotated vectors are balanced binary codes; every row gets one.
-Retrieval: a code is cut into tables of TABLE_BITS bits. Codes whose bits in some table differ in one place at most
-share a key (the table's bits with that place masked), so all are found by one sort of keys; pairs within `radius`
-bits over the whole code become candidates. Each key's candidates are kept as the star of its connected codes, not as
-pairs. Rerank: the rows of a class of candidates meet in blocks and the original vectors decide in double precision.
+Equal unit vectors are one node with a count from then on. Retrieval: a code is cut into tables of TABLE_BITS bits.
+Codes whose bits in some table differ in one place at most share a key (the table's bits with that place masked), so all
+are found by one sort of keys; pairs within `radius` bits over the whole code become candidates. Each key's candidates
+are kept as the star of its connected codes, not as pairs. Rerank: nodes whose codes are connected are a class, and
+the original vectors decide in double precision.
 
-Groups are never taken whole: a key shared by many codes and a class of many rows are cut into blocks, and every pair of
-blocks is a group of its own. No link found is below the threshold; pairs whose codes differ more can be missed
-(recall on the test tables: see the README).
+In a class, the angle to a pivot saves most comparisons: nodes within half the threshold's angle of it (the core) are
+all linked to one another, which takes one sum. Only nodes outside the core meet the class, and only in blocks: a class
+and a key shared by many codes are cut into blocks, every pair of blocks is a group of its own. No link found is below
+the threshold; pairs that no chain of close codes joins can be missed (recall on the test tables: see the README).
 
 Defined cases: null or zero vectors, null or non-finite components and vectors of another length than most link with
-nothing; identical vectors link; rows with equal ids count as rows but share their component; null ids stand alone.
+nothing; identical vectors link. Every row is a vector of its own: rows with equal ids link like others and may lie in
+different components; rows with null ids link too, and have component_id null if no id is reachable. kept is true where
+component_id is the row's own id, or null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, written
+from .common import components, discard, join_hot, written
 from .vectors import block, packed, unpacked
 
 TABLE_BITS, KEY_BLOCK, ROW_BLOCK = 16, 4096, 1024
@@ -49,7 +54,8 @@ def _unit(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     x = x / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
     n = np.sqrt((x * x).sum(1))
     ok &= n > 0
-    return x / np.where(n > 0, n, 1)[:, None], ok
+    # + 0.0: no negative zeros, so that equal vectors have equal bytes
+    return x / np.where(n > 0, n, 1)[:, None] + 0.0, ok
 
 
 def _keys(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,21 +118,21 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, radius: int = 12, sa
     """(vec_id, n_links, component_id, kept) for every row of df (vec_id, embedding).
 
     n_links: other rows whose cosine was found to be >= threshold. component_id: smallest vec_id reachable by links.
-    sample: how many rows, by hash, the rotation is learnt from.
+    sample: about how many rows, by hash, the rotation is learnt from; twice as many at most.
     """
     rows = df.select("vec_id", "embedding")
     sizes = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = sizes["d"] if sizes and sizes["d"] else 1
     bits = min(64, d)
     total = max(1, rows.count())
-    thin = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
+    thin = F.pmod(F.xxhash64(F.lit(1), "vec_id", "embedding"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, ok = _unit(b["embedding"], d)
             yield pa.RecordBatch.from_arrays([packed(x[ok])], names=["v"])
 
-    got = b"".join(bytes(r["v"]) for r in rows.filter(thin).mapInArrow(units, "v binary").toLocalIterator())
+    got = b"".join(bytes(r["v"]) for r in rows.filter(thin).limit(2 * sample).mapInArrow(units, "v binary").toLocalIterator())
     x = np.frombuffer(got, float).reshape(-1, d)
     bits = min(bits, len(x))
     mean, projection = itq(x, bits) if bits else (np.zeros(d), np.zeros((d, 0)))
@@ -139,21 +145,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, radius: int = 12, sa
             code = np.zeros(len(x), np.uint64)
             for j in range(bits):
                 code |= sign[:, j].astype(np.uint64) << np.uint64(j)
-            yield pa.RecordBatch.from_arrays([b["vec_id"], packed(x), pa.array(code.view(np.int64), mask=~ok)], names=["vec_id", "v", "code"])
+            names = pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in x], pa.binary(), mask=~ok)
+            yield pa.RecordBatch.from_arrays([b["vec_id"], names, packed(x), pa.array(code.view(np.int64), mask=~ok)], names=["vec_id", "fp", "v", "code"])
 
-    # row: a number of the row that stays, as the table is written
-    codes = written(rows.mapInArrow(coded, "vec_id long, v binary, code long").withColumn("row", F.monotonically_increasing_id()))
-    usable = codes.filter("code is not null")
+    codes = written(rows.mapInArrow(coded, "vec_id long, fp binary, v binary, code long"))
+    # a node: equal vectors; its name orders nodes by their smallest id, null last
+    least = F.min(F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"))).alias("least")
+    nodes = codes.filter("fp is not null").groupBy("fp").agg(least, F.count("*").alias("w"), F.first("code").alias("code"), F.first("v").alias("v"))
+    nodes = written(nodes.select(F.struct("least.none", "least.id", "fp").alias("name"), "w", "code", "v"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, code = _keys(b["code"].to_numpy().view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(code.view(np.int64))], names=["key", "code"])
 
-    keys = usable.select("code").distinct().mapInArrow(keyed, "key long, code long")
+    keys = nodes.select("code").distinct().mapInArrow(keyed, "key long, code long")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = keys.groupBy("key").count().filter(F.col("count") > KEY_BLOCK).select("key", F.ceil(F.col("count") / KEY_BLOCK).cast("int").alias("parts"))
-    hot = cut(hot)
+    hot = written(keys.groupBy("key").count().filter(F.col("count") > KEY_BLOCK).select("key", F.ceil(F.col("count") / KEY_BLOCK).cast("int").alias("parts")))
     if hot.isEmpty():
         dealt = keys
     else:  # a hot key's codes in blocks, each pair of blocks under a key of its own
@@ -161,47 +169,85 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, radius: int = 12, sa
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("key", F.least(k, mine), F.greatest(k, mine)))
         dealt = keys.join(hot, "key", "left").withColumn("key", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pair))).select("key", "code")
     links = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked_codes(radius), "a long, b long")
-    classes = written(components(links).withColumnRenamed("node", "code"))
-    # rows with equal codes are one class even where no other code is near
-    placed = usable.join(classes, "code", "left").withColumn("cls", F.coalesce("component", "code")).select("cls", "row", "v")
-    several = placed.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").select("cls", F.ceil(F.col("n") / ROW_BLOCK).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    blocks = (
-        placed.join(several, "cls")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("cls", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "row", "v")
+    classes = components(links).withColumnRenamed("node", "code")
+    # nodes with equal codes are one class even where no other code is near
+    placed = written(join_hot(nodes, classes, "code", "left").select(F.coalesce("component", "code").alias("cls"), "name", "w", "v"))
+    discard(hot, classes)
+    several = placed.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(join_hot(placed, several, "cls"))
+    discard(placed)
+    found = _reranked(members, d, threshold)
+    discard(members)
+    edges = found.filter("to is not null").select(F.col("name").alias("a"), F.col("to").alias("b"))
+    comp = components(edges).select(F.col("node.fp").alias("fp"), "component")
+    counts = found.groupBy("name.fp").agg(F.sum("n").alias("n"))
+    label = nodes.select("name.fp", "name", "w").join(counts, "fp", "left").join(comp, "fp", "left")
+    label = label.select("fp", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "name").alias("component"))
+    out = join_hot(codes.select("vec_id", "fp"), label, "fp", "left")
+    reached = F.when(F.col("fp").isNull(), F.col("vec_id")).otherwise(F.col("component.id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), reached.alias("component_id"), F.coalesce(F.col("vec_id") == reached, reached.isNull()).alias("kept"))
+
+
+def _reranked(members: DataFrame, d: int, threshold: float) -> DataFrame:
+    """(name, to, n) from members (cls, n, name, w, v): n rows found to link with a node by one group, and `to`, one
+    of them or null where that's the node itself. A node has a row for each group that found something.
+    """
+    widest = float(np.arccos(min(1.0, max(-1.0, threshold))))
+
+    # the pivot is the mean of up to 32 nodes of a class; it steers the cost only
+    def middle(t: pa.Table) -> pa.Table:
+        m = unpacked(t["v"].combine_chunks(), float, d).sum(0)
+        return pa.table({"cls": t["cls"].slice(0, 1), "pivot": packed((m / max(np.sqrt(m @ m), 1e-300))[None])})
+
+    some = members.groupBy("cls", F.pmod(F.xxhash64("name"), F.lit(32)).alias("k")).agg(F.min_by("v", "name").alias("v")).select("cls", "v")
+    pivots = some.groupBy("cls").applyInArrow(middle, "cls long, pivot binary")
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, p = unpacked(b["v"], float, d), unpacked(b["pivot"], float, d)
+            angle = np.arccos(np.clip((x * p).sum(1), -1, 1))
+            # well inside: rounding can't take such a pair below the threshold
+            yield pa.RecordBatch.from_arrays([b["cls"], b["name"], b["w"], b["v"], pa.array(angle <= widest / 2 - 1e-6)], names=["cls", "name", "w", "v", "core"])
+
+    name_type = members.schema["name"].dataType.simpleString()
+    rows = written(join_hot(members, pivots, "cls").mapInArrow(turned, f"cls long, name {name_type}, w long, v binary, core boolean"))
+    core = F.col("core")
+    classes = rows.groupBy("cls").agg(
+        F.sum(F.when(core, F.col("w"))).alias("cw"), F.min(F.when(core, F.col("name"))).alias("first"),
+        F.ceil(F.count_if(core) / ROW_BLOCK).cast("int").alias("cores"), F.ceil(F.count_if(~core) / ROW_BLOCK).cast("int").alias("others"),
+    )
+    classed = written(join_hot(rows, classes, "cls"))
+    discard(rows)
+    within = classed.filter(core & (F.col("cw") > F.col("w"))).select("name", F.when(F.col("name") != F.col("first"), F.col("first")).alias("to"), (F.col("cw") - F.col("w")).alias("n"))
+    # blocks of nodes outside the core (i) meet one another (j >= i) and the blocks of the core (j < 0)
+    here = F.when(core, -1 - F.pmod(F.xxhash64("name"), F.greatest("cores", F.lit(1)))).otherwise(F.pmod(F.xxhash64("name"), F.greatest("others", F.lit(1)))).cast("int")
+    outer = F.sequence(F.lit(0), F.col("others") - 1)
+    with_core = F.when(F.col("cores") > 0, F.transform(F.sequence(F.lit(1), F.col("cores")), lambda k: F.struct(F.col("mine").alias("i"), (-k).alias("j")))).otherwise(F.array())
+    meets = F.when(core, F.transform(outer, lambda k: F.struct(k.alias("i"), F.col("mine").alias("j")))).otherwise(
+        F.concat(F.transform(outer, lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j"))), with_core)
     )
+    blocks = classed.filter("others > 0").withColumn("mine", here).withColumn("at", F.explode(meets)).select("cls", "at.i", "at.j", "mine", "name", "w", "v")
 
     def compared(t: pa.Table) -> pa.Table:
-        x = unpacked(t["v"].combine_chunks(), float, d)
-        row, mine = t["row"].to_numpy(), t["mine"].to_numpy()
+        x, w, mine = unpacked(t["v"].combine_chunks(), float, d), t["w"].to_numpy(), t["mine"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        first = np.flatnonzero(mine == i)
-        second = first if i == j else np.flatnonzero(mine == j)
-        near = (x[first] @ x[second].T) >= threshold
+        a = np.flatnonzero(mine == i)
+        b = a if i == j else np.flatnonzero(mine == j)
+        near = (x[a] @ x[b].T) >= threshold
         if i == j:
             np.fill_diagonal(near, False)
         count = np.zeros(len(x), np.int64)
-        count[first] += near.sum(1)
+        count[a] += near @ w[b]
         if i != j:
-            count[second] += near.sum(0)
-        a, b = np.nonzero(near)
-        low = _star(len(x), first[a], second[b])
+            count[b] += near.T @ w[a]
+        p, q = np.nonzero(near)
+        low = _star(len(x), a[p], b[q])
         linked = np.flatnonzero(count)
-        return pa.table({"row": row[linked], "to": row[low[linked]], "n": count[linked]})
-
-    found = written(blocks.groupBy("cls", "i", "j").applyInArrow(compared, "row long, to long, n long"))
-    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    # rows with one id are one node: links and components are of ids
-    comp = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")))
-    ids = codes.select("row", "vec_id")
-    named = comp.join(ids, comp["node"] == ids["row"])
-    smallest = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    of = named.join(smallest, "component").select("row", "component_id")
-    return (
-        ids.join(counts, "row", "left")
-        .join(of, "row", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    )
+        names = t["name"].combine_chunks()
+        to = names.take(pa.array(low[linked], mask=low[linked] == linked))
+        return pa.table({"name": names.take(pa.array(linked)), "to": to, "n": count[linked]})
+
+    met = blocks.groupBy("cls", "i", "j").applyInArrow(compared, f"name {name_type}, to {name_type}, n long")
+    out = written(within.unionByName(met))
+    discard(classed)
+    return out
