@@ -1,17 +1,20 @@
 """Format-preserving pseudonyms for personal data in texts: keyed Feistel permutations, DataFrame functions only.
 
 Values are found by pattern and validated (card numbers by their Luhn sum, dates by the calendar, IPv4 octets, phone
-numbers by length, US social security numbers by their reserved ranges). A number that stands next to a value is not
+numbers by length, US social security numbers by their reserved ranges; a phone number without country code is one of
+three, three and four digits). A number that stands next to a value is not
 drawn into it: no group of a phone or card number begins another value, phone numbers of plans with one length end
 there, and cards are looked for inside a run of digit groups, those in a card's own grouping first. After a country
 code of another plan a further number cannot be told from the phone number: up to 15 digits are taken, from the ninth
-on without a group that may begin a card. A valid value is permuted by a ten-round Feistel network over its own
-format, keyed by `key`: digits stay digits, letters stay letters of their case, all separators stay, a card stays Luhn-valid and a date stays a date. Being a permutation that depends on the value
-alone, equal values stay equal, and different ones different, in every document, without any table of values or
-shuffle: it is one map over the rows.
-
-Defined cases: a null text stays null; texts without values stay as they are; a number that fails its check is left
-alone; texts of any length are treated whole. Other columns are kept.
+on without a group that may begin a card. A valid value is permuted by a ten-round Feistel network
+over its own format, keyed by `key`: digits stay digits, letters stay letters of their case, all separators stay, a card
+stays Luhn-valid and a date stays a date. Being a permutation that depends on the value alone, equal values stay equal,
+and different ones different, in every document, without any table of values or shuffle: it is one map over the rows.
+Of an e-mail address the part before the @ is permuted, its domain stays in clear; of a phone number the country code.
+
+Defined cases: a null text stays null and has null pii; texts without values stay as they are and have null pii; a
+number that fails its check is left alone; texts of any length are treated whole; repeated rows are treated alike. Other
+columns are kept, but one named pii is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 10
 # Kinds of personal data in order of precedence, with their patterns.
 KINDS = {
@@ -46,8 +51,10 @@ def _phone() -> str:
 
 
 KINDS["phone"] = _phone()
+NATIONAL = r"(?<![\d+(.-])(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\d-]|\.\d)"
+KINDS["national phone"] = NATIONAL
 # A run of digit groups with 13 digits or more: cards are looked for inside.
-RUN = rf"(?<!\d)(?={CARD_START})\d++(?:[ -](?!{OTHER})\d++)*+"
+RUN = rf"(?<!\d)(?={CARD_START})\d++(?:[ -](?!{OTHER}|{NATIONAL})\d++)*+"
 ANY = "|".join(f"(?:{p})" for p in [*KINDS.values(), RUN])
 # Lengths of the groups of a card.
 CARD_GROUPS = r"^(?:1[3-9]|4-4-4-4|4-4-4-4-3|4-6-5|4-6-4|4-3-3-3|4-4-5|6-13)$"
@@ -148,7 +155,7 @@ def kind_of(value: Column) -> Column:
     out = out.when(value.rlike(f"^(?:{KINDS['date']})$"), F.when(F.try_to_date(value, "yyyy-MM-dd").isNotNull(), F.lit("date")))
     out = out.when(value.rlike(f"^(?:{KINDS['ssn']})$"), "ssn")
     digits = F.length(_digits(value))
-    return out.when(value.startswith("+"), F.when(digits.between(8, 15), F.lit("phone"))).otherwise("run")
+    return out.when(value.rlike(f"^(?:{NATIONAL})$"), "phone").when(value.startswith("+"), F.when(digits.between(8, 15), F.lit("phone"))).otherwise("run")
 
 
 def _ends(groups: Column, seps: Column, i: Column) -> Column:
@@ -253,14 +260,15 @@ def pseudonymise(df: DataFrame, key: str = "tidewatch", text_col: str = "text")
     text = F.col(text_col)
     some = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     found = F.transform(some, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("pii", "_found")]
-    step = df.select(*kept, found.alias("_found"))
-    step = step.withColumn("_found", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _parts(m["value"], m["kind"]))))
-    made = F.transform("_found", lambda m: F.transform(m, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
-    step = step.withColumn("_found", F.when(F.size("_found") > 0, made))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "pii"]
+    at = free_name(df, "_found")
+    step = df.select(*kept, found.alias(at))
+    step = step.withColumn(at, F.when(F.size(at) > 0, F.transform(at, lambda m: _parts(m["value"], m["kind"]))))
+    made = F.transform(at, lambda m: F.transform(m, lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
+    step = step.withColumn(at, F.when(F.size(at) > 0, made))
     # the text between the values, then value by value
-    values = F.transform("_found", lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), ""))
+    values = F.transform(at, lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), ""))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), values, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    new = F.when(F.size("_found") > 0, joined).otherwise(text)
-    pii = F.filter(F.flatten(F.coalesce(F.col("_found"), F.array())), lambda m: m["kind"].isNotNull())
-    return step.withColumns({text_col: new, "pii": F.when(F.col("_found").isNull(), F.lit(None)).otherwise(pii)}).drop("_found")
+    new = F.when(F.size(at) > 0, joined).otherwise(text)
+    pii = F.filter(F.flatten(F.coalesce(F.col(at), F.array())), lambda m: m["kind"].isNotNull())
+    return step.withColumns({text_col: new, "pii": F.when(F.col(at).isNull(), F.lit(None)).otherwise(pii)}).drop(at)
