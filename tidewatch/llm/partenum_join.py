@@ -11,9 +11,9 @@ cost only, never the result) and kept out of the partitions. A set that has too
 signs partitions of its common shingles, and, if that still isn't enough, its empty partitions; both members of a
 pair of such sets do so, so no link is lost.
 
-Equal sets are one node. A few nodes that share a signature are paired, and a pair goes if the parity sketches of its
-sets differ in more cells than linked sets could; many nodes are each tied to the first one instead. The classes so
-formed meet in blocks of bounded size, where the full sets decide link by link.
+Equal sets are one node. Nodes that share a signature are candidates unless the parity sketches of their sets differ in
+more cells than linked sets could: few nodes are paired, many are dealt out in blocks, of which a spanning forest of the
+pairs left comes back. The classes so formed meet in blocks bounded by bytes, where the full sets decide link by link.
 
 Shingles are compared as 64-bit hashes, sets as 128-bit hashes of their sorted shingles.
 
@@ -30,14 +30,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pieces, written
+from .common import components, discard, join_hot, pieces, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-RATIO, BLOCK, SMALL = 1.5, 4096, 16
+RATIO, SMALL = 1.5, 16
+#: Bytes of sets (or sketches) in a block: two blocks meet in a task.
+BLOCK_BYTES = 16 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -107,18 +109,6 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def may_link(n_a: int, s_a: bytes, n_b: int, s_b: bytes, num: int, den: int) -> bool:
-    """False only if sets of these sizes and sketches can't link."""
-    if den * min(n_a, n_b) < num * max(n_a, n_b):
-        return False
-    a, b = np.frombuffer(s_a, np.uint8), np.frombuffer(s_b, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum()) <= (den - num) * (n_a + n_b) // (den + num)
-
-
 def fingerprint(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
@@ -229,9 +219,10 @@ def _signature_rows(width: int, common: object, bands: Bands):
 
 
 def _candidates(small: int):
-    """Rows sorted by (sig, node) -> (a, b, tie): nodes that share a signature, each pair once a batch.
+    """Rows sorted by (sig, node) -> (a, b, many): nodes that share a signature, each pair once a batch.
 
-    Up to `small` nodes of a signature are paired with one another; of more nodes each is tied to the first one.
+    Up to `small` nodes of a signature are paired with one another. Of a signature with more nodes, the rows (node,
+    signature) come out as they are, with many = 1, so that no signature is held whole.
     """
 
     def paired(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -239,11 +230,9 @@ def _candidates(small: int):
         sig, node = sig[keep], node[keep]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(first, len(sig)))
-        many = np.repeat(count > small, count)
-        lead = np.repeat(first, count)
-        a, b = [np.flatnonzero(many & (lead != np.arange(len(sig))))], []
-        b.append(lead[a[0]])
-        at = np.flatnonzero(~many)
+        crowd = np.repeat(count > small, count)
+        a, b = [], []
+        at = np.flatnonzero(~crowd)
         for step in range(1, small):
             at = at[at + step < len(sig)]
             at = at[sig[at] == sig[at + step]]
@@ -251,20 +240,31 @@ def _candidates(small: int):
                 break
             a.append(at + step)
             b.append(at)
-        tie = np.repeat([1, 0], [len(a[0]), sum(map(len, a[1:]))])
-        pairs = np.unique(np.stack([node[np.concatenate(a)], node[np.concatenate(b)], tie]), axis=1) if len(tie) else np.empty((3, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2])], names=["a", "b", "tie"])
+        pairs = np.unique(np.stack([node[np.concatenate(a)], node[np.concatenate(b)]]), axis=1) if a else np.empty((2, 0), np.int64)
+        many = np.concatenate([np.zeros(pairs.shape[1], np.int64), np.ones(int(crowd.sum()), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], node[crowd]])), pa.array(np.concatenate([pairs[1], sig[crowd]])), pa.array(many)], names=["a", "b", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, held = [], [], 0
+        sigs, nodes, held, crowded = [], [], 0, None
         for x in batches:
-            sigs.append(x["sig"].to_numpy())
-            nodes.append(x["node"].to_numpy())
-            held += x.num_rows
-            if held > 200_000 and sigs[0][0] != sigs[-1][-1]:
+            sig, node = x["sig"].to_numpy(), x["node"].to_numpy()
+            if crowded is not None:  # the rest of a signature known to be crowded goes straight on
+                rest = int(np.searchsorted(sig, crowded, "right"))
+                if rest:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[:rest]), pa.array(sig[:rest]), pa.array(np.ones(rest, np.int64))], names=["a", "b", "many"])
+                sig, node = sig[rest:], node[rest:]
+                if len(sig):
+                    crowded = None
+            sigs.append(sig)
+            nodes.append(node)
+            held += len(sig)
+            if held > 200_000:
                 sig, node = np.concatenate(sigs), np.concatenate(nodes)
                 end = int(np.searchsorted(sig, sig[-1]))  # all but the last signature are complete
-                yield paired(sig[:end], node[:end])
+                if len(np.unique(node[end : end + 20 * small])) > small:
+                    crowded, end = sig[-1], len(sig)
+                if end:
+                    yield paired(sig[:end], node[:end])
                 sigs, nodes, held = [sig[end:]], [node[end:]], len(sig) - end
         if held:
             yield paired(np.concatenate(sigs), np.concatenate(nodes))
@@ -272,6 +272,42 @@ def _candidates(small: int):
     return run
 
 
+def may_link(n_a: np.ndarray, s_a: list[bytes], n_b: np.ndarray, s_b: list[bytes], num: int, den: int) -> np.ndarray:
+    """False only for pairs of sets of these sizes and sketches that can't link; pair by pair."""
+    keep = den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)
+    width_a, width_b = (np.fromiter(map(len, s), np.int64, len(s)) for s in (s_a, s_b))
+    shape = width_a << 32 | width_b
+    for kind in np.unique(shape[keep]):
+        at = np.flatnonzero(keep & (shape == kind))
+        a, b = (np.frombuffer(b"".join([s[i] for i in at]), np.uint8).reshape(len(at), -1) for s in (s_a, s_b))
+        a, b = _folded(a, b.shape[1]), _folded(b, a.shape[1])
+        keep[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= (den - num) * (n_a[at] + n_b[at]) // (den + num)
+    return keep
+
+
+def _folded(s: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one a row) brought to at most `width` bytes: halves laid over one another."""
+    while s.shape[1] > width:
+        s = s[:, : s.shape[1] // 2] ^ s[:, s.shape[1] // 2 :]
+    return s
+
+
+def sketched_within(n: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that may link: from each set reached, those not reached yet are compared to it."""
+    left = np.argsort(n, kind="stable")
+    a, b = [], []
+    while len(left):
+        front, left = [int(left[-1])], left[:-1]
+        while front and len(left):
+            k = front.pop()
+            hit = may_link(np.full(len(left), n[k]), [sketches[k]] * len(left), n[left], [sketches[i] for i in left], num, den)
+            a.append(np.full(int(hit.sum()), k))
+            b.append(left[hit])
+            front.extend(left[hit].tolist())
+            left = left[~hit]
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+
+
 def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among sets: from each set reached, the sets not reached yet are compared to it."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -301,11 +337,34 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def dealt(rows: DataFrame, group: str, size: Column, most: int) -> DataFrame:
+    """rows in blocks: adds i <= j, a row once for each pair of its group's blocks that it is in. The blocks of a group
+    hold about `most` of size each, dealt by the hash of column `by`; a row larger than that is not split.
+    """
+    parts = rows.groupBy(group).agg(F.ceil(F.sum(size) / most).cast("int").alias("parts"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
+    mine = F.pmod(F.xxhash64("by"), F.col("parts")).cast("int")
+    return (
+        join_hot(rows, parts, group)
+        .withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+        .drop("mine", "other", "parts")
+    )
+
+
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, sample: int = 20_000, common_part: float = 0.001) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): see jaccard_rows."""
+    return jaccard_rows(docs, num, den, width, sample, common_part).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, sample: int = 20_000, common_part: float = 0.001) -> DataFrame:
+    """(doc_id, text_hash, set_hash, n_shingles, component_id, is_first) for every row of docs (doc_id, text).
 
     Rows link when den * |a and b| >= num * |a or b| over their shingle sets; component_id is the smallest doc_id
-    reachable by links. sample, common_part: how the frequent shingles are found; they change the cost, not the result.
+    reachable by links. is_first: the row has the id and the set that the component is named after (rows without words
+    all have it); text_hash: xxhash64 of the text, to tell the texts of one id apart; set_hash: 128-bit hash of the set,
+    null without words. sample, common_part: how the
+    frequent shingles are found; they change the cost, not the result.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
@@ -315,60 +374,61 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     common = spark.sparkContext.broadcast(_common(rows, width, sample, common_part, total))
     bands = Bands.of(num, den, largest or 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = rows.select("text").mapInArrow(_signature_rows(width, common, bands), "sig long, node long")
-    pairs = signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_candidates(SMALL), "a long, b long, tie long")
-    pairs = written(pairs.groupBy("a", "b").agg(F.max("tie").alias("tie")))
-    # pairs whose sketches rule a link out go; what is left doesn't chain strangers together
+    # a set is named after its smallest id (null last); one row of it gives the text
+    member = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")
+    of_sets = known.filter("fp is not null").groupBy("fp").agg(F.min(member).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     node = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
-    sketches = known.filter("fp is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).select(node.alias("node"), "n", "sketch")
-    side = lambda k: sketches.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    nodes = written(of_sets.select("fp", node.alias("node"), F.struct(F.col("row.none").alias("none"), F.col("row.id").alias("id"), "fp").alias("name"), F.col("row.key").alias("key"), "n", "sketch"))
+    signed = rows.select("text").mapInArrow(_signature_rows(width, common, bands), "sig long, node long")
+    pairs = written(signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_candidates(SMALL), "a long, b long, many long").distinct())
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
 
+    # pairs whose sketches rule a link out go; what is left doesn't chain strangers together
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            columns = [x[c].to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")]
-            keep = pa.array([may_link(*r, num, den) for r in zip(*columns, strict=True)], pa.bool_())
+            n_a, n_b = x["n_a"].to_numpy(), x["n_b"].to_numpy()
+            keep = pa.array(may_link(n_a, x["s_a"].to_pylist(), n_b, x["s_b"].to_pylist(), num, den))
             yield pa.RecordBatch.from_arrays([x["a"].filter(keep), x["b"].filter(keep)], names=["a", "b"])
 
-    left = pairs.filter("tie = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(possible, "a long, b long")
-    classes = components(left.unionByName(pairs.filter("tie = 1").select("a", "b")))
-    # of each set in a class one row gives the text
-    first = known.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("row"))
-    wanted = first.withColumn("node", node).join(classes, "node").select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key"), F.col("component").alias("cls"))
-    text = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
+    def forest(t: pa.Table) -> pa.Table:
+        at = np.unique(t["by"].to_numpy(), return_index=True)[1]
+        name, n, sketches = t["by"].to_numpy()[at], t["n_by"].to_numpy()[at], t["s_by"].take(pa.array(at)).to_pylist()
+        a, b = sketched_within(n, sketches, num, den)
+        return pa.table({"a": name[a], "b": name[b]})
+
+    few = pairs.filter("many = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(possible, "a long, b long")
+    crowds = written(pairs.filter("many = 1").select(F.col("a").alias("by"), F.col("b").alias("sig")).join(side("by"), "by"))
+    crowded = dealt(crowds, "sig", F.length("s_by") + 64, BLOCK_BYTES).groupBy("sig", "i", "j").applyInArrow(forest, "a long, b long")
+    classes = components(few.unionByName(crowded))
+    discard(pairs, crowds)
+    wanted = nodes.join(classes, "node").select(F.col("name.id").alias("_id"), F.col("key").alias("_key"), F.col("fp").alias("_fp"), "name", F.col("component").alias("cls"))
+    text = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "name", "_fp", "text")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text", 1 << 19):
                 sets = shingles(b["text"].to_pylist(), width)
-                yield pa.RecordBatch.from_arrays(
-                    [b["cls"], pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "fp", "s"]
-                )
-
-    sets = written(text.mapInArrow(as_sets, "cls long, fp binary, s binary"))
-    sizes = sets.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    blocks = (
-        sets.join(sizes, "cls")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("cls", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "s")
-    )
+                yield pa.RecordBatch.from_arrays([b["cls"], b["name"], b["_fp"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "name", "by", "s"])
+
+    name_type = nodes.schema["name"].dataType.simpleString()
+    sets = written(text.mapInArrow(as_sets, f"cls long, name {name_type}, by binary, s binary"))
+    blocks = dealt(sets, "cls", F.length("s") + 64, BLOCK_BYTES)
 
     def compared(t: pa.Table) -> pa.Table:
-        fps = [x.as_py() for x in t["fp"]]
-        unique = {fp: k for k, fp in enumerate(fps)}
-        at = list(unique.values())
-        names = [fps[k] for k in at]
-        a, b = links_within([np.frombuffer(t["s"][k].as_py(), np.uint64) for k in at], num, den)
-        return pa.table({"a": pa.array([names[k] for k in a], pa.binary()), "b": pa.array([names[k] for k in b], pa.binary())})
-
-    links = blocks.groupBy("cls", "i", "j").applyInArrow(compared, "a binary, b binary")
-    joined = components(links)
-    # sets -> smallest id of their component; sets that link with no other set keep their own smallest id
-    ids = known.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(joined, ids["fp"] == joined["node"], "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = ids.join(lowest, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return known.join(label, F.col("fp") == F.col("_fp"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+        # repeated rows bring a set more than once
+        at = list({fp: k for k, fp in enumerate(t["by"].to_pylist())}.values())
+        column = t["s"].take(pa.array(at))
+        a, b = links_within([np.frombuffer(x.as_buffer(), np.uint64) for x in column], num, den)
+        names = t["name"].take(pa.array(at)).combine_chunks()
+        return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
+
+    links = written(blocks.groupBy("cls", "i", "j").applyInArrow(compared, f"a {name_type}, b {name_type}"))
+    discard(sets)
+    # the smallest name of a component holds its smallest id; a set that links with no other one is its own component
+    joined = components(links).select(F.col("node.fp").alias("fp"), "component")
+    discard(links)
+    label = nodes.select("fp", "name").join(joined, "fp", "left").select("fp", F.coalesce("component", "name").alias("component"))
+    id_of, first = F.col("component.id"), F.col("doc_id").eqNullSafe(F.col("component.id")) & (F.col("fp") == F.col("component.fp"))
+    empty = known.filter("fp is null").select("doc_id", F.col("key").alias("text_hash"), F.col("fp").alias("set_hash"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
+    full = join_hot(known.filter("fp is not null").drop("sketch"), label, "fp", "left")
+    return full.select("doc_id", F.col("key").alias("text_hash"), F.col("fp").alias("set_hash"), F.col("n").alias("n_shingles"), id_of.alias("component_id"), first.alias("is_first")).unionByName(empty)
