@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ NO_PAIR = np.int64(1) << 62
 KEPT_WORDS = 150_000
 
 
+#: Texts that a model with any of the library's normalisers would change.
+PROBES = ["", "a", " a  b ", "\u00a0\u3000x", "\ufb01\uff21\u2460", "e\u0301", "A\u00c9", "\t\n\r\x00", "\u200b\ufeff"]
+
+
 @dataclass
 class Vocabulary:
     """What a task needs of a model: a few MB, so it may be broadcast."""
@@ -47,9 +52,11 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: int
     end: int
-    piece_bytes: list[bytes]
+    piece_flat: np.ndarray
+    piece_start: np.ndarray
+    piece_size: np.ndarray
     is_byte: np.ndarray
-    hidden: set[int] = field(default_factory=set)
+    is_hidden: np.ndarray
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -58,6 +65,8 @@ def load_vocabulary(path: str) -> Vocabulary:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
+    if any(sp.normalize(t) != (MARK + t.replace(" ", MARK) if t else "") for t in PROBES):
+        raise ValueError("this model normalises texts, or puts no space mark before them")
     names = [sp.id_to_piece(i) for i in range(n)]
     special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
     ids = {names[i]: i for i in range(n) if i not in special}
@@ -94,6 +103,8 @@ def load_vocabulary(path: str) -> Vocabulary:
     foreign = symbol_of < 0
     symbol_of[foreign] = -1 - np.flatnonzero(foreign)
     by_byte = {bytes([int(names[i][3:5], 16)]): i for i in range(n) if sp.is_byte(i)}
+    raw = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else b"" if sp.is_control(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
+    sizes = np.fromiter(map(len, raw), np.int64, n)
     return Vocabulary(
         symbol_of=symbol_of,
         more_chars={i: p for p, i in symbols.items() if i >= n},
@@ -106,9 +117,11 @@ def load_vocabulary(path: str) -> Vocabulary:
         byte_ids=[by_byte[bytes([b])] for b in range(256)] if len(by_byte) == 256 else [],
         unknown=sp.unk_id(),
         end=sp.eos_id(),
-        piece_bytes=[bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else b"" if sp.is_control(i) else names[i].replace(MARK, " ").encode() for i in range(n)],
+        piece_flat=np.frombuffer(b"".join(raw), np.uint8),
+        piece_start=np.cumsum(sizes) - sizes,
+        piece_size=sizes,
         is_byte=np.array([sp.is_byte(i) for i in range(n)]),
-        hidden={i for i in range(n) if sp.is_control(i)},
+        is_hidden=np.array([sp.is_control(i) for i in range(n)]),
     )
 
 
@@ -237,17 +250,46 @@ class Encoder:
         return ids, np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
 
 
-def decode_ids(v: Vocabulary, ids: list[int]) -> str:
-    """Text of ids: space marks become spaces, the one put before the text goes, control ids show nothing.
+def decode_all(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Texts of the ids up to each of ends: space marks become spaces, the one put before the text goes, control ids show
+    nothing.
 
-    Bytes that don't make up UTF-8 become U+FFFD one by one. An id outside the vocabulary raises IndexError.
+    The bytes of all pieces are laid out at once. Bytes that don't make up UTF-8 become U+FFFD one by one; a control id
+    ends a run of bytes. An id outside the vocabulary raises IndexError.
     """
-    runs: list[list[int]] = [[]]
-    for i in ids if v.hidden.intersection(ids) else ():
-        runs[-1].append(i) if i not in v.hidden else runs.append([])
-    text = "".join(_utf8(b"".join([v.piece_bytes[i] for i in run])) for run in (runs if len(runs) > 1 else [ids]))
-    seen = next((i for i in ids if i not in v.hidden), None)
-    return text[1:] if seen is not None and not v.is_byte[seen] and seen != v.unknown and text[:1] == " " else text
+    if len(ids) and (ids.min() < 0 or ids.max() >= v.n_pieces):
+        raise IndexError("id outside the vocabulary")
+    size = v.piece_size[ids]
+    past = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    raw = v.piece_flat[np.arange(past[-1]) + np.repeat(v.piece_start[ids] - past[:-1], size)].tobytes()
+    hidden, byte = v.is_hidden[ids], v.is_byte[ids]
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    # the first id of each text that shows
+    shown = np.flatnonzero(~hidden)
+    first = np.searchsorted(shown, starts)
+    out = []
+    for a, b, f in zip(starts.tolist(), ends.tolist(), first.tolist(), strict=True):
+        whole = raw[past[a] : past[b]]
+        try:
+            text = whole.decode()
+        except UnicodeDecodeError:
+            text = _utf8(whole)
+        # bytes may meet across a hidden id only where byte ids are next to one
+        inner = np.flatnonzero(hidden[a : b - 1]) + a if b - a > 1 else ()
+        if len(inner) and byte[a:b].any():
+            cuts = [a, *inner.tolist(), b]
+            text = "".join(_utf8(raw[past[x] : past[y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True))
+        if f < len(shown) and shown[f] < b and text[:1] == " ":
+            seen = ids[shown[f]]
+            if not v.is_byte[seen] and seen != v.unknown:
+                text = text[1:]
+        out.append(text)
+    return out
+
+
+def decode_ids(v: Vocabulary, ids: list[int]) -> str:
+    """Text of one list of ids: see decode_all."""
+    return decode_all(v, np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def _utf8(raw: bytes) -> str:
@@ -276,8 +318,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
                 more = [column]
                 if decoded_col:
-                    ends = np.cumsum(lengths).tolist()
-                    more.append(pa.array([decode_ids(v.value, ids[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)], pa.string()))
+                    more.append(pa.array(decode_all(v.value, ids.astype(np.int64), np.cumsum(lengths)), pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, out_col, *([decoded_col] if decoded_col else [])])
 
     return kept.mapInArrow(run, schema)
@@ -293,7 +334,8 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
-                text = pa.array([decode_ids(v.value, ids or []) for ids in batch[ids_col].to_pylist()], pa.string())
+                n = pc.fill_null(pc.list_value_length(batch[ids_col]), 0).to_numpy()
+                text = pa.array(decode_all(v.value, pc.list_flatten(batch[ids_col]).to_numpy().astype(np.int64), np.cumsum(n)), pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out_col])
 
     return kept.mapInArrow(run, schema)
