@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunks import running_sum
+
 # Label codes of the sample table.
 LABEL_CODES = {"normal": 0, "pre_syncope": 1, "syncope": 2, "recovery": 3}
 GRAVITY = 9.81
@@ -83,5 +85,4 @@ def user_offsets(df: DataFrame, col: str) -> DataFrame:
 
 def beats(df: DataFrame, keys: Sequence[str], order: Sequence[str], rr: str = "rr", lo: float = 30.0, hi: float = 220.0) -> DataFrame:
     """Adds beat_time, the running sum of RR intervals (s), and hr = 60 / rr within [lo, hi]."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("beat_time", F.sum(rr).over(w)).withColumn("hr", clip(60.0 / F.nullif(F.col(rr), F.lit(0.0)), lo, hi))
+    return running_sum(df, keys, order, F.col(rr), "beat_time").withColumn("hr", clip(60.0 / F.nullif(F.col(rr), F.lit(0.0)), lo, hi))

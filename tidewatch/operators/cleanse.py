@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK_SECONDS, last_valid, row_index, running_sum
+from .chunks import CHUNK_SECONDS, joined, last_valid, neighbours, row_index, running_sum, with_margins
+
+#: Rows of a session that one task works on.
+BLOCK_ROWS = 100_000
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> DataFrame:
@@ -20,11 +23,11 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> D
     return top.select(*keys, *[F.col(f"_top.{c}").alias(c) for c in (*latest, *rest)]).select(df.columns)
 
 
-def gaps(df: DataFrame, keys: Sequence[str] = ("subject_id", "signal_name"), order: Sequence[str] = ("timestamp",)) -> DataFrame:
+def gaps(df: DataFrame, keys: Sequence[str] = ("subject_id", "signal_name"), order: Sequence[str] = ("timestamp",), seconds: float = CHUNK_SECONDS) -> DataFrame:
     """Adds gap_before and gap_after, seconds to the neighbouring samples of the key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    t = F.col(order[0])
-    return df.withColumn("gap_before", t - F.lag(t).over(w)).withColumn("gap_after", F.lead(t).over(w) - t)
+    t = order[0]
+    near = neighbours(df, keys, order, [t], seconds)
+    return near.withColumns({"gap_before": F.col(t) - F.col(f"before.{t}"), "gap_after": F.col(f"after.{t}") - F.col(t)}).drop("before", "after")
 
 
 def _neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: float) -> DataFrame:
@@ -89,7 +92,7 @@ def missing_policy(df: DataFrame, rules: DataFrame, window_keys: Sequence[str],
     filled = F.when(missing & (F.col("policy") == "linear") & (gap < F.col("limit")), line)
     filled = filled.when(missing & (F.col("policy") == "ffill") & (gap < F.col("limit")), F.col("_prev.v"))
     share = df.groupBy(*window_keys).agg(F.avg(F.col("value").isNull().cast("int")).alias("_share"))
-    kept = near.withColumn("value", F.coalesce("value", filled)).join(share, list(window_keys))
+    kept = joined(near.withColumn("value", F.coalesce("value", filled)), share, window_keys)
     return kept.filter(~((F.coalesce("policy", F.lit("")) == "drop_window") & (F.col("_share") > F.col("limit")))).drop("_prev", "_next", "_share", "policy", "limit")
 
 
@@ -100,7 +103,7 @@ def flag_iqr(df: DataFrame, keys: Sequence[str], k: float = 3.0, lower: bool = F
     out = F.col("value") > F.col("_q3") + span
     if lower:
         out = out | (F.col("value") < F.col("_q1") - span)
-    return df.join(q, list(keys)).withColumn("is_outlier", F.coalesce(out, F.lit(False))).drop("_q1", "_q3")
+    return joined(df, q, keys).withColumn("is_outlier", F.coalesce(out, F.lit(False))).drop("_q1", "_q3")
 
 
 def fill_session(df: DataFrame, keys: Sequence[str], cols: Sequence[str], order: Sequence[str], seconds: float = CHUNK_SECONDS) -> DataFrame:
@@ -127,25 +130,20 @@ def fill_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def upsample_linear(df: DataFrame, blocks: DataFrame, keys: Sequence[str], order: Sequence[str], block: int, out: str = "resampled") -> DataFrame:
     """Adds out: block values at block centres (row block // 2), joined by lines; the last value also holds at the last
-    row; rows before the first centre have the first value. blocks: (keys, block, value).
+    row; rows before the first centre have the first value. blocks: (keys, block, value). Sessions without a full block
+    stay, with nulls.
     """
-    w = Window.partitionBy(*keys).orderBy("block")
-    anchors = blocks.select(
-        *keys,
-        "block",
-        F.col("value").alias("_v"),
-        F.lead("value").over(w).alias("_next"),
-        F.first("value").over(w).alias("_first"),
-    )
-    tail = blocks.groupBy(*keys).agg(F.max("block").alias("_lastb"))
-    rows = row_index(df, keys, order).join(tail, list(keys))
+    near = neighbours(blocks.withColumn("_at", F.col("block").cast("double")), keys, ["_at"], ["value"])
+    first = blocks.groupBy(*keys).agg(F.min_by("value", "block").alias("_first"), F.max("block").alias("_lastb"))
+    anchors = near.select(*keys, "block", F.col("value").alias("_v"), F.col("after.value").alias("_next"))
+    rows = joined(row_index(df, keys, order), first, keys, "left")
     half = block // 2
     at = F.floor((F.col("rn") - half) / block)
     rows = rows.withColumn("block", F.least(F.greatest(at, F.lit(0)), F.col("_lastb")).cast("long"))
-    both = rows.join(anchors, [*keys, "block"])
+    both = joined(rows, anchors, [*keys, "block"], "left")
     share = (F.col("rn") - half - F.col("block") * block) / F.lit(float(block))
     value = F.when(F.col("rn") < half, F.col("_first")).when(F.col("_next").isNull(), F.col("_v")).otherwise(F.col("_v") + (F.col("_next") - F.col("_v")) * share)
-    return both.withColumn(out, value).select(*df.columns, "rn", out)
+    return both.withColumn(out, F.when(F.col("_lastb").isNotNull(), value)).select(*df.columns, "rn", out)
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], step: float, col: str = "timestamp") -> DataFrame:
@@ -167,8 +165,9 @@ def normalize(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]
 
 
 def apply_params(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds z by params (keys, mean, std); null for keys without parameters."""
     scale = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
-    return df.join(params, list(keys)).withColumn("z", (F.col("value") - F.col("mean")) / scale).drop("mean", "std")
+    return joined(df, params, keys, "left").withColumn("z", (F.col("value") - F.col("mean")) / scale).drop("mean", "std")
 
 
 def null_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str) -> DataFrame:
@@ -181,13 +180,14 @@ def null_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str
 def flag_spikes(df: DataFrame, keys: Sequence[str], col: str, k: float = 5.0) -> DataFrame:
     """Adds is_spike: more than k population deviations from the mean of the key."""
     s = df.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
-    return df.join(s, list(keys)).withColumn("is_spike", F.coalesce(F.abs(F.col(col) - F.col("_m")) > k * F.col("_s"), F.lit(False))).drop("_m", "_s")
+    return joined(df, s, keys).withColumn("is_spike", F.coalesce(F.abs(F.col(col) - F.col("_m")) > k * F.col("_s"), F.lit(False))).drop("_m", "_s")
 
 
-def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, k: int, out: str = "smooth") -> DataFrame:
+def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, k: int, out: str = "smooth", rows: int = BLOCK_ROWS) -> DataFrame:
     """Centred mean over k rows with zeros beyond the edges: always divided by k."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(k // 2), (k - 1) // 2)
-    return df.withColumn(out, F.sum(col).over(w) / F.lit(float(k)))
+    blocks = with_margins(df, keys, order, k // 2, (k - 1) // 2, max(rows, k))
+    w = Window.partitionBy(*keys, "block").orderBy("rn").rowsBetween(-(k // 2), (k - 1) // 2)
+    return blocks.withColumn(out, F.sum(col).over(w) / F.lit(float(k))).filter("own").select(*df.columns, out)
 
 
 def drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, out: str = "drift") -> DataFrame:
@@ -195,51 +195,80 @@ def drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, ou
     return running_sum(df, keys, order, F.col(col), out)
 
 
-def _by_session(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, f: object) -> DataFrame:
-    """A sequential filter needs its session whole: each is one Arrow group. Cut very long recordings first."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf.assign(**{out: f(pdf)})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
+def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, tau: float, fs: float, out: str = "ema", rows: int = BLOCK_ROWS) -> DataFrame:
+    """First-order lag: y += a (x - y) with a = 1 - exp(-1 / (tau fs)), from the first value on; a missing x holds y.
 
-def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, tau: float, fs: float, out: str = "ema") -> DataFrame:
-    """First-order lag: y += a (x - y) with a = 1 - exp(-1 / (tau fs)), from the first value on; a missing x holds y."""
-    a = 1 - np.exp(-1 / (tau * fs))
-
-    def smooth(pdf: pd.DataFrame) -> np.ndarray:
-        x = pdf[col].to_numpy(float)
-        y = np.empty_like(x)
-        now = np.nan
-        for i, v in enumerate(x):
-            if np.isfinite(v):
-                now = v if np.isnan(now) else now + a * (v - now)
-            y[i] = now
-        return y
-
-    return _by_session(df, keys, order, out, smooth)
+    y is linear in the value before: blocks of rows are smoothed as if nothing came before, and the value at the end of
+    one block, times (1 - a) to the number of values since, is added to the next ones.
+    """
+    a = float(1 - np.exp(-1 / (tau * fs)))
+    value = F.when(~F.isnan(F.col(col)), F.col(col))
+    numbered = row_index(df, keys, order).withColumn("block", F.floor(F.col("rn") / rows).cast("long"))
+    numbered = running_sum(numbered.withColumn("_x", value), keys, order, F.col("_x").isNotNull().cast("long"), "_nth")
+    # the first value counts whole, later ones with weight a
+    numbered = numbered.withColumn("_u", F.when(F.col("_nth") == 1, F.col("_x")).otherwise(F.col("_x") * a))
+    schema = T.StructType([*numbered.schema.fields, T.StructField("_local", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        known = pdf["_u"].notna().to_numpy()
+        y = pdf["_u"].to_numpy(float)[known]
+        step = 1
+        while step < len(y):  # sums over twice as many values each time
+            y[step:] = y[step:] + (1 - a) ** step * y[:-step]
+            step *= 2
+        n = np.cumsum(known)
+        return pdf.assign(_local=np.concatenate([[0.0], y])[n], _n=n)
+
+    local = numbered.groupBy(*keys, "block").applyInPandas(smooth, schema)
+    ends = local.groupBy(*keys, "block").agg(F.max_by("_local", "rn").alias("_e"), F.max("_n").alias("_m"))
+    # one row a block: its end without and with what came before
+    listed = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "_e", "_m"))).alias("_ends"))
+    carried = F.aggregate(
+        "_ends",
+        F.struct(F.lit(0.0).alias("y"), F.array().cast("array<struct<block:bigint,y:double>>").alias("out")),
+        lambda s, e: F.struct((e["_e"] + s["y"] * F.pow(F.lit(1 - a), e["_m"])).alias("y"), F.concat(s["out"], F.array(F.struct(e["block"].alias("block"), s["y"].alias("y")))).alias("out")),
+        lambda s: s["out"],
+    )
+    into = listed.select(*keys, F.explode(carried).alias("_c")).select(*keys, "_c.block", F.col("_c.y").alias("_into"))
+    both = joined(local, into, [*keys, "block"])
+    y = F.col("_local") + F.col("_into") * F.pow(F.lit(1 - a), F.col("_n"))
+    return both.withColumn(out, F.when(F.col("_nth") > 0, y)).select(*df.columns, out)
 
 
-def lowpass(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, fc: float, fs: float, n: int = 4, out: str = "lowpass") -> DataFrame:
+def lowpass(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, fc: float, fs: float, n: int = 4, out: str = "lowpass", rows: int = BLOCK_ROWS) -> DataFrame:
     """Zero-phase low-pass with the gain of a Butterworth filter run forth and back, by FFT of the reflected session.
 
-    Missing values are taken from the line between their neighbours. Edges differ from a padded recursive filter.
+    Missing values are taken from the line between their neighbours, by row. Edges differ from a padded recursive filter.
+    Blocks of rows are filtered with margins of 12 fs / fc rows on either side, beyond which the filter's response is
+    below 1e-9; only the session's own ends are reflected.
     """
-
-    def smooth(pdf: pd.DataFrame) -> np.ndarray:
-        x = pdf[col].astype(float).interpolate(limit_direction="both").to_numpy()
-        if len(x) < 2 or not np.isfinite(x).all():
-            return x
-        pad = len(x) - 1
-        whole = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2::-1]])
-        f = np.fft.rfftfreq(len(whole), 1 / fs)
-        gain = 1 / (1 + (np.tan(np.pi * np.minimum(f, fs / 2 - 1e-9) / fs) / np.tan(np.pi * fc / fs)) ** (2 * n))
-        return np.fft.irfft(np.fft.rfft(whole) * gain, len(whole))[pad : pad + len(x)]
-
-    return _by_session(df, keys, order, out, smooth)
+    margin = int(np.ceil(12 * fs / fc))
+    numbered = row_index(df, keys, order).withColumn("_at", F.col("rn").cast("double"))
+    valid = F.when(F.col(col).isNotNull() & ~F.isnan(F.col(col)), F.struct(F.col("rn").alias("t"), F.col(col).cast("double").alias("v")))
+    numbered = numbered.withColumn("_pt", valid)
+    numbered = last_valid(numbered, keys, ["_at"], ["_pt"], True).withColumnRenamed("_pt_last", "_p")
+    numbered = last_valid(numbered, keys, ["_at"], ["_pt"], False).withColumnRenamed("_pt_last", "_q")
+    line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("rn") - F.col("_p.t")) / F.nullif(F.col("_q.t") - F.col("_p.t"), F.lit(0))
+    filled = numbered.withColumn("_x", F.coalesce("_pt.v", line, "_p.v", "_q.v")).drop("_pt", "_p", "_q", "rn", "n_rows")
+    blocks = with_margins(filled, keys, ["_at"], margin, margin, max(rows, margin))
+    schema = T.StructType([*blocks.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        x, rn = pdf["_x"].to_numpy(float), pdf["rn"].to_numpy()
+        if len(x) > 1 and np.isfinite(x).all():
+            left = min(len(x) - 1, 2 * margin) if rn[0] == 0 else 0
+            right = min(len(x) - 1, 2 * margin) if rn[-1] == pdf["n_rows"].iloc[0] - 1 else 0
+            whole = np.concatenate([2 * x[0] - x[left:0:-1], x, 2 * x[-1] - x[-2 : -2 - right : -1]])
+            # a mirror image after it, so that the ends of the transform meet
+            whole = np.concatenate([whole, whole[::-1]])
+            f = np.fft.rfftfreq(len(whole), 1 / fs)
+            gain = 1 / (1 + (np.tan(np.pi * np.minimum(f, fs / 2 - 1e-9) / fs) / np.tan(np.pi * fc / fs)) ** (2 * n))
+            x = np.fft.irfft(np.fft.rfft(whole) * gain, len(whole))[left : left + len(x)]
+        return pdf.assign(**{out: x})[pdf["own"].to_numpy()]
+
+    return blocks.groupBy(*keys, "block").applyInPandas(smooth, schema).select(*df.columns, out)
 
 
 POLICIES: Mapping[str, tuple[str, float]] = {"heart_rate": ("linear", 5.0), "eda": ("ffill", 5.0), "lf_hf": ("drop_window", 0.1)}

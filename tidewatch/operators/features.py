@@ -7,10 +7,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import last_valid
+
 STATISTICS = ("mean", "std", "min", "max", "median", "p25", "p75")
 
 
@@ -47,6 +49,36 @@ def sliding_moments(df: DataFrame, keys: Sequence[str], size: int, stride: float
     return g.select(*keys, (F.col("_k") * F.lit(float(stride))).alias("window_start"), "n", "mean", "std", "min", "max")
 
 
+def sliding_stats(df: DataFrame, keys: Sequence[str], size: int, stride: float, time: str = "timestamp", extra: bool = False) -> DataFrame:
+    """window_stats of windows of size strides, one starting at each stride >= 0, with window_start.
+
+    Rows are first summed up by stride bucket, with the bucket's values as an array; only buckets are put in `size`
+    windows and merged. The percentiles are read off the sorted values of the window.
+    """
+    b = df.filter((F.col(time) >= 0) & F.col("value").isNotNull()).withColumn("_b", F.floor(F.col(time) / stride).cast("long"))
+    b = b.groupBy(*keys, "_b").agg(
+        F.count("value").alias("_n"), F.avg("value").alias("_m"), (F.var_pop("value") * F.count("value")).alias("_d"), F.collect_list("value").alias("_v")
+    )
+    w = b.withColumn("_k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - (size - 1)).cast("long"), F.col("_b"))))
+    g = w.groupBy(*keys, "_k").agg(F.collect_list(F.struct("_n", "_m", "_d", "_v")).alias("_parts"))
+    total = lambda f: F.aggregate("_parts", F.lit(0.0), f)
+    g = g.withColumns({"n": F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["_n"]), "_sorted": F.array_sort(F.flatten(F.transform("_parts", lambda p: p["_v"])))})
+    g = g.withColumn("mean", total(lambda a, p: a + p["_n"] * p["_m"]) / F.col("n"))
+    g = g.withColumn("std", F.sqrt(total(lambda a, p: a + p["_d"] + p["_n"] * (p["_m"] - F.col("mean")) * (p["_m"] - F.col("mean"))) / F.col("n")))
+
+    def at(q: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        a, c = F.element_at("_sorted", low + 1), F.element_at("_sorted", F.ceil(place).cast("int") + 1)
+        return a + (c - a) * (place - low)
+
+    values = {"min": F.element_at("_sorted", 1), "max": F.element_at("_sorted", -1), "median": at(0.5), "p25": at(0.25), "p75": at(0.75)}
+    out = g.select(*keys, (F.col("_k") * F.lit(float(stride))).alias("window_start"), "n", "mean", "std", *[c.alias(k) for k, c in values.items()])
+    if extra:
+        out = out.withColumn("range", F.col("max") - F.col("min")).withColumn("cv", F.col("std") / F.nullif(F.col("mean"), F.lit(0.0)))
+    return out
+
+
 def pivot_features(stats: DataFrame, keys: Sequence[str], signals: Sequence[str], names: Sequence[str] = STATISTICS) -> DataFrame:
     """One row a window, one column <signal>_<statistic>; signals are given, so no job looks for them."""
     cols = [F.max(F.when(F.col("signal_name") == s, F.col(n))).alias(f"{s}_{n}") for s in signals for n in names]
@@ -61,10 +93,13 @@ def trend(windows: DataFrame, keys: Sequence[str], length: float, order: Sequenc
 
 def rate_of_change(df: DataFrame, keys: Sequence[str], lag_s: int, time: str = "timestamp") -> DataFrame:
     """Adds roc: change by second since the last sample that is at least lag_s (whole seconds) old; null without one."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -int(lag_s))
-    past = F.max(F.when(F.col("value").isNotNull(), F.struct(time, "value"))).over(w)
-    out = df.withColumn("_past", past)
-    return out.withColumn("roc", (F.col("value") - F.col("_past.value")) / (F.col(time) - F.col(f"_past.{time}"))).drop("_past")
+    # each sample comes up once more when it is old enough; the last one to have come up by now is the one to compare with
+    none = F.lit(None).cast(df.select(F.struct(F.col(time).alias("t"), F.col("value").alias("v")).alias("s")).schema["s"].dataType)
+    now = df.withColumns({"_t": F.col(time), "_kind": F.lit(1), "_s": none})
+    old = df.filter(F.col("value").isNotNull()).select(*keys, (F.col(time) + lag_s).alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col(time).alias("t"), F.col("value").alias("v")).alias("_s"))
+    both = last_valid(now.unionByName(old, allowMissingColumns=True), keys, ["_t", "_kind", "_s"], ["_s"]).filter("_kind = 1")
+    roc = (F.col("value") - F.col("_s_last.v")) / (F.col(time) - F.col("_s_last.t"))
+    return both.withColumn("roc", roc).drop("_t", "_kind", "_s", "_s_last")
 
 
 def autonomic(windows: DataFrame, keys: Sequence[str], lf: str = "lf", hf: str = "hf", order: Sequence[str] = ("timestamp",)) -> DataFrame:
@@ -106,14 +141,17 @@ def assemble(df: DataFrame, names: Sequence[str], out: str = "features", vector:
 
 
 def _bands(x: pd.Series, fs: pd.Series, edge: pd.Series) -> pd.DataFrame:
+    """Windows of one length are transformed together; missing values are left out of a window first."""
     out = np.full((len(x), 3), np.nan)
-    for i, (v, rate, cut) in enumerate(zip(x, fs, edge, strict=True)):
-        v = np.array([np.nan if c is None else c for c in v], float) if v is not None else np.empty(0)
-        v = v[np.isfinite(v)]
-        if len(v) > 1:
-            power = np.abs(np.fft.rfft(v - v.mean())) ** 2 / len(v)
-            f = np.fft.rfftfreq(len(v), 1 / rate)
-            out[i] = power[(f > 0) & (f < cut)].sum(), power[f >= cut].sum(), f[power.argmax()]
+    kept = [np.empty(0) if v is None else np.asarray(v, float)[np.isfinite(np.asarray(v, float))] for v in x]
+    n = np.fromiter(map(len, kept), np.int64, len(kept))
+    for length in np.unique(n[n > 1]):
+        at = np.flatnonzero(n == length)
+        v = np.stack([kept[i] for i in at])
+        power = np.abs(np.fft.rfft(v - v.mean(1, keepdims=True), axis=1)) ** 2 / length
+        f = np.fft.rfftfreq(length, 1 / fs.iloc[0])
+        low = (f > 0) & (f < edge.iloc[0])
+        out[at] = np.stack([power[:, low].sum(1), power[:, f >= edge.iloc[0]].sum(1), f[power.argmax(1)]], axis=1)
     return pd.DataFrame(out, columns=["low_power", "high_power", "dominant_hz"])
 
 

@@ -5,30 +5,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import joined, last_valid
+
 PHASES = [("pre_syncope", "pre_start_s", "syncope_start_s"), ("syncope", "syncope_start_s", "recovery_start_s"), ("recovery", "recovery_start_s", "recovery_end_s")]
 
 
 def label_phases(samples: DataFrame, event_log: DataFrame, bucket: float = 3600.0, time: str = "timestamp") -> DataFrame:
     """Adds label by the event log's phases, half-open; outside them `normal`. Events whose recovery starts past the
-    session's last sample are skipped.
+    session's last sample are skipped. Where events overlap, the one that starts later counts; every sample stays once.
 
-    An equi-join on session and time bucket, not a comparison of all pairs: each phase is listed once for each
-    bucket it touches, so neither side needs to fit in memory.
+    An equi-join on session and time bucket, not a comparison of all pairs: each phase is listed once for each bucket it
+    touches, and a sample meets the list of its bucket.
     """
     ends = samples.groupBy("session_id").agg(F.max(time).alias("_end"))
     log = event_log.join(ends, "session_id").filter(F.col("recovery_start_s") <= F.col("_end"))
     phases = F.explode(F.array(*[F.struct(F.lit(name).alias("_label"), F.col(a).alias("_from"), F.col(b).alias("_to")) for name, a, b in PHASES]))
-    spans = log.select("session_id", phases.alias("p")).select("session_id", "p.*").filter("_to > _from")
+    spans = log.select("session_id", F.col("pre_start_s").alias("_start"), phases.alias("p")).select("session_id", "_start", "p.*").filter("_to > _from")
     touched = F.sequence(F.floor(F.col("_from") / bucket).cast("long"), F.floor(F.col("_to") / bucket).cast("long"))
-    spans = spans.withColumn("_bucket", F.explode(touched))
-    rows = samples.drop("label").withColumn("_bucket", F.floor(F.col(time) / bucket).cast("long")).alias("s")
-    spans = spans.alias("e")
-    within = (F.col(f"s.{time}") >= F.col("e._from")) & (F.col(f"s.{time}") < F.col("e._to"))
-    on = (F.col("s.session_id") == F.col("e.session_id")) & (F.col("s._bucket") == F.col("e._bucket")) & within
-    return rows.join(spans, on, "left").select("s.*", F.coalesce("e._label", F.lit("normal")).alias("label")).drop("_bucket")
+    listed = spans.withColumn("_bucket", F.explode(touched)).groupBy("session_id", "_bucket").agg(F.sort_array(F.collect_list(F.struct("_start", "_from", "_to", "_label"))).alias("_spans"))
+    rows = samples.drop("label").withColumn("_bucket", F.floor(F.col(time) / bucket).cast("long"))
+    within = F.filter("_spans", lambda p: (F.col(time) >= p["_from"]) & (F.col(time) < p["_to"]))
+    label = F.coalesce(F.try_element_at(within, F.lit(-1))["_label"], F.lit("normal"))
+    return joined(rows, listed, ["session_id", "_bucket"], "left").withColumn("label", label).drop("_bucket", "_spans")
 
 
 def derive_event_log(samples: DataFrame, time: str = "timestamp") -> DataFrame:
@@ -76,14 +77,14 @@ def has_loc(windows: DataFrame) -> DataFrame:
 def stage_context(windows: DataFrame, stages: DataFrame, time: str = "window_start") -> DataFrame:
     """Adds stage and time_in_stage: the last stage with onset_ts at or before the window's time, null before the first.
 
-    As-of join by union and one sort of each subject, with no product of windows and stages.
+    As-of join by union of both tables, sorted within chunks of time, with no product of windows and stages.
     """
-    left = windows.withColumn("_t", F.col(time)).withColumn("_kind", F.lit(1)).withColumn("_s", F.lit(None).cast("struct<onset:double,stage:int>"))
+    none = F.lit(None).cast("struct<onset:double,stage:int>")
+    left = windows.withColumns({"_t": F.col(time), "_kind": F.lit(1), "_s": none})
     right = stages.select("subject_id", F.col("onset_ts").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col("onset_ts").alias("onset"), F.col("stage").cast("int").alias("stage")).alias("_s"))
-    w = Window.partitionBy("subject_id").orderBy("_t", "_kind", "_s").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_cur", F.last("_s", ignorenulls=True).over(w))
-    out = both.filter("_kind = 1").withColumn("stage", F.col("_cur.stage")).withColumn("time_in_stage", F.col("_t") - F.col("_cur.onset"))
-    return out.drop("_t", "_kind", "_s", "_cur")
+    both = last_valid(left.unionByName(right, allowMissingColumns=True), ["subject_id"], ["_t", "_kind", "_s"], ["_s"])
+    out = both.filter("_kind = 1").withColumn("stage", F.col("_s_last.stage")).withColumn("time_in_stage", F.col("_t") - F.col("_s_last.onset"))
+    return out.drop("_t", "_kind", "_s", "_s_last")
 
 
 def concat_sessions(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -92,9 +93,9 @@ def concat_sessions(dfs: Sequence[DataFrame]) -> DataFrame:
 
 def loc_roc_intervals(loc: DataFrame, roc: DataFrame) -> DataFrame:
     """(subject_id, loc_ts, roc_ts, unconscious_s): the first recovery at or after each loss; null if none."""
-    marks = loc.select("subject_id", F.col("loc_ts").alias("_t"), F.lit(0).alias("_kind")).unionByName(roc.select("subject_id", F.col("roc_ts").alias("_t"), F.lit(1).alias("_kind")))
-    w = Window.partitionBy("subject_id").orderBy("_t", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("_kind") == 1, F.col("_t")), ignorenulls=True).over(w)
-    out = marks.withColumn("roc_ts", nearest).filter("_kind = 0").select("subject_id", F.col("_t").alias("loc_ts"), "roc_ts")
+    time = lambda c, kind: [F.col(c).alias("_t"), F.lit(kind).alias("_kind")]
+    marks = loc.select("subject_id", *time("loc_ts", 0)).unionByName(roc.select("subject_id", *time("roc_ts", 1)))
+    marks = marks.withColumn("_roc", F.when(F.col("_kind") == 1, F.col("_t")))
+    out = last_valid(marks, ["subject_id"], ["_t", "_kind"], ["_roc"], False).filter("_kind = 0").select("subject_id", F.col("_t").alias("loc_ts"), F.col("_roc_last").alias("roc_ts"))
     return out.withColumn("unconscious_s", F.col("roc_ts") - F.col("loc_ts"))
 

@@ -1,4 +1,4 @@
-"""Models per leave-one-subject-out fold with MLlib; each fold is a filter on the same cached table."""
+"""Models per leave-one-subject-out fold with MLlib; each fold is a filter on the same table."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .splits import loso_filter
+from .evaluate import fold_results, fold_summary, sensitivity_bins
+from .splits import apply_fold_scale_raw, fold_scale_raw, folds_of, loso_filter
 
 
 @dataclass
@@ -34,19 +35,14 @@ class Svm:
     seed: int = 42
 
 
-def _folds(df: DataFrame, key: str) -> list:
-    """Subject ids: one fit each, so the driver names them one by one."""
-    return [r[0] for r in df.select(key).distinct().orderBy(key).toLocalIterator()]
-
-
 def loso_rf(df: DataFrame, cfg: Forest = Forest(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id") -> tuple[DataFrame, DataFrame]:
     """(scores, importances) of a random forest for each fold.
 
     df: key, id_col, label, features (array). scores: fold, id_col, y, p. importances: fold, feature, importance.
     """
-    data = df.select(key, id_col, F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")).cache()
+    data = df.select(key, id_col, F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
     scores, weights = [], []
-    for fold in folds if folds is not None else _folds(df, key):
+    for fold in folds if folds is not None else folds_of(df, key):
         train, test = loso_filter(data, fold, key)
         rf = RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.depth, minInstancesPerNode=cfg.leaf, seed=cfg.seed).fit(train)
         p = vector_to_array("probability")[1]
@@ -76,17 +72,19 @@ def fourier_features(df: DataFrame, d: int, gamma: float, cfg: Svm, col: str = "
 def loso_svm(df: DataFrame, cfg: Svm = Svm(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id") -> DataFrame:
     """(fold, id_col, y, p) of an RBF support vector machine for each fold.
 
-    An approximation: a linear machine on random Fourier features with gamma = 1 / (features * variance) of the fold's
-    training side, and the probability from a logistic fit on its margin.
+    Features are scaled by the fold's training side. An approximation: a linear machine on random Fourier features with
+    gamma = 1 / (features * variance), and the probability from a logistic fit on its margin. MLlib's objective is the
+    mean hinge loss plus half its regParam times |w|^2, so a machine's C is regParam = 1 / (C rows).
     """
     d = len(df.select("features").first()["features"])
-    data = df.select(key, id_col, F.col("label").cast("double").alias("label"), "features").cache()
+    data = df.select(key, id_col, F.col("label").cast("double").alias("label"), "features")
+    moments = fold_scale_raw(data, key, "features")
     out = []
-    for fold in folds if folds is not None else _folds(df, key):
-        train, test = loso_filter(data, fold, key)
-        var = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
-        lifted = [fourier_features(x, d, 1 / (d * var), cfg).withColumn("v", array_to_vector("rff")) for x in (train, test)]
-        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (2 * cfg.c * max(1, train.count())), rawPredictionCol="raw", predictionCol="hard").fit(lifted[0])
+    for fold in folds if folds is not None else folds_of(df, key):
+        sides = apply_fold_scale_raw(data, moments, fold, key, "features", steps=False)
+        var = sides[0].select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
+        lifted = [fourier_features(x, d, 1 / (d * var), cfg).withColumn("v", array_to_vector("rff")) for x in sides]
+        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, sides[0].count())), standardization=False, rawPredictionCol="raw", predictionCol="hard").fit(lifted[0])
         margins = [svm.transform(x).withColumn("margin", F.array(vector_to_array("raw")[1])).withColumn("m", array_to_vector("margin")).drop("raw", "hard") for x in lifted]
         platt = LogisticRegression(featuresCol="m", labelCol="label", maxIter=30).fit(margins[0])
         out.append(platt.transform(margins[1]).select(F.lit(fold).alias("fold"), id_col, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p")))
@@ -100,7 +98,7 @@ def importance_summary(importances: DataFrame) -> DataFrame:
 
 def fit_pipeline(df: DataFrame, cols: Sequence[str], path: str, cfg: Forest = Forest()) -> None:
     """Fits a forest on columns of df and saves it with its assembler."""
-    steps = [VectorAssembler(inputCols=list(cols), outputCol="features"), RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.depth, seed=cfg.seed)]
+    steps = [VectorAssembler(inputCols=list(cols), outputCol="features"), RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.depth, minInstancesPerNode=cfg.leaf, seed=cfg.seed)]
     Pipeline(stages=steps).fit(df).write().overwrite().save(path)
 
 
@@ -108,3 +106,25 @@ def score(df: DataFrame, path: str) -> DataFrame:
     """df with predicted class and its confidence by the saved model."""
     done = PipelineModel.load(path).transform(df)
     return done.withColumn("predicted", F.col("prediction").cast("int")).withColumn("confidence", F.array_max(vector_to_array("probability"))).select(*df.columns, "predicted", "confidence")
+
+
+@dataclass
+class Run:
+    """What a leave-one-subject-out run gives: (fold, id, y, p, time_to_loc), (fold, auc, ...), (metric, mean, std), (bin_s, sensitivity), (feature, mean, std)."""
+
+    scores: DataFrame
+    results: DataFrame
+    summary: DataFrame
+    bins: DataFrame
+    importances: DataFrame
+
+
+def loso_run(df: DataFrame, cfg: Forest = Forest(), threshold: float = 0.5, key: str = "subject_id", id_col: str = "window_id") -> Run:
+    """The whole training job: a forest for each subject left out, its windows scored, folds evaluated and summed up.
+
+    df: key, id_col, label, features (array), time_to_loc. Trees don't depend on the scale of a feature, so none is scaled.
+    """
+    scores, importances = loso_rf(df, cfg, None, key, id_col)
+    scores = scores.join(df.select(F.col(key).alias("fold"), id_col, "time_to_loc"), ["fold", id_col])
+    results = fold_results(scores, threshold)
+    return Run(scores, results, fold_summary(results), sensitivity_bins(results), importance_summary(importances))

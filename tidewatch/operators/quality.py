@@ -15,10 +15,22 @@ def ingest_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def check_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
-    """(column, expected, found, ok), one row for each column of either schema."""
-    have, want = ({f.name: f.dataType.simpleString() for f in s.fields} for s in (df.schema, expected))
-    rows = [(c, want.get(c), have.get(c), want.get(c) == have.get(c)) for c in {**want, **have}]
-    return df.sparkSession.createDataFrame(rows, "column string, expected string, found string, ok boolean")
+    """(column, expected, found, n_missing, ok), one row for each column of either schema.
+
+    A column is right if its type is the expected one and, where that doesn't allow nulls, no row has one: one pass. A
+    column that the table lacks is missing in all rows.
+    """
+    have, want = ({f.name: f for f in s.fields} for s in (df.schema, expected))
+    name = lambda fields, c: F.lit(fields[c].dataType.simpleString() if c in fields else None).cast("string")
+    columns = list({**want, **have})
+    one = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(columns) if c in have], F.count("*").alias("_all"))
+    rows = []
+    for i, c in enumerate(columns):
+        missing = F.col(f"n{i}" if c in have else "_all")
+        right = c in have and c in want and have[c].dataType == want[c].dataType
+        ok = F.lit(right) if not right or want[c].nullable else missing == 0
+        rows.append(F.struct(F.lit(c).alias("column"), name(want, c).alias("expected"), name(have, c).alias("found"), missing.alias("n_missing"), ok.alias("ok")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

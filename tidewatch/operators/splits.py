@@ -4,27 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import joined, row_index
+
 
 def temporal_split(df: DataFrame, ratios: Sequence[float] = (0.6, 0.2, 0.2), key: str = "subject_id", order: Sequence[str] = ("window_start",)) -> DataFrame:
-    """Adds split_set: train, val, test by place in the subject's own time."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(key))
-    share = (rn - 1) / n
+    """Adds split_set: train, val, test by place in the subject's own time. order[0] is the time in seconds."""
+    numbered = row_index(df, [key], order, "_rn")
+    share = F.col("_rn") / F.col("n_rows")
     # an edge at 0.6 + 0.2 is 0.8, whatever the sum of the doubles
     a, b = ratios[0], round(ratios[0] + ratios[1], 12)
-    return df.withColumn("split_set", F.when(share < a, "train").when(share < b, "val").otherwise("test"))
+    return numbered.withColumn("split_set", F.when(share < a, "train").when(share < b, "val").otherwise("test")).drop("_rn", "n_rows")
 
 
 def loso_folds(df: DataFrame, key: str = "subject_id") -> DataFrame:
-    """(fold, all columns, role): every subject is the test side of its own fold and trains the others.
+    """(all columns, fold, role): every subject is the test side of its own fold and trains the others.
 
-    This is the product of rows and subjects that the definition asks for; for training use loso_filter instead.
+    Each row once for each subject, as the definition asks, in one pass: the subjects (a model each, so the driver names
+    them anyway) are an array in the plan. For training use loso_filter instead.
     """
-    folds = df.select(F.col(key).alias("fold")).distinct()
-    return df.crossJoin(folds).withColumn("role", F.when(F.col(key) == F.col("fold"), "test").otherwise("train"))
+    return _in_each(df, F.array(*[F.lit(f) for f in folds_of(df, key)]).cast(f"array<{dict(df.dtypes)[key]}>"), "fold", key)
+
+
+def folds_of(df: DataFrame, key: str = "subject_id") -> list:
+    """The subjects, one fold and one fit each."""
+    return [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key).toLocalIterator()]
+
+
+def _in_each(df: DataFrame, folds: Column, out: str, key: str) -> DataFrame:
+    return df.withColumn(out, F.explode(folds)).withColumn("role", F.when(F.col(key) == F.col("fold"), "test").otherwise("train"))
 
 
 def loso_filter(df: DataFrame, fold: object, key: str = "subject_id") -> tuple[DataFrame, DataFrame]:
@@ -62,14 +72,32 @@ def fold_moments(df: DataFrame, key: str, col: str) -> DataFrame:
     return both.select("fold", F.col("n2").alias("n"), "mean", F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
 
 
-def fold_scale(df: DataFrame, folds: DataFrame, key: str, col: str) -> DataFrame:
-    """folds (fold, ..., col) with z: col by the training statistics of the row's fold."""
-    return folds.join(fold_moments(df, key, col), "fold").withColumn("z", (F.col(col) - F.col("mean")) / F.col("std")).drop("n", "mean", "std")
+def fold_scale(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(df's columns, fold, role, z): col by the training statistics of each fold, for both sides of all folds.
+
+    The statistics are one row a fold and part of the plan as an array; rows are read once and nothing is joined.
+    """
+    stats = [(r["fold"], r["mean"], r["std"]) for r in fold_moments(df, key, col).filter("fold is not null").orderBy("fold").toLocalIterator()]
+    fold = f"struct<fold:{dict(df.dtypes)[key]},mean:double,std:double>"
+    known = F.array(*[F.struct(F.lit(f), F.lit(m).cast("double"), F.lit(s).cast("double")).cast(fold) for f, m, s in stats]).cast(f"array<{fold}>")
+    rows = df.withColumn("_m", F.explode(known)).withColumn("fold", F.col("_m.fold"))
+    rows = rows.withColumn("role", F.when(F.col(key) == F.col("fold"), "test").otherwise("train"))
+    return rows.withColumn("z", (F.col(col) - F.col("_m.mean")) / F.col("_m.std")).drop("_m")
+
 
+def scale_one_fold(df: DataFrame, moments: DataFrame, fold: object, key: str, col: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of one fold with z by the fold's training statistics: filters, no copies."""
+    m = moments.filter(F.col("fold") == fold).first()
+    return tuple(x.withColumn("z", (F.col(col) - F.lit(m["mean"])) / F.lit(m["std"])) for x in loso_filter(df, fold, key))
 
-def fold_scale_raw(df: DataFrame, key: str, arrays: str) -> DataFrame:
-    """(fold, channel, n, mean, std) of array columns over all time steps of the training side, channel by channel."""
-    rows = df.select(F.col(key), F.posexplode(arrays).alias("channel", "value"))
+
+def fold_scale_raw(df: DataFrame, key: str, arrays: str, steps: bool = False) -> DataFrame:
+    """(fold, channel, n, mean, std) of array columns over all time steps of the training side, channel by channel.
+
+    steps: a window is an array of time steps, each an array of channels; else one step.
+    """
+    rows = df.select(F.col(key), F.explode(arrays).alias("_s")) if steps else df.select(F.col(key), F.col(arrays).alias("_s"))
+    rows = rows.select(key, F.posexplode("_s").alias("channel", "value"))
     own = rows.groupBy(F.col(key).alias("fold"), "channel").agg(F.count("value").alias("n1"), F.avg("value").alias("m1"), (F.var_pop("value") * F.count("value")).alias("d1"))
     total = rows.groupBy("channel").agg(F.count("value").alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("d"))
     both = own.join(total, "channel").withColumn("n2", F.col("n") - F.col("n1"))
@@ -80,17 +108,30 @@ def fold_scale_raw(df: DataFrame, key: str, arrays: str) -> DataFrame:
     return both.select("fold", "channel", F.col("n2").alias("n"), "mean", F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
 
 
+def apply_fold_scale_raw(df: DataFrame, moments: DataFrame, fold: object, key: str, arrays: str, steps: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of one fold, the windows in `arrays` scaled channel by channel by the fold's training statistics.
+
+    moments: of fold_scale_raw. steps: a window is an array of time steps, each an array of channels; else one step.
+    """
+    rows = moments.filter(F.col("fold") == fold).orderBy("channel").toLocalIterator()
+    mean, std = zip(*[(r["mean"], r["std"]) for r in rows], strict=True)
+    mean, std = (F.array(*[F.lit(float(x)) for x in v]) for v in (mean, std))
+    scaled = lambda step: F.zip_with(F.zip_with(step, mean, lambda v, m: v - m), std, lambda v, s: v / s)
+    new = F.transform(arrays, scaled) if steps else scaled(F.col(arrays))
+    return tuple(x.withColumn(arrays, new) for x in loso_filter(df, fold, key))
+
+
 def sample_per_label(df: DataFrame, m: int, order: Sequence[str], label: str = "label") -> DataFrame:
     """At most m rows of each label, the first by `order` (a hash of the id for a random choice)."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).filter(F.col("_rn") <= m).drop("_rn")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds class_weight: rows / (classes * rows of the class)."""
+    """Adds class_weight: rows / (classes * rows of the class); null labels are a class."""
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
     all_n = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))  # one row
     w = n.crossJoin(F.broadcast(all_n)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("class_weight"))
-    return df.join(w, label)
+    return joined(df, w, [label])
 
 
 def user_split(df: DataFrame, key: str = "user_id", parts: int = 10, val: int = 2, test: int = 2) -> DataFrame:

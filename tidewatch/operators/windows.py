@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import row_index, running_sum
+from .chunks import neighbours, row_index, running_sum
 
 
 def window_range(rn: Column, n: Column, size: int, stride: int) -> tuple[Column, Column]:
@@ -43,6 +43,13 @@ def window_arrays(windows: DataFrame, keys: Sequence[str], cols: Sequence[str])
     return windows.groupBy(*keys, "window_no").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["v"]).alias("x"))
 
 
+def labelled_windows(windows: DataFrame, keys: Sequence[str], cols: Sequence[str], label: str = "label", user: str = "user_id") -> DataFrame:
+    """(keys, user_id, window_no, y, x): arrays, majority label and the user of the window's first row."""
+    owner = windows.groupBy(*keys, "window_no").agg(F.min_by(user, "rn").alias("user_id"))
+    by = [*keys, "window_no"]
+    return window_arrays(windows, keys, cols).join(majority_label(windows, keys, label), by).join(owner, by).select(*keys, "user_id", "window_no", "y", "x")
+
+
 def time_windows(df: DataFrame, size: float = 60.0, stride: float = 1.0, time: str = "timestamp") -> DataFrame:
     """Each row once for each half-open window [start, start + size) with start a multiple of stride: adds window_start."""
     lo = F.greatest(F.lit(0), F.floor((F.col(time) - size) / stride) + 1)
@@ -60,8 +67,8 @@ def valid_windows(windows: DataFrame, keys: Sequence[str], min_n: int, channels:
 
 def phase_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "label") -> DataFrame:
     """(keys, label, start, end, n) of each run of equal labels."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = df.withColumn("_new", (~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.row_number().over(w) == 1)).cast("long"))
+    near = neighbours(df, keys, order, [label])
+    changed = near.withColumn("_new", (F.col("before").isNull() | ~F.col(label).eqNullSafe(F.col(f"before.{label}"))).cast("long")).drop("before", "after")
     runs = running_sum(changed, keys, order, F.col("_new"), "_run")
     g = runs.groupBy(*keys, "_run", label).agg(F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count("*").alias("n"))
     return g.drop("_run")

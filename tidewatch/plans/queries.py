@@ -356,7 +356,11 @@ def _(s, d):
     return C.drift(A.signals(s, d), ["signal_name"], ORDER, "value").select("event_id", rounded(F.col("drift"), 3).alias("drift"))
 
 
-@query("c19_ema")
+@query(
+    "c19_ema",
+    """select event_id, round(case when len(seen) > 0 then list_reduce(seen, lambda y, x: y + (1 - exp(-1 / 5.0::double)) * (x - y)) end + 1e-9, 4) as ema from (select event_id, list_filter(list(value) over (partition by subject_id
+    order by "timestamp", event_id rows unbounded preceding), lambda v: v is not null) as seen from gap)""",
+)
 def _(s, d):
     return C.ema(A.gappy(s, d).select("subject_id", "timestamp", "event_id", "value"), ["subject_id"], ORDER, "value", 5.0, 1.0).select("event_id", r4("ema").alias("ema"))
 
@@ -530,7 +534,7 @@ WKEYS = ["subject_id", "signal_name", "window_start"]
 
 
 def _stats(s: SparkSession, d: str, extra: bool = False) -> DataFrame:
-    return X.window_stats(W.time_windows(A.signals(s, d), A.WEEK, A.DAY), WKEYS, extra)
+    return X.sliding_stats(A.signals(s, d), KEYS, 7, A.DAY, extra=extra)
 
 
 def _r(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -646,10 +650,19 @@ def _(s, d):
     return P.loso_folds(rows).select("fold", "event_id", "role")
 
 
-@query("p03_leakage", "select subject_id as fold, subject_id from sig where false")
+# folds in which every 97th row of the test side was left in the training side
+LEAKY = """select f.fold, s.subject_id, case when s.subject_id = f.fold and event_id % 97 <> 0 then 'test' else 'train' end as role from (select event_id, subject_id % 9 as subject_id from sig) s, (select distinct subject_id % 9 as fold from sig) f"""
+LEAKS = f"select fold, subject_id from ({LEAKY}) where role = 'train' intersect select fold, subject_id from ({LEAKY}) where role = 'test'"
+
+
+def _leaks(s: SparkSession, d: str) -> DataFrame:
+    folds = P.loso_folds(A.signals(s, d).select("event_id", (F.col("subject_id") % 9).alias("subject_id")))
+    return P.leakage(folds.withColumn("role", F.when(F.col("event_id") % 97 == 0, "train").otherwise(F.col("role"))))
+
+
+@query("p03_leakage", LEAKS)
 def _(s, d):
-    rows = A.signals(s, d).select((F.col("subject_id") % 9).alias("subject_id")).distinct()
-    return P.leakage(P.loso_folds(rows))
+    return _leaks(s, d)
 
 
 @query(
@@ -666,7 +679,7 @@ def _(s, d):
 )
 def _(s, d):
     rows = A.signals(s, d).select("event_id", (F.col("subject_id") % 9).alias("subject_id"), "value")
-    return P.fold_scale(rows, P.loso_folds(rows), "subject_id", "value").select("fold", "event_id", r4("z").alias("z"))
+    return P.fold_scale(rows, "subject_id", "value").select("fold", "event_id", r4("z").alias("z"))
 
 
 @query(
@@ -677,6 +690,22 @@ def _(s, d):
     return _r(P.fold_scale_raw(A.features(s, d), "subject_id", "features"), ["mean", "std"]).withColumnRenamed("n", "n")
 
 
+@query(
+    "p06b_scaled_windows",
+    """select a.subject_id as fold, vec_id as window_id, a.channel as channel, round((v - m) / case when sd < 1e-12 then 1 else sd end + 1e-9, 4) as z from (select vec_id, subject_id, unnest(range(0, len(embedding)))::int as channel, unnest(embedding)::double as v from emb) a
+    join (select f.fold, channel, avg(v) as m, stddev_pop(v) as sd from (select distinct subject_id as fold from emb) f join (select subject_id, unnest(range(0, len(embedding)))::int as channel, unnest(embedding)::double as v from emb) b on b.subject_id <> f.fold group by all) st
+    on st.fold = a.subject_id and st.channel = a.channel""",
+)
+def _(s, d):
+    from functools import reduce
+
+    rows = A.features(s, d)
+    moments = P.fold_scale_raw(rows, "subject_id", "features")
+    tests = [P.apply_fold_scale_raw(rows, moments, f, "subject_id", "features", steps=False)[1] for f in P.folds_of(rows)]
+    out = reduce(DataFrame.unionByName, tests).select(F.col("subject_id").alias("fold"), "window_id", F.posexplode("features").alias("channel", "z"))
+    return out.withColumn("z", r4("z"))
+
+
 @query("p07_sample_per_label", "select event_id, label from (select *, row_number() over (partition by label order by event_id * 7919 % 10007, event_id) as k from sig) where k <= 50")
 def _(s, d):
     rows = A.signals(s, d).withColumn("h", F.col("event_id") * 7919 % 10007)
@@ -712,6 +741,15 @@ def _(s, d):
     return _r(M.importance_summary(imp), ["mean", "std"])
 
 
+@query("loso_run")
+def _(s, d):
+    rows = A.features(s, d).withColumn("time_to_loc", F.when(F.col("label") == 1, (F.col("window_id") % 120).cast("double")).otherwise(0.0))
+    run = M.loso_run(rows)
+    row = lambda df, kind, name: df.select(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), "mean", "std")
+    both = row(run.summary, "metric", "metric").unionByName(row(run.importances, "importance", "feature"))
+    return _r(both.unionByName(row(run.bins.withColumnRenamed("sensitivity", "mean").withColumn("std", F.lit(None).cast("double")), "sensitivity", "bin_s")), ["mean", "std"])
+
+
 @query("m04_score")
 def _(s, d):
     import uuid
@@ -723,10 +761,13 @@ def _(s, d):
 
 
 def _shared(s: SparkSession) -> str:
-    """The cluster's shared folder; a new local one only where none is set."""
+    """The cluster's shared folder; a new local one only where none is set and the master is local."""
     import tempfile
 
-    return s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewatch-")
+    known = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return known or tempfile.mkdtemp(prefix="tidewatch-")
 
 
 # ---- evaluation
@@ -809,11 +850,16 @@ def _(s, d):
     return Q.ingest_report(A.signals(s, d), KEYS)
 
 
-@query("q02_check_schema")
+@query(
+    "q02_check_schema",
+    """select unnest(['subject_id', 'signal_name', 'timestamp', 'value', 'unit', 'event_id', 'label']) as "column", unnest(['int', 'string', 'double', 'double', 'string', null, null]) as expected, unnest(['bigint', 'string', 'double', 'double', null, 'bigint', 'string']) as found,
+    unnest([count(*) filter (subject_id is null), count(*) filter (signal_name is null), count(*) filter ("timestamp" is null), count(*) filter (value is null), count(*), count(*) filter (event_id is null), count(*) filter (label is null)]) as n_missing,
+    unnest([false, count(*) filter (signal_name is null) = 0, count(*) filter ("timestamp" is null) = 0, count(*) filter (value is null) = 0, false, false, false]) as ok from gap""",
+)
 def _(s, d):
     from pyspark.sql.types import StructType
 
-    return Q.check_schema(A.signals(s, d), StructType.fromDDL("subject_id int, signal_name string, timestamp double, value double"))
+    return Q.check_schema(A.gappy(s, d), StructType.fromDDL("subject_id int not null, signal_name string not null, timestamp double not null, value double not null, unit string"))
 
 
 @query("q03_duplicates", """select subject_id, day, count(*) as n from (select subject_id, floor("timestamp" / 86400)::bigint as day from sig) group by all having count(*) > 1""")
@@ -846,9 +892,15 @@ def _(s, d):
     return _r(_gates(s, d), ["null_rate", "outlier_rate", "interpolated_rate"])
 
 
-@query("q06_check_normalized", "select subject_id, signal_name, true as ok from sig group by all")
+@query(
+    "q06_check_normalized",
+    """select subject_id, signal_name, abs(avg(z)) <= 0.2 and (abs(stddev_pop(z) - 1) <= 0.2 or stddev_pop(z) <= 0.2) as ok from (select subject_id, signal_name, (value - m) / case when sd = 0 then 1 else sd end as z from sig left join
+    (select subject_id, signal_name, avg(value) as m, stddev_pop(value) as sd from sig where "timestamp" < 1296000 group by all) using (subject_id, signal_name)) group by all""",
+)
 def _(s, d):
-    return Q.check_normalized(C.normalize(A.signals(s, d), KEYS)[0], KEYS)
+    rows = A.signals(s, d)
+    params = C.normalize(rows.filter(F.col("timestamp") < 15 * A.DAY), KEYS)[1]  # of the first half, so that the check can fail
+    return Q.check_normalized(C.apply_params(rows, params, KEYS), KEYS, 0.2)
 
 
 @query("q07_quality_score", f"select signal_name, round(greatest(0, 1 - null_rate - outlier_rate - interpolated_rate) + 1e-9, 4) as score from ({SILVER})")
@@ -909,13 +961,12 @@ def _(s, d):
 @query(
     "q15_gate_report",
     """select 'bronze' as layer, 'duplicate keys' as gate, count(*)::double as value, 0.0::double as threshold, count(*) <= 0 as passed from (select 1 from sig group by subject_id, signal_name, "timestamp", event_id having count(*) > 1)
-    union all select 'silver', 'null rate', round(avg((value is null)::int) + 1e-9, 4), 0.05, round(avg((value is null)::int) + 1e-9, 4) <= 0.05 from gap union all select 'gold', 'leaking subjects', 0, 0, true""",
+    union all select 'silver', 'null rate', round(avg((value is null)::int) + 1e-9, 4), 0.05, round(avg((value is null)::int) + 1e-9, 4) <= 0.05 from gap union all select 'gold', 'leaking subjects', count(*)::double, 0.0, count(*) <= 0 from (""" + LEAKS + """)""",
 )
 def _(s, d):
     dup = Q.duplicates(A.signals(s, d), [*KEYS, *ORDER]).agg(F.count("*").alias("value"))
     nulls = A.gappy(s, d).agg(rounded(F.avg(F.col("value").isNull().cast("int"))).alias("value"))
-    folds = P.loso_folds(A.signals(s, d).select((F.col("subject_id") % 9).alias("subject_id")).distinct())
-    leaks = P.leakage(folds).agg(F.count("*").alias("value"))
+    leaks = _leaks(s, d).agg(F.count("*").alias("value"))
     return Q.gate_report([("bronze", "duplicate keys", dup, 0), ("silver", "null rate", nulls, 0.05), ("gold", "leaking subjects", leaks, 0)])
 
 
@@ -942,7 +993,11 @@ def _(s, d):
     return io.retain(rows, F.lit("2024-01-31 00:00:00").cast("timestamp"), 15).select("event_id")
 
 
-@query("s09_gold_roundtrip")
+@query(
+    "s09_gold_roundtrip",
+    "select subject_id, signal_name, window_start, n, " + ", ".join(f"round({c} + 1e-9, 4) as {c}" for c in X.STATISTICS) + """, case when share < 0.6::double then 'train' when share < 0.8::double then 'val' else 'test' end as split_set
+    from (select *, (row_number() over (partition by subject_id order by window_start, signal_name) - 1) / count(*) over (partition by subject_id)::double as share from st)""",
+)
 def _(s, d):
     import uuid
 
@@ -967,13 +1022,15 @@ def _(s, d):
     return io.read_samples(s, path).select(F.col("timestamp"), F.col("user_id").cast("long").alias("user_id"), "activity", "label", "heart_rate", "session_id")
 
 
-@query("s07_window_sink", "select session_id, window_no, count(*) as n, round(sum(value::float::double) + 1e-9, 2) as total from win group by all")
+@query(
+    "s07_window_sink",
+    """select session_id, user_id, window_no, y, n, total from (select session_id, window_no, count(*) as n, round(sum(value::float::double) + 1e-9, 2) as total, arg_min(user_id, rn) as user_id from win group by all) join maj using (session_id, window_no)""",
+)
 def _(s, d):
     path = _path(s, "windows")
-    io.write_windows(W.window_arrays(W.count_windows(_coded(s, d), SESSION, BY_TIME), SESSION, ["value", "code"]), path)
-    back = s.read.parquet(path)
+    io.write_windows(W.labelled_windows(W.count_windows(_coded(s, d), SESSION, BY_TIME), SESSION, ["value", "code"], "code"), path)
     total = F.aggregate("x", F.lit(0.0), lambda a, r: a + r[0].cast("double"))
-    return back.select("session_id", "window_no", F.size("x").cast("long").alias("n"), rounded(total, 2).alias("total"))
+    return io.read_windows(s, path).select("session_id", F.col("user_id").cast("long").alias("user_id"), "window_no", "y", F.size("x").cast("long").alias("n"), rounded(total, 2).alias("total"))
 
 
 @query("s08_event_log_sink", f"select session_id, round(pre_start_s + 1e-9, 4) as pre_start_s, round(recovery_end_s + 1e-9, 4) as recovery_end_s from ({LOG})")
@@ -1077,3 +1134,39 @@ def _(s, d):
 def _(s, d):
     rows = io.with_ingest_meta(A.signals(s, d), "2024-01-02 00:00:00", F.concat("signal_name", F.lit(".csv")))
     return rows.select("event_id", F.unix_seconds("_ingested_at").alias("ingested_s"), F.col("_source_file").alias("source_file"))
+
+
+# ---- signals to gold as one job
+
+GOLD = f"""with with_z as (select subject_id, signal_name, "timestamp", (value - avg(value) over w) / case when stddev_pop(value) over w = 0 then 1 else stddev_pop(value) over w end as z from (
+      select subject_id, signal_name, "timestamp", coalesce(value, case when nt - pt < 172800 then pv when nt - pt < 432000 then pv + (nv - pv) * ("timestamp" - pt) / nullif(nt - pt, 0) end) as value,
+        case when value is null then nt - pt end as g, event_id from ({NEAR})) where value is not null or g is null or g <= 864000 window w as (partition by subject_id, signal_name)),
+    zw as (select *, unnest(range(greatest(0, floor(("timestamp" - 604800) / 86400) + 1)::bigint, (floor("timestamp" / 86400) + 1)::bigint)) * 86400.0::double as window_start from with_z where z is not null),
+    wide as (select subject_id, window_start, {", ".join(f"round({f} filter (signal_name = '{g}') + 1e-9, 4) as {g}_{c}" for g in A.SIGNALS for c, f in (("mean", "avg(z)"), ("std", "stddev_pop(z)"), ("median", "quantile_cont(z, 0.5)")))} from zw group by all),
+    timed as (select w.*, coalesce(loc_ts - window_start, 0) as time_to_loc, loc_ts is not null as has_loc from wide w left join loc using (subject_id)),
+    labelled as (select *, case when has_loc and time_to_loc <= 259200 then 1 else 0 end as label from timed where not has_loc or time_to_loc >= 0)"""
+
+
+def gold(bronze: DataFrame, loc: DataFrame, signals: tuple[str, ...], size: int, stride: float, warn: float, ffill: float, linear: float, longest: float, seconds: float) -> DataFrame:
+    """Bronze signals to labelled features with splits: repeated keys out, short gaps filled and long ones out, z-scores,
+    window statistics side by side, time to the loss and label, temporal split. No table is collected; two runs over the
+    same bronze rows give the same rows.
+    """
+    known = C.dedup_latest(bronze, [*KEYS, *ORDER], [])
+    silver = C.drop_long_gaps(C.fill_gaps(known, KEYS, ORDER, ffill, linear, seconds=seconds), longest)
+    z = C.normalize(silver, KEYS)[0].select(*KEYS, "timestamp", F.col("z").alias("value"))
+    wide = X.pivot_features(X.sliding_stats(z, KEYS, size, stride), ["subject_id", "window_start"], signals)
+    return P.temporal_split(L.label_windows(L.time_to_loc(wide, loc), warn))
+
+
+@query(
+    "signals_to_gold",
+    f"""select * from ({GOLD} select subject_id, window_start, {", ".join(f"{g}_{c}" for g in A.SIGNALS for c in ("mean", "std", "median"))}, label, round(time_to_loc + 1e-9, 4) as time_to_loc,
+    case when share < 0.6::double then 'train' when share < 0.8::double then 'val' else 'test' end as split_set from (select *, (row_number() over (partition by subject_id order by window_start) - 1) / count(*) over (partition by subject_id)::double as share from labelled))""",
+)
+def _(s, d):
+    rows = A.gappy(s, d)
+    bronze = rows.unionByName(rows.filter(F.col("event_id") % 5 == 0))  # some files came twice
+    out = gold(bronze, A.loc(s, d), A.SIGNALS, 7, A.DAY, 3 * A.DAY, 2 * A.DAY, 5 * A.DAY, 10 * A.DAY, A.WEEK)
+    cols = [f"{g}_{c}" for g in A.SIGNALS for c in ("mean", "std", "median")]
+    return _r(out, [*cols, "time_to_loc"]).select("subject_id", "window_start", *cols, "label", "time_to_loc", "split_set")

@@ -84,8 +84,12 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_windows(df: DataFrame, path: str) -> None:
-    """Window arrays as Parquet, by user."""
-    df.write.mode("overwrite").parquet(path)
+    """Labelled window arrays as Parquet, one folder a user: session_id, user_id, window_no, y, x."""
+    df.select("session_id", "window_no", "y", "x", "user_id").write.mode("overwrite").partitionBy("user_id").parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("session_id", "user_id", "window_no", "y", "x")
 
 
 def write_event_log(df: DataFrame, path: str) -> None:
