@@ -261,7 +261,7 @@ def _candidates(small: int):
             if held > 200_000:
                 sig, node = np.concatenate(sigs), np.concatenate(nodes)
                 end = int(np.searchsorted(sig, sig[-1]))  # all but the last signature are complete
-                if len(np.unique(node[end : end + 20 * small])) > small:
+                if len(np.unique(node[end:])) > small:
                     crowded, end = sig[-1], len(sig)
                 if end:
                     yield paired(sig[:end], node[:end])
@@ -405,8 +405,13 @@ def jaccard_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5,
     text = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "name", "_fp", "text")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows bring a set once for each task
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 19):
+            fresh = []
+            for fp in whole["_fp"].to_pylist():
+                fresh.append(fp not in seen)
+                seen.add(fp)
+            for b in pieces(whole.filter(pa.array(fresh, pa.bool_())), "text", 1 << 19):
                 sets = shingles(b["text"].to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([b["cls"], b["name"], b["_fp"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "name", "by", "s"])
 
@@ -415,7 +420,7 @@ def jaccard_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5,
     blocks = dealt(sets, "cls", F.length("s") + 64, BLOCK_BYTES)
 
     def compared(t: pa.Table) -> pa.Table:
-        # repeated rows bring a set more than once
+        # a set may come from more than one task
         at = list({fp: k for k, fp in enumerate(t["by"].to_pylist())}.values())
         column = t["s"].take(pa.array(at))
         a, b = links_within([np.frombuffer(x.as_buffer(), np.uint64) for x in column], num, den)
