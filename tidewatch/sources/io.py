@@ -84,8 +84,9 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_windows(df: DataFrame, path: str) -> None:
-    """Labelled window arrays as Parquet, one folder a user: session_id, user_id, window_no, y, x."""
-    df.select("session_id", "window_no", "y", "x", "user_id").write.mode("overwrite").partitionBy("user_id").parquet(path)
+    """Window arrays with all their columns (session_id, user_id, window_no, y, x) as Parquet, one folder a user if users are known."""
+    by = ["user_id"] if "user_id" in df.columns else []
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
