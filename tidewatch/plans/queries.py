@@ -1170,3 +1170,22 @@ def _(s, d):
     out = gold(bronze, A.loc(s, d), A.SIGNALS, 7, A.DAY, 3 * A.DAY, 2 * A.DAY, 5 * A.DAY, 10 * A.DAY, A.WEEK)
     cols = [f"{g}_{c}" for g in A.SIGNALS for c in ("mean", "std", "median")]
     return _r(out, [*cols, "time_to_loc"]).select("subject_id", "window_start", *cols, "label", "time_to_loc", "split_set")
+
+
+# ---- samples to windows to the class table as one job
+
+
+@query(
+    "samples_to_classes",
+    """select split_set, y, count(*) as n, round(count(*) / sum(count(*)) over (partition by split_set) + 1e-9, 4) as share, round(sum(total) + 1e-9, 2) as total from (
+      select y, total, case when user_id % 10 < 2 then 'test' when user_id % 10 < 4 then 'val' else 'train' end as split_set from (
+        select session_id, window_no, sum(value::float::double) as total, arg_min(user_id, rn) as user_id from win group by all) join maj using (session_id, window_no)) group by split_set, y""",
+)
+def _(s, d):
+    """Coded samples, windows by count, majority labels, the sink by user, users dealt to splits, classes counted."""
+    path = _path(s, "classes")
+    io.write_windows(W.labelled_windows(W.count_windows(_coded(s, d), SESSION, BY_TIME), SESSION, ["value"], "code"), path)
+    rows = P.user_split(io.read_windows(s, path)).withColumn("total", F.aggregate("x", F.lit(0.0), lambda a, r: a + r[0].cast("double")))
+    g = rows.groupBy("split_set", "y").agg(F.count("*").alias("n"), rounded(F.sum("total"), 2).alias("total"))
+    whole = g.groupBy("split_set").agg(F.sum("n").alias("_all"))
+    return g.join(whole, "split_set").select("split_set", "y", "n", rounded(F.col("n") / F.col("_all")).alias("share"), "total")
