@@ -38,8 +38,8 @@ from .common import components, discard, join_hot, pieces, written
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 RATIO, SMALL = 1.5, 16
-#: Bytes of sets (or sketches) in a block: two blocks meet in a task.
-BLOCK_BYTES = 16 << 20
+#: Bytes and number of sets (or sketches) in a block at most: two blocks meet in a task.
+BLOCK_BYTES, BLOCK_SETS = 16 << 20, 1024
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -292,19 +292,44 @@ def _folded(s: np.ndarray, width: int) -> np.ndarray:
     return s
 
 
-def sketched_within(n: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs that may link: from each set reached, those not reached yet are compared to it."""
-    left = np.argsort(n, kind="stable")
+def sketched_within(n: np.ndarray, sketches: list[bytes], num: int, den: int, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that may link, all pairs of a block being compared as a matrix.
+
+    mine: only pairs of different values count. An edge joins two sets that a chain of such pairs joins.
+    """
+    near = np.zeros((len(n), len(n)), bool)
+    width = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    kinds = np.unique(width).tolist()
+    at = {w: np.flatnonzero(width == w) for w in kinds}
+    rows = {w: np.frombuffer(b"".join([sketches[i] for i in at[w]]), np.uint8).reshape(-1, w) for w in kinds}
+    for x in kinds:
+        for y in [w for w in kinds if w <= x]:
+            a, b = np.ascontiguousarray(_folded(rows[x], y)).view(np.uint64), rows[y].view(np.uint64)
+            step = max(1, (1 << 21) // b.size)
+            for start in range(0, len(a), step):
+                i, j = at[x][start : start + step], at[y]
+                n_i, n_j = n[i][:, None], n[j][None]
+                apart = np.bitwise_count(a[start : start + step, None] ^ b[None]).sum(2, dtype=np.int64)
+                hit = (apart <= (den - num) * (n_i + n_j) // (den + num)) & (den * np.minimum(n_i, n_j) >= num * np.maximum(n_i, n_j))
+                near[np.ix_(i, j)] = hit
+                near[np.ix_(j, i)] = hit.T
+    np.fill_diagonal(near, False)
+    if mine is not None:
+        near &= mine[:, None] != mine[None]
+    new = near.any(1)
     a, b = [], []
-    while len(left):
-        front, left = [int(left[-1])], left[:-1]
-        while front and len(left):
-            k = front.pop()
-            hit = may_link(np.full(len(left), n[k]), [sketches[k]] * len(left), n[left], [sketches[i] for i in left], num, den)
-            a.append(np.full(int(hit.sum()), k))
-            b.append(left[hit])
-            front.extend(left[hit].tolist())
-            left = left[~hit]
+    for k in np.flatnonzero(new).tolist():
+        if not new[k]:
+            continue
+        front, reached = np.array([k]), np.zeros(len(n), bool)
+        reached[k] = True
+        while len(front):
+            front = np.flatnonzero(near[front].any(0) & ~reached)
+            reached[front] = True
+        new &= ~reached
+        reached[k] = False
+        b.append(np.flatnonzero(reached))
+        a.append(np.full(len(b[-1]), k))
     return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
 
 
@@ -338,9 +363,11 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
 
 
 def dealt(rows: DataFrame, group: str, size: Column, most: int) -> DataFrame:
-    """rows in blocks: adds i <= j, a row once for each pair of its group's blocks that it is in. The blocks of a group
-    hold about `most` of size each, dealt by the hash of column `by`; a row larger than that is not split.
+    """rows in blocks: adds mine, the row's block, and i <= j, once for each pair of its group's blocks that it is in. The blocks of a group
+    hold about `most` of size and BLOCK_SETS rows each, dealt by the hash of column `by`; a row larger than that is not
+    split.
     """
+    size = F.greatest(size, F.lit(most // BLOCK_SETS))
     parts = rows.groupBy(group).agg(F.ceil(F.sum(size) / most).cast("int").alias("parts"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
     mine = F.pmod(F.xxhash64("by"), F.col("parts")).cast("int")
     return (
@@ -348,7 +375,7 @@ def dealt(rows: DataFrame, group: str, size: Column, most: int) -> DataFrame:
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        .drop("mine", "other", "parts")
+        .drop("other", "parts")
     )
 
 
@@ -392,13 +419,15 @@ def jaccard_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5,
 
     def forest(t: pa.Table) -> pa.Table:
         at = np.unique(t["by"].to_numpy(), return_index=True)[1]
-        name, n, sketches = t["by"].to_numpy()[at], t["n_by"].to_numpy()[at], t["s_by"].take(pa.array(at)).to_pylist()
-        a, b = sketched_within(n, sketches, num, den)
+        name, n, mine = (t[c].to_numpy()[at] for c in ("by", "n_by", "mine"))
+        between = mine if t["i"][0].as_py() != t["j"][0].as_py() else None
+        a, b = sketched_within(n, t["s_by"].take(pa.array(at)).to_pylist(), num, den, between)
         return pa.table({"a": name[a], "b": name[b]})
 
     few = pairs.filter("many = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(possible, "a long, b long")
     crowds = written(pairs.filter("many = 1").select(F.col("a").alias("by"), F.col("b").alias("sig")).join(side("by"), "by"))
-    crowded = dealt(crowds, "sig", F.length("s_by") + 64, BLOCK_BYTES).groupBy("sig", "i", "j").applyInArrow(forest, "a long, b long")
+    # dealt to all tasks: the work goes with the square of a block, not with its bytes
+    crowded = dealt(crowds, "sig", F.length("s_by") + 64, BLOCK_BYTES).repartition(parts, "sig", "i", "j").groupBy("sig", "i", "j").applyInArrow(forest, "a long, b long")
     classes = components(few.unionByName(crowded))
     discard(pairs, crowds)
     wanted = nodes.join(classes, "node").select(F.col("name.id").alias("_id"), F.col("key").alias("_key"), F.col("fp").alias("_fp"), "name", F.col("component").alias("cls"))
