@@ -101,17 +101,24 @@ def hot_keys(df: DataFrame, key: str, most: int = 500) -> tuple[DataFrame, int]:
 def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """big joined on key with small, which has one row for each key, without a hot key's rows meeting in one task.
 
-    Keys that hold more than 1/500 of big's rows are fewer than 500: their rows of small are broadcast, whatever the
-    size of the tables; all other keys go through Spark's own join. big should be a written table, as it is read twice.
+    how: inner or left. Keys that hold more than 1/500 of big's rows are fewer than 500: their rows of small are
+    broadcast, whatever the size of the tables; all other keys go through Spark's own join, and null keys through none.
+    big should be a written table, as it is read more than once.
     """
-    hot, total = hot_keys(big, key)
+    hot, _ = hot_keys(big.filter(F.col(key).isNotNull()), key)
     known = hot.select(key).collect()  # fewer than 500 rows, by the bound above
-    if not known:
-        return big.join(small, key, how)
-    keys = big.sparkSession.createDataFrame([tuple(r) for r in known], hot.select(key).schema)
-    few = F.broadcast(small.join(F.broadcast(keys), key, "left_semi"))
-    common = big.join(F.broadcast(keys), key, "left_semi").join(few, key, how)
-    return big.join(F.broadcast(keys), key, "left_anti").join(small, key, how).unionByName(common)
+    rest = [c for c in small.columns if c != key]
+    if known:
+        keys = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in known], hot.select(key).schema))
+        few = F.broadcast(small.join(keys, key, "left_semi"))
+        others = big.filter(F.col(key).isNotNull()).join(keys, key, "left_anti")
+        out = others.join(small, key, how).unionByName(big.join(keys, key, "left_semi").join(few, key, how))
+    else:
+        out = big.filter(F.col(key).isNotNull()).join(small, key, how)
+    if how == "left":
+        types = dict(small.dtypes)
+        out = out.unionByName(big.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in rest]))
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
