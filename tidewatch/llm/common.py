@@ -95,7 +95,7 @@ def hot_keys(df: DataFrame, key: str, most: int = 500) -> tuple[DataFrame, int]:
     """(key, rows) of the keys that hold more than 1/most of df's rows, so fewer than `most` of them; and df's rows."""
     total = df.count()
     counts = df.groupBy(key).agg(F.count("*").alias("rows"))
-    return counts.filter(F.col("rows") > F.lit(max(1000, total // most))), total
+    return counts.filter(F.col("rows") > F.lit(max(64, total // most))), total
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
