@@ -81,7 +81,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, y) -> (y, h): the distinct hashes of each text."""
     place = np.zeros(1 << BITS, np.int32)
     for whole in batches:
-        for b in pieces(whole, "text", 1 << 20):
+        for b in pieces(whole, "text", 1 << 18):
             h, ends = distinct_grams(b["text"].to_pylist(), place)
             yield pa.RecordBatch.from_arrays([b["y"], pa.ListArray.from_arrays(pa.array(ends), pa.array(h))], names=["y", "h"])
 
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         place = np.full(1 << BITS, -1, np.int32)
         place[model.kept] = np.arange(len(model.kept))
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 20):
+            for b in pieces(whole, "text", 1 << 18):
                 z = margins(b["text"].to_pylist(), model, place)
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=["doc_id", "score"])
 
