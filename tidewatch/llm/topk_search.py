@@ -149,7 +149,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
     cands = running_total(vectors.withColumn("down", -F.col("norm")), ["down", "vec_id"], None, "nth", ["vec_id", "v", "norm", chunk])
     queries = vectors.filter(is_query).dropDuplicates(["vec_id", "v"])
     blocks = max(1, -(-queries.count() // QUERIES))
-    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")))
+    # the first chunk is a written column: as a literal it would turn the join on it into a cross join
+    queries = written(queries.withColumns({"block": F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"), "chunk": F.lit(0)}))
     discard(vectors)
     chunks = cands.groupBy("chunk").agg(F.max("norm").alias("longest"))
     run = _searched(k, d, basis)
@@ -158,9 +159,9 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
         q = q.select("chunk", "block", "vec_id", "v", "least")
         return wanted(cands, q).groupBy("chunk", "block").cogroup(q.groupBy("chunk", "block")).applyInArrow(run, OUT)
 
-    first = written(visit(queries.withColumn("chunk", F.lit(0)).withColumn("least", F.lit(LEAST))))
+    first = written(visit(queries.withColumn("least", F.lit(LEAST))))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    rest = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", F.lit(LEAST)))
+    rest = queries.drop("chunk").join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", F.lit(LEAST)))
     # chunks descend in length, so a query visits them up to some number, told here from at most SPANS runs of chunks
     last = chunks.agg(F.max("chunk")).first()[0] or 0
     run_of = F.floor(F.col("chunk") / F.lit(-(-(last + 1) // SPANS)))
