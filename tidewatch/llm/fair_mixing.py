@@ -70,8 +70,8 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
 def _queued(sized: DataFrame, weights: Sequence[float], share: float, passes: int) -> DataFrame:
     """sized (doc_id, source, size, _h) with source_size, target, taken."""
     targets = written(source_targets(sized.select("source", "size"), weights, share, passes))
-    # a slice of one source has about SLICE_ROWS rows at most, however large the source is
-    slices = max(1, -(-sized.count() // SLICE_ROWS))
+    # a slice of one source has about SLICE_ROWS rows at most, however large the source is, and all tasks get slices
+    slices = max(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sized.count() // SLICE_ROWS))
     sized = sized.withColumn("_slice", F.pmod(F.col("_h"), F.lit(slices)))
     # running words of each source: within slices of its shuffled order, then what earlier slices hold
     key = ["source", "_slice"]
