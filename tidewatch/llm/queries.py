@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mixing, itq_dedup, nb_toxicity, partenum_join, pii_feistel, pu_quality, sentencepiece_bpe, topk_search, url_rules, warc_merkle
+from . import (
+    byte_sharding,
+    collocations,
+    conversation_repair,
+    fair_mixing,
+    itq_dedup,
+    nb_toxicity,
+    partenum_join,
+    pii_feistel,
+    pu_quality,
+    sentencepiece_bpe,
+    topk_search,
+    url_rules,
+    warc_merkle,
+)
 from .common import discard, table
 from .labelled import held_out
 
@@ -155,8 +169,101 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"), least=10, share=0.5, top=2000)
+
+
+OP11_SQL = r"""
+with t as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from t),
+f as (
+  select lang, k, phrase, count(*) as f from (
+    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, range(1, 4) r(k)
+  ) group by all
+), n as (select lang, sum(f) as n from f where k = 1 group by 1),
+c as (select *, string_split(phrase, ' ') as s, f as a from f where k > 1 and f >= 10),
+x as (
+  select c.lang, c.k, c.phrase, a, cut, l.f as l, r.f as r, (1000000 * a::hugeint * a) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, k)) as cut from c) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(s[1:cut], ' ') and l.k = cut join f r on r.lang = c.lang and r.phrase = array_to_string(s[cut + 1:], ' ') and r.k = c.k - cut
+), b as (select * from x qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+d as (select distinct lang, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) as phrase, a as longer from c where k = 3),
+kept as (select * from b where not exists (select 1 from d where d.lang = b.lang and d.phrase = b.phrase and b.k = 2 and 100 * longer >= 50 * a))
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(rows), rows)
+
+
+#: CRC-32 of a list of bytes b, by the usual table of 256 steps in the one-row table `crc`.
+CRC = "crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t)"
+CRC_OF = "xor(list_reduce({b}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295)"
+BYTES = "list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda h: ('0x' || h)::bigint)"
+
+#: The edits as a shortest path: one step for each row, insertions before it and at the end.
+OP12_SQL = f"""
+with recursive {CRC}, o as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {BYTES.format(s="coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} as b from conversations
+), d as (select *, {CRC_OF.format(b="b")} % 20 as k from o, crc),
+r as (
+  select conv_id, turn, case k when 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case k when 0 then [] when 3 then [1, 2] else [1] end) from d)
+), n as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from r
+), w as (
+  select *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as z, row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(role) over (partition by conv_id order by i) as prev from n
+), f as (
+  select *, z = '' as blank, z <> '' and again as duplicate, z <> '' and not again and z not in ('.', '!', '?') as truncated from w
+), s(p, l, q) as (values ('0', 's', 'S'), ('0', 'u', 'U'), ('S', 'u', 'U'), ('A', 'u', 'U'), ('U', 'a', 'A')),
+-- up to three insertions in a row lead anywhere that they can
+ins(p, q, cost, audit, said) as (
+  values ('0', '0', 0, '', []::varchar[]), ('S', 'S', 0, '', []), ('U', 'U', 0, '', []), ('A', 'A', 0, '', []), ('0', 'U', 2, 'I', ['user:']), ('0', 'A', 4, 'II', ['user:', 'assistant:']),
+    ('S', 'U', 2, 'I', ['user:']), ('S', 'A', 4, 'II', ['user:', 'assistant:']), ('U', 'A', 2, 'I', ['assistant:']), ('A', 'U', 2, 'I', ['user:'])
+), step as (
+  select conv_id, i, p, p as q, 3 as cost, 'D' as audit, []::varchar[] as said from f, (values ('0'), ('S'), ('U'), ('A')) v(p)
+  union all
+  select conv_id, i, p, q, case when role[1] = l then 0 else 2 end + truncated::int, case when role[1] = l then 'K' else 'R' end, [case when role[1] = l then role when l = 'u' then 'user' else 'assistant' end || ':' || text]
+  from f, s where not blank and not duplicate and (role[1] = l or l in ('u', 'a'))
+), path(conv_id, i, q, cost, audit, said) as (
+  select conv_id, 0::bigint, ins.q, ins.cost, ins.audit, ins.said from (select distinct conv_id from conversations), ins where ins.p = '0'
+  union all
+  select conv_id, i, q, b.cost, b.audit, b.said from (
+    select path.conv_id, step.i, ins.q, min({{'cost': path.cost + step.cost + ins.cost, 'audit': path.audit || step.audit || ins.audit, 'said': path.said || step.said || ins.said}}) as b
+    from path join step on path.conv_id is not distinct from step.conv_id and step.i = path.i + 1 and step.p = path.q join ins on ins.p = step.q group by 1, 2, 3
+  )
+), best as (
+  select path.conv_id, min({{'cost': cost, 'audit': audit, 'said': said}}) as b
+  from path join (select conv_id, max(i) as n from f group by 1 union all select conv_id, 0 from conversations group by 1 having conv_id not in (select conv_id from f)) e on path.conv_id is not distinct from e.conv_id and i = n
+  where q in ('0', 'A') group by 1
+), g as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (prev is not null and coalesce(prev[1], '') || coalesce(role[1], '') not in ('su', 'ua', 'au')) as illegal from f group by 1
+)
+select best.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  b.cost::bigint as cost, b.audit as audit, sha256(array_to_string(b.said, chr(10))) as repaired_sha256 from best left join g on g.conv_id is not distinct from best.conv_id
+"""
+
+
+def op13_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = byte_sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP13_SQL = f"""
+with {CRC}, s as (
+  select doc_id, strlen(coalesce(text, ''))::bigint + 8 as size, {CRC_OF.format(b="b")}::bigint as text_crc32 from (select *, {BYTES.format(s="coalesce(text, '')")} as b from documents), crc
+), p as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) as upto, sum(size) over () as whole from s),
+h as (select *, least(23, (24 * (2 * upto - size)) // (2 * whole))::integer as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as slot, null::integer as grown_shard from h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_merkle, op2_url_rules, op3_itq_dedup, op4_pii_feistel, op5_topk_search, op6_pu_quality, op7_nb_toxicity, op8_partenum_join, op9_fair_mixing, op10_sentencepiece)
+    for f in (op1_warc_merkle, op2_url_rules, op3_itq_dedup, op4_pii_feistel, op5_topk_search, op6_pu_quality, op7_nb_toxicity, op8_partenum_join, op9_fair_mixing, op10_sentencepiece, op11_collocations, op12_conversation_repair, op13_byte_sharding)
 }
-SQL: dict[str, str] = {"op1_warc_merkle": OP1_SQL, "op2_url_rules": OP2_SQL, "op3_itq_dedup": OP3_SQL, "op8_partenum_join": OP8_SQL, "op5_topk_search": OP5_SQL}
+SQL: dict[str, str] = {"op1_warc_merkle": OP1_SQL, "op2_url_rules": OP2_SQL, "op3_itq_dedup": OP3_SQL, "op8_partenum_join": OP8_SQL, "op5_topk_search": OP5_SQL, "op11_collocations": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_byte_sharding": OP13_SQL}
