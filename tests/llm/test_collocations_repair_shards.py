@@ -9,10 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
-from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_sharding, collocations, common, conversation_repair, queries
+from tidewatch.llm import byte_sharding, collocations, conversation_repair, queries
 
 # ---- collocations
 
@@ -69,45 +67,50 @@ def test_collocations_of_small_buffers_and_long_texts(spark, monkeypatch):
     batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": "a b c. d e f g h i j. k"}, {"lang": "de", "text": "x" * 30 + " y"}, {"lang": "en", "text": ""}])
     got = list(collocations._buffers(iter([batch]), 12))
     assert [t for t, _, _ in got] == [b"a b c.", b" d e f g h i j.", b" k", b"x" * 30 + b" y"]
-    rows = prose(5, 20)
-    want = list(collocations._counted(iter([pa.RecordBatch.from_pylist([{"lang": a or "und", "text": b or ""} for a, b in rows])]), 0))
-    monkeypatch.setattr(collocations, "BUFFER", 700)
-    parts = list(collocations._counted(iter([pa.RecordBatch.from_pylist([{"lang": a or "und", "text": b or ""} for a, b in rows])]), 0))
+    rows = pa.RecordBatch.from_pylist([{"lang": a or "und", "text": b or ""} for a, b in prose(5, 20)])
 
-    def edges(batches):
+    def edges():
         c = Counter()
-        for b in batches:
+        for b in collocations._edges(iter([rows]), 0):
             for r in b.to_pylist():
                 p = r["path"]
-                grams = [tuple(p[i : i + 3]) for i in range(len(p) - 2)] if r["kind"] == collocations.EDGE else [(r["kind"], *p)]
-                for g in grams:
-                    c[g] += r["n"]
+                for i in range(max(1, len(p) - 2)):
+                    c[tuple(p[i : i + 3])] += r["n"]
         return c
 
-    assert edges(parts) == edges(want) and len(parts) > len(want)
+    want = edges()
+    monkeypatch.setattr(collocations, "BUFFER", 700)
+    assert edges() == want
 
 
 def test_unary_paths_travel_as_one_row():
     h = np.arange(100, 200)
     text = np.array([*range(20), 50, *range(20), 51], np.int64)
     piece = np.array([0] * 21 + [1] * 21)
-    edges = [b for b in collocations._graph(text, piece, h) if b["kind"][0].as_py() == collocations.EDGE]
-    got = sorted((r["n"], r["path"]) for b in edges for r in b.to_pylist())
+    got = sorted((r["n"], r["path"]) for b in collocations._graph(text, piece, h) for r in b.to_pylist() if len(r["path"]) > 2)
     assert got == [(1, [118, 119, 150]), (1, [118, 119, 151]), (2, list(range(100, 120)))]
 
 
 def test_words_with_one_hash_are_counted_anew(spark, monkeypatch):
-    real = xxhash.xxh3_64_intdigest
-    bad = lambda x, seed=0: real(b"same" if x in (b"w0", b"w1") else x, seed) if seed == real(b"en", 0) else real(x, seed)
-    monkeypatch.setattr(collocations.xxhash, "xxh3_64_intdigest", bad)
     rows = [(a, b) for a, b in prose(7, 15) if a == "en"]
-    local = spark.createDataFrame([(0, [5], 0, "en", "w0"), (0, [5], 0, "en", "w1"), (0, [6], 0, "en", "w2")], collocations.SCHEMA)
-    assert collocations._dictionary(local) is None
-    assert collocations._dictionary(local.filter("word <> 'w1'")).count() == 2
-    tries = []
-    kept = collocations._local
-    monkeypatch.setattr(collocations, "_local", lambda docs, seed: tries.append(seed) or (kept(docs, seed) if seed else common.written(kept(docs, 1).withColumn("path", F.when(F.col("kind") == 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("path"))))))
-    assert mined(spark, rows, least=2) == phrases(rows, 2, 0.5, 2000) and tries == [0, 1]
+    want, tries = phrases(rows, 2, 0.5, 2000), []
+    real = collocations._entries
+
+    def one_hash(batches, seed):  # as if all words of the first seed shared a hash
+        for b in real(batches, seed):
+            yield b if seed else b.set_column(0, "h", pa.array([b["h"][0].as_py()] * b.num_rows))
+
+    monkeypatch.setattr(collocations, "_entries", one_hash)
+    hot = collocations._hot
+    monkeypatch.setattr(collocations, "_hot", lambda t, seed: tries.append(seed) or hot(t, seed))
+    assert mined(spark, rows, least=2) == want and tries == [0, 1]
+
+
+def test_a_hot_pair_is_dealt_out(spark, monkeypatch):
+    rows = [("en", " ".join(f"a b x{i * 40 + j}" for j in range(40)) + " a b c a b c.") for i in range(60)]
+    texts = collocations._texts(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(collocations._hot(texts, 0)) >= 1
+    assert mined(spark, rows, least=10) == phrases(rows, 10, 0.5, 2000)
 
 
 def test_no_collocations(spark):

@@ -6,12 +6,12 @@ nodes: a pair occurs as often as its out-edges say, plus the pieces that end wit
 that begin with it, plus the pieces that end with it.
 
 A task builds the graph of some megabytes of text as numpy arrays and compacts its unary paths - edges of one weight in a
-row, with no other edge in or out between them - so that a path leaves the task as one row. Edges are then summed up over
-all tasks by key, with map-side combine, and sums of a node's edges once more, so that neither a frequent pair nor a
-frequent word is whole in one task.
+row, with no other edge in or out between them - so that a path leaves the task as one row. Edges then meet by their
+first node and are summed up there, and so is the node's flow. Nodes that have many different edges in a sample are
+split by the last word, so that no frequent pair is whole in one task; words are summed up with map-side combine.
 
-Words travel as 64-bit hashes of (language, word). Two words with one hash would add up their counts: the table that leads
-hashes back to words shows it, and everything is counted anew with another seed.
+Words travel as 64-bit hashes of (language, word). Two words with one hash would add up their counts: a second pass, which
+looks up the spelling of frequent hashes in the texts, shows it, and everything is counted anew with another seed.
 
 Defined cases: a null text has no words; a null language is `und`, one with the literal name; repeated rows count each;
 texts of any length are whole (they are cut at the ends of pieces only); an empty table gives no rows; other columns are
@@ -20,8 +20,9 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,19 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, written
+from .common import discard, written
 
-EDGE, PAIR_END, WORD_END, ENTRY = 3, 2, 1, 0
 #: Bytes of text whose graph a task builds at once.
 BUFFER = 16 << 20
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = _BREAK
+#: A word, to the JVM: neither blanks nor ends of pieces.
+TOKEN = r"[^\x20\x09\x0A-\x0D.,;:!?]+"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SCHEMA = "kind int, path array<bigint>, n bigint, lang string, word string"
-_ARROW = pa.schema([("kind", pa.int32()), ("path", pa.list_(pa.int64())), ("n", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
+EDGES = "path array<bigint>, n bigint"
+ENTRIES = "h bigint, lang string, word string"
+#: Bytes of text that each task gives to the sample in which nodes with most edges are looked for; the sample decides
+#: where edges are summed up, not which.
+SAMPLE = 1 << 20
 
 
 def _buffers(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, list[int], list[str]]]:
@@ -96,21 +101,23 @@ def _words(text: bytes, starts: list[int], langs: list[str]) -> tuple[np.ndarray
     return word, piece, names[known // max(1, len(tokens.dictionary))], tokens.dictionary, known % max(1, len(tokens.dictionary))
 
 
-def _rows(kind: int, flat: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(flat: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
-    path = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-    none = pa.nulls(len(sizes), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int32)), path, pa.array(n.astype(np.int64)), none, none], schema=_ARROW)
+    rows = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(n.astype(np.int64))], names=["path", "n"])
+    for i in range(0, rows.num_rows, 1 << 18):
+        yield rows.slice(i, 1 << 18)
 
 
 def _graph(word: np.ndarray, piece: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The edges of a buffer's graph as compacted paths, and the words and pairs that end its pieces, all with counts."""
+    """A buffer's graph as rows (path, n): compacted paths of edges, of three words and more, and the pairs and single
+    words that end its pieces.
+    """
     n, v = len(word), len(h)
     together = piece[1:] == piece[:-1]
     ends = np.append(~together, True)[:n]
     code, known = pd.factorize(word[ends])
-    yield _rows(WORD_END, h[known], np.ones(len(known), np.int64), np.bincount(code, minlength=len(known)))
+    yield from _rows(h[known], np.ones(len(known), np.int64), np.bincount(code, minlength=len(known)))
     # a pair of neighbours begins at each position of `pairs`
     pairs = np.flatnonzero(together)
     if not len(pairs):
@@ -119,7 +126,7 @@ def _graph(word: np.ndarray, piece: np.ndarray, h: np.ndarray) -> Iterator[pa.Re
     node[pairs], pair = pd.factorize(word[pairs] * v + word[pairs + 1])
     code, known = pd.factorize(node[pairs[ends[pairs + 1]]])
     flat = np.stack([h[pair[known] // v], h[pair[known] % v]], 1).ravel()
-    yield _rows(PAIR_END, flat, np.full(len(known), 2), np.bincount(code, minlength=len(known)))
+    yield from _rows(flat, np.full(len(known), 2), np.bincount(code, minlength=len(known)))
     at = pairs[~ends[pairs + 1]]
     if not len(at):
         return
@@ -134,69 +141,93 @@ def _graph(word: np.ndarray, piece: np.ndarray, h: np.ndarray) -> Iterator[pa.Re
     size = np.diff(np.append(head, len(first))) + 2
     begin = np.cumsum(size) - size
     flat = h[word[np.repeat(first[head] - begin, size) + np.arange(size.sum())]]
-    yield _rows(EDGE, flat, size, weight[head])
+    yield from _rows(flat, size, weight[head])
+
+
+def _hashes(lang: np.ndarray, spelling: pa.Array, at: np.ndarray, seed: int) -> tuple[np.ndarray, list[bytes]]:
+    """Hashes and spellings of the word ids; a language's hash is the seed of its words' hashes."""
+    seeds = {x: xxhash.xxh3_64_intdigest(x.encode(), seed) for x in set(lang)}
+    names = spelling.take(pa.array(at)).cast(pa.binary()).to_pylist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for w, x in zip(names, lang, strict=True)), np.uint64, len(names)).view(np.int64), names
 
 
-def _counted(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for text, starts, langs in _buffers(batches, BUFFER):
         word, piece, lang, spelling, at = _words(text, starts, langs)
-        if not len(word):
-            continue
-        seeds = {x: xxhash.xxh3_64_intdigest(x.encode(), seed) for x in set(lang)}
-        names = spelling.take(pa.array(at)).cast(pa.binary()).to_pylist()
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for w, x in zip(names, lang, strict=True)), np.uint64, len(names)).view(np.int64)
-        # a language's hash is the seed of its words' hashes, so a word has another hash in each language
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), ENTRY, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32)), pa.array(h)), pa.array(np.zeros(len(h), np.int64)), pa.array(list(lang), pa.string()), pa.array(names, pa.binary()).cast(pa.string())],
-            schema=_ARROW,
-        )
-        for rows in _graph(word, piece, h):
+        if len(word):
+            yield from _graph(word, piece, _hashes(lang, spelling, at, seed)[0])
+
+
+def _first_edges(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    for text, starts, langs in islice(_buffers(batches, SAMPLE), 1):
+        word, piece, lang, spelling, at = _words(text, starts, langs)
+        if len(word):
+            yield from _graph(word, piece, _hashes(lang, spelling, at, seed)[0])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    for text, starts, langs in _buffers(batches, BUFFER):
+        word, _, lang, spelling, at = _words(text, starts, langs)
+        if len(word):
+            h, names = _hashes(lang, spelling, at, seed)
+            rows = pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(lang), pa.string()), pa.array(names, pa.binary()).cast(pa.string())], names=["h", "lang", "word"])
             for i in range(0, rows.num_rows, 1 << 18):
                 yield rows.slice(i, 1 << 18)
 
 
-def _local(docs: DataFrame, seed: int) -> DataFrame:
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    return written(texts.mapInArrow(partial(_counted, seed=seed), SCHEMA))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
 
-def _dictionary(local: DataFrame) -> DataFrame | None:
-    """(h, lang, word), or None where two words share a hash."""
-    entry = F.struct("lang", "word")
-    both = written(local.filter(F.col("kind") == ENTRY).groupBy(F.col("path")[0].alias("h")).agg(F.min(entry).alias("w"), F.max(entry).alias("x")))
-    if both.filter("w <> x").limit(1).count():
-        discard(both)
-        return None
-    return both.select("h", "w.lang", "w.word")
+def _grams(texts: DataFrame, seed: int, edges: Callable = _edges) -> DataFrame:
+    """(h1, h2, h3, n): the edges of all buffers' graphs, the pairs (h3 null) and words (h2 null) that end pieces."""
+    width = F.greatest(F.size("path") - 2, F.lit(1))
+    parts = F.arrays_zip(*[F.slice("path", F.lit(i), width).alias(f"h{i}") for i in (1, 2, 3)])
+    return texts.mapInArrow(partial(edges, seed=seed), EDGES).select("n", F.inline(parts)).toDF("n", "h1", "h2", "h3")
+
+
+def _hot(texts: DataFrame, seed: int) -> list[int]:
+    """Hashes of the nodes with more than 1/500 of the edges of a sample: fewer than 500."""
+    edges = written(_grams(texts, seed, _first_edges).filter("h3 is not null").select(F.xxhash64("h1", "h2").alias("node")))
+    found = [r[0] for r in edges.groupBy("node").count().filter(F.col("count") > F.lit(max(64, edges.count() // 500))).collect()]
+    discard(edges)
+    return found
 
 
 def counts(docs: DataFrame, least: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(words, grams) of docs (lang, text): words (h, lang, word, f) with each word's count; grams (h1, h2, h3, f) with the
-    pairs (h3 null) and triples that occur at least `least` times. Both are written tables.
+    """(words, grams) of docs (lang, text), what occurs at least `least` times: words (h, lang, word, f); grams
+    (h1, h2, h3, f), pairs with h3 null. Both are written tables.
+
+    Edges meet at their first node, where they give the counts of triples and, in the same task, of the pair; what is
+    frequent goes on with the flow of each first word. The edges of hot nodes are dealt out by their last word too.
     """
-    with scratch() as keep:
-        while True:
-            local = _local(docs, seed)
-            names = _dictionary(local)
-            if names is not None:
-                break
-            seed += 1
-        size = F.size("path")
-        path = F.col("path")
-        slices = [F.slice(path, F.lit(i), size - 2).alias(f"h{i}") for i in (1, 2, 3)]
-        edges = local.filter(F.col("kind") == EDGE).select("n", F.inline(F.arrays_zip(*slices))).toDF("n", "h1", "h2", "h3")
-        edges = edges.groupBy("h1", "h2", "h3").agg(F.sum("n").alias("f"))
+    texts = _texts(docs)
+    while True:
+        hot = _hot(texts, seed)
+        node = F.xxhash64("h1", "h2")
+        salt = F.when(node.isin(hot), F.pmod("h3", F.lit(64))) if hot else F.lit(None).cast("long")
+        edges = _grams(texts, seed).withColumn("salt", F.coalesce(salt, F.lit(-1))).repartition("h1", "h2", "salt")
+        edges = edges.groupBy("h1", "h2", "h3", "salt").agg(F.sum("n").alias("f"))
         none = F.lit(None).cast("long")
-        # an edge counts for its first node; a frequent one goes on as itself too
-        ways = F.array(F.struct(none.alias("h3"), "f"), F.when(F.col("f") >= least, F.struct("h3", "f")))
-        flows = edges.select("h1", "h2", F.explode(ways).alias("e")).filter("e is not null").select("h1", "h2", "e.h3", "e.f")
-        ends = local.filter(F.col("kind") == PAIR_END).select(path[0].alias("h1"), path[1].alias("h2"), none.alias("h3"), F.col("n").alias("f"))
-        grams = written(flows.unionByName(ends).groupBy("h1", "h2", "h3").agg(F.sum("f").alias("f")))
-        last = local.filter(F.col("kind") == WORD_END).select(path[0].alias("h"), F.col("n").alias("f"))
-        flow = grams.filter("h3 is null").select(F.col("h1").alias("h"), "f").unionByName(last).groupBy("h").agg(F.sum("f").alias("f"))
-        words = keep(written(flow.join(names, "h").select("h", "lang", "word", "f")))
-        often = keep(written(grams.filter(F.col("f") >= least)))
-    return words, often
+        whole = F.col("salt") < 0
+        # an edge adds to its node's flow, and goes on as itself if it is frequent
+        out = F.array(F.struct(none.alias("h3"), "f"), F.when(F.col("h3").isNotNull() & (F.col("f") >= least), F.struct("h3", "f")))
+        nodes = edges.select("h1", "h2", "salt", F.explode(out).alias("e")).filter("e is not null").select("h1", "h2", "e.h3", "salt", "e.f")
+        nodes = nodes.groupBy("h1", "h2", "salt", "h3").agg(F.sum("f").alias("f"))
+        # a pair adds to its first word's flow, once, and goes on as itself if it is frequent, or a part of a hot one
+        stays = F.col("h2").isNotNull() & ((F.col("f") >= least) | ~whole)
+        up = F.array(F.when(F.col("h3").isNull(), F.struct(none.alias("h2"), none.alias("h3"), "f")), F.when(stays, F.struct("h2", "h3", "f")))
+        flows = nodes.select("h1", F.explode(up).alias("e")).filter("e is not null").select("h1", "e.h2", "e.h3", "e.f")
+        grams = written(flows.groupBy("h1", "h2", "h3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+        often = grams.filter("h2 is null").select(F.col("h1").alias("h"), "f")
+        entry = F.struct("lang", "word")
+        names = texts.mapInArrow(partial(_entries, seed=seed), ENTRIES).repartition("h").join(often, "h")
+        words = written(names.groupBy("h").agg(F.min(entry).alias("w"), F.max(entry).alias("x"), F.first("f").alias("f")))
+        # two words with one hash, one of them frequent or both together: their counts are mixed up
+        if not words.filter("w <> x").limit(1).count():
+            return words.select("h", "w.lang", "w.word", "f"), grams.filter("h2 is not null")
+        discard(grams, words)
+        seed += 1
 
 
 def mine(docs: DataFrame, least: int = 10, share: float = 0.5, top: int = 2000) -> DataFrame:
@@ -207,9 +238,8 @@ def mine(docs: DataFrame, least: int = 10, share: float = 0.5, top: int = 2000)
     at least `share` of its count is left out. Order: score and a descending, phrase by bytes.
     """
     words, grams = counts(docs, least)
-    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.filter(F.col("f") >= least)
-    side = lambda i: often.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"), *(["lang"] if i == 1 else []))
+    n = _texts(docs).groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(TOKEN))).alias("n"))
+    side = lambda i: words.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"), *(["lang"] if i == 1 else []))
     pairs = grams.filter("h3 is null").select("h1", "h2", F.col("f").alias("a")).join(side(1), "h1").join(side(2), "h2")
     pairs = written(pairs)
     triples = grams.filter("h3 is not null").withColumnRenamed("f", "a")
