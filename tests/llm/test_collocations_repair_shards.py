@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,11 @@ def test_collocations_of_small_buffers_and_long_texts(spark, monkeypatch):
     assert [t for t, _, _ in got] == [b"a b c.", b" d e f g h i j.", b" k", b"x" * 30 + b" y"]
     rows = pa.RecordBatch.from_pylist([{"lang": a or "und", "text": b or ""} for a, b in prose(5, 20)])
 
+    every = SimpleNamespace(value=np.full(4, -1, np.int64).view(np.uint64))
+
     def edges():
         c = Counter()
-        for b in collocations._edges(iter([rows]), 0):
+        for b in collocations._edges(iter([rows]), 0, every):
             for r in b.to_pylist():
                 p = r["path"]
                 for i in range(max(1, len(p) - 2)):
@@ -102,14 +105,22 @@ def test_words_with_one_hash_are_counted_anew(spark, monkeypatch):
 
     monkeypatch.setattr(collocations, "_entries", one_hash)
     hot = collocations._hot
-    monkeypatch.setattr(collocations, "_hot", lambda t, seed: tries.append(seed) or hot(t, seed))
-    assert mined(spark, rows, least=2) == want and tries == [0, 1]
+    monkeypatch.setattr(collocations, "_hot", lambda t, seed, bits: tries.append(seed) or hot(t, seed, bits))
+    assert mined(spark, rows, least=2) == want and tries == [1]
+
+
+def test_filter_of_frequent_words(spark):
+    h = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3000)
+    bits = collocations._filter_bits(spark.createDataFrame([(int(x),) for x in h], "h long"))
+    others = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 3000)
+    assert collocations._bright(h, bits).all() and collocations._bright(others, bits).mean() < 0.01
 
 
 def test_a_hot_pair_is_dealt_out(spark, monkeypatch):
     rows = [("en", " ".join(f"a b x{i * 40 + j}" for j in range(40)) + " a b c a b c.") for i in range(60)]
     texts = collocations._texts(spark.createDataFrame(rows, "lang string, text string"))
-    assert len(collocations._hot(texts, 0)) >= 1
+    every = spark.sparkContext.broadcast(np.full(4, -1, np.int64).view(np.uint64))
+    assert len(collocations._hot(texts, 0, every)) >= 1
     assert mined(spark, rows, least=10) == phrases(rows, 10, 0.5, 2000)
 
 

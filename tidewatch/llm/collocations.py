@@ -10,8 +10,10 @@ row, with no other edge in or out between them - so that a path leaves the task
 first node and are summed up there, and so is the node's flow. Nodes that have many different edges in a sample are
 split by the last word, so that no frequent pair is whole in one task; words are summed up with map-side combine.
 
-Words travel as 64-bit hashes of (language, word). Two words with one hash would add up their counts: a second pass, which
-looks up the spelling of frequent hashes in the texts, shows it, and everything is counted anew with another seed.
+Words travel as 64-bit hashes of (language, word). Two words with one hash would add up their counts: a first pass over
+words, which also finds the rare ones, shows it, and is made anew with another seed. No frequent phrase has a rare word, so
+pieces are cut at rare words too. Which words are rare is told by a bit filter of bounded size; a rare word that it lets
+through costs time only.
 
 Defined cases: a null text has no words; a null language is `und`, one with the literal name; repeated rows count each;
 texts of any length are whole (they are cut at the ends of pieces only); an empty table gives no rows; other columns are
@@ -20,7 +22,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import islice
 
@@ -28,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ TOKEN = r"[^\x20\x09\x0A-\x0D.,;:!?]+"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 EDGES = "path array<bigint>, n bigint"
-ENTRIES = "h bigint, lang string, word string"
+ENTRIES = "h bigint, lang string, word string, n bigint"
 #: Bytes of text that each task gives to the sample in which nodes with most edges are looked for; the sample decides
 #: where edges are summed up, not which.
 SAMPLE = 1 << 20
@@ -151,18 +154,22 @@ def _hashes(lang: np.ndarray, spelling: pa.Array, at: np.ndarray, seed: int) ->
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for w, x in zip(names, lang, strict=True)), np.uint64, len(names)).view(np.int64), names
 
 
-def _edges(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    for text, starts, langs in _buffers(batches, BUFFER):
-        word, piece, lang, spelling, at = _words(text, starts, langs)
-        if len(word):
-            yield from _graph(word, piece, _hashes(lang, spelling, at, seed)[0])
+def _bright(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash may be that of a frequent word."""
+    at = h.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _first_edges(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    for text, starts, langs in islice(_buffers(batches, SAMPLE), 1):
+def _edges(batches: Iterator[pa.RecordBatch], seed: int, bits: Broadcast, sample: bool = False) -> Iterator[pa.RecordBatch]:
+    buffers = islice(_buffers(batches, SAMPLE), 1) if sample else _buffers(batches, BUFFER)
+    for text, starts, langs in buffers:
         word, piece, lang, spelling, at = _words(text, starts, langs)
         if len(word):
-            yield from _graph(word, piece, _hashes(lang, spelling, at, seed)[0])
+            h = _hashes(lang, spelling, at, seed)[0]
+            # a rare word is in no frequent phrase, so it ends a piece
+            stays = _bright(h, bits.value)[word]
+            if stays.any():
+                yield from _graph(word[stays], (piece + np.cumsum(~stays))[stays], h)
 
 
 def _entries(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +177,7 @@ def _entries(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Record
         word, _, lang, spelling, at = _words(text, starts, langs)
         if len(word):
             h, names = _hashes(lang, spelling, at, seed)
-            rows = pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(lang), pa.string()), pa.array(names, pa.binary()).cast(pa.string())], names=["h", "lang", "word"])
+            rows = pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(lang), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.bincount(word))], names=["h", "lang", "word", "n"])
             for i in range(0, rows.num_rows, 1 << 18):
                 yield rows.slice(i, 1 << 18)
 
@@ -179,55 +186,75 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
 
-def _grams(texts: DataFrame, seed: int, edges: Callable = _edges) -> DataFrame:
+def _grams(texts: DataFrame, seed: int, bits: Broadcast, sample: bool = False) -> DataFrame:
     """(h1, h2, h3, n): the edges of all buffers' graphs, the pairs (h3 null) and words (h2 null) that end pieces."""
     width = F.greatest(F.size("path") - 2, F.lit(1))
     parts = F.arrays_zip(*[F.slice("path", F.lit(i), width).alias(f"h{i}") for i in (1, 2, 3)])
-    return texts.mapInArrow(partial(edges, seed=seed), EDGES).select("n", F.inline(parts)).toDF("n", "h1", "h2", "h3")
+    return texts.mapInArrow(partial(_edges, seed=seed, bits=bits, sample=sample), EDGES).select("n", F.inline(parts)).toDF("n", "h1", "h2", "h3")
 
 
-def _hot(texts: DataFrame, seed: int) -> list[int]:
+def _hot(texts: DataFrame, seed: int, bits: Broadcast) -> list[int]:
     """Hashes of the nodes with more than 1/500 of the edges of a sample: fewer than 500."""
-    edges = written(_grams(texts, seed, _first_edges).filter("h3 is not null").select(F.xxhash64("h1", "h2").alias("node")))
+    edges = written(_grams(texts, seed, bits, True).filter("h3 is not null").select(F.xxhash64("h1", "h2").alias("node")))
     found = [r[0] for r in edges.groupBy("node").count().filter(F.col("count") > F.lit(max(64, edges.count() // 500))).collect()]
     discard(edges)
     return found
 
 
+def _frequent(texts: DataFrame, least: int, seed: int) -> tuple[DataFrame, int]:
+    """(h, w: lang and word) of the words that occur at least `least` times, and a seed with which no two share a hash."""
+    while True:
+        entry = F.struct("lang", "word")
+        each = texts.mapInArrow(partial(_entries, seed=seed), ENTRIES).repartition("h").groupBy("h")
+        words = written(each.agg(F.sum("n").alias("f"), F.min(entry).alias("w"), F.max(entry).alias("x")).filter(F.col("f") >= least))
+        # two words with one hash, one of them frequent or both together
+        if not words.filter("w <> x").limit(1).count():
+            return words.select("h", "w"), seed
+        discard(words)
+        seed += 1
+
+
+def _filter_bits(words: DataFrame) -> np.ndarray:
+    """A bit for the last bits of each hash: 2 to 16 MB, whatever the number of words; more words than bits set them all."""
+    n = 1 << min(27, max(24, (64 * words.count()).bit_length()))
+    at = F.col("h").bitwiseAND(n - 1)
+    rows = words.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    bits = np.zeros(n >> 6, np.uint64)
+    for part in rows.toLocalIterator():
+        bits[part["i"]] = np.uint64(part["b"] & 0xFFFFFFFFFFFFFFFF)
+    return bits
+
+
 def counts(docs: DataFrame, least: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(words, grams) of docs (lang, text), what occurs at least `least` times: words (h, lang, word, f); grams
     (h1, h2, h3, f), pairs with h3 null. Both are written tables.
 
-    Edges meet at their first node, where they give the counts of triples and, in the same task, of the pair; what is
-    frequent goes on with the flow of each first word. The edges of hot nodes are dealt out by their last word too.
+    A first pass looks for rare words, at which pieces are cut, as no frequent phrase has one. Edges meet at their first
+    node, where they give the counts of triples and, in the same task, of the pair; what is frequent goes on with the flow
+    of each first word. The edges of hot nodes are dealt out by their last word too.
     """
     texts = _texts(docs)
-    while True:
-        hot = _hot(texts, seed)
-        node = F.xxhash64("h1", "h2")
-        salt = F.when(node.isin(hot), F.pmod("h3", F.lit(64))) if hot else F.lit(None).cast("long")
-        edges = _grams(texts, seed).withColumn("salt", F.coalesce(salt, F.lit(-1))).repartition("h1", "h2", "salt")
-        edges = edges.groupBy("h1", "h2", "h3", "salt").agg(F.sum("n").alias("f"))
-        none = F.lit(None).cast("long")
-        whole = F.col("salt") < 0
-        # an edge adds to its node's flow, and goes on as itself if it is frequent
-        out = F.array(F.struct(none.alias("h3"), "f"), F.when(F.col("h3").isNotNull() & (F.col("f") >= least), F.struct("h3", "f")))
-        nodes = edges.select("h1", "h2", "salt", F.explode(out).alias("e")).filter("e is not null").select("h1", "h2", "e.h3", "salt", "e.f")
-        nodes = nodes.groupBy("h1", "h2", "salt", "h3").agg(F.sum("f").alias("f"))
-        # a pair adds to its first word's flow, once, and goes on as itself if it is frequent, or a part of a hot one
-        stays = F.col("h2").isNotNull() & ((F.col("f") >= least) | ~whole)
-        up = F.array(F.when(F.col("h3").isNull(), F.struct(none.alias("h2"), none.alias("h3"), "f")), F.when(stays, F.struct("h2", "h3", "f")))
-        flows = nodes.select("h1", F.explode(up).alias("e")).filter("e is not null").select("h1", "e.h2", "e.h3", "e.f")
-        grams = written(flows.groupBy("h1", "h2", "h3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
-        often = grams.filter("h2 is null").select(F.col("h1").alias("h"), "f")
-        entry = F.struct("lang", "word")
-        names = texts.mapInArrow(partial(_entries, seed=seed), ENTRIES).repartition("h").join(often, "h")
-        words = written(names.groupBy("h").agg(F.min(entry).alias("w"), F.max(entry).alias("x"), F.first("f").alias("f")))
-        # two words with one hash, one of them frequent or both together: their counts are mixed up
-        if not words.filter("w <> x").limit(1).count():
-            return words.select("h", "w.lang", "w.word", "f"), grams.filter("h2 is not null")
-        discard(grams, words)
-        seed += 1
+    names, seed = _frequent(texts, least, seed)
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(names))
+    hot = _hot(texts, seed, bits)
+    # never a constant, so that the column stays part of the partitioning
+    cold = F.pmod("h1", F.lit(1)) - 1
+    salt = F.when(F.xxhash64("h1", "h2").isin(hot) & F.col("h3").isNotNull(), F.pmod("h3", F.lit(64))).otherwise(cold) if hot else cold
+    edges = _grams(texts, seed, bits).withColumn("salt", salt).repartition("h1", "h2", "salt")
+    edges = edges.groupBy("h1", "h2", "h3", "salt").agg(F.sum("n").alias("f"))
+    none = F.lit(None).cast("long")
+    # an edge adds to its node's flow, and goes on as itself if it is frequent
+    out = F.array(F.struct(none.alias("h3"), "f"), F.when(F.col("h3").isNotNull() & (F.col("f") >= least), F.struct("h3", "f")))
+    nodes = edges.select("h1", "h2", "salt", F.explode(out).alias("e")).filter("e is not null").select("h1", "h2", "e.h3", "salt", "e.f")
+    nodes = nodes.groupBy("h1", "h2", "salt", "h3").agg(F.sum("f").alias("f"))
+    # a pair adds to its first word's flow, once, and goes on as itself if it is frequent, or a part of a hot one
+    part = F.xxhash64("h1", "h2").isin(hot) if hot else F.lit(False)
+    stays = F.col("h2").isNotNull() & ((F.col("f") >= least) | part)
+    up = F.array(F.when(F.col("h3").isNull(), F.struct(none.alias("h2"), none.alias("h3"), "f")), F.when(stays, F.struct("h2", "h3", "f")))
+    flows = nodes.select("h1", F.explode(up).alias("e")).filter("e is not null").select("h1", "e.h2", "e.h3", "e.f")
+    grams = written(flows.groupBy("h1", "h2", "h3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+    words = written(grams.filter("h2 is null").select(F.col("h1").alias("h"), "f").join(names, "h").select("h", "w.lang", "w.word", "f"))
+    return words, grams.filter("h2 is not null")
 
 
 def mine(docs: DataFrame, least: int = 10, share: float = 0.5, top: int = 2000) -> DataFrame:
