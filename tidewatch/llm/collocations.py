@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 #: Bytes of text whose graph a task builds at once.
-BUFFER = 16 << 20
+BUFFER = 12 << 20
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
