@@ -1,7 +1,12 @@
 """Files, idempotent appends and streams against the batch answer."""
 
 import inspect
+import random
+import time
+from datetime import datetime, timedelta
+from multiprocessing.pool import ThreadPool
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,16 +79,69 @@ def test_stream_alerts(spark, tmp_path):
     p = [0.9, 0.9, 0.9, 0.9, 0.1, 0.9]
     df = spark.createDataFrame([(1, f"2024-01-01 00:00:0{i}", x) for i, x in enumerate(p)], "user_id long, ts string, p double").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "a"))
-    out = drained(T.stream_alerts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "a"))), "t_alerts")
+    rows = spark.readStream.schema(df.schema).parquet(str(tmp_path / "a")).withWatermark("ts", "0 seconds")
+    out = drained(T.stream_alerts(rows), "t_alerts")
     assert [(r["ts"].second, r["state"]) for r in out.orderBy("ts").collect()] == [(2, "raised"), (4, "cleared")]
 
 
+def test_alerts_of_unordered_batches_are_those_of_the_ordered_rows(spark, tmp_path):
+    """Rows up to 50 s late, dealt over twelve micro-batches, several at one time: the batch answer, ties by id."""
+    rng, base = random.Random(1), datetime(2024, 1, 1)
+    rows = [(u * 1000 + i, u, base + timedelta(seconds=rng.randrange(0, 600)), rng.choice([0.1, 0.9, 0.9])) for u in range(5) for i in range(120)]
+    rows.sort(key=lambda r: r[2] + timedelta(seconds=rng.uniform(0, 50)))
+    late = (9999, 0, base - timedelta(hours=1), 0.9)  # after the watermark: dropped
+    schema = "event_id long, user_id long, ts timestamp, p double"
+    for k in range(12):
+        spark.createDataFrame(rows[k * 50 : (k + 1) * 50] + [late] * (k == 8), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "60 seconds")
+    got = sorted((r["user_id"], r["ts"], r["state"]) for r in drained(T.stream_alerts(stream, 3, 0.5, "event_id"), "t_unordered").collect())
+    want, closed = [], max(r[2] for r in rows) - timedelta(seconds=60)
+    for u in range(5):
+        run, on = 0, False
+        for _, _, ts, p in sorted((r for r in rows if r[1] == u), key=lambda r: (r[2], r[0])):
+            run = run + 1 if p >= 0.5 else 0
+            if (run >= 3 and not on) or (on and not run):
+                on = not on
+                want.append((u, ts, "raised" if on else "cleared"))
+    assert got == sorted(w for w in want if w[1] <= closed) and len(got) > 50
+
+
 def test_gold_sink_is_safe_to_replay(spark, tmp_path):
     rows = spark.createDataFrame([(1, "hr", 0.0, 60.0)], "subject_id int, signal_name string, timestamp double, value double")
     rows.write.parquet(str(tmp_path / "in"))
     for k in range(2):  # a new checkpoint replays everything
         T.stream_gold(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "gold"), str(tmp_path / f"cp{k}")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "gold")).count() == 1
+    assert io.read_bronze(spark, str(tmp_path / "gold")).count() == 1
+
+
+def test_appends_at_the_same_time_add_each_key_once(spark, tmp_path):
+    path = str(tmp_path / "bronze")
+    rows = lambda lo, hi: spark.range(lo, hi).select((F.col("id") % 5).cast("int").alias("subject_id"), F.lit("hr").alias("signal_name"), F.col("id").cast("double").alias("timestamp"), F.lit(1.0).alias("value"))
+    with ThreadPool(4) as pool:
+        pool.map(lambda k: io.append_bronze(rows(100 * k, 100 * k + 300), path), range(4))
+    table = io.read_bronze(spark, path)
+    assert table.count() == table.select(*io.BRONZE_KEY).distinct().count() == 600
+    version = io._latest(spark, path)[0]
+    assert not io._commit(spark, path, version, ["other"]) and io._latest(spark, path)[0] == version
+    assert io.append_bronze(rows(0, 600), path).count() == 600 and io._latest(spark, path)[0] == version
+
+
+def test_a_writer_that_fails_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bronze")
+    row = lambda t: spark.createDataFrame([(1, "hr", t, 60.0)], "subject_id int, signal_name string, timestamp double, value double")
+    io.append_bronze(row(0.0), path)
+    monkeypatch.setattr(io, "_commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        io.append_bronze(row(1.0), path)
+    assert io.read_bronze(spark, path).count() == 1
+
+
+def test_window_files_follow_bytes_and_not_users(spark, tmp_path):
+    w = spark.range(4000).select(F.lit("s").alias("session_id"), F.col("id").alias("user_id"), F.lit(0).alias("window_no"), F.lit(1).alias("y"), F.array(F.array(F.lit(1.0).cast("float"))).alias("x"))
+    io.write_windows(w, str(tmp_path / "w"))
+    assert io.read_windows(spark, str(tmp_path / "w")).exceptAll(w).count() == 0
+    assert len(list((tmp_path / "w").rglob("*.parquet"))) <= 40
 
 
 def test_models(spark, tmp_path):
@@ -97,6 +155,13 @@ def test_models(spark, tmp_path):
     got = scores.collect()
     assert len(got) == 80 and np.mean([(r["p"] > 0.5) == r["y"] for r in got]) > 0.8 and weights.count() == 2
     svm = M.loso_svm(df, M.Svm(frequencies=100, steps=20), folds=[1]).collect()
+    one = M.loso_rf(df, M.Forest(trees=4), at_once=1)
+    many = M.loso_rf(df, M.Forest(trees=4), at_once=3)
+    assert sorted(one[0].collect()) == sorted(many[0].collect()) and one[0].count() == 240 and sorted(one[1].collect()) == sorted(many[1].collect())
+    # the summary of importances, by SQL over the written ones
+    one[1].write.parquet(str(tmp_path / "imp"))
+    want = duckdb.sql(f"select feature, avg(importance), stddev_pop(importance) from '{tmp_path}/imp/*.parquet' group by 1 order by 2 desc, 1").fetchall()
+    assert [tuple(r) for r in M.importance_summary(one[1]).collect()] == [pytest.approx(w) for w in want]
     assert np.mean([(r["p"] > 0.5) == r["y"] for r in svm]) > 0.8
     flat = df.select("label", F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
     M.fit_pipeline(flat, ["a", "b"], str(tmp_path / "m"), M.Forest(trees=5))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.chunks import running_sum
+from ..operators.chunks import joined, running_sum
+from ..operators.quantiles import exact_quantiles
 
 # Label codes of the sample table.
 LABEL_CODES = {"normal": 0, "pre_syncope": 1, "syncope": 2, "recovery": 3}
@@ -71,9 +72,9 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame
 
 
 def center_on_median(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Adds <col>_centered, the deviation from the median of the keys."""
-    med = df.groupBy(*keys).agg(F.percentile(col, F.lit(0.5)).alias("_median"))
-    return df.join(med, list(keys)).withColumn(f"{col}_centered", F.col(col) - F.col("_median")).drop("_median")
+    """Adds <col>_centered, the deviation from the exact median of the keys, which may be of any size."""
+    med = exact_quantiles(df, keys, col, {"_median": 0.5}).select(*keys, "_median")
+    return joined(df, med, keys).withColumn(f"{col}_centered", F.col(col) - F.col("_median")).drop("_median")
 
 
 def user_offsets(df: DataFrame, col: str) -> DataFrame:

@@ -94,3 +94,20 @@ def with_margins(df: DataFrame, keys: Sequence[str], order: Sequence[str], befor
     low = F.greatest(F.lit(0), F.floor((F.col("rn") - after) / rows)).cast("long")
     high = F.least(F.floor((F.col("n_rows") - 1) / rows), F.floor((F.col("rn") + before) / rows)).cast("long")
     return numbered.withColumn("block", F.explode(F.sequence(low, high))).withColumn("own", F.col("block") == here)
+
+
+def with_steps(df: DataFrame, low: str, high: str, out: str, keys: Sequence[str]) -> DataFrame:
+    """df, one row for each value of keys, once for each whole number from low to high, in column out (long).
+
+    First the chunks of 65,536 numbers, in turn by chunks of chunks, which are dealt out to all tasks; then the numbers
+    inside a chunk. So no array has more than 65,536 entries up to 2^48 numbers, and no task makes a whole span's.
+    """
+    size = 1 << 16
+    n = F.col(high) - F.col(low)  # numbers counted from low: 0 to n
+    part = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), upto.cast("long")))
+    big = df.filter(F.col(high) >= F.col(low)).withColumn("_i", part(F.floor(n / (size * size))))
+    inside = F.least(F.floor((n - F.col("_i") * (size * size)) / size), F.lit(size - 1))
+    chunk = big.withColumn("_j", part(inside)).withColumn("_from", F.col("_i") * (size * size) + F.col("_j") * size)
+    dealt = chunk.repartition(*[F.col(k) for k in keys], "_i", "_j")
+    rows = dealt.withColumn("_s", part(F.least(n - F.col("_from"), F.lit(size - 1))))
+    return rows.withColumn(out, F.col(low) + F.col("_from") + F.col("_s")).drop("_i", "_j", "_from", "_s")

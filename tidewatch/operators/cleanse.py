@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK_SECONDS, joined, last_valid, neighbours, row_index, running_sum, with_margins
+from .chunks import CHUNK_SECONDS, joined, last_valid, neighbours, row_index, running_sum, with_margins, with_steps
+from .quantiles import exact_quantiles
 
 #: Rows of a session that one task works on.
 BLOCK_ROWS = 100_000
@@ -97,8 +99,8 @@ def missing_policy(df: DataFrame, rules: DataFrame, window_keys: Sequence[str],
 
 
 def flag_iqr(df: DataFrame, keys: Sequence[str], k: float = 3.0, lower: bool = False) -> DataFrame:
-    """Adds is_outlier: above Q3 + k IQR of the key (lower: or below Q1 - k IQR)."""
-    q = df.groupBy(*keys).agg(F.percentile("value", F.lit(0.25)).alias("_q1"), F.percentile("value", F.lit(0.75)).alias("_q3"))
+    """Adds is_outlier: above Q3 + k IQR of the key (lower: or below Q1 - k IQR), by exact quartiles of keys of any size."""
+    q = exact_quantiles(df, keys, "value", {"_q1": 0.25, "_q3": 0.75}).select(*keys, "_q1", "_q3")
     span = (F.col("_q3") - F.col("_q1")) * k
     out = F.col("value") > F.col("_q3") + span
     if lower:
@@ -146,16 +148,36 @@ def upsample_linear(df: DataFrame, blocks: DataFrame, keys: Sequence[str], order
     return both.withColumn(out, F.when(F.col("_lastb").isNotNull(), value)).select(*df.columns, "rn", out)
 
 
-def regular_grid(df: DataFrame, keys: Sequence[str], step: float, col: str = "timestamp") -> DataFrame:
+def regular_grid(df: DataFrame, keys: Sequence[str], step: float, col: str = "timestamp", longest: float | None = None) -> DataFrame:
     """One row for each step from the key's first to its last instant; instants without a sample have nulls.
 
-    Instants are counted in whole steps, so no sum of fractions drifts.
+    Instants are counted in whole steps, so no sum of fractions drifts; samples without a time are left out. longest: a
+    stretch of more than so many seconds without samples stays empty, so a stray time far from all others is a row and not
+    a million; `grid_breaks` reports such stretches. Steps are made chunk by chunk (chunks.with_steps), by many tasks.
     """
-    n = df.withColumn("_k", F.round(F.col(col) / step).cast("long"))
-    span = n.groupBy(*keys).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-    grid = span.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).select(*keys, "_k")
+    n = df.filter(F.col(col).isNotNull()).withColumn("_k", F.round(F.col(col) / step).cast("long"))
     rest = [c for c in df.columns if c not in keys and c != col]
-    return grid.join(n.select(*keys, "_k", *rest), [*keys, "_k"], "left").withColumn(col, F.col("_k") * step).drop("_k")
+    by = [*keys, "_run"]
+    n = n.withColumn("_run", F.lit(0).cast("long")) if longest is None else _grid_runs(n, keys, longest / step)
+    span = n.groupBy(*by).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+    grid = with_steps(span, "_lo", "_hi", "_k", by).select(*keys, "_k")
+    same = reduce(lambda a, b: a & b, [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, "_k"]])
+    met = grid.alias("g").join(n.select(*keys, "_k", *rest).alias("s"), same, "left")
+    return met.select(*[F.col(f"g.{k}").alias(k) for k in keys], *[F.col(f"s.{c}").alias(c) for c in rest], (F.col("g._k") * step).alias(col))
+
+
+def _grid_runs(n: DataFrame, keys: Sequence[str], most: float) -> DataFrame:
+    """Adds _run, which grows where a key's instants _k lie more than `most` steps apart."""
+    near = neighbours(n.withColumn("_at", F.col("_k").cast("double")), keys, ["_at"], ["_k"])
+    new = (F.col("_k") - F.col("before._k") > F.lit(float(most))).cast("long")
+    fresh = near.withColumn("_new", F.coalesce(new, F.lit(0))).drop("before", "after")
+    return running_sum(fresh, keys, ["_at"], F.col("_new"), "_run").drop("_new", "_at")
+
+
+def grid_breaks(df: DataFrame, keys: Sequence[str], longest: float, col: str = "timestamp") -> DataFrame:
+    """(keys, start, end) of each stretch of more than `longest` seconds between neighbouring samples."""
+    near = gaps(df.filter(F.col(col).isNotNull()).select(*keys, col), keys, [col])
+    return near.filter(F.col("gap_after") > longest).select(*keys, F.col(col).alias("start"), (F.col(col) + F.col("gap_after")).alias("end"))
 
 
 def normalize(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -4,20 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import joined, running_sum
 
-def _by_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, p, pos, neg): counts at each distinct score, so that one huge fold is summed before it is sorted."""
-    return df.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+
+#: Ranges of score into which a fold is cut; a range is one task's work.
+RANGES = 4096
+
+
+def _by_score(df: DataFrame, keys: Sequence[str], descending: bool = False) -> DataFrame:
+    """(keys, p, pos, neg, pos_upto, neg_upto, n_pos, n_neg): counts at each distinct score, running counts up to and with
+    it in order of score, and the totals.
+
+    A fold is summed up by score first; its scores are then swept in ranges, each by itself, with the counts of the
+    ranges before carried over by one row each, so no fold is sorted whole in one task. A null score is lowest.
+    """
+    g = df.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    ends = g.groupBy(*keys).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
+    share = (F.col("p") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    at = F.coalesce(share, F.lit(0.0)) * RANGES
+    at = F.when(F.col("p").isNull(), F.lit(-1.0)).when(F.isnan(at), F.lit(float(RANGES + 1))).otherwise(at)
+    order = F.when(F.col("p").isNull(), F.lit(float("-inf"))).otherwise(F.col("p"))
+    g = joined(g, ends, keys).withColumns({"_at": -at if descending else at, "_p": -order if descending else order})
+    for side in ("pos", "neg"):
+        g = running_sum(g, keys, ["_at", "_p"], F.col(side), f"{side}_upto", 1.0, f"n_{side}")
+    return g.drop("_lo", "_hi", "_at", "_p")
 
 
 def fold_auc(df: DataFrame, fold: str = "fold") -> DataFrame:
     """(fold, auc): ties count half; null where a class is missing."""
-    s = _by_score(df, [fold])
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(fold).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
+    s = _by_score(df, [fold]).withColumn("won", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     g = s.groupBy(fold).agg(F.sum("won").alias("w"), F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     return g.select(fold, (F.col("w") / F.nullif(F.col("a") * F.col("b"), F.lit(0))).alias("auc"))
 
@@ -81,11 +99,8 @@ def class_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def roc_curve(df: DataFrame, fold: str = "fold") -> DataFrame:
     """(fold, threshold, tpr, fpr) at each distinct score, from the highest down."""
-    s = _by_score(df, [fold])
-    w = Window.partitionBy(fold).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(fold)
-    rate = lambda c: F.sum(c).over(w) / F.nullif(F.sum(c).over(total), F.lit(0))
-    return s.select(fold, F.col("p").alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"))
+    rate = lambda c: F.col(f"{c}_upto") / F.nullif(F.col(f"n_{c}"), F.lit(0))
+    return _by_score(df, [fold], True).select(fold, F.col("p").alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr"))
 
 
 def worst_errors(df: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:

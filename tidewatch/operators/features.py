@@ -52,19 +52,23 @@ def sliding_moments(df: DataFrame, keys: Sequence[str], size: int, stride: float
 def sliding_stats(df: DataFrame, keys: Sequence[str], size: int, stride: float, time: str = "timestamp", extra: bool = False) -> DataFrame:
     """window_stats of windows of size strides, one starting at each stride >= 0, with window_start.
 
-    Rows are first summed up by stride bucket, with the bucket's values as an array; only buckets are put in `size`
-    windows and merged. The percentiles are read off the sorted values of the window.
+    The windows that start in one block of `size` strides need the values of that block and of the next one, so a value
+    crosses the shuffle at most twice, however much windows overlap. A block's values are sorted once; each window takes
+    its own from them in that order, and its order statistics are places in what it took.
     """
-    b = df.filter((F.col(time) >= 0) & F.col("value").isNotNull()).withColumn("_b", F.floor(F.col(time) / stride).cast("long"))
-    b = b.groupBy(*keys, "_b").agg(
-        F.count("value").alias("_n"), F.avg("value").alias("_m"), (F.var_pop("value") * F.count("value")).alias("_d"), F.collect_list("value").alias("_v")
-    )
-    w = b.withColumn("_k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - (size - 1)).cast("long"), F.col("_b"))))
-    g = w.groupBy(*keys, "_k").agg(F.collect_list(F.struct("_n", "_m", "_d", "_v")).alias("_parts"))
-    total = lambda f: F.aggregate("_parts", F.lit(0.0), f)
-    g = g.withColumns({"n": F.aggregate("_parts", F.lit(0).cast("long"), lambda a, p: a + p["_n"]), "_sorted": F.array_sort(F.flatten(F.transform("_parts", lambda p: p["_v"])))})
-    g = g.withColumn("mean", total(lambda a, p: a + p["_n"] * p["_m"]) / F.col("n"))
-    g = g.withColumn("std", F.sqrt(total(lambda a, p: a + p["_d"] + p["_n"] * (p["_m"] - F.col("mean")) * (p["_m"] - F.col("mean"))) / F.col("n")))
+    v = df.filter((F.col(time) >= 0) & F.col("value").isNotNull()).select(*keys, F.floor(F.col(time) / stride).cast("long").alias("_b"), F.col("value").cast("double").alias("_v"))
+    block = F.floor(F.col("_b") / size).cast("long")
+    # own block, and the one before unless no window that starts there reaches the value
+    reaches = (block > 0) & (F.col("_b") % size < size - 1)
+    blocks = v.withColumn("_g", F.explode(F.when(reaches, F.array(block, block - 1)).otherwise(F.array(block))))
+    g = blocks.groupBy(*keys, "_g").agg(F.sort_array(F.collect_list(F.struct("_v", "_b"))).alias("_all"), F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+    first, last = F.greatest(F.col("_g") * size, F.col("_lo") - (size - 1)), F.least(F.col("_g") * size + (size - 1), F.col("_hi"))
+    w = g.withColumn("_k", F.explode(F.sequence(first, last)))
+    inside = F.filter("_all", lambda x: (x["_b"] >= F.col("_k")) & (x["_b"] < F.col("_k") + size))
+    w = w.select(*keys, "_k", F.transform(inside, lambda x: x["_v"]).alias("_sorted")).withColumn("n", F.size("_sorted").cast("long")).filter("n > 0")
+    total = lambda f: F.aggregate("_sorted", F.lit(0.0), f)
+    w = w.withColumn("mean", total(lambda a, x: a + x) / F.col("n"))
+    w = w.withColumn("std", F.sqrt(total(lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("n")))
 
     def at(q: float) -> Column:
         place = (F.col("n") - 1) * F.lit(q)
@@ -73,7 +77,7 @@ def sliding_stats(df: DataFrame, keys: Sequence[str], size: int, stride: float,
         return a + (c - a) * (place - low)
 
     values = {"min": F.element_at("_sorted", 1), "max": F.element_at("_sorted", -1), "median": at(0.5), "p25": at(0.25), "p75": at(0.75)}
-    out = g.select(*keys, (F.col("_k") * F.lit(float(stride))).alias("window_start"), "n", "mean", "std", *[c.alias(k) for k, c in values.items()])
+    out = w.select(*keys, (F.col("_k") * F.lit(float(stride))).alias("window_start"), "n", "mean", "std", *[c.alias(k) for k, c in values.items()])
     if extra:
         out = out.withColumn("range", F.col("max") - F.col("min")).withColumn("cv", F.col("std") / F.nullif(F.col("mean"), F.lit(0.0)))
     return out

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import new_path, written
 from .evaluate import fold_results, fold_summary, sensitivity_bins
-from .splits import apply_fold_scale_raw, fold_scale_raw, folds_of, loso_filter
+from .splits import apply_fold_scale_raw, fold_scale_raw, fold_weights, folds_of, loso_filter
+
+T_ = TypeVar("T_")
 
 
 @dataclass
@@ -35,21 +40,83 @@ class Svm:
     seed: int = 42
 
 
-def loso_rf(df: DataFrame, cfg: Forest = Forest(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id") -> tuple[DataFrame, DataFrame]:
-    """(scores, importances) of a random forest for each fold.
+#: Folds whose fits run at the same time; each fit is a row of Spark jobs, so the cluster is shared among so many.
+AT_ONCE = 4
+
+
+def _each_fold(spark: SparkSession, folds: Sequence, run: Callable[[object], T_], at_once: int = AT_ONCE) -> list[T_]:
+    """run(fold) of every fold, at_once of them side by side, in the order of folds."""
+    with ThreadPool(max(1, min(at_once, len(folds)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), list(folds))
+
+
+def _table(parts: Sequence[str], spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def _scores_schema(df: DataFrame, key: str, id_col: str) -> T.StructType:
+    return T.StructType([T.StructField("fold", df.schema[key].dataType), T.StructField(id_col, df.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("p", T.DoubleType())])
+
+
+class _Folds:
+    """A labelled table, written once, and its folds: each a filter, scaled and weighted by its own training side."""
+
+    def __init__(self, df: DataFrame, key: str, id_col: str, folds: Sequence | None, scaled: bool, weighted: bool, raw: str | None) -> None:
+        self.spark, self.key, self.id_col, self.schema = df.sparkSession, key, id_col, _scores_schema(df, key, id_col)
+        column = raw or "features"
+        self.data = written(df.select(key, id_col, F.col("label").cast("double").alias("label"), F.col(column).alias("features")), "folds")
+        self.steps = raw is not None
+        self.folds = list(folds) if folds is not None else folds_of(self.data, key)
+        moments = fold_scale_raw(self.data, key, "features", self.steps) if scaled else None
+        # a few numbers for each fold that is fitted
+        self.moments = moments and written(moments, "moments")
+        self.weights = written(fold_weights(self.data, key), "weights") if weighted else None
+        self.path = new_path(self.spark, "scores")
+
+    def sides(self, fold: object) -> list[DataFrame]:
+        """Training and test side: features (scaled, one array of numbers), label, weight."""
+        both = loso_filter(self.data, fold, self.key)
+        if self.moments is not None:
+            both = apply_fold_scale_raw(self.data, self.moments, fold, self.key, "features", self.steps)
+        if self.steps:
+            both = [x.withColumn("features", F.flatten("features")) for x in both]
+        found = self.weights and self.weights.filter(F.col("fold") == fold).select("pos_weight").first()
+        w = F.when(F.col("label") == 1, F.lit(float(found[0]))).otherwise(1.0) if found and found[0] else F.lit(1.0)
+        return [x.withColumn("weight", w) for x in both]
+
+    def write(self, fold: object, k: int, scored: DataFrame) -> str:
+        """The fold's scores as a table of their own, so that nothing fits or scores again when they are read."""
+        out = scored.select(F.lit(fold).cast(self.schema["fold"].dataType).alias("fold"), self.id_col, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+        out.write.parquet(f"{self.path}/{k}")
+        return f"{self.path}/{k}"
 
-    df: key, id_col, label, features (array). scores: fold, id_col, y, p. importances: fold, feature, importance.
+    def scores(self, parts: Sequence[str]) -> DataFrame:
+        return _table(parts, self.spark, self.schema)
+
+
+def loso_rf(
+    df: DataFrame, cfg: Forest = Forest(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id",
+    scaled: bool = False, weighted: bool = False, raw: str | None = None, at_once: int = AT_ONCE,
+) -> tuple[DataFrame, DataFrame]:
+    """(scores, importances) of a random forest for each fold, fitted side by side.
+
+    df: key, id_col, label, features (array). scores: fold, id_col, y, p. importances: fold, feature, importance. scaled: by
+    the training side's moments; weighted: positives weigh negatives / positives of the training side; raw: a column of
+    windows (arrays of time steps of channels) to take in place of features, scaled by channel over all steps.
     """
-    data = df.select(key, id_col, F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
-    scores, weights = [], []
-    for fold in folds if folds is not None else folds_of(df, key):
-        train, test = loso_filter(data, fold, key)
-        rf = RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.depth, minInstancesPerNode=cfg.leaf, seed=cfg.seed).fit(train)
-        p = vector_to_array("probability")[1]
-        scores.append(rf.transform(test).select(F.lit(fold).alias("fold"), id_col, F.col("label").cast("int").alias("y"), p.alias("p")))
-        weights += [(fold, k, float(v)) for k, v in enumerate(rf.featureImportances.toArray())]
+    whole = _Folds(df, key, id_col, folds, scaled, weighted, raw)
+
+    def fit(k: int) -> tuple[str, list[tuple]]:
+        fold = whole.folds[k]
+        train, test = (x.withColumn("features", array_to_vector("features")) for x in whole.sides(fold))
+        # a forest's draws depend on the order of rows, which that of files is not
+        train = train.repartition(int(whole.spark.conf.get("spark.sql.shuffle.partitions")), key, id_col).sortWithinPartitions(key, id_col)
+        rf = RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.depth, minInstancesPerNode=cfg.leaf, seed=cfg.seed, weightCol="weight").fit(train)
+        return whole.write(fold, k, rf.transform(test)), [(fold, j, float(v)) for j, v in enumerate(rf.featureImportances.toArray())]
+
+    done = _each_fold(whole.spark, range(len(whole.folds)), fit, at_once)
     schema = T.StructType([T.StructField("fold", df.schema[key].dataType), T.StructField("feature", T.IntegerType()), T.StructField("importance", T.DoubleType())])
-    return reduce(DataFrame.unionByName, scores), df.sparkSession.createDataFrame(weights, schema)
+    return whole.scores([p for p, _ in done]), df.sparkSession.createDataFrame([w for _, ws in done for w in ws], schema)
 
 
 def fourier_features(df: DataFrame, d: int, gamma: float, cfg: Svm, col: str = "features", out: str = "rff") -> DataFrame:
@@ -69,26 +136,37 @@ def fourier_features(df: DataFrame, d: int, gamma: float, cfg: Svm, col: str = "
     return df.withColumn(out, project(col))
 
 
-def loso_svm(df: DataFrame, cfg: Svm = Svm(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id") -> DataFrame:
-    """(fold, id_col, y, p) of an RBF support vector machine for each fold.
+def loso_svm(
+    df: DataFrame, cfg: Svm = Svm(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id",
+    weighted: bool = False, raw: str | None = None, at_once: int = AT_ONCE,
+) -> DataFrame:
+    """(fold, id_col, y, p) of an RBF support vector machine for each fold, fitted side by side.
 
     Features are scaled by the fold's training side. An approximation: a linear machine on random Fourier features with
     gamma = 1 / (features * variance), and the probability from a logistic fit on its margin. MLlib's objective is the
-    mean hinge loss plus half its regParam times |w|^2, so a machine's C is regParam = 1 / (C rows).
+    mean hinge loss plus half its regParam times |w|^2, so a machine's C is regParam = 1 / (C rows). weighted, raw: as in
+    loso_rf.
     """
-    d = len(df.select("features").first()["features"])
-    data = df.select(key, id_col, F.col("label").cast("double").alias("label"), "features")
-    moments = fold_scale_raw(data, key, "features")
-    out = []
-    for fold in folds if folds is not None else folds_of(df, key):
-        sides = apply_fold_scale_raw(data, moments, fold, key, "features", steps=False)
-        var = sides[0].select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
+    whole = _Folds(df, key, id_col, folds, True, weighted, raw)
+
+    def fit(k: int) -> str:
+        fold = whole.folds[k]
+        sides = whole.sides(fold)
+        d, n, var = _shape(sides[0])
         lifted = [fourier_features(x, d, 1 / (d * var), cfg).withColumn("v", array_to_vector("rff")) for x in sides]
-        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, sides[0].count())), standardization=False, rawPredictionCol="raw", predictionCol="hard").fit(lifted[0])
+        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, n)), standardization=False, rawPredictionCol="raw", predictionCol="hard", weightCol="weight").fit(lifted[0])
         margins = [svm.transform(x).withColumn("margin", F.array(vector_to_array("raw")[1])).withColumn("m", array_to_vector("margin")).drop("raw", "hard") for x in lifted]
         platt = LogisticRegression(featuresCol="m", labelCol="label", maxIter=30).fit(margins[0])
-        out.append(platt.transform(margins[1]).select(F.lit(fold).alias("fold"), id_col, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p")))
-    return reduce(DataFrame.unionByName, out)
+        return whole.write(fold, k, platt.transform(margins[1]))
+
+    return whole.scores(_each_fold(whole.spark, range(len(whole.folds)), fit, at_once))
+
+
+def _shape(train: DataFrame) -> tuple[int, int, float]:
+    """Features, rows and variance of all features' values together (1 if there is none)."""
+    d, n = train.agg(F.max(F.size("features")), F.count("*")).first()
+    var = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0]
+    return d or 1, n, var or 1.0
 
 
 def importance_summary(importances: DataFrame) -> DataFrame:
@@ -119,12 +197,26 @@ class Run:
     importances: DataFrame
 
 
-def loso_run(df: DataFrame, cfg: Forest = Forest(), threshold: float = 0.5, key: str = "subject_id", id_col: str = "window_id") -> Run:
-    """The whole training job: a forest for each subject left out, its windows scored, folds evaluated and summed up.
+#: The kinds of models by name, with their default settings.
+MODELS = {"rf": Forest, "svm": Svm}
+
+
+def loso_run(
+    df: DataFrame, cfg: Forest | Svm | str = "rf", threshold: float = 0.5, key: str = "subject_id", id_col: str = "window_id",
+    weighted: bool = False, raw: str | None = None, bins: Sequence[float] = (60, 20, 10, 0), step_seconds: float = 1.0, at_once: int = AT_ONCE,
+) -> Run:
+    """The whole training job: for each subject left out, features scaled by the others, a model fitted and the subject's
+    windows scored; then folds evaluated and summed up.
 
-    df: key, id_col, label, features (array), time_to_loc. Trees don't depend on the scale of a feature, so none is scaled.
+    df: key, id_col, label, features (array), time_to_loc; or the windows of column raw. cfg: a model's settings or its
+    name, rf or svm. Scores are written once, and every figure is read from them. Importances are those of forests.
     """
-    scores, importances = loso_rf(df, cfg, None, key, id_col)
-    scores = scores.join(df.select(F.col(key).alias("fold"), id_col, "time_to_loc"), ["fold", id_col])
-    results = fold_results(scores, threshold)
-    return Run(scores, results, fold_summary(results), sensitivity_bins(results), importance_summary(importances))
+    cfg = MODELS[cfg]() if isinstance(cfg, str) else cfg
+    if isinstance(cfg, Forest):
+        scores, importances = loso_rf(df, cfg, None, key, id_col, True, weighted, raw, at_once)
+    else:
+        scores = loso_svm(df, cfg, None, key, id_col, weighted, raw, at_once)
+        importances = df.sparkSession.createDataFrame([], T.StructType([scores.schema["fold"], T.StructField("feature", T.IntegerType()), T.StructField("importance", T.DoubleType())]))
+    scores = written(scores.join(df.select(F.col(key).alias("fold"), id_col, "time_to_loc"), ["fold", id_col]), "scored")
+    results = written(fold_results(scores, threshold, step_seconds), "results")
+    return Run(scores, results, fold_summary(results), sensitivity_bins(results, bins), importance_summary(importances))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 
 def ingest_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t"))
@@ -100,18 +104,59 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return df.rollup("activity").agg(F.count("*").alias("samples"), F.countDistinct("session_id").alias("sessions"), F.countDistinct("user_id").alias("users"))
 
 
-def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, r) of every pair over rows complete in all columns, rounded to 2; one aggregation."""
-    whole = df.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols]))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = whole.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
-    return one.select(rows.alias("x")).select("x.a", "x.b", F.round(F.col("x.r") + 1e-9, 2).alias("r"))
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count, means and products of deviations of a partition's rows, as one row."""
+    n, mean, prod = 0, None, None
+    for batch in batches:
+        if batch.num_rows:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            m = x.mean(0)
+            part = (len(x), m, (x - m).T @ (x - m))
+            n, mean, prod = part if n == 0 else _merged((n, mean, prod), part)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tobytes()], pa.binary()), pa.array([prod.tobytes()], pa.binary())], names=["n", "mean", "prod"])
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def _unpacked(n: int, mean: bytes, prod: bytes) -> tuple:
+    m = np.frombuffer(mean, float)
+    return n, m, np.frombuffer(prod, float).reshape(len(m), len(m))
+
+
+def _merge_group(t: pa.Table) -> pa.Table:
+    n, mean, prod = reduce(_merged, [_unpacked(*(x.as_py() for x in row)) for row in zip(t["n"], t["mean"], t["prod"], strict=True)])
+    return pa.table({"at": t["to"].slice(0, 1), "n": [n], "mean": pa.array([mean.tobytes()], pa.binary()), "prod": pa.array([np.ascontiguousarray(prod).tobytes()], pa.binary())})
+
+
+def correlation(df: DataFrame, cols: Sequence[str], fan: int = 32, levels: int = 3) -> DataFrame:
+    """(a, b, r) of every pair over rows complete in all columns, rounded to 2; null where a column doesn't vary.
+
+    Rows are read once: a partition gives one matrix of co-moments, `fan` neighbours are merged in a task, then `fan` of
+    those, and so on; the driver merges what is left, one matrix for each fan^levels partitions. The matrix has a place
+    for each pair of columns, whatever the number of rows.
+    """
+    spark = df.sparkSession
+    whole = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    parts = whole.mapInArrow(_moments, "n bigint, mean binary, prod binary").withColumn("at", F.spark_partition_id().cast("long"))
+    for _ in range(levels):
+        parts = parts.withColumn("to", F.floor(F.col("at") / fan).cast("long")).groupBy("to").applyInArrow(_merge_group, "at bigint, n bigint, mean binary, prod binary")
+    left = [_unpacked(r["n"], bytes(r["mean"]), bytes(r["prod"])) for r in parts.toLocalIterator()]
+    found = reduce(_merged, left) if left else (0, None, np.zeros((len(cols), len(cols))))
+    var = np.diag(found[2])
+    with np.errstate(all="ignore"):
+        r = found[2] / np.sqrt(np.outer(var, var))
+    rows = [(a, b, None if not var[i] or not var[j] else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    return spark.createDataFrame(rows, "a string, b string, r double").select("a", "b", F.round(F.col("r") + 1e-9, 2).alias("r"))
 
 
 def box_stats(df: DataFrame, col: str, label: str = "label") -> DataFrame:
-    p = lambda q: F.percentile(col, F.lit(q))
-    return df.groupBy(label).agg(F.min(col).alias("lo"), p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"), F.max(col).alias("hi"))
+    """(label, lo, q1, median, q3, hi): exact, for labels with any number of rows."""
+    q = exact_quantiles(df, [label], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return q.select(label, "lo", "q1", "median", "q3", "hi")
 
 
 def gate_report(gates: Sequence[tuple[str, str, DataFrame, float]]) -> DataFrame:

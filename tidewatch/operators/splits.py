@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import joined, row_index
@@ -22,10 +22,11 @@ def temporal_split(df: DataFrame, ratios: Sequence[float] = (0.6, 0.2, 0.2), key
 def loso_folds(df: DataFrame, key: str = "subject_id") -> DataFrame:
     """(all columns, fold, role): every subject is the test side of its own fold and trains the others.
 
-    Each row once for each subject, as the definition asks, in one pass: the subjects (a model each, so the driver names
-    them anyway) are an array in the plan. For training use loso_filter instead.
+    Each row once for each subject, as the definition asks: rows meet the table of subjects in the plan, so any number of
+    subjects plans alike. For training use loso_filter instead.
     """
-    return _in_each(df, F.array(*[F.lit(f) for f in folds_of(df, key)]).cast(f"array<{dict(df.dtypes)[key]}>"), "fold", key)
+    folds = df.select(F.col(key).alias("fold")).filter(F.col("fold").isNotNull()).distinct()
+    return _with_role(df.crossJoin(folds), key)
 
 
 def folds_of(df: DataFrame, key: str = "subject_id") -> list:
@@ -33,8 +34,8 @@ def folds_of(df: DataFrame, key: str = "subject_id") -> list:
     return [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key).toLocalIterator()]
 
 
-def _in_each(df: DataFrame, folds: Column, out: str, key: str) -> DataFrame:
-    return df.withColumn(out, F.explode(folds)).withColumn("role", F.when(F.col(key) == F.col("fold"), "test").otherwise("train"))
+def _with_role(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("role", F.when(F.col(key) == F.col("fold"), "test").otherwise("train"))
 
 
 def loso_filter(df: DataFrame, fold: object, key: str = "subject_id") -> tuple[DataFrame, DataFrame]:
@@ -75,14 +76,11 @@ def fold_moments(df: DataFrame, key: str, col: str) -> DataFrame:
 def fold_scale(df: DataFrame, key: str, col: str) -> DataFrame:
     """(df's columns, fold, role, z): col by the training statistics of each fold, for both sides of all folds.
 
-    The statistics are one row a fold and part of the plan as an array; rows are read once and nothing is joined.
+    The statistics, one row a fold, meet the rows in the plan; nothing comes to the driver.
     """
-    stats = [(r["fold"], r["mean"], r["std"]) for r in fold_moments(df, key, col).filter("fold is not null").orderBy("fold").toLocalIterator()]
-    fold = f"struct<fold:{dict(df.dtypes)[key]},mean:double,std:double>"
-    known = F.array(*[F.struct(F.lit(f), F.lit(m).cast("double"), F.lit(s).cast("double")).cast(fold) for f, m, s in stats]).cast(f"array<{fold}>")
-    rows = df.withColumn("_m", F.explode(known)).withColumn("fold", F.col("_m.fold"))
-    rows = rows.withColumn("role", F.when(F.col(key) == F.col("fold"), "test").otherwise("train"))
-    return rows.withColumn("z", (F.col(col) - F.col("_m.mean")) / F.col("_m.std")).drop("_m")
+    stats = fold_moments(df, key, col).filter("fold is not null").select("fold", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    rows = _with_role(df.crossJoin(stats), key)
+    return rows.withColumn("z", (F.col(col) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
 
 
 def scale_one_fold(df: DataFrame, moments: DataFrame, fold: object, key: str, col: str) -> tuple[DataFrame, DataFrame]:
@@ -121,9 +119,15 @@ def apply_fold_scale_raw(df: DataFrame, moments: DataFrame, fold: object, key: s
     return tuple(x.withColumn(arrays, new) for x in loso_filter(df, fold, key))
 
 
-def sample_per_label(df: DataFrame, m: int, order: Sequence[str], label: str = "label") -> DataFrame:
-    """At most m rows of each label, the first by `order` (a hash of the id for a random choice)."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).filter(F.col("_rn") <= m).drop("_rn")
+def sample_per_label(df: DataFrame, m: int, order: Sequence[str], label: str = "label", shares: int = 64) -> DataFrame:
+    """At most m rows of each label, the first by `order` (a hash of the id for a random choice).
+
+    The first m are found in each of `shares` shares of a label and then among those, so a label is in no task whole.
+    """
+    share = F.pmod(F.xxhash64(*order), F.lit(shares))
+    for by in ([label, "_share"], [label]):
+        df = df.withColumn("_share", share).withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= m)
+    return df.drop("_rn", "_share")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

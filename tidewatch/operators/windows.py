@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import neighbours, row_index, running_sum
+from .chunks import joined, neighbours, row_index, running_sum, with_steps
 
 
 def window_range(rn: Column, n: Column, size: int, stride: int) -> tuple[Column, Column]:
@@ -44,10 +44,16 @@ def window_arrays(windows: DataFrame, keys: Sequence[str], cols: Sequence[str])
 
 
 def labelled_windows(windows: DataFrame, keys: Sequence[str], cols: Sequence[str], label: str = "label", user: str = "user_id") -> DataFrame:
-    """(keys, user_id, window_no, y, x): arrays, majority label and the user of the window's first row."""
-    owner = windows.groupBy(*keys, "window_no").agg(F.min_by(user, "rn").alias("user_id"))
-    by = [*keys, "window_no"]
-    return window_arrays(windows, keys, cols).join(majority_label(windows, keys, label), by).join(owner, by).select(*keys, "user_id", "window_no", "y", "x")
+    """(keys, user_id, window_no, y, x): arrays, majority label and the user of the window's first row, in one aggregate.
+
+    The vote is over the window's own labels, at most its size: each label's first place in the sorted list of labels
+    gives its count; the most frequent counts, ties to the smallest.
+    """
+    row = F.struct("rn", F.array(*[F.col(c).cast("float") for c in cols]).alias("v"), F.col(user).alias("u"), F.col(label).alias("l"))
+    g = windows.groupBy(*keys, "window_no").agg(F.sort_array(F.collect_list(row)).alias("_w"))
+    labels = F.transform("_w", lambda r: r["l"])
+    votes = F.transform(F.array_distinct(labels), lambda l: F.struct(F.size(F.filter(labels, lambda x: x.eqNullSafe(l))).alias("n"), (-l).alias("l")))
+    return g.select(*keys, F.col("_w")[0]["u"].alias("user_id"), "window_no", (-F.array_max(votes)["l"]).cast("int").alias("y"), F.transform("_w", lambda r: r["v"]).alias("x"))
 
 
 def time_windows(df: DataFrame, size: float = 60.0, stride: float = 1.0, time: str = "timestamp") -> DataFrame:
@@ -77,15 +83,16 @@ def phase_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
 def horizon_label(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, length: int = 100, horizon: int = 20, stride: int = 1) -> DataFrame:
     """(keys, window_no, y): 1 if flag holds in one of the `horizon` rows after a window of `length` rows.
 
-    Windows as in count_windows. A row flags the windows that end up to horizon rows before it, so nothing is sorted
-    beyond numbering the rows.
+    Windows as in count_windows; their numbers are made chunk by chunk. A row flags the windows that end up to horizon
+    rows before it, so nothing is sorted beyond numbering the rows.
     """
     rows = row_index(df, keys, order)
     n_windows = F.greatest(F.lit(0), F.ceil((F.col("n_rows") - length) / F.lit(float(stride)))).cast("long")
-    all_w = rows.filter("rn = 0").withColumn("_n", n_windows).filter("_n > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("window_no"))
+    spans = rows.filter("rn = 0").select(*keys, F.lit(0).cast("long").alias("_lo"), (n_windows - 1).alias("_hi"))
+    all_w = with_steps(spans, "_lo", "_hi", "window_no", keys).select(*keys, "window_no")
     # row rn follows window k if k * stride + length <= rn < k * stride + length + horizon
     lo = F.greatest(F.lit(0), F.floor((F.col("rn") - length - horizon) / F.lit(float(stride))) + 1).cast("long")
     hi = F.least(F.floor((F.col("rn") - length) / F.lit(float(stride))), n_windows - 1).cast("long")
     hit = rows.filter(flag).withColumn("_lo", lo).withColumn("_hi", hi).filter("_hi >= _lo")
     hit = hit.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("window_no")).distinct().withColumn("_y", F.lit(1))
-    return all_w.join(hit, [*keys, "window_no"], "left").select(*keys, "window_no", F.coalesce("_y", F.lit(0)).alias("y"))
+    return joined(all_w, hit, [*keys, "window_no"], "left").select(*keys, "window_no", F.coalesce("_y", F.lit(0)).alias("y"))

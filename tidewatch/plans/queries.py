@@ -19,6 +19,8 @@ from ..operators import splits as P
 from ..operators import windows as W
 from ..operators.cleanse import rounded
 from ..sources import io
+from ..tables import new_path as _path
+from ..tables import written
 from . import adapt as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -741,35 +743,44 @@ def _(s, d):
     return _r(M.importance_summary(imp), ["mean", "std"])
 
 
+@query("m03b_forest_importance")
+def _(s, d):
+    """The importances of the forests themselves, over all subjects."""
+    return _r(M.importance_summary(M.loso_rf(A.features(s, d))[1]), ["mean", "std"])
+
+
+def _windows_of_nine(s: SparkSession, d: str) -> DataFrame:
+    """Gold windows with label and time to the loss, their users in nine groups that stand for subjects."""
+    wide = gold(A.gappy(s, d), A.loc(s, d), A.SIGNALS, 7, A.DAY, 3 * A.DAY, 2 * A.DAY, 5 * A.DAY, 10 * A.DAY, A.WEEK)
+    names = [f"{g}_{c}" for g in A.SIGNALS for c in X.STATISTICS]
+    rows = X.assemble(wide.fillna(0.0, names), names)
+    window = S.window_id(F.col("subject_id"), F.col("window_start"))
+    return rows.select((F.col("subject_id") % 9).alias("subject_id"), window.alias("window_id"), "label", "features", "time_to_loc")
+
+
+def _run_rows(run: M.Run, model: str) -> DataFrame:
+    row = lambda df, kind, name: df.select(F.lit(model).alias("model"), F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), "mean", "std")
+    bins = run.bins.withColumnRenamed("sensitivity", "mean").withColumn("std", F.lit(None).cast("double"))
+    return row(run.summary, "metric", "metric").unionByName(row(run.importances, "importance", "feature")).unionByName(row(bins, "sensitivity", "bin_s"))
+
+
 @query("loso_run")
 def _(s, d):
-    rows = A.features(s, d).withColumn("time_to_loc", F.when(F.col("label") == 1, (F.col("window_id") % 120).cast("double")).otherwise(0.0))
-    run = M.loso_run(rows)
-    row = lambda df, kind, name: df.select(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), "mean", "std")
-    both = row(run.summary, "metric", "metric").unionByName(row(run.importances, "importance", "feature"))
-    return _r(both.unionByName(row(run.bins.withColumnRenamed("sensitivity", "mean").withColumn("std", F.lit(None).cast("double")), "sensitivity", "bin_s")), ["mean", "std"])
+    """Gold windows to folds: both models by name, every subject left out once, evaluated and summed up."""
+    rows = written(_windows_of_nine(s, d), "windows")
+    how = {"bins": (10 * A.DAY, 3 * A.DAY, A.DAY, 0), "step_seconds": A.DAY}
+    both = _run_rows(M.loso_run(rows, "rf", weighted=True, **how), "rf").unionByName(_run_rows(M.loso_run(rows, "svm", weighted=True, **how), "svm"))
+    return _r(both, ["mean", "std"])
 
 
 @query("m04_score")
 def _(s, d):
-    import uuid
-
     rows = A.signals(s, d).withColumn("label", (F.col("signal_name") == "error").cast("double"))
-    path = f"{_shared(s)}/model-{uuid.uuid4().hex}"
+    path = _path(s, "model")
     M.fit_pipeline(rows, ["value", "timestamp"], path)
     return M.score(rows.select("event_id", "value", "timestamp"), path).select("event_id", "predicted", r4("confidence").alias("confidence"))
 
 
-def _shared(s: SparkSession) -> str:
-    """The cluster's shared folder; a new local one only where none is set and the master is local."""
-    import tempfile
-
-    known = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return known or tempfile.mkdtemp(prefix="tidewatch-")
-
-
 # ---- evaluation
 
 
@@ -999,20 +1010,12 @@ def _(s, d):
     from (select *, (row_number() over (partition by subject_id order by window_start, signal_name) - 1) / count(*) over (partition by subject_id)::double as share from st)""",
 )
 def _(s, d):
-    import uuid
-
-    path = f"{_shared(s)}/gold-{uuid.uuid4().hex}"
+    path = _path(s, "gold")
     stats = P.temporal_split(_r(_stats(s, d), list(X.STATISTICS)), order=["window_start", "signal_name"])
     io.write_gold(stats, path, {"params": C.normalize(A.signals(s, d), KEYS)[1]})
     return s.read.schema("subject_id long, signal_name string, window_start double, n long, mean double, std double, min double, max double, median double, p25 double, p75 double, split_set string").option("header", True).csv(f"{path}/features")
 
 
-def _path(s: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{_shared(s)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s06_samples_csv", """select "timestamp", user_id, activity, label, value as heart_rate, session_id from ses""")
 def _(s, d):
     path, rows = _path(s, "samples"), A.sessions(s, d)
@@ -1090,13 +1093,14 @@ def _(s, d):
       select user_id, case when risky and k = 3 then ts when not risky and prev >= 3 then ts end as ts, case when risky then 'raised' else 'cleared' end as state from (
         select *, lag(case when risky then k else 0 end, 1, 0) over (partition by user_id order by ts, event_id) as prev from (
           select *, row_number() over (partition by user_id, risky, g order by ts, event_id) as k from (
-            select *, sum((not risky)::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as g from (select *, value >= 50 as risky from events))))) where ts is not null""",
+            select *, sum((not risky)::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as g from (select *, value >= 50 as risky from events))))) where ts is not null
+    and epoch_us(ts) <= (select (max(epoch_us(ts)) // 1000 - 3600000) * 1000 from events)""",
 )
 def _(s, d):
     from ..streaming.streams import stream_alerts
 
-    rows = _stream(s, d, "1 hour").select("user_id", "ts", (F.col("value") / 100).alias("p"))
-    return _drained(s, stream_alerts(rows, 3, 0.5)).select("user_id", F.unix_micros("ts").alias("at_us"), "state")
+    rows = _stream(s, d, "1 hour").select("user_id", "event_id", "ts", (F.col("value") / 100).alias("p"))
+    return _drained(s, stream_alerts(rows, 3, 0.5, "event_id")).select("user_id", F.unix_micros("ts").alias("at_us"), "state")
 
 
 @query("t04_stream_gold", "select subject_id, signal_name, \"timestamp\", value from sig")
@@ -1108,7 +1112,7 @@ def _(s, d):
     rows = _stream(s, d, "1 hour").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("signal_name"), t.alias("timestamp"), "value")
     for k in range(2):  # the second run replays the first one's files and adds nothing
         stream_gold(rows, path, f"{path}-state{k}").awaitTermination()
-    return s.read.parquet(path).select(F.col("subject_id").cast("long").alias("subject_id"), "signal_name", "timestamp", "value")
+    return io.read_bronze(s, path).select(F.col("subject_id").cast("long").alias("subject_id"), "signal_name", "timestamp", "value")
 
 
 def _as_files(s: SparkSession, rows: DataFrame, name: str) -> str:

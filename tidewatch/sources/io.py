@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import delete
+
 SIGNAL_FILE = "timestamp double, value double"
 SAMPLES = T.StructType(
     [T.StructField("timestamp", T.DoubleType()), T.StructField("user_id", T.IntegerType())]
@@ -16,6 +19,7 @@ SAMPLES = T.StructType(
     + [T.StructField("session_id", T.StringType()), T.StructField("has_event", T.BooleanType())]
 )
 BRONZE_KEY = ("subject_id", "signal_name", "timestamp")
+BUCKETS = 32
 
 
 def _named(pattern: str, group: int) -> Column:
@@ -51,23 +55,95 @@ def new_rows(df: DataFrame, known: DataFrame) -> DataFrame:
     return one.join(known.select(*BRONZE_KEY), list(BRONZE_KEY), "left_anti").select(df.columns)
 
 
-def append_bronze(df: DataFrame, path: str) -> DataFrame:
-    """Appends the rows that are new to the table at path, partitioned by subject and signal, and returns the table.
+def append_bronze(df: DataFrame, path: str, tries: int = 20) -> DataFrame:
+    """Appends the rows that are new to the table at path, in folders of subjects and signals, and returns the table.
+
+    A folder holds the subjects and signals of one of BUCKETS hashes, in order, so that the number of files follows the
+    bytes and not the subjects; a reader of one subject finds its rows by the files' statistics.
 
-    Only the partitions that df touches are compared, by a semi-join on the partition columns, which Spark prunes.
+    Rows are staged under path/_data and become part of the table by one atomic step, the making of the next numbered
+    file under path/_commits, which lists the data folders. A writer that finds the number taken starts again from the
+    newer table, so appends at the same time add each key once; a writer that fails leaves the table as it was, and a
+    replay adds nothing. Only the folders that df touches are compared. Files are cut by size.
     """
     spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col("subject_id").cast("long"), "signal_name"), F.lit(BUCKETS)).cast("int")
+    touched = df.select(bucket.alias("_bucket")).distinct()
+    for _ in range(tries):
+        version, names = _latest(spark, path)
+        known = _folders(spark, path, names).join(touched, "_bucket", "left_semi") if names else df.limit(0)
+        name = f"_commit=c{uuid.uuid4().hex}"
+        fresh = new_rows(df, known).withColumn("_bucket", bucket).hint("rebalance", F.col("_bucket"))
+        fresh.sortWithinPartitions("_bucket", *BRONZE_KEY).write.partitionBy("_bucket").parquet(f"{path}/_data/{name}")
+        if not _has_files(spark, f"{path}/_data/{name}"):
+            delete(spark, f"{path}/_data/{name}")
+            return _data(spark, path, names) if names else df.limit(0)
+        if _commit(spark, path, version + 1, [*names, name]):
+            return _data(spark, path, [*names, name])
+        delete(spark, f"{path}/_data/{name}")
+    raise RuntimeError(f"{path}: others committed first, {tries} times")
+
+
+def read_bronze(spark: SparkSession, path: str) -> DataFrame:
+    """The table that append_bronze has made, as of its last commit."""
+    return _data(spark, path, _latest(spark, path)[1])
+
+
+def _folders(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/_data").parquet(*[f"{path}/_data/{n}" for n in names]).drop("_commit")
+
+
+def _data(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    return _folders(spark, path, names).drop("_bucket")
+
+
+def _fs(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return any(not x.getPath().getName().startswith(("_", ".")) and (x.isDirectory() or x.getLen()) for x in fs.listStatus(where))
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """(number of the last commit, data folders of the table); (0, []) for a new table."""
+    fs, where = _fs(spark, f"{path}/_commits")
+    if not fs.exists(where):
+        return 0, []
+    found = sorted(x.getPath().getName() for x in fs.listStatus(where) if x.getPath().getName().isdigit())
+    if not found:
+        return 0, []
+    stream = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{found[-1]}"))
+    try:
+        return int(found[-1]), bytes(stream.readAllBytes()).decode().split()
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, version: int, names: Sequence[str]) -> bool:
+    """Makes the file of the commit with its whole content, or finds that another writer has made it."""
+    jvm = spark.sparkContext._jvm
+    fs, to = _fs(spark, f"{path}/_commits/{version:020d}")
+    fs.mkdirs(to.getParent())
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/.{uuid.uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write("\n".join(names).encode())
+    out.close()
     try:
-        known = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = new_rows(df, df.limit(0))
-    else:
-        touched = df.select("subject_id", "signal_name").distinct()
-        fresh = new_rows(df, known.join(touched, ["subject_id", "signal_name"], "left_semi"))
-    fresh.write.mode("append").partitionBy("subject_id", "signal_name").parquet(path)
-    return spark.read.parquet(path)
+        if to.toUri().getScheme() in (None, "file"):  # a rename on a local disk would replace the other's file, a link doesn't
+            try:
+                local = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (to, staged)]
+                jvm.java.nio.file.Files.createLink(*local)
+                return True
+            except Exception as e:
+                if "FileAlreadyExists" not in str(e):
+                    raise
+                return False
+        return not fs.exists(to) and bool(fs.rename(staged, to))
+    finally:
+        fs.delete(staged, False)
 
 
 def retain(df: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
@@ -83,10 +159,17 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLES).option("header", True).csv(path)
 
 
-def write_windows(df: DataFrame, path: str) -> None:
-    """Window arrays with all their columns (session_id, user_id, window_no, y, x) as Parquet, one folder a user if users are known."""
-    by = ["user_id"] if "user_id" in df.columns else []
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_windows(df: DataFrame, path: str, buckets: int = 16) -> None:
+    """Window arrays with all their columns (session_id, user_id, window_no, y, x) as Parquet, files cut by size.
+
+    Users, where known, are dealt to `buckets` folders (user_bucket, by hash), so that a reader of some users reads those
+    only, and the number of files follows the bytes and not the users.
+    """
+    if "user_id" not in df.columns:
+        df.hint("rebalance").write.mode("overwrite").parquet(path)
+        return
+    dealt = df.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    dealt.hint("rebalance", F.col("user_bucket")).write.mode("overwrite").partitionBy("user_bucket").parquet(path)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
