@@ -68,13 +68,13 @@ def append_bronze(df: DataFrame, path: str, tries: int = 20) -> DataFrame:
     """
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64(F.col("subject_id").cast("long"), "signal_name"), F.lit(BUCKETS)).cast("int")
-    touched = df.select(bucket.alias("_bucket")).distinct()
+    touched = df.select(bucket.alias("key_bucket")).distinct()
     for _ in range(tries):
         version, names = _latest(spark, path)
-        known = _folders(spark, path, names).join(touched, "_bucket", "left_semi") if names else df.limit(0)
+        known = _folders(spark, path, names).join(touched, "key_bucket", "left_semi") if names else df.limit(0)
         name = f"_commit=c{uuid.uuid4().hex}"
-        fresh = new_rows(df, known).withColumn("_bucket", bucket).hint("rebalance", F.col("_bucket"))
-        fresh.sortWithinPartitions("_bucket", *BRONZE_KEY).write.partitionBy("_bucket").parquet(f"{path}/_data/{name}")
+        fresh = new_rows(df, known).withColumn("key_bucket", bucket).hint("rebalance", F.col("key_bucket"))
+        fresh.sortWithinPartitions("key_bucket", *BRONZE_KEY).write.partitionBy("key_bucket").parquet(f"{path}/_data/{name}")
         if not _has_files(spark, f"{path}/_data/{name}"):
             delete(spark, f"{path}/_data/{name}")
             return _data(spark, path, names) if names else df.limit(0)
@@ -94,7 +94,7 @@ def _folders(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
 
 
 def _data(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    return _folders(spark, path, names).drop("_bucket")
+    return _folders(spark, path, names).drop("key_bucket")
 
 
 def _fs(spark: SparkSession, path: str) -> tuple:
