@@ -73,7 +73,7 @@ class Shelved:
 
 @dataclass
 class Tree:
-    """leaves: (offset, length, sha256, range and kept columns); levels[k]: (node, parent, sha256), level 0 hashing
+    """leaves: (offset, length, sha256, range, kept: a struct of kept columns); levels[k]: (node, parent, sha256), level 0 hashing
     ranges of leaves.
     """
 
@@ -93,7 +93,9 @@ def _joined(*parts: str) -> Column:
 
 def tree(records: DataFrame, range_bytes: int = 1 << 18, fanout: int = 64, keep: Sequence[str] = ()) -> Tree:
     """The Merkle tree of records (offset, length, sha256). keep: columns of records that an audit is to name."""
-    leaves = records.select("offset", "length", "sha256", *keep).withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long"))
+    # kept columns in a struct, where no name of ours can clash with theirs
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    leaves = records.select("offset", "length", "sha256", *kept).withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long"))
     leaves = Shelved.of(leaves, "range", fanout)
     levels = []
     level = leaves.df.groupBy(F.col("range").alias("node")).agg(_joined("offset", "length", "sha256").alias("sha256"))
@@ -109,12 +111,25 @@ def tree(records: DataFrame, range_bytes: int = 1 << 18, fanout: int = 64, keep:
     return Tree(leaves, levels, row["sha256"] if row else "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
 
 
+def _names(keep: Sequence[str]) -> dict[str, str]:
+    """Names of the kept columns in an audit: their own, with underscores before those that the audit has itself."""
+    names, taken = {}, {"offset", "length", "expected", "found", "state"}
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        names[c] = name
+    return names
+
+
 def audit(good: Tree, other: Tree, keep: Sequence[str] = ()) -> DataFrame:
     """(offset, length, expected, found, state, keep) of each record of `other` that is not as in `good`.
 
     state: altered, missing (found is null) or extra (expected is null). Equal roots end the audit at once. Both trees
     must have the same range_bytes and fanout and the kept columns; a tree may be higher than the other. length and the
-    kept columns are those of the good record if there is one.
+    kept columns are those of the good record if there is one; a kept column with a name of the audit's own has an
+    underscore before it.
     """
     none = good.levels[0].df.sparkSession.range(0).select(F.col("id").alias("node"))
     at, past = (None, None) if good.root != other.root else (none, None)
@@ -132,12 +147,12 @@ def audit(good: Tree, other: Tree, keep: Sequence[str] = ()) -> DataFrame:
     sides = []
     for t, name in ((good, "expected"), (other, "found")):
         own = t.leaves.at(at)
-        sides.append(own.select("offset", F.struct("length", F.col("sha256").alias("hash"), *keep).alias(name)))
+        sides.append(own.select("offset", F.struct("length", F.col("sha256").alias("hash"), *(["kept"] if keep else [])).alias(name)))
     x = sides[0].join(sides[1], "offset", "full")
     same = F.col("expected.hash").eqNullSafe(F.col("found.hash")) & F.col("expected.length").eqNullSafe(F.col("found.length"))
     state = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("altered")
     one = F.coalesce("expected", "found")
-    return x.filter(~same).select("offset", one["length"].alias("length"), F.col("expected.hash").alias("expected"), F.col("found.hash").alias("found"), state.alias("state"), *[one[c].alias(c) for c in keep])
+    return x.filter(~same).select("offset", one["length"].alias("length"), F.col("expected.hash").alias("expected"), F.col("found.hash").alias("found"), state.alias("state"), *[one["kept"][c].alias(n) for c, n in _names(keep).items()])
 
 
 def decayed() -> tuple[Column, Column]:
