@@ -66,6 +66,8 @@ def _keys(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         part = (codes >> np.uint64(low)) & np.uint64((1 << width) - 1)
         for j in range(width):
             keys.append((np.uint64(t * TABLE_BITS + j) << np.uint64(TABLE_BITS)) | (part & ~np.uint64(1 << j)))
+    if not keys:  # codes of no bits are one code
+        return np.empty(0, np.uint64), codes[:0]
     return np.concatenate(keys), np.tile(codes, len(keys))
 
 
@@ -124,7 +126,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, radius: int = 12, sa
     sizes = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = sizes["d"] if sizes and sizes["d"] else 1
     bits = min(64, d)
-    total = max(1, rows.count())
+    # vectors that can link at all: the sample is of these, however few they are
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = rows.filter((F.size("embedding") == d) & finite & F.exists("embedding", lambda x: x != 0))
+    total = max(1, usable.count())
     thin = F.pmod(F.xxhash64(F.lit(1), "vec_id", "embedding"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +137,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, radius: int = 12, sa
             x, ok = _unit(b["embedding"], d)
             yield pa.RecordBatch.from_arrays([packed(x[ok])], names=["v"])
 
-    got = b"".join(bytes(r["v"]) for r in rows.filter(thin).limit(2 * sample).mapInArrow(units, "v binary").toLocalIterator())
-    x = np.frombuffer(got, float).reshape(-1, d)
+    def learnt_from(some: DataFrame) -> np.ndarray:
+        got = b"".join(bytes(r["v"]) for r in some.limit(2 * sample).mapInArrow(units, "v binary").toLocalIterator())
+        return np.frombuffer(got, float).reshape(-1, d)
+
+    x = learnt_from(usable.filter(thin))
+    x = x if len(x) else learnt_from(usable)  # by chance the hash chose none of a few
     bits = min(bits, len(x))
     mean, projection = itq(x, bits) if bits else (np.zeros(d), np.zeros((d, 0)))
     bits = projection.shape[1]
