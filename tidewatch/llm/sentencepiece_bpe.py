@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,7 @@ from .common import pieces
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NO_PAIR = np.int64(1) << 62
+GONE = -(1 << 40)
 #: Distinct words that a task keeps; beyond it the words kept are forgotten, never the text.
 KEPT_WORDS = 150_000
 
@@ -143,13 +145,108 @@ def _greedy(hit: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - run) % 2 == 0]
 
 
+#: Words of more characters are merged by rounds that touch the places of one rank only.
+LONG = 64
+
+
+def _laid_out(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words' characters, and the word of each."""
+    flat = v.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return flat, np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+
+
 def merge_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words after all merges, word by word, and their number for each word.
 
     Foreign characters are -1 - code point.
     """
-    flat = v.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    long = np.fromiter((len(w) > LONG for w in words), bool, len(words))
+    if not long.any():
+        return _merge_short(v, words)
+    n = np.zeros(len(words), np.int64)
+    flats = []
+    for chosen, merge in ((~long, _merge_short), (long, _merge_long)):
+        symbols, n[chosen] = merge(v, [words[i] for i in np.flatnonzero(chosen)])
+        flats.append(symbols)
+    out = np.empty(n.sum(), np.int64)
+    of_long = np.repeat(long, n)
+    out[~of_long], out[of_long] = flats
+    return out, n
+
+
+def _merge_long(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """merge_words by rounds of one rank each, the least of all words' pairs: its places are kept in a list by rank, so a
+    round touches its hits and their neighbours and not whole words. The time grows with the merges, not with rounds x
+    length; what is merged, and in which order inside a word, is as in _merge_short.
+    """
+    flat, word = _laid_out(v, words)
+    n = len(flat)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    last = np.append(word[1:] != word[:-1], True)
+    after[last], before[np.append(True, last[:-1])[:n]] = -1, -1
+    rank, merged = np.full(n, NO_PAIR), np.full(n, -1, np.int64)
+    places: dict[int, list[int]] = {}
+    ranks: list[int] = []
+
+    # ranks whose merges may make a pair as good: their places are taken one by one, from the left
+    single = set(v.pair_ranks[v.returns[v.pair_merged]].tolist())
+
+    def wait(at: np.ndarray, of: np.ndarray) -> None:
+        for place, r in zip(at.tolist(), of.tolist(), strict=True):
+            if r in places:
+                heappush(places[r], place) if r in single else places[r].append(place)
+            elif r < NO_PAIR:
+                places[r] = [place]
+                heappush(ranks, r)
+
+    def renew(at: np.ndarray) -> None:
+        right = after[at]
+        rank[at] = NO_PAIR
+        inside = right >= 0
+        at, right = at[inside], right[inside]
+        new, symbol = _ranks(v, flat[at], flat[right])
+        rank[at], merged[at] = new, symbol
+        wait(at, new)
+
+    renew(np.arange(n))
+    while ranks:
+        now = heappop(ranks)
+        if now in single:
+            mine = places[now]
+            while mine and rank[mine[0]] != now:  # changed since, or merged away
+                heappop(mine)
+            if not mine:
+                del places[now]
+                continue
+            heappush(ranks, now)
+            take = np.array([heappop(mine)])
+        else:
+            at = np.array(sorted(set(places.pop(now))))
+            take = at = at[rank[at] == now]
+            if not len(at):
+                continue
+            # of pairs that overlap in a row, every other one from the left
+            fresh = np.append(True, after[at[:-1]] != at[1:])
+            if not fresh.all():
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                take = at[(np.arange(len(at)) - run) % 2 == 0]
+        gone = after[take]
+        flat[take], flat[gone] = merged[take], GONE
+        rank[gone] = NO_PAIR
+        follows = after[gone]
+        after[take] = follows
+        inside = follows >= 0
+        before[follows[inside]] = take[inside]
+        left = before[take]
+        # a left neighbour may itself be one of take
+        renew(np.unique(np.concatenate([take, left[left >= 0]])))
+    stays = flat != GONE
+    return flat[stays], np.bincount(word[stays], minlength=len(words))
+
+
+def _merge_short(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """merge_words by rounds over the whole flat array, which is compacted after each: a round for each rank of a word."""
+    flat, word = _laid_out(v, words)
     # a pair at i joins symbols i and i + 1 of one word
     rank = np.full(len(flat), NO_PAIR)
     merged = np.full(len(flat), -1, np.int64)
