@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -433,3 +434,63 @@ def test_mixing_of_very_long_texts(spark):
     rows = [(i, "w " * (60_000 if i == 3 else 50), "en", "hot" if i % 3 else "b", 0) for i in range(300)]
     got = fair_mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
     assert {r["doc_id"]: r["size"] for r in got}[3] == 60_000 and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+
+
+# ---- inputs that once failed
+
+
+def test_audit_keeps_columns_of_any_name(spark):
+    names = ["shelf", "range", "node", "parent", "state", "offset"]
+    rows = [(i * 100, 100, hashlib.sha256(str(i).encode()).hexdigest(), *[f"{n}{i}" for n in names[:5]]) for i in range(300)]
+    df = spark.createDataFrame(rows, "offset long, length long, sha256 string, shelf string, range string, node string, parent string, state string")
+    other = df.filter("offset <> 700").withColumn("sha256", F.when(F.col("offset") == 900, "x").otherwise(F.col("sha256")))
+    keep = ["shelf", "range", "node", "parent", "state", "offset"]
+    got = warc_merkle.audit(warc_merkle.tree(df, 1000, 4, keep), warc_merkle.tree(other, 1000, 4, keep), keep)
+    assert got.columns == ["offset", "length", "expected", "found", "state", "shelf", "range", "node", "parent", "_state", "_offset"]
+    assert sorted((r["offset"], r["state"], r["shelf"], r["range"], r["node"], r["parent"], r["_state"], r["_offset"]) for r in got.collect()) == [
+        (700, "missing", "shelf7", "range7", "node7", "parent7", "state7", 700), (900, "altered", "shelf9", "range9", "node9", "parent9", "state9", 900)
+    ]
+
+
+def test_vectors_of_which_few_can_link(spark):
+    """Three usable vectors in 3,000 rows, a sample that the hash would miss, and none at all."""
+    bad = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 2 == 0, F.array(*[F.lit(0.0).cast("float")] * 8)).alias("embedding"), F.lit(0).alias("label"))
+    good = spark.createDataFrame([(9000, [1.0] * 8), (9001, [1.0] * 7 + [1.01]), (9002, [-1.0, 1.0] * 4)], "vec_id long, embedding array<float>").withColumn("label", F.lit(0))
+    got = {r["vec_id"]: tuple(r)[1:] for r in itq_dedup.near_duplicates(bad.unionByName(good), sample=20).collect()}
+    assert len(got) == 3003 and got[9000] == (1, 9000, True) and got[9001] == (1, 9000, False) and got[9002] == (0, 9002, True)
+    assert all(v == (0, k, True) for k, v in got.items() if k < 9000)
+    assert itq_dedup.near_duplicates(bad).filter("n_links = 0 and component_id = vec_id and kept").count() == 3000
+
+
+def test_cards_in_long_runs_of_digit_groups(spark):
+    """20,000 groups in one text within seconds, and the cards among them found."""
+    card = "4111 1111 1111 1111"
+    groups = [f"{i % 10000:04d}" for i in range(20_000)]
+    text = " ".join(groups[:9_000]) + " x " + card + " y " + " ".join(groups)
+    df = spark.createDataFrame([("a " + card,), (text,)], "text string").repartition(2)
+    pii_feistel.pseudonymise(df.limit(1)).collect()  # plan and code once
+    began = time.time()
+    got = {len(r["text"]): r for r in pii_feistel.pseudonymise(df).collect()}
+    assert time.time() - began < 20
+    small, large = got[len(card) + 2], got[len(text)]
+    assert small["text"][2:] != card and f" x {small['text'][2:]} y " in large["text"]
+    assert all(len(m["pseudonym"].replace(" ", "")) in range(13, 20) for m in large["pii"])
+
+
+def test_long_words_are_merged_as_the_library_does():
+    import public_tokenizers
+    import sentencepiece
+
+    from tidewatch.llm import sentencepiece_bpe
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(1)
+    words = ["".join(rng.choice("abcdeé日 ▁-_0123.\u0301") for _ in range(rng.randrange(65, 400))) for _ in range(60)]
+    words += ["".join(rng.choice(["the", "ing", "tion", "en", "日"]) for _ in range(3000)), "a" * 20_001, "ab" * 9_000, "日本語テキスト処理" * 900, "x" * 64, "x" * 65]
+    encoder = sentencepiece_bpe.Encoder(sentencepiece_bpe.load_vocabulary(path))
+    ids, n = encoder.encode(words)
+    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(w, add_eos=True) for w in words]
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300_000))
+    began = time.time()
+    ids, _ = encoder.encode([long])
+    assert time.time() - began < 15 and list(ids) == library.encode(long, add_eos=True)

@@ -19,6 +19,8 @@ columns are kept, but one named pii is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +124,11 @@ def permute_number(value: Column, a: int, b: int, key: str) -> Column:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
@@ -159,24 +166,38 @@ def kind_of(value: Column) -> Column:
 
 
 def _ends(groups: Column, seps: Column, i: Column) -> Column:
-    """(whole, loose, usual): how many groups from the i-th on are a valid card in a card's grouping, and in another one.
+    """(whole, whole_n, loose, loose_n, usual): how many groups from the i-th on, and how many characters, are a valid
+    card in a card's grouping, and in another one.
 
     Loose: up to five groups, or the whole run, the longest first. Null where there is none. Usual: whole, and with a
-    first digit of the large card networks.
+    first digit of the large card networks. Groups are read by number, since a slice copies the whole run each time; only
+    the run itself, looked at from its first group, is joined.
     """
     n = F.size(groups)
-    most = F.least(F.lit(5), n - i + 1)
-    counts = F.sequence(F.lit(1), most)
-    counts = F.when((i == 1) & n.between(6, 19), F.concat(counts, F.array(n))).otherwise(counts)
-    digits = lambda k: F.array_join(F.slice(groups, i, k), "")
-    long_enough = F.filter(counts, lambda k: F.length(digits(k)).between(13, 19))
-    valid = F.filter(long_enough, lambda k: F.pmod(_luhn_sum(digits(k), 0), F.lit(10)) == 0)
-    shape = lambda k: F.array_join(F.transform(F.slice(groups, i, k), lambda g: F.length(g).cast("string")), "-")
-    one_sep = lambda k: F.size(F.array_distinct(F.slice(seps, i, k - 1))) <= 1
-    whole = lambda v: F.filter(v, lambda k: shape(k).rlike(CARD_GROUPS) & one_sep(k))
-    first = lambda v: F.when(F.element_at(groups, i).rlike(LONG_CARDS), F.array_max(v)).otherwise(F.array_min(v))
-    best = first(whole(valid))
-    return F.struct(best.alias("whole"), F.array_max(valid).alias("loose"), (best.isNotNull() & F.element_at(groups, i).rlike("^[3-6]")).alias("usual"))
+    group = lambda j: F.get(groups, i - 1 + j)
+    sep = lambda j: F.get(seps, i - 1 + j)
+
+    def few(k: int) -> Column:
+        shape = F.concat_ws("-", *[F.length(group(j)).cast("string") for j in range(k)])
+        alike = F.lit(True)
+        for j in range(1, k - 1):
+            alike = alike & (sep(j) == sep(0))
+        return F.struct(F.lit(k).alias("k"), F.concat(*[group(j) for j in range(k)]).alias("digits"), shape.alias("shape"), alike.alias("alike"))
+
+    run = F.struct(n.alias("k"), F.array_join(groups, "").alias("digits"), F.array_join(F.transform(groups, lambda g: F.length(g).cast("string")), "-").alias("shape"), (F.size(F.array_distinct(seps)) <= 1).alias("alike"))
+    counts = F.array(*[F.when(F.length(F.concat(*[group(j) for j in range(k)])).between(13, 19), few(k)) for k in range(1, 6)], F.when((i == 1) & n.between(6, 19), run))
+    valid = F.filter(counts, lambda c: c.isNotNull() & F.length(c["digits"]).between(13, 19) & (F.pmod(_luhn_sum(c["digits"], 0), F.lit(10)) == 0))
+    place = lambda c: F.struct(c["k"].alias("k"), (F.length(c["digits"]) + c["k"] - 1).alias("n"))
+    lead = F.element_at(groups, i)
+
+    def chosen(v: Column) -> Column:
+        whole = F.transform(F.filter(v, lambda c: c["alike"] & c["shape"].rlike(CARD_GROUPS)), place)
+        best = F.when(lead.rlike(LONG_CARDS), F.array_max(whole)).otherwise(F.array_min(whole))
+        loose = F.array_max(F.transform(v, place))
+        return F.struct(best["k"].alias("whole"), best["n"].alias("whole_n"), loose["k"].alias("loose"), loose["n"].alias("loose_n"), (best.isNotNull() & lead.rlike("^[3-6]")).alias("usual"))
+
+    # an array of one element, so that the valid ones are found once
+    return F.transform(F.array(F.struct(valid.alias("v"))), lambda x: chosen(x["v"]))[0]
 
 
 def cards_in(run: Column) -> Column:
@@ -185,32 +206,41 @@ def cards_in(run: Column) -> Column:
     A card in a card's grouping goes before one in another grouping that overlaps it.
     """
     groups, seps = F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)), F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0))
-    size = lambda x, s, e: F.when(
-        s["i"] >= s["free"],
-        F.coalesce(
-            F.when(e["usual"] | ~F.exists(F.slice(x["ends"], s["i"] + 1, F.coalesce(e["whole"], F.lit(1)) - 1), lambda o: o["usual"]), e["whole"]),
-            F.when(~F.exists(F.slice(x["ends"], s["i"] + 1, F.coalesce(e["loose"], F.lit(1)) - 1), lambda o: o["whole"].isNotNull()), e["loose"]),
-        ),
-    )
+
+    def met(x: Column, i: Column, k: Column, test: object) -> Column:
+        """Whether one of the k - 1 groups after the i-th passes the test; a slice for long runs only."""
+        near = F.lit(False)
+        for j in range(1, 5):
+            near = near | ((k > j) & F.coalesce(test(F.get(x["ends"], i - 1 + j)), F.lit(False)))
+        return F.when(k > 5, F.exists(F.slice(x["ends"], i + 1, F.greatest(k, F.lit(1)) - 1), test)).otherwise(near)
+
+    def size(x: Column, s: Column, e: Column) -> Column:
+        whole = F.when(e["whole"].isNotNull(), F.when(e["usual"] | ~met(x, s["i"], e["whole"], lambda o: o["usual"]), F.struct(e["whole"].alias("k"), e["whole_n"].alias("n"))))
+        loose = F.when(e["loose"].isNotNull(), F.when(~met(x, s["i"], e["loose"], lambda o: o["whole"].isNotNull()), F.struct(e["loose"].alias("k"), e["loose_n"].alias("n"))))
+        return F.when(s["i"] >= s["free"], F.coalesce(whole, loose))
+
     start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("free"), F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
 
-    def step(x: Column, s: Column, e: Column) -> Column:
-        k, group = size(x, s, e), F.element_at(x["groups"], s["i"])
-        taken = F.slice(x["groups"], s["i"], F.coalesce(k, F.lit(1)))
-        n = F.length(F.array_join(taken, " "))
+    def step(s: Column, e: Column, card: Column) -> Column:
         return F.struct(
             (s["i"] + 1).alias("i"),
-            F.coalesce(s["i"] + k, s["free"]).alias("free"),
-            (s["at"] + F.length(group) + 1).alias("at"),
-            F.when(k.isNotNull(), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), n.alias("n"))))).otherwise(s["out"]).alias("out"),
+            F.coalesce(s["i"] + card["k"], s["free"]).alias("free"),
+            (s["at"] + e["size"] + 1).alias("at"),
+            F.when(card.isNotNull(), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), card["n"].alias("n"))))).otherwise(s["out"]).alias("out"),
         )
 
     def ends(x: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(x["groups"])), lambda i: _ends(x["groups"], x["seps"], i))
-        return F.struct(x["groups"].alias("groups"), each.alias("ends"))
+        each = F.transform(x["groups"], lambda g, j: F.struct(F.length(g).alias("size"), _ends(x["groups"], x["seps"], j + 1).alias("e")))
+        flat = F.transform(each, lambda y: F.struct(y["size"].alias("size"), *[y["e"][c].alias(c) for c in ("whole", "whole_n", "loose", "loose_n", "usual")]))
+        return F.struct(flat.alias("ends"))
+
+    def walked(x: Column) -> Column:
+        # the card at a group, if any, is made once for each group
+        one = lambda s, e: F.transform(F.array(F.struct(size(x, s, e).alias("c"))), lambda y: step(s, e, y["c"]))[0]
+        return F.aggregate(x["ends"], start, one, lambda s: s["out"])
 
     # arrays of one element, so that groups and ends are made once
-    made = F.transform(F.transform(F.array(F.struct(groups.alias("groups"), seps.alias("seps"))), ends), lambda x: F.aggregate(x["ends"], start, lambda s, e: step(x, s, e), lambda s: s["out"]))
+    made = F.transform(F.transform(F.array(F.struct(groups.alias("groups"), seps.alias("seps"))), ends), walked)
     return made[0]
 
 
@@ -233,21 +263,25 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     email = F.concat(permute_text(F.substring(value, F.lit(1), at - 1), f"{key}/email"), F.substring(value, at, F.length(value)))
     octet = lambda k: F.split_part(value, F.lit("."), F.lit(k)).cast("long")
     number = permute_number(((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4), 1 << 16, 1 << 16, f"{key}/ip")
-    ip = F.concat_ws(".", *[F.pmod(F.shiftright(number, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    ip = _once(number, lambda n: F.concat_ws(".", *[F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
     day = permute_number(F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(FIRST_DAY)).cast("long"), *DAYS, f"{key}/date")
     date = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int")), "yyyy-MM-dd")
     part = lambda k: F.split_part(value, F.lit("-"), F.lit(k)).cast("long")
     area = part(1) - 1 - F.when(part(1) > 666, 1).otherwise(0)
     ssn_n = permute_number((area * 99 + part(2) - 1) * 9999 + part(3) - 1, 898, 99 * 9999, f"{key}/ssn")
-    low = F.pmod(ssn_n, F.lit(99 * 9999))
-    high = F.floor(ssn_n / (99 * 9999)) + 1
-    ssn = F.format_string("%03d-%02d-%04d", (high + F.when(high >= 666, 1).otherwise(0)).cast("long"), (F.floor(low / 9999) + 1).cast("long"), (F.pmod(low, F.lit(9999)) + 1).cast("long"))
+
+    def ssn_of(n: Column) -> Column:
+        low, high = F.pmod(n, F.lit(99 * 9999)), F.floor(n / (99 * 9999)) + 1
+        return F.format_string("%03d-%02d-%04d", (high + F.when(high >= 666, 1).otherwise(0)).cast("long"), (F.floor(low / 9999) + 1).cast("long"), (F.pmod(low, F.lit(9999)) + 1).cast("long"))
+
+    ssn = _once(ssn_n, ssn_of)
     # the country code stays
     code = F.length(F.regexp_extract(value, r"^\+(1|7|\d\d)", 1))
     digits = _digits(value)
-    phone = _refill(value, F.concat(F.substring(digits, F.lit(1), code), permute_text(F.substring(digits, code + 1, F.length(digits)), f"{key}/phone")))
+    phone = _once(F.concat(F.substring(digits, F.lit(1), code), permute_text(F.substring(digits, code + 1, F.length(digits)), f"{key}/phone")), lambda d: _refill(value, d))
     body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), f"{key}/card")
-    card = _refill(value, F.concat(body, F.pmod(F.lit(10) - F.pmod(_luhn_sum(body, 1), F.lit(10)), F.lit(10)).cast("string")))
+    checked = _once(body, lambda b: F.concat(b, F.pmod(F.lit(10) - F.pmod(_luhn_sum(b, 1), F.lit(10)), F.lit(10)).cast("string")))
+    card = _once(checked, lambda d: _refill(value, d))
     by_kind = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
     out = value
     for name, new in by_kind.items():
