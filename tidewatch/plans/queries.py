@@ -22,6 +22,7 @@ from ..sources import io
 from ..tables import new_path as _path
 from ..tables import written
 from . import adapt as A
+from .jobs import Derived, class_table, files_to_gold, gold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -288,13 +289,13 @@ def _(s, d):
     return C.fill_blocks(_blocks(s, d), ["signal_name"]).select("signal_name", "block", r4("value").alias("value"))
 
 
-@query(
-    "c11_upsample_linear",
-    f"""select event_id, round(case when rn < 4 then fv when nv is null then v else v + (nv - v) * (rn - 4 - block * 8) / 8.0 end + 1e-9, 4) as resampled from (
+_C11 = f"""select event_id, round(case when rn < 4 then fv when nv is null then v else v + (nv - v) * (rn - 4 - block * 8) / 8.0 end + 1e-9, 4) as resampled from (
     select r.event_id, r.rn, a.block, a.value as v, lead_v as nv, fv from (select *, least(greatest(floor((rn - 4) / 8.0), 0), lastb)::bigint as block from (
       select signal_name, event_id, row_number() over (partition by signal_name order by "timestamp", event_id) - 1 as rn from sig) join (select signal_name, max(block) as lastb from ({BLOCKS}) group by 1) using (signal_name)) r
-    join (select *, lead(value) over (partition by signal_name order by block) as lead_v, first_value(value) over (partition by signal_name order by block) as fv from ({FILLED})) a on a.signal_name = r.signal_name and a.block = r.block)""",
-)
+    join (select *, lead(value) over (partition by signal_name order by block) as lead_v, first_value(value) over (partition by signal_name order by block) as fv from ({FILLED})) a on a.signal_name = r.signal_name and a.block = r.block)"""
+
+
+@query("c11_upsample_linear", _C11)
 def _(s, d):
     anchors = C.fill_blocks(_blocks(s, d), ["signal_name"])
     return C.upsample_linear(A.signals(s, d), anchors, ["signal_name"], ORDER, 8).select("event_id", r4("resampled").alias("resampled"))
@@ -1151,18 +1152,6 @@ GOLD = f"""with with_z as (select subject_id, signal_name, "timestamp", (value -
     labelled as (select *, case when has_loc and time_to_loc <= 259200 then 1 else 0 end as label from timed where not has_loc or time_to_loc >= 0)"""
 
 
-def gold(bronze: DataFrame, loc: DataFrame, signals: tuple[str, ...], size: int, stride: float, warn: float, ffill: float, linear: float, longest: float, seconds: float) -> DataFrame:
-    """Bronze signals to labelled features with splits: repeated keys out, short gaps filled and long ones out, z-scores,
-    window statistics side by side, time to the loss and label, temporal split. No table is collected; two runs over the
-    same bronze rows give the same rows.
-    """
-    known = C.dedup_latest(bronze, [*KEYS, *ORDER], [])
-    silver = C.drop_long_gaps(C.fill_gaps(known, KEYS, ORDER, ffill, linear, seconds=seconds), longest)
-    z = C.normalize(silver, KEYS)[0].select(*KEYS, "timestamp", F.col("z").alias("value"))
-    wide = X.pivot_features(X.sliding_stats(z, KEYS, size, stride), ["subject_id", "window_start"], signals)
-    return P.temporal_split(L.label_windows(L.time_to_loc(wide, loc), warn))
-
-
 @query(
     "signals_to_gold",
     f"""select * from ({GOLD} select subject_id, window_start, {", ".join(f"{g}_{c}" for g in A.SIGNALS for c in ("mean", "std", "median"))}, label, round(time_to_loc + 1e-9, 4) as time_to_loc,
@@ -1193,3 +1182,75 @@ def _(s, d):
     g = rows.groupBy("split_set", "y").agg(F.count("*").alias("n"), rounded(F.sum("total"), 2).alias("total"))
     whole = g.groupBy("split_set").agg(F.sum("n").alias("_all"))
     return g.join(whole, "split_set").select("split_set", "y", "n", rounded(F.col("n") / F.col("_all")).alias("share"), "total")
+
+
+# ---- signal files to gold files as one job
+
+BRONZE = """select user_id % 9 as subject_id, event_type as signal_name, (epoch_us(ts) - 1704067200000000) / 1e6 as "timestamp", case when event_id % 7 <> 0 then value end as value from events"""
+FILES = f"""with br as ({BRONZE}), nr as (select *, last_value(case when value is not null then "timestamp" end ignore nulls) over f as pt, last_value(value ignore nulls) over f as pv,
+      last_value(case when value is not null then "timestamp" end ignore nulls) over b as nt, last_value(value ignore nulls) over b as nv from br
+      window f as (partition by subject_id, signal_name order by "timestamp" rows unbounded preceding), b as (partition by subject_id, signal_name order by "timestamp" desc rows unbounded preceding)),
+    sv as (select subject_id, signal_name, "timestamp", coalesce(value, case when nt - pt < 7200 then pv when nt - pt < 18000 then pv + (nv - pv) * ("timestamp" - pt) / nullif(nt - pt, 0) end) as value from nr
+      where value is not null or nt - pt is null or nt - pt <= 36000),
+    zz as (select *, (value - avg(value) over w) / case when stddev_pop(value) over w = 0 then 1 else stddev_pop(value) over w end as z from sv window w as (partition by subject_id, signal_name)),
+    zw as (select *, unnest(range(greatest(0, floor(("timestamp" - 604800) / 86400) + 1)::bigint, (floor("timestamp" / 86400) + 1)::bigint)) * 86400.0::double as window_start from zz where value is not null),
+    wide as (select subject_id, window_start, {", ".join(f"round({f} filter (signal_name = '{g}') + 1e-9, 4) as {g}_{c}" for g in A.SIGNALS for c, f in (("mean", "avg(z)"), ("std", "stddev_pop(z)"), ("median", "quantile_cont(z, 0.5)")))},
+      round((arg_max(value, "timestamp") filter (signal_name = 'view') - arg_min(value, "timestamp") filter (signal_name = 'view')) / 604800.0::double * 1000 + 1e-9, 4) as trend,
+      avg(value) filter (signal_name = 'view') as lf, avg(value) filter (signal_name = 'click') as hf,
+      arg_min(value, "timestamp") filter (signal_name = 'view') as l0, arg_max(value, "timestamp") filter (signal_name = 'view') as l1, arg_min(value, "timestamp") filter (signal_name = 'click') as h0, arg_max(value, "timestamp") filter (signal_name = 'click') as h1,
+      round(avg(value) filter (signal_name = 'error') + 1e-9, 4) as tonic, round(arg_max(value, "timestamp") filter (signal_name = 'error') - arg_min(value, "timestamp") filter (signal_name = 'error') + 1e-9, 4) as tonic_change,
+      count(*) filter (signal_name = 'error' and value > 100) as n_spikes from zw group by all),
+    rc as (select subject_id, window_start, round(avg(roc) * 1000 + 1e-9, 4) as roc from (select a.subject_id, unnest(range(greatest(0, floor((a."timestamp" - 604800) / 86400) + 1)::bigint, (floor(a."timestamp" / 86400) + 1)::bigint)) * 86400.0::double as window_start,
+      (a.value - b.value) / (a."timestamp" - b."timestamp") as roc from (from zz where signal_name = 'view' and value is not null) a asof left join (select subject_id, "timestamp", value, "timestamp" + 86400 as due from zz where signal_name = 'view' and value is not null) b
+      on a.subject_id = b.subject_id and a."timestamp" >= b.due) group by all),
+    lc as (select subject_id, max(t) as loc_ts from (select user_id % 9 as subject_id, min((epoch_us(ts) - 1704067200000000) / 1e6) as t from events where event_type = 'error' group by user_id) group by 1),
+    timed as (select w.*, roc, coalesce(loc_ts - w.window_start, 0) as time_to_loc, loc_ts is not null as has_loc from wide w left join rc on rc.subject_id = w.subject_id and rc.window_start = w.window_start left join lc on lc.subject_id = w.subject_id),
+    labelled as (select *, case when has_loc and time_to_loc <= 259200 then 1 else 0 end as label from timed where not has_loc or time_to_loc >= 0),
+    placed as (select *, (row_number() over (partition by subject_id order by window_start) - 1) / count(*) over (partition by subject_id)::double as share,
+      round(100.0 * (window_start - min(window_start) over (partition by subject_id)) / nullif(max(window_start) over (partition by subject_id) - min(window_start) over (partition by subject_id), 0) + 1e-9, 4) as progress from labelled)"""
+GOLD_COLS = [f"{g}_{c}" for g in A.SIGNALS for c in ("mean", "std", "median")]
+DERIVED_COLS = ["trend", "lf_hf", "lf_hf_trend", "lfnu_trend", "hfnu_trend", "tonic", "tonic_change", "n_spikes", "roc", "progress"]
+
+
+@query(
+    "files_to_gold",
+    f"""select * from ({FILES} select subject_id::int as subject_id, window_start, {", ".join(GOLD_COLS)}, trend, round(lf / nullif(hf, 0) + 1e-9, 4) as lf_hf, round(l1 / nullif(h1, 0) - l0 / nullif(h0, 0) + 1e-9, 4) as lf_hf_trend,
+    round(l1 / nullif(l1 + h1, 0) - l0 / nullif(l0 + h0, 0) + 1e-9, 4) as lfnu_trend, round(h1 / nullif(h1 + l1, 0) - h0 / nullif(h0 + l0, 0) + 1e-9, 4) as hfnu_trend, tonic, tonic_change, n_spikes, roc, progress, label,
+    round(time_to_loc + 1e-9, 4) as time_to_loc, case when share < 0.6::double then 'train' when share < 0.8::double then 'val' else 'test' end as split_set from placed)""",
+)
+def _(s, d):
+    """Signal and mark files, read twice, to gold files, read back."""
+    nine = (F.col("subject_id") % 9).alias("subject_id")
+    rows = A.gappy(s, d).select("timestamp", F.coalesce("value", F.lit(float("nan"))).alias("value"), F.format_string("S%d_%s.csv", nine, F.col("signal_name")).alias("file"))
+    marks = A.loc(s, d).select(F.col("loc_ts").alias("timestamp"), F.format_string("S%d_LOC.csv", nine).alias("file"))
+    derived = Derived(lf="view", hf="click", eda="error", spike=100, lag_s=int(A.DAY))
+    how = {"size": 7, "stride": A.DAY, "warn": 3 * A.DAY, "ffill": 7200.0, "linear": 18000.0, "longest": 36000.0, "seconds": A.WEEK}
+    out = files_to_gold(s, _as_files(s, rows, "signals"), _as_files(s, marks, "marks"), _path(s, "bronze"), _path(s, "gold"), A.SIGNALS, derived, runs=2, **how)
+    return out.select("subject_id", "window_start", *GOLD_COLS, *DERIVED_COLS, "label", "time_to_loc", "split_set")
+
+
+# ---- samples with an event log to windows and the class table, through files
+
+EVENTS = "select signal_name as session_id, min(\"timestamp\") + 432000 as pre, min(\"timestamp\") + 691200 as syn, min(\"timestamp\") + 864000 as rec, min(\"timestamp\") + 1036800 as fin from sig group by 1"
+
+
+@query(
+    "samples_to_files",
+    f"""select y, count(*) as n, round(count(*) / sum(count(*)) over () + 1e-9, 4) as share, round(sum(a) + 1e-9, 2) as resampled, round(sum(b) + 1e-9, 2) as filled from (
+    with num2 as (select s.session_id, s.event_id, s."timestamp", case when s."timestamp" >= pre and s."timestamp" < syn then 1 when s."timestamp" >= syn and s."timestamp" < rec then 2 when s."timestamp" >= rec and s."timestamp" < fin then 3 else 0 end as code,
+        c.resampled, f.value, row_number() over (partition by s.session_id order by s."timestamp", s.event_id) - 1 as rn, count(*) over (partition by s.session_id) as n from ses s join ({EVENTS}) g on g.session_id = s.session_id
+        join (RESAMPLED) c on c.event_id = s.event_id
+        join (select event_id, coalesce(last_value(v ignore nulls) over f, last_value(v ignore nulls) over b) as value from (select *, case when event_id % 3 = 0 then value end as v from sig)
+          window f as (partition by signal_name order by "timestamp", event_id rows unbounded preceding), b as (partition by signal_name order by "timestamp" desc, event_id desc rows unbounded preceding)) f on f.event_id = s.event_id),
+      win2 as (select *, unnest(range(greatest(0, ceil((rn - 127) / 32.0))::bigint, (least(floor(rn / 32.0), ceil((n - 128) / 32.0) - 1) + 1)::bigint)) as window_no from num2 where least(floor(rn / 32.0), ceil((n - 128) / 32.0) - 1) >= greatest(0, ceil((rn - 127) / 32.0)))
+    select session_id, window_no, sum(resampled::float::double) as a, sum(value::float::double) as b, any_value(y) as y from win2 join (select session_id, window_no, code as y from (select *, row_number() over (partition by session_id, window_no order by c desc, code) as k
+      from (select session_id, window_no, code, count(*) as c from win2 group by all)) where k = 1) m using (session_id, window_no) group by all) group by y""".replace(
+        "RESAMPLED", _C11
+    ),
+)
+def _(s, d):
+    """Sessions and their event log, both through files, to windows of a resampled and a filled channel, by class."""
+    rows = A.sessions(s, d).withColumn("sparse", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    start = lambda days: (F.col("t") + days * A.DAY)
+    log = rows.groupBy("session_id").agg(F.min("timestamp").alias("t")).select("session_id", *[start(k).alias(c) for k, c in ((5, "pre_start_s"), (8, "syncope_start_s"), (10, "recovery_start_s"), (12, "recovery_end_s"))])
+    return class_table(rows, log, "sparse", 8, _path(s, "log"), _path(s, "windows"), SESSION, BY_TIME)
