@@ -139,3 +139,25 @@ def test_samples_of_a_hot_label(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("label"), "id")
     got = {r["id"] for r in P.sample_per_label(df, 1200, ["id"]).collect()}
     assert got == {i for i in range(5000) if i % 10 == 0} | set(sorted(i for i in range(5000) if i % 10)[:1200])
+
+
+def test_sliding_spectra_are_those_of_each_window(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", i, None if i % 211 == 5 else float(x)) for i, x in enumerate(100 + rng.normal(size=1500))] + [("b", i, 7.0) for i in range(200)] + [("c", i, float(np.sin(2 * np.pi * i / 8))) for i in range(300)]
+    df = spark.createDataFrame(rows, "session_id string, t long, v double").withColumn("timestamp", F.col("t").cast("double"))
+    arrays = W.window_arrays(W.count_windows(df, ["session_id"], ["timestamp"], 64, 16), ["session_id"], ["v"])
+    plain = X.spectral(arrays.withColumn("values", F.transform("x", lambda r: r[0].cast("double"))), 1.0, 0.1)
+    want = {(r["session_id"], r["window_no"]): (r["low_power"], r["high_power"], r["dominant_hz"]) for r in plain.collect()}
+    for rows_a_block in (64, 400, 100_000):
+        found = X.sliding_spectral(df, ["session_id"], ["timestamp"], "v", 64, 16, 1.0, 0.1, rows_a_block).collect()
+        got = {(r["session_id"], r["window_no"]): (r["low_power"], r["high_power"], r["dominant_hz"]) for r in found}
+        assert len(found) == len(got) and set(got) == set(want)
+        assert all(got[w] == pytest.approx(want[w], rel=1e-4, abs=1e-4) for w in want)  # the arrays hold floats
+    assert all(got[w] == (0.0, 0.0, 0.0) for w in got if w[0] == "b") and all(got[w][2] == 0.125 for w in got if w[0] == "c")
+    # against the transform of the doubles themselves
+    x = np.array([v for s, _, v in rows if s == "c"])
+    for (s, k), (low, high, _) in got.items():
+        if s == "c":
+            y = x[k * 16 : k * 16 + 64]
+            p, f = np.abs(np.fft.rfft(y - y.mean())) ** 2 / 64, np.fft.rfftfreq(64)
+            assert (low, high) == pytest.approx((p[(f > 0) & (f < 0.1)].sum(), p[f >= 0.1].sum()), abs=1e-9)

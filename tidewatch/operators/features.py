@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import last_valid
+from .chunks import last_valid, with_margins
 
 STATISTICS = ("mean", "std", "min", "max", "median", "p25", "p75")
 
@@ -159,6 +159,65 @@ def _bands(x: pd.Series, fs: pd.Series, edge: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["low_power", "high_power", "dominant_hz"])
 
 
+def _band_sums(power: np.ndarray, length: int, fs: float, edge: float) -> np.ndarray:
+    f = np.fft.rfftfreq(length, 1 / fs)
+    low = (f > 0) & (f < edge)
+    return np.stack([power[:, low].sum(1), power[:, f >= edge].sum(1), f[power.argmax(1)]], axis=1)
+
+
+def sliding_spectral(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, size: int, stride: int, fs: float, edge: float, rows: int = 100_000) -> DataFrame:
+    """(keys, window_no, low_power, high_power, dominant_hz) of the count windows of col, as `spectral` of their arrays.
+
+    Windows overlap, their transforms are not made anew: each stretch of `stride` rows gives its share of every bin once,
+    turned to a common phase; the bins of a window are the difference of two running sums of shares, whose size is that of
+    the window's transform. Windows with missing values, which are shorter, are transformed by themselves. A session is
+    cut into blocks of about `rows` rows with the rows of the windows that reach over their ends. stride divides size.
+    """
+    if size % stride:
+        raise ValueError("stride must divide size")
+    blocks = with_margins(df.select(*keys, *order, F.col(col).cast("double").alias("_x")), keys, order, 0, size - 1, max(1, rows // size) * size)
+    types = [df.schema[k] for k in keys]
+    schema = T.StructType([*types, T.StructField("window_no", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("low_power", "high_power", "dominant_hz")]])
+    parts = size // stride
+
+    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        v, first = pdf["_x"].to_numpy(float), int(pdf["rn"].iloc[0])
+        whole = np.isfinite(v)
+        starts = np.arange(0, int(pdf["own"].sum()), stride)
+        starts = starts[(first + starts < int(pdf["n_rows"].iloc[0]) - size) & (starts + size <= len(v))]
+        out = np.full((len(starts), 3), np.nan)
+        if len(starts):
+            x = np.where(whole, v, 0.0)
+            x = x - x[whole].mean() if whole.any() else x  # a constant is in bin 0 only, which isn't looked at
+            n = len(x) // stride
+            k = np.arange(size // 2 + 1)
+            wave = np.exp(-2j * np.pi * (np.arange(size) / size))
+            share = x[: n * stride].reshape(n, stride) @ wave[np.outer(np.arange(stride), k) % size]
+            total = np.concatenate([np.zeros((1, len(k))), np.cumsum(share * wave[np.outer(np.arange(n) * stride % size, k) % size], axis=0)])
+            at = starts // stride
+            power = np.abs(total[at + parts] - total[at]) ** 2 / size
+            power[:, 0] = 0.0
+            counted = lambda flag: np.concatenate([[0], np.cumsum(flag)])
+            moves = counted(np.append(np.diff(x) != 0, False))
+            power[moves[starts + size - 1] == moves[starts]] = 0.0
+            out = _band_sums(power, size, fs, edge)
+            holes = counted(~whole)
+            for i in np.flatnonzero(holes[starts + size] > holes[starts]):
+                kept = v[starts[i] : starts[i] + size]
+                kept = kept[np.isfinite(kept)]
+                out[i] = _band_sums(np.abs(np.fft.rfft(kept - kept.mean()))[None] ** 2 / len(kept), len(kept), fs, edge)[0] if len(kept) > 1 else np.nan
+        done = pd.DataFrame(out, columns=["low_power", "high_power", "dominant_hz"])
+        done.insert(0, "window_no", (first + starts) // stride)
+        for j, key in enumerate(keys):
+            done.insert(j, key, pdf[key].iloc[0])
+        return done
+
+    for key in keys:  # as count_windows
+        blocks = blocks.filter(F.col(key).isNotNull())
+    return blocks.groupBy(*keys, "block").applyInPandas(transform, schema)
+
+
 def spectral(windows: DataFrame, fs: float, edge: float, values: str = "values") -> DataFrame:
     """Adds low_power (below edge Hz), high_power and dominant_hz of the array column `values`."""
     bands = F.pandas_udf(_bands, T.StructType([T.StructField(c, T.DoubleType()) for c in ("low_power", "high_power", "dominant_hz")]))

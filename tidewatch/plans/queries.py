@@ -615,11 +615,14 @@ def _(s, d):
     return x.select("event_id", *[F.col("features")[k].alias(f"f{k}") for k in range(3)])
 
 
-@query("f10_spectral")
+@query(
+    "f10_spectral",
+    """select session_id, window_no, round(sum(p) filter (k > 0 and k / 128.0 < 0.1) + 1e-9, 4) as low_power, round(sum(p) filter (k / 128.0 >= 0.1) + 1e-9, 4) as high_power, round(arg_max(k, p) / 128.0::double + 1e-9, 4) as dominant_hz from (
+    select session_id, window_no, k, (power(sum(v * cos(2 * pi() * k * j / 128)), 2) + power(sum(v * sin(2 * pi() * k * j / 128)), 2)) / 128 as p from (
+      select session_id, window_no, rn - window_no * 32 as j, value - avg(value) over (partition by session_id, window_no) as v from win), range(0, 65) r(k) group by all) group by all""",
+)
 def _(s, d):
-    w = W.window_arrays(W.count_windows(_coded(s, d), SESSION, BY_TIME), SESSION, ["value"])
-    w = w.withColumn("values", F.transform("x", lambda r: r[0].cast("double")))
-    return _r(X.spectral(w, 1.0, 0.1).drop("x", "values"), ["low_power", "high_power", "dominant_hz"])
+    return _r(X.sliding_spectral(_coded(s, d), SESSION, BY_TIME, "value", 128, 32, 1.0, 0.1), ["low_power", "high_power", "dominant_hz"])
 
 
 @query(
