@@ -494,3 +494,28 @@ def test_long_words_are_merged_as_the_library_does():
     began = time.time()
     ids, _ = encoder.encode([long])
     assert time.time() - began < 15 and list(ids) == library.encode(long, add_eos=True)
+
+
+def test_signatures_enumerate_subsets_and_lose_no_link():
+    """Pairs at and above the threshold, with any part of their shingles common, share a signature; their number is bounded."""
+    rng, tested = np.random.default_rng(1), 0
+    bands = partenum_join.Bands.of(80, 100, 1000)
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 13, 20, 36, 37, 50, 90, 180, 181, 400, 900]))).astype(np.uint64))
+        r, q = int(rng.integers(0, len(a) // 4 + 1)), int(rng.integers(0, len(a) // 4 + 1))
+        b = np.unique(np.concatenate([rng.permutation(a)[r:], rng.integers(0, 2**63, q).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if np.array_equal(a, b) or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        tested += 1
+        common = np.sort(rng.choice(np.union1d(a, b), int(rng.integers(0, len(a) + 1)), replace=False)) if tested % 2 else np.empty(0, np.uint64)
+        x, y = (partenum_join.signatures(s, common, bands) for s in (a, b))
+        assert len(np.intersect1d(x, y)), (len(a), len(b), len(common))
+        assert max(len(x), len(y)) <= 2 * len(a) + 80
+    assert tested > 400
+    # a band of small sets: three of five cells of each partition, all ten subsets
+    small = np.arange(1, 21, dtype=np.uint64)
+    (band, k), *_ = bands.of_set(20)
+    assert bands.fine[band] == 5 and k <= partenum_join.FEW and partenum_join.SUBSETS[5, 2].shape == (10, 5)
+    full, signs = partenum_join._enumerated(small, bands, band, 0, True)
+    assert len(signs) == 10 * bands.coarse[band] and full <= bands.coarse[band]

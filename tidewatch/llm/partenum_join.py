@@ -2,14 +2,18 @@
 
 Sets that link at similarity s have sizes within 1 : 1/s and differ in at most k = (1-s)/(1+s) (|a|+|b|) shingles.
 Sizes fall into bands; a set takes part in its own band and, where a partner may lie there, in the next. In a band
-the feature domain is cut into more than k partitions by hash, and each partition of a set that isn't empty is one
-signature (the hash of its shingles). At most k partitions can differ, so if a set has more than k partitions in use,
-one of them is the same in its partner: the two share a signature.
+the feature domain is cut by hash into first-level partitions, and each of these into a few second-level ones. A
+first-level partition is bad for a pair if more than e of its shingles differ; at most k / (e + 1) can be bad. In any
+other one at most e second-level partitions differ, so the pair agrees on one of the subsets that leave e of them out.
+All such subsets are enumerated, and each that has shingles is one signature (the hash of its shingles, its number and
+its partition). If a set has more first-level partitions in which every subset has shingles than can be bad, it shares a
+signature with each partner. Small sets have subsets of 3 of 5 second-level partitions, middling ones of 2 of 3, large
+ones of 1 of 2.
 
 Shingles that very many documents have would make common signatures. They are found on a bounded sample (which steers
-cost only, never the result) and kept out of the partitions. A set that has too few partitions in use without them also
-signs partitions of its common shingles, and, if that still isn't enough, its empty partitions; both members of a
-pair of such sets do so, so no link is lost.
+cost only, never the result) and kept out of the partitions. A set that has too few full partitions without them also
+signs subsets of its common shingles, and, if that still isn't enough, its empty subsets; both members of a pair of such
+sets do so, so no link is lost.
 
 Equal sets are one node. Nodes that share a signature are candidates unless the parity sketches of their sets differ in
 more cells than linked sets could: few nodes are paired, many are dealt out in blocks, of which a spanning forest of the
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,12 @@ from .common import components, discard, join_hot, pieces, written
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 RATIO, SMALL = 1.5, 16
+#: (differences at most, (second-level partitions, of which may differ)): small sets are told apart by subsets of 3 of 5
+#: and of 2 of 3; large ones have many partitions anyway, and two subsets of one for each keep signatures few.
+FEW = 8
+SHAPES = ((FEW, (5, 2)), (40, (3, 1)), (float("inf"), (2, 1)))
+#: By shape, the subsets that are enumerated, as rows of flags.
+SUBSETS = {(f, e): np.array([[j in x for j in range(f)] for x in combinations(range(f), f - e)]) for _, (f, e) in SHAPES}
 #: Bytes and number of sets (or sketches) in a block at most: two blocks meet in a task.
 BLOCK_BYTES, BLOCK_SETS = 16 << 20, 1024
 
@@ -115,12 +126,16 @@ def fingerprint(s: np.ndarray) -> bytes | None:
 
 @dataclass
 class Bands:
-    """Sizes up to top[i] belong to band i; parts[i] partitions there."""
+    """Sizes up to top[i] belong to band i; coarse[i] first-level partitions there, each of fine[i] second-level ones, of
+    which apart[i] may differ.
+    """
 
     num: int
     den: int
     top: list[int]
-    parts: list[int]
+    coarse: list[int]
+    fine: list[int]
+    apart: list[int]
 
     @staticmethod
     def of(num: int, den: int, largest: int) -> Bands:
@@ -128,7 +143,10 @@ class Bands:
         while top[-1] < largest * den / num + 1:
             top.append(max(int(top[-1] * RATIO), top[-1] * den // num + 1))
         limits = [(den - num) * 2 * t // (den + num) for t in top]
-        return Bands(num, den, top, [max(k + 2, int(1.1 * k) + 4) for k in limits])
+        shape = [next(x for most, x in SHAPES if k <= most) for k in limits]
+        # a few more first-level partitions than may be bad, as some have subsets without elements
+        bad = [k // (e + 1) for k, (_, e) in zip(limits, shape, strict=True)]
+        return Bands(num, den, top, [x + 1 if k <= FEW else int(1.1 * x) + 3 for x, k in zip(bad, limits, strict=True)], [f for f, _ in shape], [e for _, e in shape])
 
     def of_set(self, n: int) -> list[tuple[int, int]]:
         """(band, k): where a set of n shingles signs, and how many shingles it can differ from a partner there."""
@@ -141,15 +159,25 @@ class Bands:
         return [(b, k) for b, k in out if k]  # sets that can't differ are equal
 
 
-def _parts(s: np.ndarray, band: int, n_parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(partitions in use, their signatures)."""
+def _enumerated(s: np.ndarray, bands: Bands, band: int, salt: int, empty: bool) -> tuple[int, np.ndarray]:
+    """(first-level partitions of which every subset has elements, signatures of subsets: all that have some, or all)."""
+    fine, coarse, apart = bands.fine[band], bands.coarse[band], bands.apart[band]
     h = _mixed(s + np.uint64((salt * MIX[4] + band) & (2**64 - 1)))
-    part = (h >> np.uint64(33)) % np.uint64(n_parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-    sums = np.add.reduceat(_mixed(h[order] ^ np.uint64(MIX[3])), first) if len(first) else np.empty(0, np.uint64)
-    return part[first], _mixed(sums + part[first] * np.uint64(MIX[0]) + np.uint64(band * 2 + salt))
+    cell = ((h >> np.uint64(33)) % np.uint64(coarse * fine)).astype(np.int64)
+    count = np.bincount(cell, minlength=coarse * fine).reshape(coarse, fine)
+    order = np.argsort(cell, kind="stable")
+    sums = np.zeros(coarse * fine, np.uint64)
+    if len(s):
+        at = cell[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        sums[at[first]] = np.add.reduceat(_mixed(h[order] ^ np.uint64(MIX[3])), first)
+    pick = SUBSETS[fine, apart]
+    # a subset's signature: the sum of its cells' hashes, with its number and that of its partition
+    total = (sums.reshape(coarse, 1, fine) * pick[None].astype(np.uint64)).sum(2, dtype=np.uint64)
+    number = np.arange(coarse * len(pick), dtype=np.uint64).reshape(coarse, len(pick))
+    sign = _mixed(total + number * np.uint64(MIX[0]) + np.uint64(band * 2 + salt))
+    some = (count[:, None, :] * pick[None]).sum(2) > 0
+    return int(some.all(1).sum()), sign.ravel() if empty else sign[some]
 
 
 def signatures(s: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
@@ -158,14 +186,14 @@ def signatures(s: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
     often = common[at] == s if len(common) else np.zeros(len(s), bool)
     out = []
     for band, k in bands.of_set(len(s)):
-        used, signs = _parts(s[~often], band, bands.parts[band], 0)
+        bad = k // (bands.apart[band] + 1)
+        full, signs = _enumerated(s[~often], bands, band, 0, False)
+        if full <= bad:
+            more, others = _enumerated(s[often], bands, band, 1, False)
+            out.append(others)
+            if full + more <= bad:
+                signs = _enumerated(s[~often], bands, band, 0, True)[1]
         out.append(signs)
-        if len(used) <= k:
-            more, signs = _parts(s[often], band, bands.parts[band], 1)
-            out.append(signs)
-            if len(used) + len(more) <= k:
-                rest = np.setdiff1d(np.arange(bands.parts[band], dtype=np.uint64), used)
-                out.append(_mixed(rest * np.uint64(MIX[0]) + np.uint64(band * 2)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
