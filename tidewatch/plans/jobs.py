@@ -105,10 +105,11 @@ def class_table(rows: DataFrame, log: DataFrame, sparse: str, block: int, log_pa
     """
     io.write_event_log(log, log_path)
     known = rows.sparkSession.read.schema(log.schema).option("header", True).csv(log_path)
-    labelled = L.label_phases(rows, known).withColumn("code", S.encode_label(F.col("label")))
-    blocks = C.fill_blocks(C.resample_mean(labelled, keys, order, sparse, block), keys)
-    both = C.upsample_linear(labelled, blocks, keys, order, block).drop("rn").withColumn("resampled", rounded(F.col("resampled")))
-    filled = C.fill_session(both, keys, [sparse], order)
+    # each step reads its input more than once (chunks and what they carry), so steps are written
+    labelled = written(L.label_phases(rows, known).withColumn("code", S.encode_label(F.col("label"))), "labelled")
+    blocks = written(C.fill_blocks(written(C.resample_mean(labelled, keys, order, sparse, block), "blocks"), keys), "blocks")
+    both = written(C.upsample_linear(labelled, blocks, keys, order, block).drop("rn").withColumn("resampled", rounded(F.col("resampled"))), "resampled")
+    filled = written(C.fill_session(both, keys, [sparse], order), "filled")
     io.write_windows(W.labelled_windows(W.count_windows(filled, keys, order), keys, ["resampled", sparse], "code"), windows_path)
     total = lambda k: F.aggregate("x", F.lit(0.0), lambda a, r: a + r[k].cast("double"))
     g = io.read_windows(rows.sparkSession, windows_path).select("y", total(0).alias("a"), total(1).alias("b")).groupBy("y").agg(F.count("*").alias("n"), rounded(F.sum("a"), 2).alias("resampled"), rounded(F.sum("b"), 2).alias("filled"))
