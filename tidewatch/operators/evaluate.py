@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import joined, running_sum
+from .chunks import joined
 
 
 #: Ranges of score into which a fold is cut; a range is one task's work.
@@ -27,10 +27,16 @@ def _by_score(df: DataFrame, keys: Sequence[str], descending: bool = False) -> D
     at = F.coalesce(share, F.lit(0.0)) * RANGES
     at = F.when(F.col("p").isNull(), F.lit(-1.0)).when(F.isnan(at), F.lit(float(RANGES + 1))).otherwise(at)
     order = F.when(F.col("p").isNull(), F.lit(float("-inf"))).otherwise(F.col("p"))
-    g = joined(g, ends, keys).withColumns({"_at": -at if descending else at, "_p": -order if descending else order})
-    for side in ("pos", "neg"):
-        g = running_sum(g, keys, ["_at", "_p"], F.col(side), f"{side}_upto", 1.0, f"n_{side}")
-    return g.drop("_lo", "_hi", "_at", "_p")
+    part = F.floor(-at if descending else at).cast("long")
+    g = joined(g, ends, keys).withColumns({"_part": part, "_p": -order if descending else order}).drop("_lo", "_hi")
+    sums = g.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in ("pos", "neg")])
+    fold = Window.partitionBy(*keys)
+    before = fold.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_past_{c}") for c in ("pos", "neg")], *[F.sum(f"_{c}").over(fold).alias(f"n_{c}") for c in ("pos", "neg")])
+    within = Window.partitionBy(*keys, "_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    here = g.withColumns({f"{c}_upto": F.sum(c).over(within) for c in ("pos", "neg")})
+    both = joined(here, past, [*keys, "_part"])
+    return both.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_past_{c}") for c in ("pos", "neg")}).drop("_part", "_p", "_past_pos", "_past_neg")
 
 
 def fold_auc(df: DataFrame, fold: str = "fold") -> DataFrame:
