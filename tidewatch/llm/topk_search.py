@@ -32,6 +32,8 @@ from .sweep import running_total
 from .vectors import block, packed, unpacked
 
 CHUNK, QUERIES, STEP, HEAD, SPANS = 8192, 2048, 1024, 16, 512
+#: A chunk meets the blocks that want it in this many parts, so that no task makes all copies of a chunk.
+CHUNK_PARTS = 64
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 OUT = "query_id long, vec_id long, score long"
 
@@ -131,9 +133,15 @@ def _searched(k: int, d: int, basis: np.ndarray):
 
 
 def wanted(cands: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each candidate once for each block of queries in which some query wants its chunk."""
+    """Each candidate once for each block of queries in which some query wants its chunk.
+
+    Every block wants the first chunk, so the join is on a part of the chunk too: a task copies 1/CHUNK_PARTS of one.
+    """
     pairs = queries.select(F.col("chunk").alias("_chunk"), F.col("block").alias("_block")).distinct()
-    return cands.join(pairs, F.col("chunk") == F.col("_chunk")).select("chunk", F.col("_block").alias("block"), "vec_id", "v", "norm")
+    pairs = pairs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_PARTS - 1))))
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(CHUNK_PARTS)).cast("int")
+    met = cands.withColumn("part", part).join(pairs, (F.col("chunk") == F.col("_chunk")) & (F.col("part") == F.col("_part")))
+    return met.select("chunk", F.col("_block").alias("block"), "vec_id", "v", "norm")
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
