@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,6 +406,54 @@ def test_many_sets_that_share_a_passage(spark, monkeypatch):
     assert got == {len(texts) - i: low[find(i)] for i in range(len(texts))}
 
 
+def test_large_groups_meet_their_pivots_first(spark, monkeypatch):
+    """Rows link where their numbers are 1 apart: chains, a dense crowd and strangers, more of them than a block holds."""
+    monkeypatch.setattr(partenum_join, "BLOCK_SETS", 8)
+    rng = random.Random(5)
+    groups = {1: [*range(100, 140)], 2: [rng.choice((5, 6, 7)) for _ in range(90)] + [20, 30, 31], 3: [2 * k for k in range(30)], 4: [1, 2], 5: [9]}
+    rows = [(g, g * 1000 + k, x) for g, xs in groups.items() for k, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g long, by long, x long")
+
+    def within(t):
+        x, by, mine = (t[c].to_numpy() for c in ("x", "by", "mine"))
+        a, b = np.nonzero((abs(x[:, None] - x[None]) <= 1) & ((mine[:, None] != mine[None]) | (t["i"][0].as_py() == t["j"][0].as_py())))
+        return pa.table({"a": by[a], "b": by[b]})
+
+    got = partenum_join.edges_of(df, "g", "by", F.lit(1), 64, within, lambda t, one: abs(t["x"].to_numpy() - one["x"][0].as_py()) <= 1)
+    found = {r["node"]: r["component"] for r in common.components(got).collect()}
+    want = {}
+    for g, xs in groups.items():
+        for k, x in enumerate(xs):
+            reach, new = {x}, {x}
+            while new := {y for y in xs if y not in reach and any(abs(y - z) <= 1 for z in reach)}:
+                reach |= new
+            low = min(j for j, y in enumerate(xs) if y in reach)
+            if sum(y in reach for y in xs) > 1:
+                want[g * 1000 + k] = g * 1000 + low
+    assert found == want
+
+
+def test_copies_of_one_template_cost_their_number(spark, monkeypatch):
+    """All rows of a group link with a pivot: no pair of blocks is left to compare."""
+    monkeypatch.setattr(partenum_join, "BLOCK_SETS", 8)
+    df = spark.range(500).selectExpr("1L as g", "id as by", "0L as x")
+
+    def within(t):
+        raise AssertionError("nothing is open")
+
+    got = partenum_join.edges_of(df, "g", "by", F.lit(1), 64, within, lambda t, one: np.ones(t.num_rows, bool))
+    assert {(r["node"], r["component"]) for r in common.components(got).collect()} == {(k, 0) for k in range(500)}
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(7, text)] * 150 + [(None, text + " more words at the end")] * 100 + [(3, text + " more"), (5, "another text of some six words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in partenum_join.jaccard_rows(df).collect()}
+    near = {3, 7}
+    assert got >= {(k, 3) for k in near} | {(5, 5)} and partenum_join.jaccard_rows(df).count() == len(rows)
+
+
 def test_sketches_never_lose_a_link():
     rng = np.random.default_rng(15)
     sets = []

@@ -18,6 +18,7 @@ sets do so, so no link is lost.
 Equal sets are one node. Nodes that share a signature are candidates unless the parity sketches of their sets differ in
 more cells than linked sets could: few nodes are paired, many are dealt out in blocks, of which a spanning forest of the
 pairs left comes back. The classes so formed meet in blocks bounded by bytes, where the full sets decide link by link.
+Where there are several blocks, all rows meet a few pivots first, and those that the pivots join don't meet again.
 
 Shingles are compared as 64-bit hashes, sets as 128-bit hashes of their sorted shingles.
 
@@ -34,6 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ SHAPES = ((FEW, (5, 2)), (40, (3, 1)), (float("inf"), (2, 1)))
 SUBSETS = {(f, e): np.array([[j in x for j in range(f)] for x in combinations(range(f), f - e)]) for _, (f, e) in SHAPES}
 #: Bytes and number of sets (or sketches) in a block at most: two blocks meet in a task.
 BLOCK_BYTES, BLOCK_SETS = 16 << 20, 1024
+#: Rows of a larger group that all its rows meet first.
+PIVOTS = 16
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -361,6 +365,19 @@ def sketched_within(n: np.ndarray, sketches: list[bytes], num: int, den: int, mi
     return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
 
 
+def linked_to(one: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of the sets link with one set."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    hit = (den * np.minimum(n, len(one)) >= num * np.maximum(n, len(one))) & (n > 0)
+    some = np.flatnonzero(hit)
+    if len(some):
+        flat = np.concatenate([sets[i] for i in some])
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        both = np.add.reduceat(one[at] == flat, np.concatenate([[0], np.cumsum(n[some])[:-1]]), dtype=np.int64)
+        hit[some] = den * both >= num * (n[some] + len(one) - both)
+    return hit
+
+
 def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among sets: from each set reached, the sets not reached yet are compared to it."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -372,15 +389,7 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
         while front and left:
             k = front.pop()
             rest = np.array(left)
-            close = (den * np.minimum(n[rest], n[k]) >= num * np.maximum(n[rest], n[k])) & (n[rest] > 0)
-            some = rest[close]
-            if not len(some):
-                continue
-            flat = np.concatenate([sets[i] for i in some])
-            at = np.minimum(np.searchsorted(sets[k], flat), n[k] - 1)
-            ends = np.cumsum(n[some])
-            both = np.add.reduceat(sets[k][at] == flat, np.concatenate([[0], ends[:-1]]), dtype=np.int64)
-            hit = some[den * both >= num * (n[some] + n[k] - both)]
+            hit = rest[linked_to(sets[k], [sets[i] for i in left], num, den)]
             if len(hit):
                 gone = set(hit.tolist())
                 left = [i for i in left if i not in gone]
@@ -390,21 +399,79 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def dealt(rows: DataFrame, group: str, size: Column, most: int) -> DataFrame:
-    """rows in blocks: adds mine, the row's block, and i <= j, once for each pair of its group's blocks that it is in. The blocks of a group
-    hold about `most` of size and BLOCK_SETS rows each, dealt by the hash of column `by`; a row larger than that is not
-    split.
+def _main_pivots(t: pa.Table) -> pa.Table:
+    """Of one group's rows (mask, n), n rows that link with the pivots in mask: the pivots (bits) of the largest class."""
+    masks, n = t["mask"].to_numpy(), t["n"].to_numpy()
+    low = np.arange(PIVOTS)
+    for m in masks.tolist():
+        bits = [k for k in range(PIVOTS) if m >> k & 1]
+        low[np.isin(low, low[bits])] = low[bits].min()
+    weight = np.bincount(low[[(m & -m).bit_length() - 1 for m in masks.tolist()]], n, PIVOTS)
+    main = sum(1 << int(k) for k in np.flatnonzero(low == weight.argmax()))
+    return pa.table({t.column_names[0]: t.column(0).slice(0, 1), "main": pa.array([main], pa.int64())})
+
+
+def edges_of(rows: DataFrame, group: str, name: str, size: Column, most: int, within: object, to_one: object) -> DataFrame:
+    """A written table of edges (a, b) between names such that each group's rows are joined as all links within the group join them.
+
+    rows: a written table with the columns group (long), name and by, which tells rows apart. within: from a table of
+    rows with mine, i and j, the edges of a forest of their links (for i <> j, of those between different `mine` at
+    least). to_one: from a table of rows and one of a single row, which of the rows link with it.
+
+    A group of one block (`most` of size, BLOCK_SETS rows) is one task. The rows of a larger one first meet PIVOTS of
+    its rows. Those that link with pivots of one class are one component by that (the main ones, where the class is the
+    largest), so of their pairs none is left to compare; only the others meet all rows, in blocks, every pair of blocks
+    in a group of its own. So copies of one template cost their number, not its square. A row larger than a block is
+    not split.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.greatest(size, F.lit(most // BLOCK_SETS))
-    parts = rows.groupBy(group).agg(F.ceil(F.sum(size) / most).cast("int").alias("parts"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
-    mine = F.pmod(F.xxhash64("by"), F.col("parts")).cast("int")
-    return (
-        join_hot(rows, parts, group)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        .drop("other", "parts")
-    )
+    kind = rows.schema[name].dataType.simpleString()
+    schema = f"a {kind}, b {kind}"
+    zero = {c: F.lit(0) for c in ("mine", "i", "j")}
+    big = written(rows.groupBy(group).agg(F.ceil(F.sum(size) / most).cast("int").alias("parts")).filter("parts > 1"))
+    if big.isEmpty():
+        discard(big)
+        return written(rows.withColumns(zero).repartition(parts, group).groupBy(group).applyInArrow(within, schema))
+    placed = join_hot(rows, big, group, "left")
+    small = placed.filter("parts is null").drop("parts").withColumns(zero).repartition(parts, group).groupBy(group).applyInArrow(within, schema)
+    large = written(placed.filter("parts is not null").withColumn("mine", F.pmod(F.xxhash64("by"), F.col("parts")).cast("int")))
+    # the pivots: of PIVOTS parts of a group by hash, the least row each; every block of the group gets them
+    part = F.pmod(F.xxhash64(F.lit(1), "by"), F.lit(PIVOTS)).cast("int").alias("pivot")
+    pivots = large.groupBy(group, part).agg(F.min_by(F.struct(*large.columns), "by").alias("row")).select("pivot", "row.*")
+    everywhere = pivots.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*large.columns, "pivot")
+    meeting = large.withColumn("pivot", F.lit(None).cast("int")).unionByName(everywhere)
+
+    def met(t: pa.Table) -> pa.Table:
+        chosen, others = t.filter(pc.is_valid(t["pivot"])), t.filter(pc.is_null(t["pivot"])).drop_columns(["pivot"])
+        mask, hits = np.zeros(others.num_rows, np.int64), []
+        for at in range(chosen.num_rows):
+            hits.append(to_one(others, chosen.slice(at, 1)))
+            mask |= hits[-1].astype(np.int64) << chosen["pivot"][at].as_py()
+        row, which = np.nonzero(np.stack(hits, 1)) if hits else (np.empty(0, np.int64),) * 2
+        starts = pa.array(np.searchsorted(row, np.arange(others.num_rows + 1)), pa.int32())
+        to = pa.ListArray.from_arrays(starts, chosen[name].combine_chunks().take(pa.array(which)))
+        return others.append_column("mask", pa.array(mask)).append_column("to", to)
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in large.schema)
+    seen = written(meeting.repartition(parts, group, "mine").groupBy(group, "mine").applyInArrow(met, f"{names}, mask long, to array<{kind}>"))
+    discard(large)
+    main = seen.filter("mask <> 0").groupBy(group, "mask").agg(F.count("*").alias("n")).groupBy(group).applyInArrow(_main_pivots, f"{group} long, main long")
+    done = join_hot(seen, main, group, "left").withColumn("done", F.coalesce(F.col("mask").bitwiseAND(F.col("main")) != 0, F.lit(False))).drop("main", "parts", "mine")
+    done = written(done)
+    discard(seen)
+    blocks = lambda own: F.ceil(F.coalesce(F.sum(F.when(own, size)), F.lit(0)) / most).cast("int")
+    left = written(done.groupBy(group).agg(blocks(F.col("done")).alias("sure"), blocks(~F.col("done")).alias("open")).filter("open > 0"))
+    to_pivots = done.select(F.col(name).alias("a"), F.explode("to").alias("b")).filter("a <> b")
+    # blocks of open rows (0, 1, ..) meet one another and the blocks of the others (-1, -2, ..)
+    mine = F.when(F.col("done"), -1 - F.pmod(F.xxhash64("by"), F.greatest("sure", F.lit(1)))).otherwise(F.pmod(F.xxhash64("by"), F.col("open"))).cast("int")
+    first = F.when(F.col("done"), F.lit(0)).otherwise(-F.col("sure"))
+    pairs = join_hot(done, left, group).drop("mask", "to").withColumn("mine", mine)
+    pairs = pairs.withColumn("other", F.explode(F.sequence(first, F.col("open") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    between = pairs.drop("other", "sure", "open", "done").repartition(parts, group, "i", "j").groupBy(group, "i", "j").applyInArrow(within, schema)
+    out = written(small.unionByName(to_pivots).unionByName(between))
+    discard(big, done, left)
+    return out
 
 
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, sample: int = 20_000, common_part: float = 0.001) -> DataFrame:
@@ -454,12 +521,25 @@ def jaccard_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5,
 
     few = pairs.filter("many = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(possible, "a long, b long")
     crowds = written(pairs.filter("many = 1").select(F.col("a").alias("by"), F.col("b").alias("sig")).join(side("by"), "by"))
-    # dealt to all tasks: the work goes with the square of a block, not with its bytes
-    crowded = dealt(crowds, "sig", F.length("s_by") + 64, BLOCK_BYTES).repartition(parts, "sig", "i", "j").groupBy("sig", "i", "j").applyInArrow(forest, "a long, b long")
+
+    def may_link_one(t: pa.Table, one: pa.Table) -> np.ndarray:
+        n, s = one["n_by"].to_numpy(), one["s_by"].to_pylist()
+        return may_link(t["n_by"].to_numpy(), t["s_by"].to_pylist(), np.repeat(n, t.num_rows), s * t.num_rows, num, den)
+
+    crowded = edges_of(crowds, "sig", "by", F.length("s_by") + 64, BLOCK_BYTES, forest, may_link_one)
     classes = components(few.unionByName(crowded))
-    discard(pairs, crowds)
+    discard(pairs, crowds, crowded)
     wanted = nodes.join(classes, "node").select(F.col("name.id").alias("_id"), F.col("key").alias("_key"), F.col("fp").alias("_fp"), "name", F.col("component").alias("cls"))
-    text = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "name", "_fp", "text")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # an id and text that hold more than 1/500 of the rows (fewer than 500 of them) are looked up, not shuffled
+    again = known.filter("fp is not null").groupBy("doc_id", "key").count().filter(F.col("count") > F.lit(max(64, total // 500))).select("doc_id", "key").collect()
+    if again:
+        many = F.broadcast(spark.createDataFrame([tuple(r) for r in again], known.select("doc_id", "key").schema).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+        looked = F.broadcast(wanted.join(many.select(F.col("_id").alias("_i"), F.col("_key").alias("_k")), (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi"))
+        text = rows.join(many, same, "left_anti").join(wanted, same).unionByName(rows.join(looked, same))
+    else:
+        text = rows.join(wanted, same)
+    text = text.select("cls", "name", "_fp", "text")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # repeated rows bring a set once for each task
@@ -474,17 +554,19 @@ def jaccard_rows(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5,
 
     name_type = nodes.schema["name"].dataType.simpleString()
     sets = written(text.mapInArrow(as_sets, f"cls long, name {name_type}, by binary, s binary"))
-    blocks = dealt(sets, "cls", F.length("s") + 64, BLOCK_BYTES)
+    as_hashes = lambda column: [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+    def links_one(t: pa.Table, one: pa.Table) -> np.ndarray:
+        return linked_to(as_hashes(one["s"])[0], as_hashes(t["s"]), num, den)
 
     def compared(t: pa.Table) -> pa.Table:
         # a set may come from more than one task
         at = list({fp: k for k, fp in enumerate(t["by"].to_pylist())}.values())
-        column = t["s"].take(pa.array(at))
-        a, b = links_within([np.frombuffer(x.as_buffer(), np.uint64) for x in column], num, den)
+        a, b = links_within(as_hashes(t["s"].take(pa.array(at))), num, den)
         names = t["name"].take(pa.array(at)).combine_chunks()
         return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
 
-    links = written(blocks.groupBy("cls", "i", "j").applyInArrow(compared, f"a {name_type}, b {name_type}"))
+    links = edges_of(sets, "cls", "name", F.length("s") + 64, BLOCK_BYTES, compared, links_one)
     discard(sets)
     # the smallest name of a component holds its smallest id; a set that links with no other one is its own component
     joined = components(links).select(F.col("node.fp").alias("fp"), "component")
