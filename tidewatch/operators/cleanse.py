@@ -186,10 +186,10 @@ def normalize(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]
     return apply_params(df, params, keys), params
 
 
-def apply_params(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds z by params (keys, mean, std); null for keys without parameters."""
+def apply_params(df: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Adds z by params (keys, mean, std). how: left, null for keys without parameters, or inner, without their rows."""
     scale = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
-    return joined(df, params, keys, "left").withColumn("z", (F.col("value") - F.col("mean")) / scale).drop("mean", "std")
+    return joined(df, params, keys, how).withColumn("z", (F.col("value") - F.col("mean")) / scale).drop("mean", "std")
 
 
 def null_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str) -> DataFrame:
