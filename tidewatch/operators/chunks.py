@@ -89,13 +89,22 @@ def with_margins(df: DataFrame, keys: Sequence[str], order: Sequence[str], befor
 
     Adds rn, n_rows, block and own (false for the copies). rows must be at least before and after.
     """
-    numbered = row_index(df, keys, order, seconds=seconds)
+    return margins_of(row_index(df, keys, order, seconds=seconds), before, after, rows)
+
+
+def margins_of(numbered: DataFrame, before: int, after: int, rows: int) -> DataFrame:
+    """with_margins for rows that have their rn and n_rows."""
     here = F.floor(F.col("rn") / rows).cast("long")
     low = F.greatest(F.lit(0), F.floor((F.col("rn") - after) / rows)).cast("long")
     high = F.least(F.floor((F.col("n_rows") - 1) / rows), F.floor((F.col("rn") + before) / rows)).cast("long")
     return numbered.withColumn("block", F.explode(F.sequence(low, high))).withColumn("own", F.col("block") == here)
 
 
+def block_by_block(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df dealt out by (keys, block), each block's rows one after another by rn: for maps over batches of many sessions."""
+    return df.repartition(*[F.col(f"`{k}`") for k in keys], "block").sortWithinPartitions(*[F.col(f"`{k}`") for k in keys], "block", "rn")
+
+
 def with_steps(df: DataFrame, low: str, high: str, out: str, keys: Sequence[str]) -> DataFrame:
     """df, one row for each value of keys, once for each whole number from low to high, in column out (long).
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK_SECONDS, joined, last_valid, neighbours, row_index, running_sum, with_margins, with_steps
+from ..tables import written
+from .chunks import CHUNK_SECONDS, block_by_block, joined, last_valid, neighbours, row_index, running_sum, with_margins, with_steps
 from .quantiles import exact_quantiles
 
 #: Rows of a session that one task works on.
@@ -221,41 +223,57 @@ def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, tau:
     """First-order lag: y += a (x - y) with a = 1 - exp(-1 / (tau fs)), from the first value on; a missing x holds y.
 
     y is linear in the value before: blocks of rows are smoothed as if nothing came before, and the value at the end of
-    one block, times (1 - a) to the number of values since, is added to the next ones.
+    one block, times (1 - a) to the number of values since, is added to the next ones. Blocks of many sessions go through
+    one map over batches, so short sessions cost no call each; only sessions of several blocks meet what came before.
+    The smoothed blocks are written.
     """
     a = float(1 - np.exp(-1 / (tau * fs)))
-    value = F.when(~F.isnan(F.col(col)), F.col(col))
-    numbered = row_index(df, keys, order).withColumn("block", F.floor(F.col("rn") / rows).cast("long"))
-    numbered = running_sum(numbered.withColumn("_x", value), keys, order, F.col("_x").isNotNull().cast("long"), "_nth")
-    # the first value counts whole, later ones with weight a
-    numbered = numbered.withColumn("_u", F.when(F.col("_nth") == 1, F.col("_x")).otherwise(F.col("_x") * a))
+    value = F.when(~F.isnan(F.col(col)), F.col(col).cast("double"))
+    numbered = row_index(df, keys, order).withColumn("block", F.floor(F.col("rn") / rows).cast("long")).withColumn("_x", value)
     schema = T.StructType([*numbered.schema.fields, T.StructField("_local", T.DoubleType()), T.StructField("_n", T.LongType())])
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        known = pdf["_u"].notna().to_numpy()
-        y = pdf["_u"].to_numpy(float)[known]
-        step = 1
-        while step < len(y):  # sums over twice as many values each time
-            y[step:] = y[step:] + (1 - a) ** step * y[:-step]
-            step *= 2
-        n = np.cumsum(known)
-        return pdf.assign(_local=np.concatenate([[0.0], y])[n], _n=n)
-
-    local = numbered.groupBy(*keys, "block").applyInPandas(smooth, schema)
-    ends = local.groupBy(*keys, "block").agg(F.max_by("_local", "rn").alias("_e"), F.max("_n").alias("_m"))
-    # one row a block: its end without and with what came before
-    listed = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "_e", "_m"))).alias("_ends"))
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = 0.0, 0  # of the block that goes on from the batch before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rn, block, x = (b[c].to_numpy(zero_copy_only=False) for c in ("rn", "block", "_x"))
+            known, fresh = ~np.isnan(x.astype(float)), rn == block * rows
+            part, total = np.cumsum(fresh), np.cumsum(known)
+            n = total - np.append(-count, (total - known)[fresh])[part]
+            # a session's first value counts whole, later ones with weight a; if block 0 has none, see below
+            y = np.where((block == 0) & (n == 1), x, a * x)[known]
+            of = part[known]
+            if len(y) and of[0] == 0:
+                y[0] += (1 - a) * last
+            step = 1
+            while step < np.bincount(of, minlength=1).max():  # sums over twice as many values of a block each time
+                y[step:] = y[step:] + np.where(of[step:] == of[:-step], (1 - a) ** step * y[:-step], 0.0)
+                step *= 2
+            local = np.where(n > 0, np.append(last, y)[total], 0.0)
+            last, count = local[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local), pa.array(n)], names=[*b.schema.names, "_local", "_n"])
+
+    local = written(block_by_block(numbered, keys).mapInArrow(smooth, schema), "smoothed")
+    one, many = (local.filter(c) for c in (F.col("n_rows") <= rows, F.col("n_rows") > rows))
+    first = F.min_by("_x", F.when(F.col("_x").isNotNull(), F.col("rn")))
+    ends = many.groupBy(*keys, "block").agg(F.max_by("_local", "rn").alias("_e"), F.max("_n").alias("_m"), first.alias("_f"))
+    # one row a block: its end without and with what came before; before any value, a block's first value
+    listed = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "_e", "_m", "_f"))).alias("_ends"))
+    into = lambda s, e: F.when(e["block"] == 0, 0.0).otherwise(F.coalesce(s["y"], e["_f"]))
     carried = F.aggregate(
         "_ends",
-        F.struct(F.lit(0.0).alias("y"), F.array().cast("array<struct<block:bigint,y:double>>").alias("out")),
-        lambda s, e: F.struct((e["_e"] + s["y"] * F.pow(F.lit(1 - a), e["_m"])).alias("y"), F.concat(s["out"], F.array(F.struct(e["block"].alias("block"), s["y"].alias("y")))).alias("out")),
+        F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<struct<block:bigint,y:double,known:boolean>>").alias("out")),
+        lambda s, e: F.struct(
+            F.when((e["block"] > 0) | (e["_m"] > 0), e["_e"] + into(s, e) * F.pow(F.lit(1 - a), e["_m"])).alias("y"),
+            F.concat(s["out"], F.array(F.struct(e["block"].alias("block"), into(s, e).alias("y"), s["y"].isNotNull().alias("known")))).alias("out"),
+        ),
         lambda s: s["out"],
     )
-    into = listed.select(*keys, F.explode(carried).alias("_c")).select(*keys, "_c.block", F.col("_c.y").alias("_into"))
-    both = joined(local, into, [*keys, "block"])
+    past = listed.select(*keys, F.explode(carried).alias("_c")).select(*keys, "_c.block", F.col("_c.y").alias("_into"), F.col("_c.known").alias("_known"))
     y = F.col("_local") + F.col("_into") * F.pow(F.lit(1 - a), F.col("_n"))
-    return both.withColumn(out, F.when(F.col("_nth") > 0, y)).select(*df.columns, out)
+    later = joined(many, past, [*keys, "block"]).withColumn(out, F.when(F.col("_known") | (F.col("_n") > 0), y))
+    return one.withColumn(out, F.when(F.col("_n") > 0, F.col("_local"))).select(*df.columns, out).unionByName(later.select(*df.columns, out))
 
 
 def lowpass(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, fc: float, fs: float, n: int = 4, out: str = "lowpass", rows: int = BLOCK_ROWS) -> DataFrame:
