@@ -6,14 +6,13 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tables import written
-from .chunks import CHUNK_SECONDS, block_by_block, joined, last_valid, neighbours, row_index, running_sum, with_margins, with_steps
+from .chunks import CHUNK_SECONDS, block_by_block, joined, last_valid, margins_of, neighbours, row_index, running_sum, with_margins, with_steps
 from .quantiles import exact_quantiles
 
 #: Rows of a session that one task works on.
@@ -281,34 +280,79 @@ def lowpass(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
 
     Missing values are taken from the line between their neighbours, by row. Edges differ from a padded recursive filter.
     Blocks of rows are filtered with margins of 12 fs / fc rows on either side, beyond which the filter's response is
-    below 1e-9; only the session's own ends are reflected.
+    below 1e-9; only the session's own ends are reflected. Blocks of many sessions go through one map over batches; the
+    nearest values outside a block's margins come from one aggregated row for each block, of sessions of several blocks
+    only. The numbered rows are written.
     """
     margin = int(np.ceil(12 * fs / fc))
-    numbered = row_index(df, keys, order).withColumn("_at", F.col("rn").cast("double"))
-    valid = F.when(F.col(col).isNotNull() & ~F.isnan(F.col(col)), F.struct(F.col("rn").alias("t"), F.col(col).cast("double").alias("v")))
-    numbered = numbered.withColumn("_pt", valid)
-    numbered = last_valid(numbered, keys, ["_at"], ["_pt"], True).withColumnRenamed("_pt_last", "_p")
-    numbered = last_valid(numbered, keys, ["_at"], ["_pt"], False).withColumnRenamed("_pt_last", "_q")
-    line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * (F.col("rn") - F.col("_p.t")) / F.nullif(F.col("_q.t") - F.col("_p.t"), F.lit(0))
-    filled = numbered.withColumn("_x", F.coalesce("_pt.v", line, "_p.v", "_q.v")).drop("_pt", "_p", "_q", "rn", "n_rows")
-    blocks = with_margins(filled, keys, ["_at"], margin, margin, max(rows, margin))
+    rows = max(rows, margin)
+    value = F.when(~F.isnan(F.col(col)), F.col(col).cast("double"))
+    numbered = written(row_index(df, keys, order).withColumn("_x", value), "numbered")
+    one, many = (numbered.filter(c) for c in (F.col("n_rows") <= rows, F.col("n_rows") > rows))
+    none = F.lit(None).cast("struct<t:bigint,v:double>")
+    one = one.withColumns({"block": F.lit(0).cast("long"), "own": F.lit(True), "_p": none, "_q": none})
+    blocks = one.unionByName(joined(margins_of(many, margin, margin, rows), _outside(many, keys, margin, rows), [*keys, "block"]))
+    blocks = blocks.withColumns({f"_{e}{c}": F.col(f"_{e}.{c}") for e in "pq" for c in "tv"}).drop("_p", "_q")
     schema = T.StructType([*blocks.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        x, rn = pdf["_x"].to_numpy(float), pdf["rn"].to_numpy()
-        if len(x) > 1 and np.isfinite(x).all():
-            left = min(len(x) - 1, 2 * margin) if rn[0] == 0 else 0
-            right = min(len(x) - 1, 2 * margin) if rn[-1] == pdf["n_rows"].iloc[0] - 1 else 0
-            whole = np.concatenate([2 * x[0] - x[left:0:-1], x, 2 * x[-1] - x[-2 : -2 - right : -1]])
-            # a mirror image after it, so that the ends of the transform meet
-            whole = np.concatenate([whole, whole[::-1]])
-            f = np.fft.rfftfreq(len(whole), 1 / fs)
-            gain = 1 / (1 + (np.tan(np.pi * np.minimum(f, fs / 2 - 1e-9) / fs) / np.tan(np.pi * fc / fs)) ** (2 * n))
-            x = np.fft.irfft(np.fft.rfft(whole) * gain, len(whole))[left : left + len(x)]
-        return pdf.assign(**{out: x})[pdf["own"].to_numpy()]
-
-    return blocks.groupBy(*keys, "block").applyInPandas(smooth, schema).select(*df.columns, out)
+    def filtered(x: np.ndarray, rn: np.ndarray, n_rows: int, near: list[tuple[float, float]]) -> np.ndarray:
+        known = ~np.isnan(x)
+        if not known.all():
+            before, after = ([(t, v)] if v == v else [] for t, v in near)
+            points = np.array([*before, *zip(rn[known], x[known], strict=True), *after], float).reshape(-1, 2)
+            x = np.where(known, x, np.interp(rn, points[:, 0], points[:, 1])) if len(points) else x
+        if len(x) < 2 or not np.isfinite(x).all():
+            return x
+        left = min(len(x) - 1, 2 * margin) if rn[0] == 0 else 0
+        right = min(len(x) - 1, 2 * margin) if rn[-1] == n_rows - 1 else 0
+        whole = np.concatenate([2 * x[0] - x[left:0:-1], x, 2 * x[-1] - x[-2 : -2 - right : -1]])
+        # a mirror image after it, so that the ends of the transform meet
+        whole = np.concatenate([whole, whole[::-1]])
+        f = np.fft.rfftfreq(len(whole), 1 / fs)
+        gain = 1 / (1 + (np.tan(np.pi * np.minimum(f, fs / 2 - 1e-9) / fs) / np.tan(np.pi * fc / fs)) ** (2 * n))
+        return np.fft.irfft(np.fft.rfft(whole) * gain, len(whole))[left : left + len(x)]
+
+    def begins(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.flatnonzero(b["rn"].to_numpy() == np.maximum(0, b["block"].to_numpy() * rows - margin))
+
+    def whole_blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        x, rn, n_rows, pt, pv, qt, qv = (t[c].to_numpy() for c in ("_x", "rn", "n_rows", "_pt", "_pv", "_qt", "_qv"))
+        x, pv, qv = (v.astype(float) for v in (x, pv, qv))
+        at = [*begins(t).tolist(), t.num_rows]
+        y = np.concatenate([filtered(x[i:j], rn[i:j], n_rows[i], [(pt[i], pv[i]), (qt[i], qv[i])]) for i, j in zip(at[:-1], at[1:], strict=True)])
+        yield from t.append_column(out, pa.array(y, from_pandas=True)).to_batches()
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            # what lies before the last block that begins here is whole
+            at = int(begins(b)[-1]) if len(begins(b)) else 0
+            if at or (held and len(begins(b))):
+                yield from whole_blocks([*held, b.slice(0, at)])
+                held = []
+            held.append(b.slice(at))
+        if sum(b.num_rows for b in held):
+            yield from whole_blocks(held)
+
+    return block_by_block(blocks, keys).mapInArrow(smooth, schema).filter("own").select(*df.columns, out)
+
+
+def _outside(numbered: DataFrame, keys: Sequence[str], margin: int, rows: int) -> DataFrame:
+    """(keys, block, _p, _q): the last value (t: rn, v: _x) before a block's margins and the first one after them."""
+    known, point = F.col("_x").isNotNull(), F.struct(F.col("rn").alias("t"), F.col("_x").alias("v"))
+    if_at = lambda c: F.when(known & c, F.col("rn"))
+    ends = numbered.withColumn("block", F.floor(F.col("rn") / rows).cast("long")).groupBy(*keys, "block").agg(
+        F.max_by(point, if_at(F.col("rn") < (F.col("block") + 1) * rows - margin)).alias("_before"),
+        F.min_by(point, if_at(F.col("rn") >= F.col("block") * rows + margin)).alias("_after"),
+        F.min_by(point, if_at(F.lit(True))).alias("_first"),
+        F.max_by(point, if_at(F.lit(True))).alias("_last"),
+    )
+    # the neighbouring block is cut by the margin; those beyond it are whole
+    up, down = Window.partitionBy(*keys).orderBy("block"), Window.partitionBy(*keys).orderBy(F.desc("block"))
+    far = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2))
+    before, after = F.coalesce(F.lag("_before").over(up), far("_last", up)), F.coalesce(F.lag("_after").over(down), far("_first", down))
+    return ends.select(*keys, "block", before.alias("_p"), after.alias("_q"))
 
 
 POLICIES: Mapping[str, tuple[str, float]] = {"heart_rate": ("linear", 5.0), "eda": ("ffill", 5.0), "lf_hf": ("drop_window", 0.1)}
