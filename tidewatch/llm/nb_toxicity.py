@@ -17,22 +17,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, pieces, written
 from .labelled import sampled_labels
 
 BITS = 22
 SIZES = (4, 5, 6)
+#: Texts whose vectors a task makes at once.
+VECTORS = 256
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -86,6 +89,39 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b["y"], pa.ListArray.from_arrays(pa.array(ends), pa.array(h))], names=["y", "h"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, h) -> (h, n0, n1): how many of the task's texts of each class have the hash; h has each hash of a text once."""
+    n = np.zeros((2, 1 << BITS), np.int32)
+    for whole in batches:
+        for i in range(0, whole.num_rows, VECTORS):
+            b = whole.slice(i, VECTORS)
+            for y in (0, 1):
+                h, k = np.unique(pc.list_flatten(b["h"].filter(pc.equal(b["y"], y))).to_numpy(), return_counts=True)
+                n[y, h] += k.astype(np.int32)
+    found = np.flatnonzero(n.any(axis=0)).astype(np.int32)
+    for i in range(0, len(found), 1 << 16):
+        h = found[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(n[y, h].astype(np.int64)) for y in (0, 1)]], names=["h", "n0", "n1"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], kept: np.ndarray, r: np.ndarray, weight: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """(y, h) -> (features, label, w): a text's kept features with their ratios as a sparse vector, as VectorUDT stores it."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, VECTORS):
+            b = whole.slice(i, VECTORS)
+            of, h = pc.list_parent_indices(b["h"]).to_numpy(), pc.list_flatten(b["h"]).to_numpy()
+            at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
+            hit = kept[at] == h
+            of, at = of[hit], at[hit]
+            at = at[np.lexsort((at, of))].astype(np.int32)
+            ends = pa.array(np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32))
+            size = pa.array(np.full(b.num_rows, len(kept), np.int32))
+            parts = [pa.array(np.zeros(b.num_rows, np.int8)), size, pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(r[at]))]
+            vector = pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])
+            y = b["y"].to_numpy()
+            yield pa.RecordBatch.from_arrays([vector, pa.array(y.astype(float)), pa.array(np.where(y == 1, weight[1], weight[0]))], names=["features", "label", "w"])
+
+
 def least_chi_square(tests: int) -> float:
     """The chi-square value, one degree of freedom, that chance exceeds in one of so many tests."""
     return NormalDist().inv_cdf(1 - 0.5 / tests) ** 2
@@ -108,25 +144,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labels: i
     none = Model(np.empty(0, np.int32), np.empty(0), float(np.log((share[1] + 1e-6) / (1 - share[1] + 1e-6))))
     if not n.get(0) or not n.get(1):
         return none
-    counts = rows.select("y", F.explode("h").alias("h")).groupBy("h").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    # tasks count for themselves, so the hashes of all texts are not exploded into one map of each task's heap
+    counts = rows.mapInArrow(_counted, "h int, n0 long, n1 long").repartition("h").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     chosen = sorted(ratios(counts, n, least_chi_square(1 << BITS)).collect())
     if not chosen:
         return none
     kept, r = np.array([c["h"] for c in chosen], np.int32), np.array([c["r"] for c in chosen])
 
-    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of, h = pc.list_parent_indices(b["h"]).to_numpy(), pc.list_flatten(b["h"]).to_numpy()
-            at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
-            hit = kept[at] == h
-            ends = np.searchsorted(of[hit], np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["y"], pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], names=["y", "at"])
-
-    weight = F.when(F.col("y") == 1, share[1] / n[1]).otherwise(share[0] / n[0]) * (n[0] + n[1])
-    words = rows.mapInArrow(sifted, "y int, at array<int>").select(F.col("at").cast("array<string>").alias("words"), F.col("y").cast("double").alias("label"), weight.alias("w"))
-    present = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(kept))], inputCol="words", outputCol="present").setBinary(True)
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(r), inputCol="present", outputCol="features")
-    train = scaled.transform(present.transform(words)).select("features", "label", "w")
+    weight = {y: share[y] / n[y] * (n[0] + n[1]) for y in (0, 1)}
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.DoubleType()), T.StructField("w", T.DoubleType())])
+    train = rows.mapInArrow(partial(_vectors, kept=kept, r=r, weight=weight), schema)
     lr = LogisticRegression(maxIter=40, regParam=ridge, standardization=False, weightCol="w").fit(train)
     discard(rows)
     return Model(kept, r * np.array(lr.coefficients.toArray()), float(lr.intercept))
