@@ -119,23 +119,41 @@ def loso_rf(
     return whole.scores([p for p, _ in done]), df.sparkSession.createDataFrame([w for _, ws in done for w in ws], schema)
 
 
-def fourier_features(df: DataFrame, d: int, gamma: float, cfg: Svm, col: str = "features", out: str = "rff") -> DataFrame:
-    """Adds random Fourier features: their inner product approximates the kernel exp(-gamma |x - y|^2)."""
+def _waves(d: int, gamma: float, cfg: Svm) -> Callable[[np.ndarray], np.ndarray]:
+    """Random Fourier features of rows of d numbers."""
     rng = np.random.default_rng(cfg.seed)
     w = rng.normal(0, np.sqrt(2 * gamma), (cfg.frequencies, d))
     shift = rng.uniform(0, 2 * np.pi, cfg.frequencies)
     scale = float(np.sqrt(2 / cfg.frequencies))
+    return lambda x: np.cos(x @ w.T + shift) * scale
+
+
+def fourier_features(df: DataFrame, d: int, gamma: float, cfg: Svm, col: str = "features", out: str = "rff") -> DataFrame:
+    """Adds random Fourier features: their inner product approximates the kernel exp(-gamma |x - y|^2)."""
+    waves = _waves(d, gamma, cfg)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(x):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        z = np.cos(np.vstack(x.to_numpy()) @ w.T + shift) * scale if len(x) else np.empty((0, cfg.frequencies))
-        return pd.Series(list(z))
+        return pd.Series(list(waves(np.vstack(x.to_numpy())) if len(x) else np.empty((0, cfg.frequencies))))
 
     return df.withColumn(out, project(col))
 
 
+def fourier_margins(df: DataFrame, d: int, gamma: float, cfg: Svm, weights: np.ndarray, intercept: float, col: str = "features", out: str = "margin") -> DataFrame:
+    """Adds the margin of a linear machine on random Fourier features, which stay inside the task."""
+    waves = _waves(d, gamma, cfg)
+
+    @F.pandas_udf(T.DoubleType())
+    def margin(x):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(waves(np.vstack(x.to_numpy())) @ weights + intercept if len(x) else np.empty(0))
+
+    return df.withColumn(out, margin(col))
+
+
 def loso_svm(
     df: DataFrame, cfg: Svm = Svm(), folds: Sequence | None = None, key: str = "subject_id", id_col: str = "window_id",
     weighted: bool = False, raw: str | None = None, at_once: int = AT_ONCE,
@@ -153,9 +171,12 @@ def loso_svm(
         fold = whole.folds[k]
         sides = whole.sides(fold)
         d, n, var = _shape(sides[0])
-        lifted = [fourier_features(x, d, 1 / (d * var), cfg).withColumn("v", array_to_vector("rff")) for x in sides]
-        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, n)), standardization=False, rawPredictionCol="raw", predictionCol="hard", weightCol="weight").fit(lifted[0])
-        margins = [svm.transform(x).withColumn("margin", F.array(vector_to_array("raw")[1])).withColumn("m", array_to_vector("margin")).drop("raw", "hard") for x in lifted]
+        train = fourier_features(sides[0], d, 1 / (d * var), cfg).select(array_to_vector("rff").alias("v"), "label", "weight")
+        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, n)), standardization=False, rawPredictionCol="raw", predictionCol="hard", weightCol="weight").fit(train)
+        # one number a row is written, so the logistic fit lifts nothing again
+        margins = [fourier_margins(x, d, 1 / (d * var), cfg, svm.coefficients.toArray(), svm.intercept).select(key, id_col, "label", "margin") for x in sides]
+        margins[0] = written(margins[0].select("label", "margin"), "margins")
+        margins = [x.withColumn("m", array_to_vector(F.array("margin"))) for x in margins]
         platt = LogisticRegression(featuresCol="m", labelCol="label", maxIter=30).fit(margins[0])
         return whole.write(fold, k, platt.transform(margins[1]))
 
@@ -164,8 +185,12 @@ def loso_svm(
 
 def _shape(train: DataFrame) -> tuple[int, int, float]:
     """Features, rows and variance of all features' values together (1 if there is none)."""
-    d, n = train.agg(F.max(F.size("features")), F.count("*")).first()
-    var = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0]
+    x = F.filter("features", lambda v: v.isNotNull())
+    total = lambda f: F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v)))
+    # one row a row, not one a value
+    d, n, k, ones, squares = train.agg(F.max(F.size("features")), F.count("*"), F.sum(F.size(x)), total(lambda v: v), total(lambda v: v * v)).first()
+    # scaled features lie around zero, so the squares do not cancel
+    var = squares / k - (ones / k) ** 2 if k else None
     return d or 1, n, var or 1.0
 
 
