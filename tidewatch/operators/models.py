@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
 import numpy as np
-from pyspark import inheritable_thread_target
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tables import new_path, written
 from .evaluate import fold_results, fold_summary, sensitivity_bins
-from .splits import apply_fold_scale_raw, fold_scale_raw, fold_weights, folds_of, loso_filter
+from .splits import apply_fold_scale_raw, fold_scale_raw, fold_weights, folds_of, loso_filter, scale_of
 
 T_ = TypeVar("T_")
 
@@ -41,7 +44,41 @@ class Svm:
 
 
 #: Folds whose fits run at the same time; each fit is a row of Spark jobs, so the cluster is shared among so many.
-AT_ONCE = 4
+AT_ONCE = 5
+
+#: Means and deviations by channel, which a task takes from its rows.
+Scale = tuple[np.ndarray, np.ndarray] | None
+
+
+def _numbers(lists: pa.ListArray, scale: Scale, null: float = np.nan) -> np.ndarray:
+    """The lists as rows of numbers, scaled; null stands for what a list lacks or holds as null."""
+    flat, n = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    d = len(scale[0]) if scale else int(n.max()) if len(n) else 0
+    x, missing = np.full((len(n), d), np.nan), np.ones((len(n), d), bool)
+    at = np.arange(d) < n[:, None]
+    x[at], missing[at] = flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+    x = (x - scale[0]) / scale[1] if scale else x
+    x[missing] = null
+    return x
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _vectors(df: DataFrame, of: Callable[[pa.ListArray], np.ndarray], keep: Sequence[str]) -> DataFrame:
+    """The columns of keep, and `features` after `of` as MLlib's dense vectors, written as VectorUDT stores them."""
+    keep = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, none = of(b["features"]), pa.nulls(b.num_rows, pa.int32())
+            parts = [pa.array(np.ones(b.num_rows, np.int8)), none, pa.nulls(b.num_rows, pa.list_(pa.int32())), _lists(x)]
+            vector = pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([vector, *[b[c] for c in keep]], names=["features", *keep])
+
+    schema = T.StructType([T.StructField("features", VectorUDT()), *[df.schema[c] for c in keep]])
+    return df.select("features", *keep).mapInArrow(run, schema)
 
 
 def _each_fold(spark: SparkSession, folds: Sequence, run: Callable[[object], T_], at_once: int = AT_ONCE) -> list[T_]:
@@ -73,16 +110,22 @@ class _Folds:
         self.weights = written(fold_weights(self.data, key), "weights") if weighted else None
         self.path = new_path(self.spark, "scores")
 
-    def sides(self, fold: object) -> list[DataFrame]:
-        """Training and test side: features (scaled, one array of numbers), label, weight."""
-        both = loso_filter(self.data, fold, self.key)
-        if self.moments is not None:
-            both = apply_fold_scale_raw(self.data, self.moments, fold, self.key, "features", self.steps)
+    def sides(self, fold: object, data: DataFrame | None = None) -> tuple[list[DataFrame], Scale]:
+        """Training and test side: features (one array of numbers), label, weight; and how to scale the features.
+
+        Arrays are scaled inside the task that turns them into vectors; windows of steps are scaled here.
+        """
+        data, scale = self.data if data is None else data, None
+        both = loso_filter(data, fold, self.key)
+        if self.moments is not None and self.steps:
+            both = apply_fold_scale_raw(data, self.moments, fold, self.key, "features")
+        elif self.moments is not None:
+            scale = tuple(np.array(v, float) for v in scale_of(self.moments, fold))
         if self.steps:
             both = [x.withColumn("features", F.flatten("features")) for x in both]
         found = self.weights and self.weights.filter(F.col("fold") == fold).select("pos_weight").first()
         w = F.when(F.col("label") == 1, F.lit(float(found[0]))).otherwise(1.0) if found and found[0] else F.lit(1.0)
-        return [x.withColumn("weight", w) for x in both]
+        return [x.withColumn("weight", w) for x in both], scale
 
     def write(self, fold: object, k: int, scored: DataFrame) -> str:
         """The fold's scores as a table of their own, so that nothing fits or scores again when they are read."""
@@ -105,16 +148,21 @@ def loso_rf(
     windows (arrays of time steps of channels) to take in place of features, scaled by channel over all steps.
     """
     whole = _Folds(df, key, id_col, folds, scaled, weighted, raw)
+    # a forest's draws depend on the order of rows, which that of files is not; all folds take their rows from one deal
+    dealt = whole.data.repartition(int(whole.spark.conf.get("spark.sql.shuffle.partitions")), key, id_col).sortWithinPartitions(key, id_col).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(k: int) -> tuple[str, list[tuple]]:
         fold = whole.folds[k]
-        train, test = (x.withColumn("features", array_to_vector("features")) for x in whole.sides(fold))
-        # a forest's draws depend on the order of rows, which that of files is not
-        train = train.repartition(int(whole.spark.conf.get("spark.sql.shuffle.partitions")), key, id_col).sortWithinPartitions(key, id_col)
+        sides, scale = whole.sides(fold, dealt)
+        # MLlib's vectors have 0 for null
+        train, test = (_vectors(x, lambda v: _numbers(v, scale, 0.0), [key, id_col, "label", "weight"]) for x in sides)
         rf = RandomForestClassifier(numTrees=cfg.trees, maxDepth=cfg.depth, minInstancesPerNode=cfg.leaf, seed=cfg.seed, weightCol="weight").fit(train)
         return whole.write(fold, k, rf.transform(test)), [(fold, j, float(v)) for j, v in enumerate(rf.featureImportances.toArray())]
 
-    done = _each_fold(whole.spark, range(len(whole.folds)), fit, at_once)
+    try:
+        done = _each_fold(whole.spark, range(len(whole.folds)), fit, at_once)
+    finally:
+        dealt.unpersist()
     schema = T.StructType([T.StructField("fold", df.schema[key].dataType), T.StructField("feature", T.IntegerType()), T.StructField("importance", T.DoubleType())])
     return whole.scores([p for p, _ in done]), df.sparkSession.createDataFrame([w for _, ws in done for w in ws], schema)
 
@@ -132,24 +180,20 @@ def fourier_features(df: DataFrame, d: int, gamma: float, cfg: Svm, col: str = "
     """Adds random Fourier features: their inner product approximates the kernel exp(-gamma |x - y|^2)."""
     waves = _waves(d, gamma, cfg)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(x):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(list(waves(np.vstack(x.to_numpy())) if len(x) else np.empty((0, cfg.frequencies))))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def project(x: pa.Array) -> pa.Array:
+        return _lists(waves(_numbers(x, None)) if len(x) else np.empty((0, cfg.frequencies)))
 
     return df.withColumn(out, project(col))
 
 
-def fourier_margins(df: DataFrame, d: int, gamma: float, cfg: Svm, weights: np.ndarray, intercept: float, col: str = "features", out: str = "margin") -> DataFrame:
+def fourier_margins(df: DataFrame, d: int, gamma: float, cfg: Svm, weights: np.ndarray, intercept: float, col: str = "features", out: str = "margin", scale: Scale = None) -> DataFrame:
     """Adds the margin of a linear machine on random Fourier features, which stay inside the task."""
     waves = _waves(d, gamma, cfg)
 
-    @F.pandas_udf(T.DoubleType())
-    def margin(x):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(waves(np.vstack(x.to_numpy())) @ weights + intercept if len(x) else np.empty(0))
+    @F.arrow_udf(T.DoubleType())
+    def margin(x: pa.Array) -> pa.Array:
+        return pa.array(waves(_numbers(x, scale)) @ weights + intercept if len(x) else np.empty(0))
 
     return df.withColumn(out, margin(col))
 
@@ -169,12 +213,13 @@ def loso_svm(
 
     def fit(k: int) -> str:
         fold = whole.folds[k]
-        sides = whole.sides(fold)
-        d, n, var = _shape(sides[0])
-        train = fourier_features(sides[0], d, 1 / (d * var), cfg).select(array_to_vector("rff").alias("v"), "label", "weight")
-        svm = LinearSVC(featuresCol="v", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, n)), standardization=False, rawPredictionCol="raw", predictionCol="hard", weightCol="weight").fit(train)
+        sides, scale = whole.sides(fold)
+        d, n, var = _shape(sides[0], scale)
+        waves = _waves(d, 1 / (d * var), cfg)
+        train = _vectors(sides[0], lambda v: waves(_numbers(v, scale)), ["label", "weight"])
+        svm = LinearSVC(featuresCol="features", labelCol="label", maxIter=cfg.steps, regParam=1 / (cfg.c * max(1, n)), standardization=False, rawPredictionCol="raw", predictionCol="hard", weightCol="weight").fit(train)
         # one number a row is written, so the logistic fit lifts nothing again
-        margins = [fourier_margins(x, d, 1 / (d * var), cfg, svm.coefficients.toArray(), svm.intercept).select(key, id_col, "label", "margin") for x in sides]
+        margins = [fourier_margins(x, d, 1 / (d * var), cfg, svm.coefficients.toArray(), svm.intercept, scale=scale).select(key, id_col, "label", "margin") for x in sides]
         margins[0] = written(margins[0].select("label", "margin"), "margins")
         margins = [x.withColumn("m", array_to_vector(F.array("margin"))) for x in margins]
         platt = LogisticRegression(featuresCol="m", labelCol="label", maxIter=30).fit(margins[0])
@@ -183,15 +228,21 @@ def loso_svm(
     return whole.scores(_each_fold(whole.spark, range(len(whole.folds)), fit, at_once))
 
 
-def _shape(train: DataFrame) -> tuple[int, int, float]:
-    """Features, rows and variance of all features' values together (1 if there is none)."""
-    x = F.filter("features", lambda v: v.isNotNull())
-    total = lambda f: F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v)))
-    # one row a row, not one a value
-    d, n, k, ones, squares = train.agg(F.max(F.size("features")), F.count("*"), F.sum(F.size(x)), total(lambda v: v), total(lambda v: v * v)).first()
+def _shape(train: DataFrame, scale: Scale = None) -> tuple[int, int, float]:
+    """Features, rows and variance of all features' scaled values together (1 if there is none)."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat, x = pc.list_flatten(b["features"]), _numbers(b["features"], scale, 0.0)
+                row = {"d": x.shape[1], "n": b.num_rows, "k": len(flat) - flat.null_count, "ones": float(x.sum()), "squares": float((x * x).sum())}
+                yield pa.RecordBatch.from_pylist([row])
+
+    parts = train.select("features").mapInArrow(sums, "d long, n long, k long, ones double, squares double")
+    d, n, k, ones, squares = parts.agg(F.max("d"), *[F.sum(c) for c in ("n", "k", "ones", "squares")]).first()
     # scaled features lie around zero, so the squares do not cancel
     var = squares / k - (ones / k) ** 2 if k else None
-    return d or 1, n, var or 1.0
+    return d or 1, n or 0, var or 1.0
 
 
 def importance_summary(importances: DataFrame) -> DataFrame:

@@ -106,14 +106,18 @@ def fold_scale_raw(df: DataFrame, key: str, arrays: str, steps: bool = False) ->
     return both.select("fold", "channel", F.col("n2").alias("n"), "mean", F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
 
 
+def scale_of(moments: DataFrame, fold: object) -> tuple[Sequence[float], Sequence[float]]:
+    """Means and deviations of a fold's training side by channel."""
+    rows = moments.filter(F.col("fold") == fold).orderBy("channel").toLocalIterator()
+    return tuple(zip(*[(r["mean"], r["std"]) for r in rows], strict=True))
+
+
 def apply_fold_scale_raw(df: DataFrame, moments: DataFrame, fold: object, key: str, arrays: str, steps: bool = True) -> tuple[DataFrame, DataFrame]:
     """(train, test) of one fold, the windows in `arrays` scaled channel by channel by the fold's training statistics.
 
     moments: of fold_scale_raw. steps: a window is an array of time steps, each an array of channels; else one step.
     """
-    rows = moments.filter(F.col("fold") == fold).orderBy("channel").toLocalIterator()
-    mean, std = zip(*[(r["mean"], r["std"]) for r in rows], strict=True)
-    mean, std = (F.array(*[F.lit(float(x)) for x in v]) for v in (mean, std))
+    mean, std = (F.array(*[F.lit(float(x)) for x in v]) for v in scale_of(moments, fold))
     scaled = lambda step: F.zip_with(F.zip_with(step, mean, lambda v, m: v - m), std, lambda v, s: v / s)
     new = F.transform(arrays, scaled) if steps else scaled(F.col(arrays))
     return tuple(x.withColumn(arrays, new) for x in loso_filter(df, fold, key))
