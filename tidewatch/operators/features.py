@@ -89,9 +89,18 @@ def pivot_features(stats: DataFrame, keys: Sequence[str], signals: Sequence[str]
     return stats.groupBy(*keys).agg(*cols)
 
 
+def _time(windows: DataFrame, order: Sequence[str]) -> Column:
+    """What orders a window's samples, null times first. One number is compared as it is: a struct would have every row
+    sorted before rows are summed up.
+    """
+    if len(order) == 1 and windows.schema[order[0]].dataType == T.DoubleType():
+        return F.coalesce(F.col(order[0]), F.lit(float("-inf")))
+    return F.struct(*order)
+
+
 def trend(windows: DataFrame, keys: Sequence[str], length: float, order: Sequence[str] = ("timestamp",)) -> DataFrame:
     """(keys, trend): last less first value of the window, by its length."""
-    at = F.struct(*order)
+    at = _time(windows, order)
     return windows.groupBy(*keys).agg(((F.max_by("value", at) - F.min_by("value", at)) / F.lit(float(length))).alias("trend"))
 
 
@@ -108,7 +117,7 @@ def rate_of_change(df: DataFrame, keys: Sequence[str], lag_s: int, time: str = "
 
 def autonomic(windows: DataFrame, keys: Sequence[str], lf: str = "lf", hf: str = "hf", order: Sequence[str] = ("timestamp",)) -> DataFrame:
     """(keys, lf_hf, lf_hf_trend, lfnu_trend, hfnu_trend): mean LF over mean HF and changes from first to last sample."""
-    at = F.struct(*order)
+    at = _time(windows, order)
     first = lambda s: F.min_by(F.col("value"), F.when(F.col("signal_name") == s, at))
     last = lambda s: F.max_by(F.col("value"), F.when(F.col("signal_name") == s, at))
     mean = lambda s: F.avg(F.when(F.col("signal_name") == s, F.col("value")))
@@ -126,7 +135,7 @@ def autonomic(windows: DataFrame, keys: Sequence[str], lf: str = "lf", hf: str =
 
 def eda_reactivity(windows: DataFrame, keys: Sequence[str], spike: float, order: Sequence[str] = ("timestamp",)) -> DataFrame:
     """(keys, tonic, tonic_change, n_spikes): mean level, last less first value, samples above `spike`."""
-    at = F.struct(*order)
+    at = _time(windows, order)
     return windows.groupBy(*keys).agg(
         F.avg("value").alias("tonic"), (F.max_by("value", at) - F.min_by("value", at)).alias("tonic_change"), F.count_if(F.col("value") > spike).alias("n_spikes")
     )

@@ -44,7 +44,8 @@ def silver(bronze: DataFrame, order: Sequence[str], ffill: float, linear: float,
 def gold_of(rows: DataFrame, loc: DataFrame, signals: Sequence[str], size: int, stride: float, warn: float) -> DataFrame:
     """Silver rows to window statistics of z-scores side by side, time to the loss, label and temporal split."""
     z = C.normalize(rows, KEYS)[0].select(*KEYS, "timestamp", F.col("z").alias("value"))
-    wide = X.pivot_features(X.sliding_stats(z, KEYS, size, stride), ["subject_id", "window_start"], signals)
+    # places and splits read the windows more than once
+    wide = written(X.pivot_features(X.sliding_stats(z, KEYS, size, stride), ["subject_id", "window_start"], signals), "wide")
     return P.temporal_split(L.label_windows(L.time_to_loc(wide, loc), warn))
 
 
@@ -52,7 +53,7 @@ def gold(bronze: DataFrame, loc: DataFrame, signals: Sequence[str], size: int, s
     """Bronze signals to labelled features with splits. No table is collected; two runs over the same bronze rows give
     the same rows.
     """
-    return gold_of(silver(bronze, ["timestamp", "event_id"], ffill, linear, longest, seconds), loc, signals, size, stride, warn)
+    return gold_of(written(silver(bronze, ["timestamp", "event_id"], ffill, linear, longest, seconds), "silver"), loc, signals, size, stride, warn)
 
 
 def derived_features(rows: DataFrame, derived: Derived, size: int, stride: float) -> DataFrame:
@@ -90,7 +91,7 @@ def files_to_gold(
     rows = written(silver(kept.select(*KEYS, "timestamp", "value"), ["timestamp"], ffill, linear, longest, seconds), "silver")
     # of several marks of a subject the last counts
     loc = io.read_marks(spark, mark_files, "loc_ts").groupBy("subject_id").agg(F.max("loc_ts").alias("loc_ts"))
-    wide = gold_of(rows, loc, signals, size, stride, warn).join(derived_features(rows, derived, size, stride), ["subject_id", "window_start"], "left")
+    wide = gold_of(rows, loc, signals, size, stride, warn).join(written(derived_features(rows, derived, size, stride), "derived"), ["subject_id", "window_start"], "left")
     numbers = [c for c, t in wide.dtypes if t == "double" and c not in ("window_start", "loc_ts")]
     scaled = wide.withColumns({c: F.col(c) * 1000 for c in ("trend", "roc")})
     done = X.progress(scaled).withColumns({c: rounded(F.col(c)) for c in [*numbers, "progress"]})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import delete
+from ..tables import delete, new_path
 
 SIGNAL_FILE = "timestamp double, value double"
 SAMPLES = T.StructType(
@@ -24,7 +24,8 @@ BUCKETS = 32
 
 def _named(pattern: str, group: int) -> Column:
     """Part of the name S<id>_<what>.csv, which is that of the file or of a folder of its parts."""
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
+    end = F.concat(F.lit("/"), F.substring_index(F.col("_metadata.file_path"), "/", -2))  # a row at a time, so not the whole path
+    return F.regexp_extract(end, pattern, group)
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
@@ -50,9 +51,17 @@ def with_ingest_meta(df: DataFrame, at: str, source: Column | None = None) -> Da
 
 def new_rows(df: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of df whose key the bronze table lacks; of repeated keys within df the first by source file and value stays."""
+    return _lacking(_one_each(df), known)
+
+
+def _one_each(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c not in BRONZE_KEY]
     one = df.groupBy(*BRONZE_KEY).agg(F.min(F.struct(*sorted(rest))).alias("_r")).select(*BRONZE_KEY, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    return one.join(known.select(*BRONZE_KEY), list(BRONZE_KEY), "left_anti").select(df.columns)
+    return one.select(df.columns)
+
+
+def _lacking(one: DataFrame, known: DataFrame) -> DataFrame:
+    return one.join(known.select(*BRONZE_KEY), list(BRONZE_KEY), "left_anti").select(one.columns)
 
 
 def append_bronze(df: DataFrame, path: str, tries: int = 20) -> DataFrame:
@@ -64,23 +73,32 @@ def append_bronze(df: DataFrame, path: str, tries: int = 20) -> DataFrame:
     Rows are staged under path/_data and become part of the table by one atomic step, the making of the next numbered
     file under path/_commits, which lists the data folders. A writer that finds the number taken starts again from the
     newer table, so appends at the same time add each key once; a writer that fails leaves the table as it was, and a
-    replay adds nothing. Only the folders that df touches are compared. Files are cut by size.
+    replay adds nothing. Only the folders that df touches are compared. Files are cut by size. df is read once: where
+    there is a table to compare with, its rows, one for each key, are written for the time of the append.
     """
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64(F.col("subject_id").cast("long"), "signal_name"), F.lit(BUCKETS)).cast("int")
-    touched = df.select(bucket.alias("key_bucket")).distinct()
-    for _ in range(tries):
-        version, names = _latest(spark, path)
-        known = _folders(spark, path, names).join(touched, "key_bucket", "left_semi") if names else df.limit(0)
-        name = f"_commit=c{uuid.uuid4().hex}"
-        fresh = new_rows(df, known).withColumn("key_bucket", bucket).hint("rebalance", F.col("key_bucket"))
-        fresh.sortWithinPartitions("key_bucket", *BRONZE_KEY).write.partitionBy("key_bucket").parquet(f"{path}/_data/{name}")
-        if not _has_files(spark, f"{path}/_data/{name}"):
+    one, staged = _one_each(df), None
+    try:
+        for _ in range(tries):
+            version, names = _latest(spark, path)
+            if names and not staged:
+                staged = new_path(spark, "staged")
+                one.write.parquet(staged)
+                one = spark.read.schema(one.schema).parquet(staged)
+            fresh = _lacking(one, _folders(spark, path, names).join(one.select(bucket.alias("key_bucket")).distinct(), "key_bucket", "left_semi")) if names else one
+            name = f"_commit=c{uuid.uuid4().hex}"
+            fresh = fresh.withColumn("key_bucket", bucket).hint("rebalance", F.col("key_bucket"))
+            fresh.sortWithinPartitions("key_bucket", *BRONZE_KEY).write.partitionBy("key_bucket").parquet(f"{path}/_data/{name}")
+            if not _has_files(spark, f"{path}/_data/{name}"):
+                delete(spark, f"{path}/_data/{name}")
+                return _data(spark, path, names) if names else df.limit(0)
+            if _commit(spark, path, version + 1, [*names, name]):
+                return _data(spark, path, [*names, name])
             delete(spark, f"{path}/_data/{name}")
-            return _data(spark, path, names) if names else df.limit(0)
-        if _commit(spark, path, version + 1, [*names, name]):
-            return _data(spark, path, [*names, name])
-        delete(spark, f"{path}/_data/{name}")
+    finally:
+        if staged:
+            delete(spark, staged)
     raise RuntimeError(f"{path}: others committed first, {tries} times")
 
 
